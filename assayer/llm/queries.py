@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayer.llm import substring_dedup
 from assayer.llm.language_id import op2_language_id
+from assayer.llm.licences import op6_licences
+from assayer.llm.substring_dedup import op5_substring_dedup
 from assayer.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_licences": op6_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+}

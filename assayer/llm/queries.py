@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import substring_dedup
+from assayer.llm import substring_dedup, top_k, warc
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
 from assayer.llm.substring_dedup import op5_substring_dedup
+from assayer.llm.top_k import op3_top_k
 from assayer.llm.toxicity import op4_toxicity
+from assayer.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_top_k": op3_top_k,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_licences": op6_licences,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": top_k.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }

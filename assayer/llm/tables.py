@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: lineage is cut, and Spark knows the table's size when it plans a join."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """True for rows of the fold: crc32 of the id as text, modulo the number of folds."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -40,3 +48,8 @@ def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40)) < F.lit(int((1 << 40) * rows / n)))
+
+
+def fresh() -> str:
+    """A name that no folder has yet."""
+    return uuid.uuid4().hex

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from assayer.llm import tables, words
 
 #: Most labelled rows of each label that are learned from.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Features are hashed to 2**BITS buckets.
 BITS = 18
 EPOCHS = 6

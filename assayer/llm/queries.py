@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assayer.llm import substring_dedup, top_k, warc
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
+from assayer.llm.packing import op9_packing
 from assayer.llm.substring_dedup import op5_substring_dedup
 from assayer.llm.top_k import op3_top_k
 from assayer.llm.toxicity import op4_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_licences": op6_licences,
     "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -31,9 +31,9 @@ WINDOW, MINIMISER = 13, 3
 #: Most windows in a packed string; longer runs of a minimiser go as several.
 LONGEST = 48
 #: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
-BUCKET_BYTES, HELD_BYTES = 4 << 20, 48 << 20
+BUCKET_BYTES, HELD_BYTES = 4 << 20, 24 << 20
 
-_BLOCK = "bucket int, docs binary, first binary, parts binary, texts binary"
+_BLOCK = "bucket int, found boolean, rows int, bytes int, packed binary"
 _RUNS = "doc_id long, start int, stop int"
 
 
@@ -88,6 +88,17 @@ def _joined(w: words.Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
+def _pack(docs: np.ndarray, first: np.ndarray, more: np.ndarray, texts: bytes) -> bytes:
+    """Columns of a block, compressed; the documents as differences."""
+    plain = np.diff(docs.astype(np.int64), prepend=0).tobytes() + first.astype(np.int32).tobytes() + more.astype(np.int32).tobytes() + texts
+    return pa.Codec("zstd", 3).compress(plain, asbytes=True)
+
+
+def _unpack(rows: int, size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    plain = pa.Codec("zstd").decompress(packed, 16 * rows + size, asbytes=True)
+    return np.cumsum(np.frombuffer(plain, np.int64, rows)), np.frombuffer(plain, np.int32, rows, 8 * rows), np.frombuffer(plain, np.int32, rows, 12 * rows), plain[16 * rows :]
+
+
 class _Outbox:
     """Holds a task's super-k-mers and sends each bucket a block of them."""
 
@@ -112,22 +123,24 @@ class _Outbox:
         order = kept[np.lexsort((first[kept], code[kept], bucket[kept]))]
         cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         columns: list[list] = [[], [], [], [], []]
-        codec = pa.Codec("zstd", 1)
+
+        def put(*values) -> None:
+            for column, value in zip(columns, values):
+                column.append(value)
+
         for b in range(self.buckets):
             at = order[cut[b] : cut[b + 1]]
             if len(at):
                 new = np.append(True, code[at][1:] != code[at][:-1])
                 texts = b"\n".join(unique.take(pa.array(code[at][new])).to_pylist())
-                of = np.cumsum(new).astype(np.int32) - 1
-                for column, value in zip(columns, (b, docs[at].astype(np.int64).tobytes(), first[at].astype(np.int32).tobytes(), of.tobytes(), np.int64(len(texts)).tobytes() + codec.compress(texts, asbytes=True))):
-                    column.append(value)
+                put(b, False, len(at), len(texts), _pack(docs[at], first[at], new, texts))
         step = -(-len(gone) // self.buckets) if len(gone) else 1
         for b, i in enumerate(range(0, len(gone), step)):  # the repeats that this task has found itself, dealt evenly
             at = gone[i : i + step]
-            for column, value in zip(columns, (b, docs[at].astype(np.int64).tobytes(), first[at].astype(np.int32).tobytes(), (first[at] + count[at]).astype(np.int32).tobytes(), None)):
-                column.append(value)
+            put(b, True, len(at), 0, _pack(docs[at], first[at], first[at] + count[at], b""))
         self.held, self.texts, self.rows = 0, [], []
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "first", "parts", "texts"])
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "found", "rows", "bytes", "packed"])
 
 
 def _send(buckets: int):
@@ -170,20 +183,16 @@ def repeated_windows(code: np.ndarray, at: np.ndarray, docs: np.ndarray, window:
 
 def _answer(group: pa.Table) -> pa.Table:
     """Runs of repeated words of the documents in one bucket's blocks."""
-    codec = pa.Codec("zstd", 1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     texts, owners, places = [], [], []
-    total = 0
-    for docs, first, parts, packed in zip(*(group.column(c).to_pylist() for c in ("docs", "first", "parts", "texts"))):
-        docs, first, parts = np.frombuffer(docs, np.int64), np.frombuffer(first, np.int32), np.frombuffer(parts, np.int32)
-        if packed is None:
-            out.append((docs, first, parts))
+    for found, rows, size, packed in zip(*(group.column(c).to_pylist() for c in ("found", "rows", "bytes", "packed"))):
+        docs, first, more, plain = _unpack(rows, size, packed)
+        if found:
+            out.append((docs, first, more))
         else:
-            texts += codec.decompress(packed[8:], int(np.frombuffer(packed[:8], np.int64)[0]), asbytes=True).split(b"\n")
-            new = np.append(True, parts[1:] != parts[:-1])
-            owners.append(docs[new])
-            places.append((parts + total, docs, first))
-            total = len(texts)
+            places.append((np.cumsum(more) - 1 + len(texts), docs, first))
+            owners.append(docs[more > 0])
+            texts += plain.split(b"\n")
     if texts:
         w = words.split(pa.array(texts, pa.large_binary()))
         code = w.array().dictionary_encode().indices.to_numpy().astype(np.int64)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a step works on at once; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

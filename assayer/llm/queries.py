@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import substring_dedup, top_k, warc
+from assayer.llm import near_dedup, substring_dedup, top_k, warc
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
+from assayer.llm.near_dedup import op7_near_dedup
 from assayer.llm.packing import op9_packing
 from assayer.llm.substring_dedup import op5_substring_dedup
 from assayer.llm.top_k import op3_top_k
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_licences": op6_licences,
+    "op7_near_dedup": op7_near_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
 }
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_top_k": top_k.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
 }

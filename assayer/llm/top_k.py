@@ -36,6 +36,7 @@ from assayer.llm import tables
 
 #: Parts of a vector, the most queries in a block, and vectors that a task scores at once.
 LISTS, BLOCK, ROWS = 2, 4096, 512
+_NONE = -(1 << 62)
 
 
 def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -52,11 +53,10 @@ class _Queries:
     def __init__(self, rows: list, reached: dict[int, int] | None = None):
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in {len(r["v"]) for r in rows}:
-            own = [r for r in rows if len(r["v"]) == size]
+            own = sorted((r for r in rows if len(r["v"]) == size), key=lambda r: r["vec_id"])
             ids = np.array([r["vec_id"] for r in own], np.int64)
-            least = np.array([(reached or {}).get(r["vec_id"], np.iinfo(np.int64).min) for r in own], np.int64)
+            least = np.array([(reached or {}).get(r["vec_id"], _NONE) for r in own], np.int64)
             self.by_size[size] = ids, np.array([r["v"] for r in own], np.int64), least
-        self.place = {int(i): (size, n) for size, (ids, _, _) in self.by_size.items() for n, i in enumerate(ids)}
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -75,6 +75,11 @@ def _local(queries, lists: int, k: int, second: bool):
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = queries.value.by_size
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows(p: int, q: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), p, np.int32)), pa.array(v), pa.array(score)], ["query_id", "part", "vec_id", "score"])
+
         for batch in batches:
             part, size, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "size", "vec_id"))
             v = batch.column("v")
@@ -91,31 +96,53 @@ def _local(queries, lists: int, k: int, second: bool):
                     score = _products(q[:, a:b], x)
                     own = ids[at][None, :] == q_ids[:, None]
                     if second:
-                        row, col = np.nonzero((score * lists >= least[:, None]) & ~own)
+                        row, col = np.nonzero((score >= -(-least[:, None] // lists)) & ~own)
+                        yield rows(p, q_ids[row], ids[at][col], score[row, col])
                     else:
-                        score[own] = np.iinfo(np.int64).min
-                        top = min(k, len(at))
-                        col = np.argpartition(-score, top - 1, axis=1)[:, :top].ravel()
-                        row = np.repeat(np.arange(len(q)), top)
-                        real = ~own[row, col]
-                        row, col = row[real], col[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(np.full(len(row), p, np.int32)), pa.array(ids[at][col]), pa.array(score[row, col])], ["query_id", "part", "vec_id", "score"])
+                        score[own] = _NONE
+                        found = np.broadcast_to(ids[at], score.shape)
+                        if (p, n) in best:
+                            score, found = np.hstack([best[p, n][0], score]), np.hstack([best[p, n][1], found])
+                        if score.shape[1] > k:
+                            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                            score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+                        best[p, n] = score, found
+        for (p, n), (score, found) in best.items():
+            row, col = np.nonzero(score > _NONE)
+            yield rows(p, held[n][0][row], found[row, col], score[row, col])
 
     return entries
 
 
 def _whole(queries):
-    """Rows (query_id, vec_id, v) with their whole score."""
+    """Rows (vec_id, v, asked: query ids) as (query_id, vec_id, score), with the whole score where it reaches the query's cut-off."""
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = queries.value
         for batch in batches:
-            out = [int(held.by_size[held.place[q][0]][1][held.place[q][1]] @ np.array(v, np.int64)) for q, v in zip(batch.column("query_id").to_pylist(), batch.column("v").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(out, pa.int64())], ["query_id", "vec_id", "score"])
+            v, asked = batch.column("v"), batch.column("asked")
+            flat, offset = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))])
+            wanted, cut = asked.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))])
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
+                ids, q, least = held.by_size[offset[i + 1] - offset[i]]
+                mine = wanted[cut[i] : cut[i + 1]]
+                at = np.searchsorted(ids, mine)
+                score = _products(q[at], flat[None, offset[i] : offset[i + 1]])[:, 0]
+                good = score >= least[at]
+                for column, value in zip(out, (mine[good], np.full(good.sum(), vec_id), score[good])):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
     return scores
 
 
+def _resolved(pairs: DataFrame, candidates: DataFrame, queries) -> DataFrame:
+    """Whole scores of pairs (query_id, vec_id); each vector travels once."""
+    asked = pairs.groupBy("vec_id").agg(F.collect_list("query_id").alias("asked"))  # at most a block's queries
+    return asked.join(candidates, "vec_id").select("vec_id", "v", "asked").mapInArrow(_whole(queries), "query_id long, vec_id long, score long")
+
+
 def _best(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -140,15 +167,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS,
         shipped = spark.sparkContext.broadcast(_Queries(rows))
         shape = "query_id long, part int, vec_id long, score long"
         local = _best(dealt.mapInArrow(_local(shipped, lists, k, False), shape), k, "query_id", "part")
-        first = local.select("query_id", "vec_id").distinct().join(candidates, "vec_id").select("query_id", "vec_id", "v")
-        first = first.mapInArrow(_whole(shipped), "query_id long, vec_id long, score long")
+        first = _resolved(local.select("query_id", "vec_id").distinct(), candidates, shipped)
         reached = {r["query_id"]: r["score"] for r in _best(first, k, "query_id").where(F.col("rank") == k).collect()}
         cut = spark.sparkContext.broadcast(_Queries(rows, reached))
         least = spark.createDataFrame([(q, t) for q, t in reached.items()], "query_id long, t long")
         sent = dealt.mapInArrow(_local(cut, lists, k, True), shape).groupBy("query_id", "vec_id").agg(F.sum("score").alias("known"), F.count("*").alias("n"))
         open_ = sent.join(F.broadcast(least), "query_id", "left").where(F.col("t").isNull() | (F.col("known") * lists + (lists - F.col("n")) * (F.col("t") - 1) >= F.col("t") * lists))
-        open_ = open_.select("query_id", "vec_id").join(candidates, "vec_id").select("query_id", "vec_id", "v")
-        found.append(_best(open_.mapInArrow(_whole(shipped), "query_id long, vec_id long, score long"), k, "query_id"))
+        found.append(_best(_resolved(open_.select("query_id", "vec_id"), candidates, cut), k, "query_id"))
     return reduce(DataFrame.unionByName, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

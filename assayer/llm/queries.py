@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import near_dedup, substring_dedup, top_k, warc
+from assayer.llm.decontaminate import op1_decontaminate
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
 from assayer.llm.near_dedup import op7_near_dedup
@@ -17,6 +18,7 @@ from assayer.llm.toxicity import op4_toxicity
 from assayer.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
     "op4_toxicity": op4_toxicity,

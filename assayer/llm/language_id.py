@@ -138,18 +138,20 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """docs' `keep` columns with lang_pred, score (calibrated, of lang_pred) and rejected."""
     types = dict(docs.dtypes)
     names = {c: f"kept_{i}" for i, c in enumerate(keep)}
-    cut = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("text").cast("binary").alias("text"), _letters("text").alias("letters"))
+    text = names.get("text", "text")
+    own = [] if "text" in names else [F.col("text").cast("binary").alias("text")]
+    cut = docs.select(*(F.col(c).alias(n) for c, n in names.items()), *own, _letters("text").alias("letters"))
     shipped = docs.sparkSession.sparkContext.broadcast(model.scores)  # 2**BITS rows of MAX_LANGUAGES at most
     languages, bias, temperature, cut_off = model.languages, model.bias, model.temperature, model.cut_off
 
     def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shipped.value
-        for batch in words.slices(batches, "text", 1 << 20):
+        for batch in words.slices(batches, text, 1 << 20):
             rows = batch.num_rows
             lettered = np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), bool) & bool(languages)
             total, n = np.zeros((rows, len(languages))), np.zeros(rows)
             if languages:
-                parts, offsets = _grams(batch.column("text"))
+                parts, offsets = _grams(batch.column(text))
                 for bucket, same in parts:
                     ends = np.minimum(offsets, len(bucket))
                     n += words.sums_by_text(same, ends)

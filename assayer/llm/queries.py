@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import near_dedup, substring_dedup, top_k, warc
+from assayer.llm.brown import op10_brown
 from assayer.llm.decontaminate import op1_decontaminate
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_brown": op10_brown,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,22 +256,36 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), digest], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_runs(docs: DataFrame) -> DataFrame:
+def _with_runs(docs: DataFrame, *more) -> DataFrame:
     runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return cut.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "stops")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    return cut.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and text, the words that stay joined by one space."""
-    out = _with_runs(docs).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
-    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
+    """docs with all their columns; texts that lose words become the words that stay, joined by one space."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"kept_{i}" for i, c in enumerate(rest)}
+    joined = _with_runs(docs, *(F.col(c).alias(n) for c, n in names.items())).select("doc_id", "text", *names.values(), "starts", "stops")
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(iter([batch]), "text"):
+                out = next(_kept(iter([part])))
+                lost = out.column("n_removed").to_numpy() > 0
+                text = pc.if_else(pa.array(lost), out.column("kept"), part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, *(part.column(n) for n in names.values())], ["doc_id", "text", *names.values()])
+
+    types = dict(docs.dtypes)
+    out = joined.mapInArrow(replaced, ", ".join(["doc_id long", "text binary", *(f"{n} {types[c]}" for c, n in names.items())]))
+    back = {"doc_id": F.col("doc_id"), "text": F.col("text").cast("string").alias("text"), **{c: F.col(n).alias(c) for c, n in names.items()}}
+    return out.select(*(back[c] for c in docs.columns))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents, as digests."""
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _with_runs(docs).mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs).select("doc_id", "text", "starts", "stops").mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = r"""

@@ -25,9 +25,11 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,8 +39,8 @@ from assayer.llm import tables, words
 
 #: Tokens of a sequence, windows of a pack partition, the least deficit that is served, and the token that ends a document.
 LENGTH, WINDOWS, PIECE, END = 2048, 256, 64, 1
-#: Most chunks whose tokens a task remembers.
-REMEMBERED = 400_000
+# Fixed value: what the byte-level vocabulary splits texts by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEQUENCES = WINDOWS + 64
 
 
@@ -49,11 +51,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of whole texts.
-
-    The tokenizer's own pattern never joins what stands before a single space or
-    newline between visible characters with what follows, so a text is cut there
-    and each distinct piece is encoded once.
+    """Token ids of whole texts, those of the tokenizers library.
+
+    The vocabulary's pattern never joins what stands before a single space or a
+    newline between visible characters with what follows, nor letters with the
+    stop that ends them, so a text is cut there and each distinct piece of a
+    batch is encoded once.  Plain pieces go to tiktoken, with the same vocabulary,
+    as one text in which the same rule keeps them apart; others, and all pieces
+    of a vocabulary that isn't in merge order, to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -61,8 +66,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast, self.size = self._merged(path)
+
+    def _merged(self, path: str):
+        """A tiktoken encoding of the same vocabulary and each token's bytes; nothing where ranks don't follow from it."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model = held["model"]
+        if model.get("type") != "BPE" or held.get("normalizer") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or held["pre_tokenizer"].get("type") != "ByteLevel" or held["pre_tokenizer"].get("add_prefix_space"):
+            return None, None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}  # the byte alphabet's letters
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if any(model["vocab"][m] != 256 + i for i, m in enumerate(merges)):
+            return None, None
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            size[i] = len(token)
+        return tiktoken.Encoding("merged", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, how many each has, and where they begin."""
+        data, offsets = words.buffers(pieces)
+        n = np.zeros(len(pieces), np.int64)
+        spaced = np.zeros(len(pieces), bool)
+        plain = np.zeros(len(pieces), bool)
+        if self.fast is not None and len(data):
+            fine = _CLEAR[data]
+            first = data[offsets[:-1]]
+            spaced = (first == 0x20) & (np.diff(offsets) > 1)
+            fine[offsets[:-1][spaced]] = True
+            bad = np.append(0, np.cumsum(~fine))
+            plain = bad[offsets[1:]] == bad[offsets[:-1]]
+            for s in self.special:
+                if s in data.tobytes():
+                    plain &= ~np.asarray(pc.match_substring(pieces, s.decode()).to_numpy(zero_copy_only=False), bool)
+        parts, order = [], []
+        for own, between in ((plain & spaced, b""), (plain & ~spaced, b"\n")):
+            at = np.flatnonzero(own)
+            if len(at):
+                some = pieces.take(pa.array(at)).to_pylist()
+                ids = np.asarray(self.fast.encode_ordinary(between.join(some).decode("utf-8")), np.int64)
+                length = np.fromiter(map(len, some), np.int64, len(some)) + len(between)
+                stop = np.cumsum(length) - len(between)
+                edge = np.append(0, np.cumsum(self.size[ids]))
+                k0, k1 = np.searchsorted(edge, stop - length + len(between)), np.searchsorted(edge, stop)
+                n[at] = k1 - k0
+                parts.append(ids if not between else ids[np.repeat(k0 - (np.cumsum(k1 - k0) - (k1 - k0)), k1 - k0) + np.arange((k1 - k0).sum())])
+                order.append(at)
+        at = np.flatnonzero(~plain)
+        if len(at):
+            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in pieces.take(pa.array(at)).to_pylist()], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            n[at] = np.fromiter(map(len, ids), np.int64, len(ids))
+            parts.append(np.fromiter(chain.from_iterable(ids), np.int64))
+            order.append(at)
+        order = np.concatenate(order)
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(parts).astype(self.dtype), n, begin
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's offset in them."""
@@ -70,36 +141,19 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
         if len(data) > 2:
-            # a visible character, known by its last byte (and lead byte) before, and by its first byte after
-            plain = (data > 0x20) & (data < 0x7F)
-            tail = (data >= 0x80) & (data < 0xC0)
-            two, three = (data >= 0xC3) & (data < 0xE0), (data >= 0xE4) & (data < 0xEE)
-            before, after = plain.copy(), plain | two | three
-            before[1:] |= tail[1:] & two[:-1]
-            before[2:] |= tail[2:] & tail[1:-1] & three[:-2]
+            before, after = _known_end(data), _CLEAR[data] & ((data < 0x80) | (data >= 0xC0))
             gap = np.zeros(len(data), bool)
             gap[1:-1] = before[:-2] & after[2:]
             line = gap & (data == 0x0A)
             cut[:-1] |= gap & (data == 0x20) | line
             cut[1:] |= line
+            cut[1:-1] |= _STOP[data[1:]] & _letter_end(data)[:-1]
         edges = np.flatnonzero(cut)
         if len(edges) < 2:
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
-        chunks = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-        code = chunks.dictionary_encode()
-        distinct = code.dictionary.to_pylist()
-        known = self.known
-        new = [c for c in distinct if c not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = distinct
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.dtype)
-        ids = [known[c] for c in distinct]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begin = np.concatenate(ids), np.cumsum(size) - size
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        code = pieces.dictionary_encode()
+        flat, size, begin = self._pieces(code.dictionary)
         code = code.indices.to_numpy()
         n = size[code]
         total = np.zeros(len(n) + 1, np.int64)
@@ -108,12 +162,34 @@ class Encoder:
         return out, total[np.searchsorted(edges, offsets)]
 
 
+# Bytes of characters that are visible for certain: ASCII, and those with a lead byte of no white space.
+_CLEAR = words.byte_class((0x21, 0x7E), (0x80, 0xBF), (0xC3, 0xDF), (0xE4, 0xED))
+_STOP = words.byte_class((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B))
+
+
+def _known_end(data: np.ndarray) -> np.ndarray:
+    """Whether a byte ends a character that is visible for certain."""
+    tail = (data >= 0x80) & (data < 0xC0)
+    out = (data > 0x20) & (data < 0x7F)
+    out[1:] |= tail[1:] & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    out[2:] |= tail[2:] & tail[1:-1] & (data[:-2] >= 0xE4) & (data[:-2] < 0xEE)
+    return out
+
+
+def _letter_end(data: np.ndarray) -> np.ndarray:
+    """Whether a byte ends an ASCII letter, or an accented one of Latin-1."""
+    low = words.LOWER[data]
+    out = (low >= 0x61) & (low <= 0x7A)
+    out[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    return out
+
+
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, source, ids (bytes of unsigned integers, END last), n, and the document's place in its part's queue of its source: a written table."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(path), TaskContext.get().partitionId(), {}
-        for batch in words.slices(batches, "text", 2 << 20):
+        for batch in words.slices(batches, "text", 6 << 20):
             ids, offset = encoder(batch.column("text"))
             end = np.array([END], ids.dtype).tobytes()
             n = np.diff(offset) + 1
@@ -162,6 +238,8 @@ class Shares:
         return min(total, int(y0 + (y1 - y0) * (x - x0) / max(x1 - x0, 1e-300)))
 
     def holding(self, source: str, total: int, token: int) -> int:
+        if not self.curves:
+            return ((token + 1) * self.partitions - 1) // total
         low, high = 0, self.partitions - 1
         while low < high:
             mid = (low + high + 1) // 2
@@ -200,12 +278,12 @@ def round_robin(sizes: np.ndarray, length: int = LENGTH, piece: int = PIECE) ->
         for s in np.roll(np.arange(len(sizes)), -turn):
             if room and left[s] and deficit[s] >= min(piece, left[s]):
                 take = int(min(deficit[s], left[s], room))
-                taken.append((s, take))
+                taken.append((int(s), take))
                 left[s], deficit[s], room = left[s] - take, deficit[s] - take, room - take
         while room and left.any():  # those that are owed most lend
             s = int(np.where(left > 0, deficit, -np.inf).argmax())
             take = int(min(left[s], room, max(deficit[s], piece)))
-            taken.append((s, take))
+            taken.append((int(s), take))
             left[s], deficit[s], room = left[s] - take, deficit[s] - take, room - take
         windows.append(taken)
         turn = (turn + 1) % len(sizes)
@@ -218,12 +296,14 @@ def _packed(dtype: str):
         g = group.column("pack")[0].as_py()
         source = group.column("source").combine_chunks().dictionary_encode()
         code = (source.combine_chunks() if isinstance(source, pa.ChunkedArray) else source).indices.to_numpy()
-        ids = [np.frombuffer(x, dtype).astype("<u4") for x in group.column("ids").to_pylist()]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        held = group.column("ids").to_pylist()
+        size = (np.fromiter(map(len, held), np.int64, len(held)) // np.dtype(dtype).itemsize).tolist()
+        begin = np.concatenate([[0], np.cumsum(size)]).tolist()
+        ids = memoryview(np.frombuffer(b"".join(held), dtype).astype("<u4").tobytes())
         doc, start, tokens = (group.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens"))
         row = np.searchsorted(code, np.arange(code.max() + 1)).tolist()
         inside = [0] * len(row)
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[tuple] = []
         sequence = g * _SEQUENCES
         for taken in round_robin(np.bincount(code, size)):
             whole = sum(n for _, n in taken)
@@ -232,15 +312,16 @@ def _packed(dtype: str):
             for s, n in taken:
                 while n:
                     r, a = row[s], inside[s]
-                    m = int(min(n, size[r] - a, room[k] - offset))
-                    for column, value in zip(out, (doc[r], start[r] + a, m, zlib.crc32(ids[r][a : a + m].tobytes()), tokens[r], sequence, offset)):
-                        column.append(value)
+                    m = min(n, size[r] - a, room[k] - offset)
+                    at = 4 * (begin[r] + a)
+                    out.append((doc[r], start[r] + a, m, zlib.crc32(ids[at : at + 4 * m]), tokens[r], sequence, offset))
                     n, offset, inside[s] = n - m, offset + m, a + m
                     if inside[s] == size[r]:
                         row[s], inside[s] = r + 1, 0
                     if offset == room[k]:
                         offset, k, sequence = 0, k + 1, sequence + 1
-        return pa.table([pa.array(out[0], group.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        columns = list(zip(*out))
+        return pa.table([pa.array(columns[0], group.schema.field("doc_id").type), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return pack
 

@@ -51,7 +51,7 @@ def normalised(raw: Column) -> Column:
     named = F.transform(parts, lambda p: known[F.lower(p)])
     whole = known[F.lower(stated)]
     compound = (F.size(parts) > 1) & (F.size(kinds) == 1) & F.forall(named, lambda x: x.isNotNull()) & ~stated.contains("(") & ~stated.contains(")")
-    joined = F.array_join(named, F.concat(F.lit(" "), F.get(kinds, F.lit(0)), F.lit(" ")))
+    joined = F.when(F.get(kinds, F.lit(0)) == "AND", F.array_join(named, " AND ")).otherwise(F.array_join(named, " OR "))
     method = F.when(whole == stated, "spdx-identifier").when(whole.isNotNull(), "recognised-spelling").when(compound, "spdx-expression")
     return F.struct(F.coalesce(whole, F.when(compound, joined)).alias("expression"), method.alias("method"))
 

@@ -127,7 +127,7 @@ def usage_score(signals: list[tuple[Column, int]], cap: int = 100) -> Column:
     """1 to 100 from weighted signals; null if one is missing."""
     total = sum((F.lit(w) * s for s, w in signals), F.lit(0))
     most = cap * sum(w for _, w in signals)
-    return (F.lit(1) + F.floor(F.least(total, F.lit(most)) * (cap - 1) / most)).cast("int")
+    return F.when(total.isNotNull(), F.lit(1) + F.floor(F.least(total, F.lit(most)) * (cap - 1) / most)).cast("int")
 
 
 def share(n: Column, whole: Column) -> Column:

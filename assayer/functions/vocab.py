@@ -30,7 +30,7 @@ def rank(value: Column, order) -> Column:
 
 
 def ranked(place: Column, order) -> Column:
-    return F.element_at(strings(order), place.cast("int"))
+    return F.when(place.isNotNull(), F.get(strings(order), (place - 1).cast("int")))
 
 
 def worst(value: Column, order, empty: str = "unknown") -> Column:

@@ -145,11 +145,11 @@ def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, c
     return out.select("package_id", status.alias("readiness_status"), *[fix(s) for s in surfaces], F.when(~blind, F.col("s.fixed_version")).alias("fixed_version"), F.when(~blind, F.col("s.finding_id")).alias("vulnerability_finding_id"), blind.alias("evidence_stale"))
 
 
-def python_readiness(packages: DataFrame, assessments: DataFrame, verifications: DataFrame, cutoff, assessed_days: int = 14, verified_days: int = 30) -> DataFrame:
+def python_readiness(packages: DataFrame, assessments: DataFrame, verifications: DataFrame, cutoff, assessed_for: str = "14 DAYS", verified_for: str = "30 DAYS") -> DataFrame:
     """package_id, readiness, evidence_type, evidence_stale, assessment_id, verification_id; a fresh verification beats a fresh assessment."""
     one = lambda rows, name: asof.latest(rows, ["package_id"], cutoff).select("package_id", F.col("id").alias(f"{name}_id"), F.col("state").alias(f"{name}_state"), F.col("observed_at").alias(f"{name}_at"))
     out = packages.select("package_id").join(one(assessments, "assessment"), "package_id", "left").join(one(verifications, "verification"), "package_id", "left")
-    old_a, old_v = asof.stale(F.col("assessment_at"), cutoff, f"{assessed_days} DAYS"), asof.stale(F.col("verification_at"), cutoff, f"{verified_days} DAYS")
+    old_a, old_v = asof.stale(F.col("assessment_at"), cutoff, assessed_for), asof.stale(F.col("verification_at"), cutoff, verified_for)
     verified = F.when(F.col("verification_state") == "verified_compatible", "verified_ready").when(F.col("verification_state") == "verification_failed", "verified_not_ready")
     inferred = F.when(F.col("assessment_state") == "inferred_ready", "inferred_ready").when(F.col("assessment_state") == "inferred_not_ready", "inferred_not_ready")
     none = F.coalesce(F.col("assessment_state") == "not_applicable", F.lit(False)) | F.coalesce(F.col("verification_state") == "not_applicable", F.lit(False))

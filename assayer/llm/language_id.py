@@ -32,6 +32,8 @@ SAMPLE_ROWS = 1_500
 #: Most languages that are learned (those with most rows).
 MAX_LANGUAGES = 400
 BITS, SIZE, EPOCHS, RATE = 16, 16, 4, 0.5
+#: Least steps of gradient descent: a small sample is gone over more often.
+STEPS = 8_000
 #: Share of the calibration part that may fall under the cut-off.
 REJECTED = 0.002
 UNKNOWN = "und"
@@ -106,8 +108,9 @@ def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], count
     rest, learn = order[::5] if len(order) >= 50 else order, [x for k, x in enumerate(order) if k % 5] if len(order) >= 50 else order
     e = rng.normal(0, 0.1, (1 << BITS, SIZE)).astype(np.float32)
     w, b = np.zeros((SIZE, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, done = max(1, EPOCHS * len(learn)), 0
-    for _ in range(EPOCHS):
+    rounds = max(EPOCHS, -(-STEPS // max(len(learn), 1)))
+    steps, done = max(1, rounds * len(learn)), 0
+    for _ in range(rounds if learn else 0):
         for k in rng.permutation(len(learn)):
             i = learn[k]
             at, part = buckets[i], counts[i] / counts[i].sum()
@@ -134,8 +137,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs' `keep` columns with lang_pred, score (calibrated, of lang_pred) and rejected."""
+def _predicted(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """lang_pred, score and rejected beside docs' `keep` columns under names of their own, and what names these again."""
     types = dict(docs.dtypes)
     names = {c: f"kept_{i}" for i, c in enumerate(keep)}
     text = names.get("text", "text")
@@ -165,7 +168,19 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names.values()), named, pa.array(top), pa.array(~lettered | (top < cut_off))], [*names.values(), "lang_pred", "score", "rejected"])
 
     out = cut.mapInArrow(predictions, ", ".join(f"{n} {types[c]}" for c, n in names.items()) + ", lang_pred string, score double, rejected boolean")
-    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "lang_pred", "score", "rejected")
+    return out, [F.col(n).alias(c) for c, n in names.items()]
+
+
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs' `keep` columns with lang_pred, score (calibrated, of lang_pred) and rejected."""
+    out, kept = _predicted(docs, model, keep)
+    return out.select(*kept, "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns and no others."""
+    out, kept = _predicted(docs, model, tuple(docs.columns))
+    return out.where(~F.col("rejected")).select(*kept)
 
 
 def model_of(docs: DataFrame) -> Model:

@@ -16,8 +16,7 @@ from assayer.llm import decontaminate, language_id, near_dedup, packing, substri
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
-    out = language_id.predict(docs, language_id.model_of(docs), tuple(docs.columns))
-    return out.where(~F.col("rejected")).select(*docs.columns)
+    return language_id.accepted(docs, language_id.model_of(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

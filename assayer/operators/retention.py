@@ -15,7 +15,7 @@ def purgeable_runs(runs: DataFrame, health: DataFrame, cutoff) -> DataFrame:
     return runs.where(old).join(health.select(F.col("policy_run_id").alias("run_id")).distinct(), "run_id", "left_anti")
 
 
-def removable(evidence: DataFrame, keys: Sequence[str], surviving: DataFrame, cutoff, cutoffs_held: int = 100_000) -> DataFrame:
+def removable(evidence: DataFrame, keys: Sequence[str], surviving: DataFrame, cutoff) -> DataFrame:
     """Rows older than the cut-off, with a newer instant of their key, that no surviving run reads.
 
     A run reads the instant t if its own cut-off is in [t, the next instant).
@@ -28,8 +28,6 @@ def removable(evidence: DataFrame, keys: Sequence[str], surviving: DataFrame, cu
     following = F.lead("observed_at").over(W.partitionBy(*keys).orderBy("observed_at"))
     spans = instants.withColumn("next", following).where(F.col("next").isNotNull() & (F.col("observed_at") < F.lit(cutoff)))
     cuts = surviving.select(F.col("evidence_cutoff").alias("c")).where(F.col("c").isNotNull()).distinct()
-    # The last surviving cut-off before `next`: a sweep over both in time order for each key would copy all
-    # cut-offs to all keys, so each day's newest and oldest cut-offs are looked up instead.
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
     by_day = cuts.groupBy(day(F.col("c")).alias("day")).agg(F.sort_array(F.collect_list("c")).alias("cs"))  # cut-offs of one day
     first, last = day(F.col("observed_at")), day(F.col("next"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from assayer import adapters
-from assayer.queries import evidence, surface, upkeep  # noqa: F401
+from assayer.queries import evidence, runs, surface, upkeep  # noqa: F401
 
 
 @pytest.fixture(scope="module")

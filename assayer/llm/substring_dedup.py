@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 
-WINDOW, MINIMISER = 13, 3
+WINDOW, MINIMISER = 13, 2
 #: Most windows in a packed string; longer runs of a minimiser go as several.
 LONGEST = 48
 #: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
@@ -92,7 +92,7 @@ def _joined(w: words.Words) -> tuple[bytes, np.ndarray]:
 def _pack(docs: np.ndarray, first: np.ndarray, more: np.ndarray, texts: bytes) -> bytes:
     """Columns of a block, compressed; the documents as differences."""
     plain = np.diff(docs.astype(np.int64), prepend=0).tobytes() + first.astype(np.int32).tobytes() + more.astype(np.int32).tobytes() + texts
-    return pa.Codec("zstd", 3).compress(plain, asbytes=True)
+    return pa.Codec("zstd", 6).compress(plain, asbytes=True)
 
 
 def _unpack(rows: int, size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -231,8 +231,25 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return cut.mapInArrow(_send(buckets), _BLOCK).groupBy("bucket").applyInArrow(_answer, _RUNS)
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with texts compressed, for the shuffle."""
+    codec = pa.Codec("zstd", 3)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        packed = [None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(packed, pa.binary()))
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in words.slices(batches, "text", words.SLICE_BYTES // 4):
+        at = batch.schema.get_field_index("text")
+        texts = [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in batch.column(at).to_pylist()]
+        yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in words.slices(batches, "text"):
+    for batch in batches:
         texts = batch.column("text").to_pylist()
         total, gone, left = [], [], []
         for text, starts, stops in zip(texts, batch.column("starts"), batch.column("stops")):
@@ -251,7 +268,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _kept(batches):
+    for batch in _kept(_unzipped(batches)):
         digest = pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), digest], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -259,6 +276,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_runs(docs: DataFrame, *more) -> DataFrame:
     runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+    cut = cut.mapInArrow(_zipped, ", ".join(f"{c} {t}" for c, t in cut.dtypes))
     return cut.join(runs.hint("shuffle_hash"), "doc_id", "left")
 
 
@@ -269,12 +287,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = _with_runs(docs, *(F.col(c).alias(n) for c, n in names.items())).select("doc_id", "text", *names.values(), "starts", "stops")
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(iter([batch]), "text"):
-                out = next(_kept(iter([part])))
-                lost = out.column("n_removed").to_numpy() > 0
-                text = pc.if_else(pa.array(lost), out.column("kept"), part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, *(part.column(n) for n in names.values())], ["doc_id", "text", *names.values()])
+        for part in _unzipped(batches):
+            out = next(_kept(iter([part])))
+            lost = out.column("n_removed").to_numpy() > 0
+            text = pc.if_else(pa.array(lost), out.column("kept"), part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, *(part.column(n) for n in names.values())], ["doc_id", "text", *names.values()])
 
     types = dict(docs.dtypes)
     out = joined.mapInArrow(replaced, ", ".join(["doc_id long", "text binary", *(f"{n} {types[c]}" for c, n in names.items())]))

@@ -37,6 +37,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that go when the block that made them ends; what it returns must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            held.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def held_out(doc_id: str, folds: int, fold: int):
     """True for rows of the fold: crc32 of the id as text, modulo the number of folds."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))

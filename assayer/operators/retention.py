@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -59,3 +59,21 @@ def figures(evidence: DataFrame, gone: DataFrame, cutoff) -> DataFrame:
     """One row: how many rows are older than the cut-off, go, and are protected."""
     old = evidence.where(F.col("observed_at") < F.lit(cutoff)).agg(F.count("*").alias("older"))
     return old.crossJoin(gone.agg(F.count("*").alias("deleted"))).withColumn("protected", F.col("older") - F.col("deleted"))  # one row each
+
+
+def plan(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], citing: Mapping[str, Sequence[DataFrame]], runs: DataFrame, health: DataFrame, ledger: DataFrame, cutoff) -> dict[str, DataFrame]:
+    """What a purge deletes, in the order that it must: derived rows' runs, then evidence tables as given, then the ledger.
+
+    A table's citing tables name rows by cited_id with the citing run's run_id
+    (derived rows) or their own id (evidence of an earlier table): a citation
+    counts while what makes it stays.
+    """
+    gone_runs = purgeable_runs(runs, health, cutoff)
+    surviving = runs.join(gone_runs.select("run_id"), "run_id", "left_anti")
+    out = {"runs": gone_runs}
+    for name, rows in tables.items():
+        free = removable(rows, keys[name], surviving, cutoff)
+        holders = [c.join(surviving.select("run_id"), "run_id", "left_semi") if "run_id" in c.columns else c for c in citing.get(name, ())]
+        out[name] = uncited(free, holders)
+    out["ledger"] = ledger.where(F.col("finished_at") < F.lit(cutoff))
+    return out

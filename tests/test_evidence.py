@@ -270,3 +270,15 @@ def test_digest_window_continues_for_two_days():
     assert digest.window_start(at(50), at(2)) == at(2)
     assert digest.window_start(at(51), at(2)) == at(27)
     assert digest.window_start(at(51), None) == at(27)
+
+
+def test_a_purge_plan_keeps_what_a_surviving_run_cites(spark):
+    runs = spark.createDataFrame([(1, at(0), at(1)), (2, at(0), at(1)), (3, at(50), None)], "run_id long, started_at timestamp, finished_at timestamp").withColumn("evidence_cutoff", F.col("started_at"))
+    health = spark.createDataFrame([(7, 2)], "package_id long, policy_run_id long")
+    rows = spark.createDataFrame([(i, 7, at(i)) for i in range(1, 6)], "id long, package_id long, observed_at timestamp")
+    cited = spark.createDataFrame([(1, 1), (2, 2)], "run_id long, cited_id long")
+    ledger = spark.createDataFrame([(at(1),), (at(40),), (None,)], "finished_at timestamp")
+    plan = retention.plan({"e": rows}, {"e": ["package_id"]}, {"e": [cited]}, runs, health, ledger, at(30))
+    assert {r.run_id for r in plan["runs"].collect()} == {1}
+    assert {r.id for r in plan["e"].collect()} == {1, 3, 4}
+    assert plan["ledger"].count() == 1

@@ -95,8 +95,8 @@ def train(examples: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     chosen = known.where(unit < share[F.col("lang")]).select(F.col("text").cast("binary").alias("text"), "lang")
-    got = chosen.mapInArrow(_features, "lang string, buckets binary, counts binary").toPandas()
-    return fit([r["lang"] for r in found], got["lang"].to_list(), [np.frombuffer(x, np.int32) for x in got["buckets"]], [np.frombuffer(x, np.float32) for x in got["counts"]])
+    got = chosen.mapInArrow(_features, "lang string, buckets binary, counts binary").toArrow()
+    return fit([r["lang"] for r in found], got.column("lang").to_pylist(), *([np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in (("buckets", np.int32), ("counts", np.float32))))
 
 
 def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], counts: list[np.ndarray]) -> Model:

@@ -73,8 +73,8 @@ def train(examples: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) ->
     labelled = examples.where(F.col("label").isin(0, 1))
     parts = [tables.sampled(labelled.where(F.col("label") == v), "doc_id", rows) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
-    got = chosen.mapInArrow(_features, "label int, features binary").toPandas()
-    return fit(got["label"].to_numpy(), [np.frombuffer(x, np.int32) for x in got["features"]], epochs)
+    got = chosen.mapInArrow(_features, "label int, features binary").toArrow()
+    return fit(got.column("label").to_numpy(), [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("features")], epochs)
 
 
 def fit(labels: np.ndarray, features: list[np.ndarray], epochs: int = EPOCHS) -> Model:

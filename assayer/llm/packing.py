@@ -41,7 +41,7 @@ from assayer.llm import tables, words
 LENGTH, WINDOWS, PIECE, END = 2048, 256, 64, 1
 # Fixed value: what the byte-level vocabulary splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SEQUENCES = WINDOWS + 64
+_SEQUENCES = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -275,8 +275,9 @@ def round_robin(sizes: np.ndarray, length: int = LENGTH, piece: int = PIECE) ->
     while left.any():
         deficit += share
         room, taken = length, []
-        for s in np.roll(np.arange(len(sizes)), -turn):
-            if room and left[s] and deficit[s] >= min(piece, left[s]):
+        ready = np.flatnonzero((left > 0) & (deficit >= np.minimum(piece, left)))
+        for s in np.roll(ready, -int(np.searchsorted(ready, turn))):
+            if room:
                 take = int(min(deficit[s], left[s], room))
                 taken.append((int(s), take))
                 left[s], deficit[s], room = left[s] - take, deficit[s] - take, room - take

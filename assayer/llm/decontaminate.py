@@ -41,6 +41,8 @@ PERCENT, MIN_WORDS, BLOCK_WORDS = 80, 8, 1 << 20
 WALKS, SAMPLES, PLACES = 4, 8, 3
 #: A class's longest item over its shortest.
 SPREAD = 1.25
+#: Kinds of words that a walk tells apart when it moves, and cells of an alignment that is worked on at once.
+KINDS, CELLS = 256, 1 << 20
 _START = 1 << 24
 
 
@@ -68,7 +70,7 @@ class Items:
             own = [i for i in order if len(self.words[i]) <= least * SPREAD]
             order = order[len(own) :]
             steps = max(int(1.6 * least), PLACES)
-            moves = rng.integers(0, 2, (WALKS, steps, 4096), dtype=np.int8)
+            moves = rng.integers(0, 2, (WALKS, steps, KINDS), dtype=np.int8)
             places = [[np.sort(rng.choice(steps, PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
             longest = len(self.words[own[-1]])
             flat = np.concatenate([np.append(self.words[i], np.uint64(0)) for i in own])
@@ -89,7 +91,7 @@ class Items:
 def embedded(h: np.ndarray, begin: np.ndarray, stop: np.ndarray, moves: np.ndarray, places: list) -> list[np.ndarray]:
     """For each walk and sample a key of each text h[begin:stop]: hashes of the words noted at the sampled places (0 past the end)."""
     out = []
-    kind = (h & np.uint64(4095)).astype(np.int64)
+    kind = (h & np.uint64(KINDS - 1)).astype(np.int64)
     with np.errstate(over="ignore"):
         for walk, samples in enumerate(places):
             at, keys = begin.copy(), [np.full(len(begin), walk * SAMPLES + i + 1, np.uint64) for i in range(len(samples))]
@@ -153,8 +155,9 @@ def _leaks(shipped, keep: str):
                 n, k = len(word), distance_allowed(len(word))
                 every = start[item == i]
                 of = np.searchsorted(w.first, every, "right") - 1
-                for c in range(0, len(every), 4096):
-                    at, doc = every[c : c + 4096], of[c : c + 4096]
+                step = max(1, CELLS // (n + 2 * k))
+                for c in range(0, len(every), step):
+                    at, doc = every[c : c + step], of[c : c + step]
                     place = at[:, None] + np.arange(-k, n + k)[None, :]
                     out = (place < w.first[doc][:, None]) | (place >= w.first[doc + 1][:, None])
                     texts = np.where(out, np.uint64(1), h[np.clip(place, 0, len(h) - 1)])

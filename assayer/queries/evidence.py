@@ -53,11 +53,11 @@ def lattice_worst_outcome(t: Tables):
 _CURRENCY = "CASE id % 7 WHEN 0 THEN 'behind' WHEN 1 THEN 'not_applicable' WHEN 2 THEN 'not_found' ELSE 'current' END"
 
 
-@query("lattice_currency", f"""WITH {EV}, v AS (SELECT package_id, surface, {_CURRENCY} AS v FROM ev WHERE id % 3 = 0)
+@query("lattice_currency", f"""WITH {EV}, v AS (SELECT package_id, surface, {_CURRENCY} AS v FROM ev)
 SELECT package_id, surface, CASE WHEN count(v) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE v <> 'not_applicable') = 0 THEN 'not_applicable'
  ELSE {_arr(vocab.CURRENCY)}[min(list_position({_arr(vocab.CURRENCY)}, v)) FILTER (WHERE v <> 'not_applicable')] END AS worst FROM v GROUP BY package_id, surface""")
 def lattice_currency(t: Tables):
-    rows = t.evidence().where(F.col("id") % 3 == 0).withColumn("v", F.expr(_CURRENCY))
+    rows = t.evidence().withColumn("v", F.expr(_CURRENCY))
     return rows.groupBy("package_id", "surface").agg(vocab.worst_currency(F.col("v")).alias("worst"))
 
 
@@ -140,8 +140,8 @@ def _advisories(t: Tables):
 
 
 def _kev(t: Tables):
-    """Cross-references of two thirds of the findings, and some about the package alone."""
-    rows = t.findings().where(F.col("id") % 3 != 0)
+    """Cross-references of findings whose severity is known, some of them about the package alone."""
+    rows = t.findings().where(F.col("severity") != "odd")
     state = F.when(F.col("id") % 4 == 0, "listed").when(F.col("id") % 4 == 1, "not_listed").otherwise("unknown")
     return rows.select("package_id", (F.col("id") + 1_000_000_000).alias("id"), "observed_at", state.alias("state"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("finding_id"))
 
@@ -159,7 +159,7 @@ v AS (SELECT *, list_position({_arr(vocab.VULNERABILITY)}, CASE WHEN state = 'ma
   list_position({_arr(passes.RISK_ORDER)}, lower(trim(severity))) AS sev FROM sw),
 st AS (SELECT package_id, min(p) AS p, min(sev) FILTER (WHERE sev > 0 AND state = 'matched') AS sev FROM v GROUP BY 1),
 sup AS (SELECT v.package_id, min(id) AS fid FROM v JOIN st ON v.package_id = st.package_id AND v.p = st.p GROUP BY 1),
-k AS (SELECT package_id, id + 1000000000 AS id, observed_at, CASE id % 4 WHEN 0 THEN 'listed' WHEN 1 THEN 'not_listed' ELSE 'not_established' END AS a, CASE WHEN id % 7 <> 0 THEN id END AS fid FROM find WHERE id % 3 <> 0 AND observed_at <= TIMESTAMP '{_AT}'),
+k AS (SELECT package_id, id + 1000000000 AS id, observed_at, CASE id % 4 WHEN 0 THEN 'listed' WHEN 1 THEN 'not_listed' ELSE 'not_established' END AS a, CASE WHEN id % 7 <> 0 THEN id END AS fid FROM find WHERE severity <> 'odd' AND observed_at <= TIMESTAMP '{_AT}'),
 ks AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM k) WHERE r = 1),
 about AS (SELECT ks.* FROM ks LEFT JOIN sw ON sw.package_id = ks.package_id AND sw.id = ks.fid WHERE ks.fid IS NULL OR sw.id IS NOT NULL),
 loose AS (SELECT package_id FROM sw WHERE state = 'matched' AND NOT EXISTS (SELECT 1 FROM about WHERE about.package_id = sw.package_id AND about.fid = sw.id)),
@@ -217,7 +217,7 @@ _STATED = "SELECT DISTINCT package_id, surface, version FROM (SELECT *, rank() O
 
 @query("remediation_pass", f"""WITH {EVC}, evp AS (SELECT * FROM evc), f AS (SELECT l_partkey % 150 AS package_id, l_orderkey * 10 + l_linenumber AS id,
   TIMESTAMP '2024-01-19 12:00:00' - INTERVAL 1 DAY * CAST(l_partkey % 4 AS INTEGER) AS observed_at, CASE l_returnflag WHEN 'A' THEN 'matched' WHEN 'N' THEN 'unknown' ELSE 'not_found' END AS state,
-  CASE WHEN l_linenumber = 7 THEN '>=2' ELSE CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS VARCHAR) END AS fixed FROM lineitem WHERE l_orderkey % 10 = 0),
+  CASE WHEN l_linenumber = 7 THEN '>=2' ELSE CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS VARCHAR) END AS fixed FROM lineitem),
 sw AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM f) WHERE r = 1),
 c AS (SELECT package_id, bool_or(observed_at < TIMESTAMP '{CUTOFF}' - INTERVAL 2 DAY) AS stale, count(*) FILTER (WHERE state = 'matched') AS matched, count(*) FILTER (WHERE state <> 'matched' AND id % 2 <> 0) AS open FROM sw GROUP BY 1),
 st AS ({_STATED}),
@@ -231,8 +231,7 @@ SELECT pk.package_id, CASE WHEN c.matched IS NULL OR c.stale THEN 'unknown' WHEN
   CASE WHEN NOT coalesce(c.stale, false) THEN b.fixed END AS fixed_version, CASE WHEN NOT coalesce(c.stale, false) THEN b.id END AS vulnerability_finding_id, coalesce(c.stale, false) AS evidence_stale
 FROM (SELECT DISTINCT package_id FROM ev) pk LEFT JOIN c ON c.package_id = pk.package_id LEFT JOIN b ON b.package_id = pk.package_id""")
 def remediation_pass(t: Tables):
-    rows = t.lineitem.where(F.col("l_orderkey") % 10 == 0)
-    findings = rows.select(
+    findings = t.lineitem.select(
         (F.col("l_partkey") % 150).alias("package_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         (F.lit("2024-01-19 12:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY") * (F.col("l_partkey") % 4).cast("int")).alias("observed_at"),
@@ -319,9 +318,9 @@ def rollup_compose(t: Tables):
     return _rolled(t)
 
 
-@query("rollup_upsert", f"WITH {EVC}, {PKG}, {_ROLL} SELECT package_id, CASE WHEN package_id % 2 = 0 THEN currency_status ELSE 'unknown' END AS currency_status, CASE WHEN package_id % 2 = 0 THEN 7 ELSE 6 END AS policy_run_id FROM roll")
+@query("rollup_upsert", f"WITH {EVC}, {PKG}, {_ROLL} SELECT package_id, CASE WHEN confidence = 'verified' THEN currency_status ELSE 'unknown' END AS currency_status, CASE WHEN confidence = 'verified' THEN 7 ELSE 6 END AS policy_run_id FROM roll")
 def rollup_upsert(t: Tables):
-    new = _rolled(t).select("package_id", "currency_status", "policy_run_id").where(F.col("package_id") % 2 == 0)
+    new = _rolled(t).where(F.col("confidence") == "verified").select("package_id", "currency_status", "policy_run_id")
     old = t.packages().select("package_id", F.lit("unknown").alias("currency_status"), F.lit(6).alias("policy_run_id"))
     return rollup.upsert(old, new)
 

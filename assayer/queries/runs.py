@@ -88,14 +88,14 @@ def conditional_cache(t: Tables):
     return collection.replayed(answers, bodies, t.cutoff).select("id", "body")
 
 
-@query("pending_recollection", f"""WITH {EVC}, r AS (SELECT id AS request_id, package_id, observed_at AS asked, unnest(['c0', 'c1', 'c2', 'c3']) AS c FROM evc WHERE id % 40 = 0 AND observed_at >= TIMESTAMP '{CUTOFF}' - INTERVAL 72 HOUR),
+@query("pending_recollection", f"""WITH {EVC}, r AS (SELECT id AS request_id, package_id, observed_at AS asked, unnest(['c0', 'c1', 'c2', 'c3']) AS c FROM evc WHERE state = 'error' AND observed_at >= TIMESTAMP '{CUTOFF}' - INTERVAL 72 HOUR),
 d AS (SELECT package_id, 'c' || surface AS c, max(observed_at) AS done FROM evc WHERE state <> 'unknown' GROUP BY 1, 2),
 o AS (SELECT r.* FROM r LEFT JOIN d ON d.package_id = r.package_id AND d.c = r.c WHERE d.done IS NULL OR d.done < r.asked),
 w AS (SELECT package_id, request_id, asked, string_agg(c, ',' ORDER BY c) AS waiting FROM o GROUP BY 1, 2, 3)
 SELECT package_id, request_id, waiting FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY asked DESC, request_id DESC) AS rn FROM w) WHERE rn = 1""")
 def pending_recollection(t: Tables):
     rows = t.evidence().where(F.col("observed_at") <= t.cutoff)
-    requests = rows.where(F.col("id") % 40 == 0).select(F.col("id").alias("request_id"), "package_id", F.col("observed_at").alias("requested_at"), vocab.strings(("c0", "c1", "c2", "c3")).alias("collectors"))
+    requests = rows.where(F.col("state") == "error").select(F.col("id").alias("request_id"), "package_id", F.col("observed_at").alias("requested_at"), vocab.strings(("c0", "c1", "c2", "c3")).alias("collectors"))
     return collection.pending(requests, ledger(t).where(F.col("started_at") <= t.cutoff), t.cutoff, 72)
 
 
@@ -106,10 +106,10 @@ def identity_resolution(t: Tables):
     return collection.resolved(rows)
 
 
-@query("identity_override", "SELECT c_custkey AS package_id, CASE WHEN c_custkey % 10 = 0 THEN 'set' ELSE c_name END AS canonical_name, c_mktsegment AS segment FROM customer")
+@query("identity_override", "SELECT c_custkey AS package_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'set' ELSE c_name END AS canonical_name, c_mktsegment AS segment FROM customer")
 def identity_override(t: Tables):
     packages = t.customer.select(F.col("c_custkey").alias("package_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("segment"))
-    overrides = packages.where(F.col("package_id") % 10 == 0).select("package_id", F.lit(1).alias("actor"), F.lit("r").alias("reason"), F.lit("set").alias("canonical_name"), F.lit(None).cast("string").alias("segment"))
+    overrides = packages.where(F.col("segment") == "BUILDING").select("package_id", F.lit(1).alias("actor"), F.lit("r").alias("reason"), F.lit("set").alias("canonical_name"), F.lit(None).cast("string").alias("segment"))
     return collection.overridden(packages, overrides, ["canonical_name", "segment"])[0]
 
 

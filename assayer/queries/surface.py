@@ -163,7 +163,7 @@ k AS (SELECT package_id, 'packages' AS tb, 'identity_review' AS queue, confidenc
  UNION ALL SELECT package_id, 'package_vulnerability', 'remediation', vuln, e FROM v WHERE confidence <> 'unmapped' AND vuln = 'advisories_matched'
  UNION ALL SELECT package_id, 'package_license', 'compliance_review', lic, e FROM v WHERE confidence <> 'unmapped' AND lic IN ('manual_review', 'restricted', 'forbidden')),
 f AS (SELECT package_id, queue, e, CASE WHEN e LIKE '%.%' THEN rtrim(rtrim(e, '0'), '.') ELSE e END AS ee, tb, val FROM k)
-SELECT tb || ':' || package_id || ':' || substr(sha256('7:verdict=' || length(val) || ':' || val || '5:epoch=' || length(ee) || ':' || ee), 1, 16) AS finding_key, package_id, queue FROM f WHERE package_id % 10 <> 0"""
+SELECT tb || ':' || package_id || ':' || substr(sha256('7:verdict=' || length(val) || ':' || val || '5:epoch=' || length(ee) || ':' || ee), 1, 16) AS finding_key, package_id, queue FROM f JOIN pkg USING (package_id) WHERE confidence <> 'verified'"""
 
 
 @query("open_items", _OPEN)
@@ -172,7 +172,7 @@ def open_items(t: Tables):
     rows = t.packages().join(presence.presence(inventory(t), t.cutoff), "package_id", "left").select(
         "package_id", "confidence", F.when(p % 3 == 0, "advisories_matched").otherwise("unknown").alias("vulnerability_status"), F.when(p % 4 == 0, "forbidden").when(p % 4 == 1, "manual_review").otherwise("allowed").alias("license_outcome"), "absent_since", "listed_since"
     )
-    existing = workflow.to_open(rows.where(p % 10 == 0), t.spark.createDataFrame([], "finding_key string"))
+    existing = workflow.to_open(rows.where(F.col("confidence") == "verified"), t.spark.createDataFrame([], "finding_key string"))
     return workflow.to_open(rows, existing)
 
 

@@ -16,11 +16,11 @@ from assayer.sources import documents, files
 from assayer.streaming import ingest
 from assayer.streaming.folders import scratch
 
-_RUNS = "runs AS (SELECT o_orderkey AS run_id, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 1 DAY END AS finished_at FROM orders WHERE o_orderkey % 5 = 0)"
+_RUNS = "runs AS (SELECT o_orderkey AS run_id, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 1 DAY END AS finished_at FROM orders)"
 
 
 def _runs(t: Tables):
-    return t.orders.where(F.col("o_orderkey") % 5 == 0).select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("finished_at"))
+    return t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("finished_at"))
 
 
 @query("purgeable_runs", f"WITH {_RUNS} SELECT run_id FROM runs WHERE coalesce(finished_at, started_at) < TIMESTAMP '1998-01-01' AND run_id NOT IN (SELECT c_custkey * 10 FROM customer)")
@@ -29,14 +29,14 @@ def purgeable_runs(t: Tables):
     return retention.purgeable_runs(_runs(t), shown, F.lit("1998-01-01").cast("timestamp_ntz")).select("run_id")
 
 
-_CUTS = "cuts AS (SELECT o_orderdate + INTERVAL 5 HOUR AS c FROM orders WHERE o_orderkey % 600 = 0)"
+_CUTS = "cuts AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) + INTERVAL 41 HOUR AS c FROM orders)"
 _FREE = f"""WITH {FIND}, {_CUTS}, i AS (SELECT package_id, t, lead(t) OVER (PARTITION BY package_id ORDER BY t) AS nxt FROM (SELECT DISTINCT package_id, observed_at AS t FROM find)),
 free AS (SELECT package_id, t FROM i WHERE nxt IS NOT NULL AND t < TIMESTAMP '2000-01-01' AND NOT EXISTS (SELECT 1 FROM cuts WHERE c >= t AND c < nxt)),
 gone AS (SELECT find.* FROM find JOIN free ON free.package_id = find.package_id AND free.t = find.observed_at)"""
 
 
 def _gone(t: Tables):
-    cuts = t.orders.where(F.col("o_orderkey") % 600 == 0).select((F.col("o_orderdate") + F.expr("INTERVAL 5 HOURS")).alias("evidence_cutoff"))
+    cuts = t.orders.select((F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 41 HOURS")).alias("evidence_cutoff")).distinct()
     return retention.removable(t.findings(), ["package_id"], cuts, F.lit("2000-01-01").cast("timestamp_ntz"))
 
 

@@ -32,7 +32,7 @@ WINDOW, MINIMISER = 13, 2
 #: Most windows in a packed string; longer runs of a minimiser go as several.
 LONGEST = 48
 #: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
-BUCKET_BYTES, HELD_BYTES = 4 << 20, 24 << 20
+BUCKET_BYTES, HELD_BYTES = 3 << 20, 16 << 20
 
 _BLOCK = "bucket int, found boolean, rows int, bytes int, packed binary"
 _RUNS = "doc_id long, start int, stop int"
@@ -147,7 +147,7 @@ class _Outbox:
 def _send(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box = _Outbox(buckets)
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", 1 << 20):
             w = words.split(batch.column("text"))
             start, count, key = super_kmers(w)
             if len(start):

@@ -78,7 +78,9 @@ class Items:
             stop = begin + [len(self.words[i]) for i in own]
             keys = embedded(flat, begin, stop, moves, places)
             index = [(k[o := np.argsort(k, kind="stable")], np.array(own)[o]) for k in keys]
-            self.classes.append((least, longest, moves, places, index))
+            maybe = np.zeros(1 << 18, bool)
+            maybe[(np.concatenate(keys) >> np.uint64(46)).astype(np.int64)] = True
+            self.classes.append((least, longest, moves, places, index, maybe))
 
     def contains(self, h: np.ndarray) -> np.ndarray:
         out = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
@@ -91,18 +93,20 @@ class Items:
 def embedded(h: np.ndarray, begin: np.ndarray, stop: np.ndarray, moves: np.ndarray, places: list) -> list[np.ndarray]:
     """For each walk and sample a key of each text h[begin:stop]: hashes of the words noted at the sampled places (0 past the end)."""
     out = []
-    kind = (h & np.uint64(KINDS - 1)).astype(np.int64)
+    steps = moves.shape[1]
+    padded = np.concatenate([h, np.zeros(steps + 1, np.uint64)])  # a walk that has left its text notes nothing more
+    kind = (padded & np.uint64(KINDS - 1)).astype(np.uint8)
     with np.errstate(over="ignore"):
         for walk, samples in enumerate(places):
-            at, keys = begin.copy(), [np.full(len(begin), walk * SAMPLES + i + 1, np.uint64) for i in range(len(samples))]
-            last = max(s[-1] for s in samples)
-            for j in range(last + 1):
-                over = at >= stop
-                word = np.where(over, np.uint64(0), h[np.minimum(at, len(h) - 1)])
-                for i, s in enumerate(samples):
-                    if j in s:
-                        keys[i] = words.mixed(keys[i] * np.uint64(0x9E3779B97F4A7C15) + word)
-                at = at + np.where(over, 0, moves[walk, j][kind[np.minimum(at, len(h) - 1)]])
+            at, keys = begin.astype(np.int64), [np.full(len(begin), walk * SAMPLES + i + 1, np.uint64) for i in range(len(samples))]
+            noted = {int(j) for s in samples for j in s}
+            for j in range(max(noted) + 1):
+                if j in noted:
+                    word = np.where(at < stop, padded[at], np.uint64(0))
+                    for i, s in enumerate(samples):
+                        if j in s:
+                            keys[i] = words.mixed(keys[i] * np.uint64(0x9E3779B97F4A7C15) + word)
+                at += moves[walk, j][kind[at]]
             out += keys
     return out
 
@@ -112,17 +116,17 @@ def _candidates(h: np.ndarray, w: words.Words, items: Items) -> tuple[np.ndarray
     inside = np.append(0, np.cumsum(items.contains(h)))
     end = np.repeat(w.first[1:], w.counts)
     found = [np.zeros((0, 2), np.int64)]
-    for least, longest, moves, places, index in items.classes:
+    for least, longest, moves, places, index, maybe in items.classes:
         stop = np.minimum(np.arange(len(h)) + least, end)
         start = np.flatnonzero(inside[stop] - inside[:-1] >= least - distance_allowed(longest))
         if not len(start):
             continue
         for key, (known, item) in zip(embedded(h, start, end[start], moves, places), index):
-            a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-            hit = np.flatnonzero(b > a)
-            n = b[hit] - a[hit]
-            k = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(start[hit], n), item[k]], axis=1))
+            at = np.flatnonzero(maybe[(key >> np.uint64(46)).astype(np.int64)])
+            a, b = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
+            n = b - a
+            k = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.stack([np.repeat(start[at], n), item[k]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1]
 

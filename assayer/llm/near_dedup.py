@@ -6,15 +6,18 @@
 3. Each tree orders the classes by its own minima.  Classes that share a prefix of
    `LEVELS[0]` minima are a region of that tree.  Regions of more than `REGION`
    classes go deeper, each part with the region's first class, to the last level;
-   what is still larger is dealt evenly, again with its first class.
+   what is still larger is dealt evenly, again with its first class.  That is a
+   first pass: afterwards each class of such a region that is not in the region's
+   largest tied part meets every other class of the region, block against block.
 4. In a region the signatures' agreement gives a spanning forest of what may be
    linked: sets of which one is too small for the other, or that agree too little
    (far under the threshold, by more than chance allows), are left out.
 5. Components of all forests are neighbourhoods.  Each brings its members' full
    sets together, and there links are decided exactly until every member is in
    the largest group or was compared with every other.  A neighbourhood of too
-   many shingles is split along its forest, with both ends of every tree edge in
-   a part.
+   many shingles is first split along its forest, with both ends of every tree
+   edge in a part; then members outside its largest confirmed group meet every
+   other member, block against block.
 6. Components of confirmed links are the groups.
 
 Defined results: null texts and texts without words have an empty set, and are
@@ -101,8 +104,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(x) for x in levels)], ["doc_id", *(f"k{i}" for i in range(len(LEVELS)))])
 
 
-def _regions(reps: DataFrame, scratch: tables.Scratch) -> DataFrame:
-    """region, doc_id: classes of each tree's regions of at least two."""
+def _regions(reps: DataFrame, scratch: tables.Scratch) -> tuple[DataFrame, DataFrame]:
+    """region, doc_id: classes of each tree's regions of at least two, large ones taken apart; and set, doc_id: the whole large ones."""
     names = [f"k{i}" for i in range(len(LEVELS))]
     rows = reps.select("doc_id", "signature").mapInArrow(_keys, "doc_id long, " + ", ".join(f"{k} long" for k in names))
     done, rows = [], scratch.written(rows, "keys")
@@ -112,6 +115,8 @@ def _regions(reps: DataFrame, scratch: tables.Scratch) -> DataFrame:
         small = sized.where(F.col("size") <= REGION)
         done.append(small.select(F.xxhash64(F.lit(level), k).alias("region"), "doc_id"))
         large = scratch.written(sized.where(F.col("size") > REGION), "large")
+        if not level:
+            whole = large.select(F.col(k).alias("set"), "doc_id")
         if large.isEmpty():
             break
         inner = names[level + 1] if level + 1 < len(names) else None
@@ -126,7 +131,23 @@ def _regions(reps: DataFrame, scratch: tables.Scratch) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), whole
+
+
+def _blocks(held: DataFrame, most: int) -> DataFrame:
+    """group, doc_id: blocks in which each member of a set that is not in the set's largest part meets every other member.
+
+    held: set, doc_id, part, weight.  A block has members of about twice the weight
+    `most`; pairs inside the largest part, which are linked already, need not meet.
+    """
+    parts = held.groupBy("set", "part").agg(F.sum("weight").alias("weight"))
+    sets = parts.groupBy("set").agg(F.max_by("part", F.struct("weight", "part")).alias("largest"), F.sum("weight").alias("all"), F.max("weight").alias("tied")).where(F.col("all") > F.col("tied"))
+    rows = held.join(sets.select("set", "largest", F.ceil(F.col("all") / most).alias("columns"), F.ceil((F.col("all") - F.col("tied")) / most).alias("lines")), "set")
+    line, column = (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)) for salt, n in ((1, "lines"), (2, "columns")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = rows.where(F.col("part") != F.col("largest")).select("set", "doc_id", line.alias("line"), every("columns").alias("column"))
+    other = rows.select("set", "doc_id", every("lines").alias("line"), column.alias("column"))
+    return one.unionByName(other).select(F.xxhash64("set", "line", "column").alias("group"), "doc_id").distinct()
 
 
 def least_agreement() -> float:
@@ -197,16 +218,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.slices(batches, "text"):
         hashes, first = shingle_hashes(words.split(batch.column("text"), lower=True))
         sets = pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), sets], ["doc_id", "group", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), batch.column("part"), sets], ["doc_id", "group", "part", "set"])
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """For each of some sets the smallest id that confirmed links reach from it; exact."""
+def linked(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = None) -> np.ndarray:
+    """For each of some sets the smallest id that confirmed links reach from it; exact.  Sets of one `part` are linked already."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(size) - size
-    group, tried = np.arange(n), np.zeros(n, bool)
+    group, tried = np.arange(n) if part is None else np.unique(part, return_inverse=True)[1], np.zeros(n, bool)
     while True:
         label, count = np.unique(group, return_counts=True)
         open_ = np.flatnonzero((group != label[count.argmax()]) & ~tried) if len(label) < n else np.flatnonzero(~tried)
@@ -227,7 +248,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 def _confirmed(table: pa.Table) -> pa.Table:
     table = table.sort_by("doc_id")
     ids = table.column("doc_id").to_numpy()
-    least = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()])
+    least = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], table.column("part").to_numpy())
     return pa.table({"a": pa.array(least), "b": pa.array(ids)})
 
 
@@ -242,19 +263,39 @@ def groups(docs: DataFrame) -> DataFrame:
         members = scratch.written(full.select("doc_id", "print", "n_shingles").join(classes, ["print", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
         reps = full.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         reps = scratch.written(reps.select("doc_id", "n_shingles", "signature"), "classes")
-        regions = _regions(reps, scratch)
+        regions, hot = _regions(reps, scratch)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        gathered = regions.join(reps, "doc_id").repartition(tasks, "region").sortWithinPartitions("region", "doc_id")
-        forest = scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(_forest, "a long, b long").distinct(), "forest")
+
+        def tied(regions: DataFrame, name: str) -> DataFrame:
+            gathered = regions.join(reps, "doc_id").repartition(tasks, "region").sortWithinPartitions("region", "doc_id")
+            return scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(_forest, "a long, b long").distinct(), name)
+
+        def confirmed(ends: DataFrame, name: str) -> DataFrame:
+            texts = cut.join(ends, "doc_id").select("doc_id", "group", "part", "text")
+            links = texts.mapInArrow(_sets, "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed, "a long, b long")
+            return scratch.written(links.where("a <> b"), name)
+
+        def in_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+            return rows.join(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+
+        forest = tied(regions, "forest")
         near = components(forest)
-        weight = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("label").agg(F.ceil(F.sum("n_shingles") / GATHERED).alias("parts"))
+        if not hot.isEmpty():
+            met = _blocks(in_parts(hot, near).withColumn("weight", F.lit(1)), max(REGION // 2, 1))
+            forest = forest.unionByName(tied(met.withColumnRenamed("group", "region"), "forest-blocks")).distinct()
+            near = components(forest)
+        sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+        weight = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GATHERED).alias("parts"))
         split = forest.join(near.withColumnRenamed("node", "a"), "a").join(weight, "label")
         group = F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts")))
-        ends = split.select(group.alias("group"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ends = scratch.written(ends, "neighbourhoods")
-        texts = cut.join(ends, "doc_id").select("doc_id", "group", "text")
-        links = texts.mapInArrow(_sets, "doc_id long, group long, set binary").groupBy("group").applyInArrow(_confirmed, "a long, b long")
-        labels = components(scratch.written(links.where("a <> b"), "links"))
+        ends = split.select(group.alias("group"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("part", F.col("doc_id"))
+        links = confirmed(scratch.written(ends, "neighbourhoods"), "links")
+        large = scratch.written(sized.join(weight.where(F.col("parts") > 1), "label").select(F.col("label").alias("set"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("weight")), "large")
+        if not large.isEmpty():
+            held = scratch.written(in_parts(large, components(links)), "parts")
+            ends = _blocks(held, max(GATHERED // 2, 1)).join(held.select("doc_id", "part"), "doc_id")
+            links = links.unionByName(confirmed(scratch.written(ends, "blocks"), "links-blocks"))
+        labels = components(links)
         labels = labels.select(F.col("node").alias("rep"), "label")
         found = members.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
         out = base.select("doc_id", "n_shingles").join(found, "doc_id", "left")

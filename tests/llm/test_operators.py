@@ -254,6 +254,36 @@ def test_large_regions_go_deeper_and_lose_nothing(spark, odd, monkeypatch):
     assert got == Counter(grouped(docs))
 
 
+def unlinked_documents(own, pairs, seed, first=0):
+    """Documents of 400 words that share all but `own` of them (unlinked), and among them `pairs` isolated pairs over the threshold."""
+    rng = np.random.default_rng(seed)
+    shared = [f"s{i}" for i in range(400 - own)]
+    docs = []
+    for i in range(4 * pairs):
+        words = [*shared, *(f"o{seed}x{i}x{j}" for j in range(own))]
+        docs.append((first + len(docs), " ".join(words)))
+        if i % 4 == 0:
+            for k in rng.choice(len(shared) // 6, 6, replace=False):
+                words[6 * k] = f"e{i}x{k}"
+            docs.append((first + len(docs), " ".join(words)))
+    return docs
+
+
+def test_isolated_pairs_inside_unlinked_boilerplate_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 1)
+    monkeypatch.setattr(near_dedup, "GATHERED", 1000)
+    docs = unlinked_documents(36, 8, 2)
+    want = grouped(docs)
+    assert sum(not k for *_, k in want) == 8
+    got = Counter(tuple(r) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == Counter(want)
+
+
+def test_members_of_a_part_are_linked_already():
+    sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 2, 500, 502, 900)]
+    assert near_dedup.linked(np.array([4, 7, 9, 2, 1]), sets, np.array([5, 5, 6, 7, 5])).tolist() == [1, 1, 2, 2, 1]
+
+
 def test_links_are_decided_on_whole_sets():
     base = np.arange(100, dtype=np.uint64)
     sets = [base, base[:92], np.concatenate([base[:92], np.arange(200, 208, dtype=np.uint64)]), np.arange(500, 600, dtype=np.uint64)]

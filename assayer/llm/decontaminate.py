@@ -8,12 +8,14 @@ CGK random-walk embedding: a walk starts at a window's first word and at step j
 notes the word it stands on, then moves on or waits as a random function of j and
 that word says.  Texts at a small edit distance walk in step again soon after
 each edit, so their embeddings differ in few places.  Bit-sampling LSH takes some
-places of the embedding as a key; `WALKS` walks with `SAMPLES` keys each reach the
-target recall.  Windows have the size of the items: these are put in classes of
-similar length, and a class samples only places inside its shortest item.
+places of the embedding as a key, with `WALKS` walks of `SAMPLES` keys each.  Edits
+push a walk out of step, so long items are cut into segments of about `SEGMENT`
+words, of which one has at most the average share of the edits.  Windows have the
+size of the segments: these are put in classes of similar length, and a class
+samples only places inside its shortest segment.
 
 A window of which too few words occur in any item can't be within the distance
-and isn't walked.  Every window whose key is an item's is a candidate, and a
+and isn't walked.  Every window whose key is a segment's is a candidate, and a
 semi-global alignment decides it exactly.
 
 One map over whole documents, in which the items (at most `BLOCK_WORDS` words of
@@ -39,7 +41,9 @@ from assayer.llm import tables, words
 PERCENT, MIN_WORDS, BLOCK_WORDS = 80, 8, 1 << 20
 #: Walks, keys of each, and embedding places in a key.
 WALKS, SAMPLES, PLACES = 4, 8, 3
-#: A class's longest item over its shortest.
+#: Words of a segment: items of twice as many are cut.
+SEGMENT = 15
+#: A class's longest segment over its shortest.
 SPREAD = 1.25
 #: Kinds of words that a walk tells apart when it moves, and cells of an alignment that is worked on at once.
 KINDS, CELLS = 256, 1 << 20
@@ -51,7 +55,7 @@ def distance_allowed(n: int) -> int:
 
 
 class Items:
-    """Items as word hashes, with the keys of their embeddings by class and key number."""
+    """Items as word hashes, with the keys of their segments' embeddings by class and key number."""
 
     def __init__(self, ids: list, texts: list[str | None], seed: int = 5):
         w = words.split(pa.array([(t or "").encode() for t in texts], pa.binary()), words.NOT_ALNUM, lower=True)
@@ -63,19 +67,23 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
-        order = sorted(range(len(kept)), key=lambda i: len(self.words[i]))
+        cuts = [np.linspace(0, len(x), max(1, len(x) // SEGMENT) + 1).astype(np.int64) for x in self.words]
+        self.item = np.repeat(np.arange(len(kept)), [len(c) - 1 for c in cuts])
+        self.offset = np.concatenate([np.zeros(0, np.int64), *(c[:-1] for c in cuts)])
+        segments = [x[a:b] for x, c in zip(self.words, cuts) for a, b in zip(c, c[1:])]
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         self.classes = []
         while order:
-            least = len(self.words[order[0]])
-            own = [i for i in order if len(self.words[i]) <= least * SPREAD]
+            least = len(segments[order[0]])
+            own = [i for i in order if len(segments[i]) <= least * SPREAD]
             order = order[len(own) :]
             steps = max(int(1.6 * least), PLACES)
             moves = rng.integers(0, 2, (WALKS, steps, KINDS), dtype=np.int8)
             places = [[np.sort(rng.choice(steps, PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)]
-            longest = len(self.words[own[-1]])
-            flat = np.concatenate([np.append(self.words[i], np.uint64(0)) for i in own])
-            begin = np.cumsum([0, *(len(self.words[i]) + 1 for i in own[:-1])])
-            stop = begin + [len(self.words[i]) for i in own]
+            longest = len(segments[own[-1]])
+            flat = np.concatenate([np.append(segments[i], np.uint64(0)) for i in own])
+            begin = np.cumsum([0, *(len(segments[i]) + 1 for i in own[:-1])])
+            stop = begin + [len(segments[i]) for i in own]
             keys = embedded(flat, begin, stop, moves, places)
             index = [(k[o := np.argsort(k, kind="stable")], np.array(own)[o]) for k in keys]
             maybe = np.zeros(1 << 18, bool)
@@ -112,7 +120,7 @@ def embedded(h: np.ndarray, begin: np.ndarray, stop: np.ndarray, moves: np.ndarr
 
 
 def _candidates(h: np.ndarray, w: words.Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (first word of a window, item) whose keys meet."""
+    """Distinct (first word of a window, segment) whose keys meet."""
     inside = np.append(0, np.cumsum(items.contains(h)))
     end = np.repeat(w.first[1:], w.counts)
     found = [np.zeros((0, 2), np.int64)]
@@ -121,12 +129,12 @@ def _candidates(h: np.ndarray, w: words.Words, items: Items) -> tuple[np.ndarray
         start = np.flatnonzero(inside[stop] - inside[:-1] >= least - distance_allowed(longest))
         if not len(start):
             continue
-        for key, (known, item) in zip(embedded(h, start, end[start], moves, places), index):
+        for key, (known, segment) in zip(embedded(h, start, end[start], moves, places), index):
             at = np.flatnonzero(maybe[(key >> np.uint64(46)).astype(np.int64)])
             a, b = np.searchsorted(known, key[at], "left"), np.searchsorted(known, key[at], "right")
             n = b - a
             k = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(start[at], n), item[k]], axis=1))
+            found.append(np.stack([np.repeat(start[at], n), segment[k]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
@@ -152,17 +160,19 @@ def _leaks(shipped, keep: str):
             if not len(w) or not items.ids:
                 continue
             h = w.hashes()
-            start, item = _candidates(h, w, items)
+            window, segment = _candidates(h, w, items)
+            found = np.stack([items.item[segment], np.searchsorted(w.first, window, "right") - 1, window - items.offset[segment]], axis=1)
+            item, of_doc, start = np.unique(found, axis=0).T
             rows = []
             for i in np.unique(item):
                 word = items.words[i]
                 n, k = len(word), distance_allowed(len(word))
-                every = start[item == i]
-                of = np.searchsorted(w.first, every, "right") - 1
-                step = max(1, CELLS // (n + 2 * k))
+                every, of = start[item == i], of_doc[item == i]
+                far = k if n < 2 * SEGMENT else 2 * k  # edits before a segment shift it
+                step = max(1, CELLS // (n + k + far))
                 for c in range(0, len(every), step):
                     at, doc = every[c : c + step], of[c : c + step]
-                    place = at[:, None] + np.arange(-k, n + k)[None, :]
+                    place = at[:, None] + np.arange(-k, n + far)[None, :]
                     out = (place < w.first[doc][:, None]) | (place >= w.first[doc + 1][:, None])
                     texts = np.where(out, np.uint64(1), h[np.clip(place, 0, len(h) - 1)])
                     d, a, b = aligned(word, texts)

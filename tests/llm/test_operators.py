@@ -82,6 +82,24 @@ def test_edited_leaks_are_found(spark, odd):
     assert len({r.doc_id for r in got.collect()}) >= 57
 
 
+@pytest.mark.parametrize("kind", ["substitutions", "deletions", "insertions", "mixed"])
+@pytest.mark.parametrize("n", [60, 200, 400])
+def test_edited_leaks_of_long_items_are_found(n, kind):
+    rng = np.random.default_rng(n)
+    item = [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for d in range(20):
+        leak = list(item)
+        for k in sorted(rng.choice(n, decontaminate.distance_allowed(n), replace=False), reverse=True):
+            how = ["substitutions", "deletions", "insertions"][k % 3] if kind == "mixed" else kind
+            leak[k : k + 1] = {"substitutions": [f"c{d}x{k}"], "deletions": [], "insertions": [leak[k], f"c{d}x{k}"]}[how]
+        texts.append(" ".join(["before"] * (d % 7) + leak + ["after"] * 5).encode())
+    shipped = type("Shipped", (), {"value": decontaminate.Items([1], [" ".join(item)])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    found = {d for b in decontaminate._leaks(shipped, "doc_id")([batch]) for d in b.column("doc_id").to_pylist()}
+    assert len(found) >= 19
+
+
 # 2. language
 
 

@@ -41,9 +41,20 @@ def evidence_cutoff(ledger: DataFrame) -> DataFrame:
     return done.agg(F.max(F.when(F.col("bound").isNull() | (F.col("finished_at") <= F.col("bound")), F.col("finished_at"))).alias("cutoff"))
 
 
+def needing_review(packages: DataFrame) -> DataFrame:
+    """Packages whose identity is anything but verified; a null confidence is not verified."""
+    return packages.where(F.coalesce(F.col("confidence") != "verified", F.lit(True)))
+
+
+def unresolved_left_out(packages: DataFrame, folded: DataFrame) -> DataFrame:
+    """How many packages that need review the inventory no longer lists: one row, left_out."""
+    absent = folded.where(F.col("absent_since").isNotNull()).select("package_id")
+    return needing_review(packages).join(absent, "package_id", "left_semi").agg(F.count("*").alias("left_out"))
+
+
 def unresolved(packages: DataFrame, folded: DataFrame, breadth: DataFrame) -> DataFrame:
-    """Packages whose identity is unmapped and that the inventory still lists, the broadest first."""
-    rows = packages.where(F.col("confidence") == "unmapped").join(folded.where(F.col("absent_since").isNotNull()).select("package_id"), "package_id", "left_anti")
+    """Packages that need review and that the inventory still lists, the broadest first."""
+    rows = needing_review(packages).join(folded.where(F.col("absent_since").isNotNull()).select("package_id"), "package_id", "left_anti")
     rows = rows.join(breadth, "package_id", "left").select("package_id", "components", "lobs")
     return rows.orderBy(F.desc_nulls_last("components"), F.desc_nulls_last("lobs"), "package_id")
 

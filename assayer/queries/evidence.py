@@ -375,6 +375,17 @@ def absent_detection(t: Tables):
 r AS (SELECT pkg.package_id, components, lobs FROM pkg LEFT JOIN fold USING (package_id) LEFT JOIN b USING (package_id) WHERE confidence = 'unmapped' AND absent_since IS NULL)
 SELECT package_id, components, lobs, CAST(row_number() OVER (ORDER BY components DESC NULLS LAST, lobs DESC NULLS LAST, package_id) AS INTEGER) AS place FROM r ORDER BY place LIMIT 25""")
 def unresolved_selection(t: Tables):
-    out = rollup.unresolved(t.packages(), presence.presence(inventory(t), t.cutoff), presence.breadth(inventory(t), t.cutoff)).limit(25)
+    out = rollup.unresolved(t.packages().where("confidence = 'unmapped'"), presence.presence(inventory(t), t.cutoff), presence.breadth(inventory(t), t.cutoff)).limit(25)
     order = [F.desc_nulls_last("components"), F.desc_nulls_last("lobs"), F.col("package_id")]
     return out.withColumn("place", F.row_number().over(W.orderBy(*order)))  # over the 25 rows that are left
+
+
+@query("unresolved_all", f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, b AS (SELECT package_id, components, lobs FROM ({LATEST.format(keys='package_id', ties='', rows='inv')}))
+SELECT pkg.package_id, components, lobs FROM pkg LEFT JOIN fold USING (package_id) LEFT JOIN b USING (package_id) WHERE confidence IS DISTINCT FROM 'verified' AND absent_since IS NULL""")
+def unresolved_all(t: Tables):
+    return rollup.unresolved(t.packages(), presence.presence(inventory(t), t.cutoff), presence.breadth(inventory(t), t.cutoff))
+
+
+@query("unresolved_left_out", f"WITH {EVC}, {PKG}, {_INV}, {_FOLD} SELECT count(*) AS left_out FROM pkg JOIN fold USING (package_id) WHERE confidence IS DISTINCT FROM 'verified' AND absent_since IS NOT NULL")
+def unresolved_left_out(t: Tables):
+    return rollup.unresolved_left_out(t.packages(), presence.presence(inventory(t), t.cutoff))

@@ -282,3 +282,13 @@ def test_a_purge_plan_keeps_what_a_surviving_run_cites(spark):
     assert {r.run_id for r in plan["runs"].collect()} == {1}
     assert {r.id for r in plan["e"].collect()} == {1, 3, 4}
     assert plan["ledger"].count() == 1
+
+
+def test_everything_but_verified_needs_review(spark):
+    from assayer.plans import rollup
+
+    packages = spark.createDataFrame([(1, "verified"), (2, "unmapped"), (3, "inventory_derived"), (4, None), (5, "other"), (6, "inventory_derived")], "package_id long, confidence string")
+    folded = spark.createDataFrame([(1, "x"), (6, "x"), (5, None)], "package_id long, absent_since string")
+    breadth = spark.createDataFrame([(i, i, i) for i in range(1, 7)], "package_id long, components long, lobs long")
+    assert [r.package_id for r in rollup.unresolved(packages, folded, breadth).collect()] == [5, 4, 3, 2]
+    assert rollup.unresolved_left_out(packages, folded).first().left_out == 1

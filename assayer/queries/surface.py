@@ -74,6 +74,15 @@ def queue_listing(t: Tables):
     return workflow.queue(items.select("item_id", "package_id", "state"), scores).select("item_id", "package_id", "state", "bucket", "score").limit(200)
 
 
+@query("queue_listing_all", f"""WITH {ITEM}, s AS (SELECT package_id, item_id AS run, bucket, CASE WHEN item_id % 4 <> 0 THEN item_id % 100 END AS score FROM item),
+n AS (SELECT package_id, bucket, score FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY run DESC) AS rn FROM s) WHERE rn = 1)
+SELECT item.item_id, item.package_id, item.state, n.bucket, n.score FROM item LEFT JOIN n USING (package_id) WHERE item.state NOT IN ('resolved', 'accepted')""")
+def queue_listing_all(t: Tables):
+    items = t.items()
+    scores = items.select("package_id", F.col("item_id").alias("policy_run_id"), "bucket", F.when(F.col("item_id") % 4 != 0, F.col("item_id") % 100).alias("score"))
+    return workflow.queue(items.select("item_id", "package_id", "state"), scores).select("item_id", "package_id", "state", "bucket", "score")
+
+
 @query("report_distinct", f"WITH {PKG}, {_HEALTH} SELECT DISTINCT health.package_id, canonical_name, license_outcome FROM health JOIN derived USING (package_id) WHERE license_outcome IN ('forbidden', 'restricted')")
 def report_distinct(t: Tables):
     return surface.report(_health(t), _derived(t), F.col("license_outcome").isin("forbidden", "restricted"), ["package_id", "canonical_name", "license_outcome"])

@@ -47,3 +47,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = adapters.QUERIES["asof_latest"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "LessThanOrEqual(ts" in scan and "props" not in scan
+
+
+def test_the_whole_queue_is_listed(spark, sf_dir):
+    unfinished = adapters.Tables(spark, sf_dir).items().where("state NOT IN ('resolved', 'accepted')").count()
+    assert adapters.QUERIES["queue_listing_all"](spark, sf_dir).count() == unfinished > 200

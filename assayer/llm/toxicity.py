@@ -8,6 +8,8 @@ model is a short list of (hash, weight) that goes to every task.
 
 Learning uses a documented bounded sample of the labelled rows (`SAMPLE_ROWS` of
 each label); tasks turn its texts into features and only those reach the driver.
+Both labels are counted over all training rows, and the base score is put back to
+their rates.
 Scoring is one pass over whole texts with no shuffle.
 
 Defined results: null and empty texts have no feature and score the learned base
@@ -18,7 +20,7 @@ as toxic if any of its rows says so; an empty training set gives score 0.5.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +70,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["label", "features"])
 
 
-def train(examples: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> Model:
-    """Learns from examples (doc_id, text, label 0/1), from about `rows` rows of each label at most."""
+def counted(rows: DataFrame) -> dict[int, int]:
+    """Rows of each label."""
+    return {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
+
+
+def train(examples: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, counts: dict[int, int] | None = None) -> Model:
+    """Learns from examples (doc_id, text, label 0/1), from about `rows` rows of each label at most.
+
+    `counts` are the rows of each label that the examples stand for, if they are a sample.
+    """
     labelled = examples.where(F.col("label").isin(0, 1))
     parts = [tables.sampled(labelled.where(F.col("label") == v), "doc_id", rows) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
     got = chosen.mapInArrow(_features, "label int, features binary").toArrow()
-    return fit(got.column("label").to_numpy(), [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("features")], epochs)
+    label = got.column("label").to_numpy()
+    model = fit(label, [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("features")], epochs)
+    counts, seen = counts or counted(labelled), np.bincount(label, minlength=2)
+    if not seen.all() or not counts.get(0) or not counts.get(1):
+        return model
+    return replace(model, bias=model.bias + float(np.log(counts[1] / counts[0]) - np.log(seen[1] / seen[0])))
 
 
 def fit(labels: np.ndarray, features: list[np.ndarray], epochs: int = EPOCHS) -> Model:
@@ -125,5 +140,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = [tables.sampled(labels.where(F.col("label") == v), "doc_id", SAMPLE_ROWS) for v in (0, 1)]
     examples = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")  # bounded by SAMPLE_ROWS
-    model = train(examples)
+    model = train(examples, counts=counted(docs.select("doc_id").join(labels, "doc_id")))
     return score(docs, model).select("doc_id", tables.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -160,6 +160,12 @@ def test_planted_words_are_learned(spark):
     assert {r.doc_id: r.predicted for r in out.collect()} == {1: 1, 2: 0}
 
 
+def test_sampled_labels_keep_their_base_rate(spark):
+    examples = spark.createDataFrame([(i, f"word{i}", int(i % 10 == 0)) for i in range(2000)], "doc_id long, text string, label int")
+    model = toxicity.train(examples, rows=150)
+    assert 0.05 < 1 / (1 + math.exp(-model.bias)) < 0.2
+
+
 # 5. substrings
 
 

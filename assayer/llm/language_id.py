@@ -3,20 +3,29 @@
 A text is the mean of the embeddings of its byte n-grams (2 to 4 bytes after A-Z
 are lower-cased; spaces count, so n-grams see word edges), hashed to a fixed
 number of buckets.  Stochastic gradient descent in numpy learns embeddings and
-softmax from a documented bounded sample (`SAMPLE_ROWS` labelled rows of each
-language).  As mean and softmax are both linear, the learned model folds to one
-score per bucket and language, which every task holds.
+softmax from a documented bounded sample: of each language about `SAMPLE_ROWS`
+labelled rows at most, and of all together about `SAMPLE_BYTES` of text at most,
+shared alike by the languages (of a text at most `TEXT_BYTES` count, as its
+features are a row for each bucket at most).  Every language found is learned.  As
+mean and softmax are both linear, a model of few languages folds to one score per
+bucket and language; with more languages than `SIZE` tasks hold the embeddings and
+the softmax instead, so that what is broadcast hardly grows with the languages.
 
 Rejection is calibrated on the part of the sample that isn't learned from: a
 temperature makes the probabilities honest, and the cut-off is the largest under
 which at most `REJECTED` of that part falls.
 
 Defined results: null texts and texts without a letter are `und` with score 0
-and rejected; with no labelled row to learn from every text is `und`.
+and rejected; with no labelled row to learn from, as in an empty table, every text
+is `und`.  Rows that repeat are each predicted, alike; of languages with the same
+score the first in order is taken.  Texts of any length count whole.  Columns named
+like the results' may be kept: `predict` gives them beside, `accepted` keeps docs'
+columns only.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +36,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 
-#: Most labelled rows of each language that are learned from.
-SAMPLE_ROWS = 1_500
-#: Most languages that are learned (those with most rows).
-MAX_LANGUAGES = 400
+#: Most labelled rows of each language, and most bytes of text of all languages, that are learned from.
+SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES = 1_500, 32 << 20, 1 << 17
 BITS, SIZE, EPOCHS, RATE = 16, 16, 4, 0.5
 #: Least steps of gradient descent: a small sample is gone over more often.
 STEPS = 8_000
@@ -41,10 +48,11 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Model:
-    """scores[bucket, language], folded from embeddings and softmax; the temperature and the rejection cut-off."""
+    """A text's logits are the mean of its buckets' rows of `table`, times `out` (None: the table is folded), plus bias; the temperature and the rejection cut-off."""
 
     languages: list[str]
-    scores: np.ndarray
+    table: np.ndarray
+    out: np.ndarray | None
     bias: np.ndarray
     temperature: float
     cut_off: float
@@ -77,7 +85,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([(text[: len(b)][same] << BITS) | b[same] for b, same in parts] or [np.zeros(0, np.int64)])
         keys, n = np.unique(keys, return_counts=True)
         cut = np.searchsorted(keys, np.arange(batch.num_rows + 1) << BITS)
-        found, n = (keys & ((1 << BITS) - 1)).astype(np.int32), n.astype(np.float32)
+        found, n = (keys & ((1 << BITS) - 1)).astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)
         spans = list(zip(cut, cut[1:]))
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([found[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], ["lang", "buckets", "counts"])
 
@@ -89,14 +97,19 @@ def _letters(text: str):
 def train(examples: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from examples (doc_id, text, lang), from about `rows` rows of each language at most."""
     known = examples.where(F.col("lang").isNotNull() & _letters("text"))
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], float(min(1.0, rows / r["count"])))]) if found else None
-    if share is None:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+    size = F.least(F.octet_length("text"), F.lit(TEXT_BYTES))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # a row for each language
+    if not found:
+        return Model([], np.zeros((1 << BITS, 0), np.float32), None, np.zeros(0), 1.0, 1.0)
+    shares = [(r["lang"], min(1.0, rows / r["n"], SAMPLE_BYTES / len(found) / max(r["bytes"], 1))) for r in found]
+    shares = F.broadcast(examples.sparkSession.createDataFrame(shares, "lang string, share double"))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = known.where(unit < share[F.col("lang")]).select(F.col("text").cast("binary").alias("text"), "lang")
+    chosen = known.select("doc_id", "text", "lang").join(shares, "lang").where(unit < F.col("share")).select(F.col("text").cast("binary").alias("text"), "lang")
     got = chosen.mapInArrow(_features, "lang string, buckets binary, counts binary").toArrow()
-    return fit([r["lang"] for r in found], got.column("lang").to_pylist(), *([np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in (("buckets", np.int32), ("counts", np.float32))))
+    model = fit([r["lang"] for r in found], got.column("lang").to_pylist(), *([np.frombuffer(x.as_buffer(), np.uint16) for x in got.column(c)] for c in ("buckets", "counts")))
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], counts: list[np.ndarray]) -> Model:
@@ -104,7 +117,7 @@ def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], count
     rng = np.random.default_rng(7)
     languages = sorted(languages)
     label = {v: i for i, v in enumerate(languages)}
-    order = sorted((i for i in range(len(langs)) if len(buckets[i])), key=lambda i: (langs[i], buckets[i].tobytes(), counts[i].tobytes()))
+    order = sorted((i for i in range(len(langs)) if len(buckets[i])), key=lambda i: (langs[i], len(buckets[i]), zlib.crc32(buckets[i]), zlib.crc32(counts[i])))
     rest, learn = order[::5] if len(order) >= 50 else order, [x for k, x in enumerate(order) if k % 5] if len(order) >= 50 else order
     e = rng.normal(0, 0.1, (1 << BITS, SIZE)).astype(np.float32)
     w, b = np.zeros((SIZE, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -113,7 +126,7 @@ def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], count
     for _ in range(rounds if learn else 0):
         for k in rng.permutation(len(learn)):
             i = learn[k]
-            at, part = buckets[i], counts[i] / counts[i].sum()
+            at, part = buckets[i], _shares(counts[i])
             h = part @ e[at]
             p = _softmax(h @ w + b)
             p[label[langs[i]]] -= 1
@@ -123,13 +136,18 @@ def fit(languages: list[str], langs: list[str], buckets: list[np.ndarray], count
             b -= 0.1 * rate * p
             e[at] -= (rate * 100 * part)[:, None] * back[None, :]
             done += 1
-    scores = e @ w
-    logits = np.array([(counts[i] / counts[i].sum()) @ scores[buckets[i]] + b for i in rest]).reshape(len(rest), len(languages))
+    table, out = (e @ w, None) if len(languages) <= SIZE else (e, w)
+    means = np.array([_shares(counts[i]) @ table[buckets[i]] for i in rest]).reshape(len(rest), table.shape[1])
+    logits = (means if out is None else means @ out) + b
     truth = np.array([label[langs[i]] for i in rest], int)
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() if len(truth) else 0
     temperature = min((float(t) for t in np.geomspace(0.2, 5, 40)), key=loss)
     top = np.sort(_softmax(logits / temperature).max(axis=1)) if len(truth) else np.ones(1)
-    return Model(languages, scores.astype(np.float32), b, temperature, float(min(top[int(REJECTED * len(top))], 0.5)))
+    return Model(languages, table.astype(np.float32), out, b, temperature, float(min(top[int(REJECTED * len(top))], 0.5)))
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return (counts / counts.sum(dtype=np.float64)).astype(np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -144,23 +162,25 @@ def _predicted(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> tuple[Da
     text = names.get("text", "text")
     own = [] if "text" in names else [F.col("text").cast("binary").alias("text")]
     cut = docs.select(*(F.col(c).alias(n) for c, n in names.items()), *own, _letters("text").alias("letters"))
-    shipped = docs.sparkSession.sparkContext.broadcast(model.scores)  # 2**BITS rows of MAX_LANGUAGES at most
+    shipped = docs.sparkSession.sparkContext.broadcast((model.table, model.out))  # 2**BITS rows of SIZE at most, and SIZE of all languages
     languages, bias, temperature, cut_off = model.languages, model.bias, model.temperature, model.cut_off
 
     def predictions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = shipped.value
+        table, to_logits = shipped.value
+        width = table.shape[1]
         for batch in words.slices(batches, text, 1 << 20):
             rows = batch.num_rows
             lettered = np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), bool) & bool(languages)
-            total, n = np.zeros((rows, len(languages))), np.zeros(rows)
+            total, n = np.zeros((rows, width)), np.zeros(rows)
             if languages:
                 parts, offsets = _grams(batch.column(text))
                 for bucket, same in parts:
                     ends = np.minimum(offsets, len(bucket))
                     n += words.sums_by_text(same, ends)
-                    for c in range(len(languages)):
-                        total[:, c] += words.sums_by_text(scores[:, c][bucket] * same, ends)
-                p = _softmax((total / np.maximum(n, 1)[:, None] + bias) / temperature)
+                    for c in range(width):
+                        total[:, c] += words.sums_by_text(table[:, c][bucket] * same, ends)
+                mean = total / np.maximum(n, 1)[:, None]
+                p = _softmax(((mean if to_logits is None else mean @ to_logits) + bias) / temperature)
                 best, top = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0)
             else:
                 best, top = np.zeros(rows, int), np.zeros(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (a local session, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset in a local session (as in tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="assayer-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -37,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gone(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a step of this library wrote."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 class Scratch:
     """Written tables that go when the block that made them ends; what it returns must not read them."""
 
@@ -53,8 +62,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in self.paths:
-            held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            held.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(held, True)
+            gone(self.spark, path)
 
 
 def held_out(doc_id: str, folds: int, fold: int):

@@ -56,12 +56,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 _cache: dict[str, np.ndarray] = {}
+#: Bytes whose words are hashed at once, so that helping arrays don't grow with the text.
+_STRETCH = 1 << 18
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache.get("p", ())) < n:
-        with np.errstate(over="ignore"):
-            _cache["p"], _cache["q"] = powers(_BASE, n), powers(_INVERSE, n)
+    if n > 2 * _STRETCH:  # a single longer word: not kept
+        return powers(_BASE, n), powers(_INVERSE, n)
+    if "p" not in _cache:
+        _cache["p"], _cache["q"] = powers(_BASE, 2 * _STRETCH), powers(_INVERSE, 2 * _STRETCH)
     return _cache["p"], _cache["q"]
 
 
@@ -90,11 +93,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        with np.errstate(over="ignore"):
-            p, q = _power_tables(len(self.data) + 1)
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: len(self.data)], out=total[1:])
-            return mixed((total[self.ends] - total[self.starts]) * q[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        out, i = np.empty(len(self), np.uint64), 0
+        while i < len(self):
+            base = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, base + _STRETCH, "right")))
+            data, starts, ends = self.data[base : self.ends[j - 1]], self.starts[i:j] - base, self.ends[i:j] - base
+            with np.errstate(over="ignore"):
+                p, q = _power_tables(len(data) + 1)
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+                out[i:j] = mixed((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+            i = j
+        return out
 
     def array(self) -> pa.Array:
         """The words as an Arrow binary array."""

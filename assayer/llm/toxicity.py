@@ -6,19 +6,24 @@ runs of letters, digits and non-ASCII).  FTRL-proximal learns one weight per
 hash with a rate per coordinate; its L1 term leaves most weights at zero, so the
 model is a short list of (hash, weight) that goes to every task.
 
-Learning uses a documented bounded sample of the labelled rows (`SAMPLE_ROWS` of
-each label); tasks turn its texts into features and only those reach the driver.
+Learning uses a documented bounded sample of the labelled rows: of each label
+about `SAMPLE_ROWS` rows and about `SAMPLE_BYTES` of text at most (of a text at most
+`TEXT_BYTES` count, as its features are a number for each bucket at most).  Tasks
+turn its texts into features and only those reach the driver.
 Both labels are counted over all training rows, and the base score is put back to
 their rates.
 Scoring is one pass over whole texts with no shuffle.
 
 Defined results: null and empty texts have no feature and score the learned base
 rate; rows with null label aren't learned from; a document labelled twice counts
-as toxic if any of its rows says so; an empty training set gives score 0.5.
+as toxic if any of its rows says so; an empty training set gives score 0.5.  Empty
+tables give no rows; rows that repeat are scored each, alike; texts of any length
+count whole; a score of exactly 0.5 is predicted 1; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 
-#: Most labelled rows of each label that are learned from.
-SAMPLE_ROWS = 8_000
+#: Most labelled rows, and bytes of their texts, of each label that are learned from.
+SAMPLE_ROWS, SAMPLE_BYTES, TEXT_BYTES = 8_000, 24 << 20, 1 << 18
 #: Features are hashed to 2**BITS buckets.
 BITS = 18
 EPOCHS = 6
@@ -76,16 +81,21 @@ def counted(rows: DataFrame) -> dict[int, int]:
 
 
 def train(examples: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, counts: dict[int, int] | None = None) -> Model:
-    """Learns from examples (doc_id, text, label 0/1), from about `rows` rows of each label at most.
+    """Learns from examples (doc_id, text, label 0/1), from about `rows` rows and `SAMPLE_BYTES` of each label at most.
 
     `counts` are the rows of each label that the examples stand for, if they are a sample.
     """
-    labelled = examples.where(F.col("label").isin(0, 1))
-    parts = [tables.sampled(labelled.where(F.col("label") == v), "doc_id", rows) for v in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
+    labelled = examples.where(F.col("label").isin(0, 1)).select("doc_id", F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
+    size = F.least(F.octet_length("text"), F.lit(TEXT_BYTES))
+    held = {r["label"]: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).collect()}
+    share = {v: min(1.0, rows / r["n"], SAMPLE_BYTES / max(r["bytes"], 1)) for v, r in held.items()}
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = labelled.where(unit < F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))).select("text", "label")
     got = chosen.mapInArrow(_features, "label int, features binary").toArrow()
     label = got.column("label").to_numpy()
     model = fit(label, [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("features")], epochs)
+    del got
+    pa.default_memory_pool().release_unused()
     counts, seen = counts or counted(labelled), np.bincount(label, minlength=2)
     if not seen.all() or not counts.get(0) or not counts.get(1):
         return model
@@ -96,7 +106,7 @@ def fit(labels: np.ndarray, features: list[np.ndarray], epochs: int = EPOCHS) ->
     """FTRL-proximal over sets of buckets; the last coordinate is the base score."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    order = sorted(range(len(labels)), key=lambda i: (features[i].tobytes(), labels[i]))
+    order = sorted(range(len(labels)), key=lambda i: (len(features[i]), zlib.crc32(features[i]), labels[i]))
     rng = np.random.default_rng(11)
     weight = lambda i: np.where(np.abs(z[i]) <= l1[i], 0.0, -(z[i] - np.sign(z[i]) * l1[i]) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
     l1 = np.full(size + 1, L1)
@@ -118,15 +128,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """docs' `keep` columns with score (probability of label 1) and predicted (1 if score >= 0.5)."""
     types = dict(docs.dtypes)
     cut = docs.select(*keep, F.col("text").cast("binary").alias("text"))
-    table = np.zeros(1 << BITS)
-    table[model.buckets] = model.weights
+    bias, shipped = model.bias, docs.sparkSession.sparkContext.broadcast((model.buckets.astype(np.int32), model.weights))  # those that L1 left, 2**BITS at most
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << BITS)
+        table[shipped.value[0]] = shipped.value[1]
         for batch in words.slices(batches, "text"):
             of, bucket = _buckets(words.split(batch.column("text"), words.NOT_ALNUM, lower=True))
             hit = np.flatnonzero(table[bucket])
             keys = np.unique((of[hit] << BITS) | bucket[hit])
-            total = model.bias + np.bincount(keys >> BITS, table[keys & ((1 << BITS) - 1)], batch.num_rows)
+            total = bias + np.bincount(keys >> BITS, table[keys & ((1 << BITS) - 1)], batch.num_rows)
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 

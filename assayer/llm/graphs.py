@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from assayer.llm import tables
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: tables.Scratch) -> DataFrame:
     """node, label (the smallest node of its component) for edges (a, b): labels hop over edges and then over labels, so rounds grow with the logarithm of a path's length.
 
     Each round joins and takes minima, with partial sums before the shuffle; no
     node's neighbours are gathered anywhere.
     """
-    both = tables.kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
-    labels = tables.kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
-    total = None
-    while True:
+    both = scratch.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
+    labels = scratch.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        own = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
+        own = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = tables.kept(own.join(up, "label").select("node", F.least("label", "up").alias("label")))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
-        if total == (total := (now[0], now[1])):
-            return labels
+        label = F.least("label", "up")
+        labels = scratch.written(own.join(up, "label").select("node", label.alias("label"), (label != F.col("old")).alias("moved")), "labels")
+    return labels.select("node", "label")

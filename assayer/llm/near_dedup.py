@@ -2,16 +2,21 @@
 
 1. A map over whole texts finds each document's set of five-word shingles, and of
    it the size, a fingerprint and `TREES` x `DEPTH` minima.
-2. Documents with equal fingerprints are one class, named by its smallest doc_id.
-3. Each tree orders the classes by its own minima.  Classes that share a prefix of
-   `LEVELS[0]` minima are a region of that tree.  Regions of more than `REGION`
-   classes go deeper, each part with the region's first class, to the last level;
-   what is still larger is dealt evenly, again with its first class.  That is a
-   first pass: afterwards each class of such a region that is not in the region's
-   largest tied part meets every other class of the region, block against block.
+2. Documents with equal fingerprints (128 bits) are one class, named by its
+   smallest doc_id.
+3. Each tree puts the classes in the order of its own minima: a range partition
+   with the doc_id as the last key, so that no key makes a large part.  A task
+   reads its stretch of the order and takes each class's longest common prefix
+   with its neighbour.  Neighbours that share `shallowest` minima or more make a
+   region.  Regions of more than `REGION` classes are cut where neighbours share
+   least, deeper and deeper until the pieces are small; each piece keeps the
+   neighbour before it.  Depth so adapts to each region.
 4. In a region the signatures' agreement gives a spanning forest of what may be
    linked: sets of which one is too small for the other, or that agree too little
-   (far under the threshold, by more than chance allows), are left out.
+   (far under the threshold, by more than chance allows), are left out.  Regions
+   that were cut, or that a task's end cuts, are compared further: each member
+   that is not in the region's largest tied part meets every other member, block
+   against block.
 5. Components of all forests are neighbourhoods.  Each brings its members' full
    sets together, and there links are decided exactly until every member is in
    the largest group or was compared with every other.  A neighbourhood of too
@@ -20,28 +25,37 @@
    other member, block against block.
 6. Components of confirmed links are the groups.
 
+So a link is missed only where its ends share too short a prefix in every tree:
+for links at exactly the threshold at most one in fifty thousand (`MISSED`).
+
 Defined results: null texts and texts without words have an empty set, and are
-groups of their own; rows that share a doc_id are one node; rows with a null
-doc_id have a null component and are kept.
+groups of their own; rows that repeat or share a doc_id are one node; rows with a
+null doc_id have a null component and are kept; of a group, the smallest doc_id is
+kept, so ties don't arise; an empty table gives no rows.  Texts of any length
+count whole, other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 from assayer.llm.graphs import components
 
-#: Words of a shingle; the least similarity of a link, in hundredths.
-SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LEVELS = 16, 8, (4, 6, 8)
-#: Classes of a region before it goes deeper, and shingles of a neighbourhood that meet in one task.
-REGION, GATHERED = 512, 6_000_000
+#: Words of a shingle; the least similarity of a link, in hundredths, where none is given.
+SHINGLE, PERCENT = 5, 80
+TREES, DEPTH = 16, 8
+#: The share of links at the threshold that may miss each other in all trees.
+MISSED = 2e-5
+#: Classes of a region before it is cut, classes of a region that a task holds, and shingles of a neighbourhood that meet in one task.
+REGION, HELD, GATHERED = 512, 8192, 6_000_000
 #: How far, in standard deviations of the agreement, a pair may fall under the threshold and still be tried.
 SLACK = 4.5
 
@@ -89,49 +103,124 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(prints, pa.binary()), pa.array([s.tobytes() for s in signature], pa.binary())], ["doc_id", "n_shingles", "print", "signature"])
 
 
+def shallowest(percent: int) -> int:
+    """The longest prefix that all but `MISSED` of links at the threshold share in some tree."""
+    return max(d for d in range(1, DEPTH + 1) if d == 1 or (1 - (percent / 100) ** d) ** TREES <= MISSED)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and tree: the hashes of its prefix at each level."""
+    """A row for each class and tree: the tree and its minima, 15 bits of each of the first four and 16 of each of the others, in two numbers."""
     for batch in batches:
         s = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
-        h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64)[None, :], s.shape[:2]).copy()
-        levels = []
-        with np.errstate(over="ignore"):
-            for d in range(DEPTH):
-                h = words.mixed(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, d])
-                if d + 1 in LEVELS:
-                    levels.append(h.view(np.int64).ravel())
+        upper = np.broadcast_to(np.arange(TREES, dtype=np.uint64)[None, :], s.shape[:2]).copy()
+        lower = np.zeros(s.shape[:2], np.uint64)
+        for d in range(DEPTH):
+            if d < 4:
+                upper = upper << np.uint64(15) | s[:, :, d] & np.uint64(0x7FFF)
+            else:
+                lower = lower << np.uint64(16) | s[:, :, d] & np.uint64(0xFFFF)
         doc = np.repeat(batch.column("doc_id").to_numpy(), TREES)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(x) for x in levels)], ["doc_id", *(f"k{i}" for i in range(len(LEVELS)))])
-
-
-def _regions(reps: DataFrame, scratch: tables.Scratch) -> tuple[DataFrame, DataFrame]:
-    """region, doc_id: classes of each tree's regions of at least two, large ones taken apart; and set, doc_id: the whole large ones."""
-    names = [f"k{i}" for i in range(len(LEVELS))]
-    rows = reps.select("doc_id", "signature").mapInArrow(_keys, "doc_id long, " + ", ".join(f"{k} long" for k in names))
-    done, rows = [], scratch.written(rows, "keys")
-    for level, k in enumerate(names):
-        size = rows.groupBy(k).agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where(F.col("size") > 1)
-        sized = rows.drop("size", "hub").join(size, k)
-        small = sized.where(F.col("size") <= REGION)
-        done.append(small.select(F.xxhash64(F.lit(level), k).alias("region"), "doc_id"))
-        large = scratch.written(sized.where(F.col("size") > REGION), "large")
-        if not level:
-            whole = large.select(F.col(k).alias("set"), "doc_id")
-        if large.isEmpty():
-            break
-        inner = names[level + 1] if level + 1 < len(names) else None
-        if inner is None:
-            salt = F.pmod(F.xxhash64("doc_id", k), F.ceil(F.col("size") / REGION))  # each tree deals its own way
-            part = F.xxhash64(F.lit(-1), F.col(k), salt)
-            done.append(large.select(part.alias("region"), "doc_id"))
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(upper.view(np.int64).ravel()), pa.array(lower.view(np.int64).ravel())], ["doc_id", "upper", "lower"])
+
+
+def common_prefix(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """How many minima each row of an order shares with the row before it."""
+    out = np.zeros(len(upper), np.int64)
+    x, y = upper[1:] ^ upper[:-1], lower[1:] ^ lower[:-1]
+    for d in range(1, 5):
+        out[1:] += (x >> np.uint64(60 - 15 * d)) == 0
+    for d in range(1, DEPTH - 3):
+        out[1:] += (x == 0) & ((y >> np.uint64(64 - 16 * d)) == 0)
+    return out
+
+
+def pieces(shared: np.ndarray, low: int) -> list[tuple[int, int]]:
+    """Stretches of a region in order, of `REGION` rows at most: cut where neighbours share least; shared[i] is about rows i - 1 and i."""
+    out, todo = [], [(0, len(shared), low)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a <= REGION:
+            out.append((a, b))
+        elif depth >= DEPTH:
+            out += [(i, min(i + REGION, b)) for i in range(a, b, REGION)]
         else:
-            part = F.xxhash64(F.lit(level + 1), inner)
-        done.append(large.select(part.alias("region"), F.col("hub").alias("doc_id")).distinct())
-        rows = large
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), whole
+            cut = [a, *(a + 1 + np.flatnonzero(shared[a + 1 : b] <= depth)).tolist(), b]
+            todo += [(x, y, depth + 1) for x, y in zip(cut, cut[1:])]
+    return sorted(out)
+
+
+_REGIONS = "region long, doc_id long, whole long, part int, torn boolean"
+
+
+def _regions(least: int):
+    """Regions of a task's stretch of the orders; `whole` names the uncut region of those that were cut (torn) or touch an end of the stretch."""
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        held = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        first, torn = True, False  # whether the held rows begin with the stretch's first region, and with one that was cut already
+
+        def found(rows: list[np.ndarray], ended: bool) -> pa.RecordBatch:
+            nonlocal number, first, torn
+            shared = common_prefix(rows[0], rows[1])
+            begin = np.flatnonzero(shared < least)
+            size = np.diff(np.append(begin, len(shared)))
+            name = words.mixed(rows[0][begin] >> np.uint64(60 - 15 * min(least, 4))).view(np.int64)
+            edge = np.zeros(len(begin), bool)
+            edge[0] |= first or torn
+            edge[-1] |= ended
+            plain = np.flatnonzero((size > 1) & (size <= REGION))
+            at = np.repeat(begin[plain], size[plain]) + np.arange(size[plain].sum()) - np.repeat(np.cumsum(size[plain]) - size[plain], size[plain])
+            columns = [[np.repeat(number + np.arange(len(plain)), size[plain])], [rows[2][at]], [np.repeat(name[plain], size[plain])], [np.repeat((torn & (plain == 0)), size[plain])], [np.repeat(edge[plain], size[plain])]]
+            number += len(plain)
+
+            def add(region: int | None, doc: np.ndarray, i: int, cut: bool) -> None:
+                for column, value in zip(columns, (-1 if region is None else region, doc, name[i], cut, True)):
+                    column.append(value if column is columns[1] else np.full(len(doc), value))
+
+            for i in np.flatnonzero((size > REGION) | (edge & (size == 1))).tolist():
+                own = slice(begin[i], begin[i] + size[i])
+                if size[i] == 1:
+                    add(None, rows[2][own], i, torn and i == 0)
+                    continue
+                doc = rows[2][own]
+                for a, b in pieces(shared[own], least):
+                    add(number, doc[max(a - 1, 0) : b], i, True)
+                    number += 1
+            region, doc, name_, cut, edge_ = (np.concatenate(c) for c in columns)
+            region = region.astype(np.int64)
+            none = region < 0
+            first = False
+            return pa.RecordBatch.from_arrays([pa.array((np.int64(part) << 36) + region, mask=none), pa.array(doc, pa.int64()), pa.array(name_.astype(np.int64), mask=~edge_.astype(bool)), pa.array(np.full(len(doc), part, np.int32)), pa.array(cut.astype(bool))], [c.split(" ")[0] for c in _REGIONS.split(", ")])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column("upper").to_numpy().view(np.uint64), batch.column("lower").to_numpy().view(np.uint64), batch.column("doc_id").to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            last = int(np.flatnonzero(common_prefix(held[0], held[1]) < least)[-1])
+            if last:  # all regions but the last have ended
+                yield found([x[:last] for x in held], False)
+                held, torn = [x[last:] for x in held], False
+            if len(held[0]) > HELD:  # a region too large to hold: its last row stays, as the next one's neighbour
+                yield found(held, True)
+                held, torn = [x[-1:] for x in held], True
+        if len(held[0]):
+            yield found(held, True)
+
+    return regions
+
+
+def _candidates(reps: DataFrame, least: int, scratch: tables.Scratch) -> tuple[DataFrame, DataFrame]:
+    """region, doc_id: regions of at least two classes in the trees' orders; and set, doc_id: the uncut regions of which a piece was cut."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = reps.select("doc_id", "signature").mapInArrow(_keys, "doc_id long, upper long, lower long")
+    order = rows.repartitionByRange(parts, "upper", "lower", "doc_id").sortWithinPartitions("upper", "lower", "doc_id")
+    found = scratch.written(order.mapInArrow(_regions(least), _REGIONS), "regions")
+    ends = found.where(F.col("whole").isNotNull())
+    cut = ends.groupBy("whole").agg(F.max("torn").alias("torn"), F.min("part").alias("from"), F.max("part").alias("to")).where(F.col("torn") | (F.col("from") < F.col("to")))
+    hot = ends.select("whole", "doc_id").distinct().join(cut.select("whole"), "whole")
+    return found.where(F.col("region").isNotNull()).select("region", "doc_id"), hot.select(F.col("whole").alias("set"), "doc_id")
 
 
 def _blocks(held: DataFrame, most: int) -> DataFrame:
@@ -150,12 +239,12 @@ def _blocks(held: DataFrame, most: int) -> DataFrame:
     return one.unionByName(other).select(F.xxhash64("set", "line", "column").alias("group"), "doc_id").distinct()
 
 
-def least_agreement() -> float:
-    p = PERCENT / 100
+def least_agreement(percent: int) -> float:
+    p = percent / 100
     return p - SLACK * (p * (1 - p) / (TREES * DEPTH)) ** 0.5
 
 
-def _tied(sizes: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+def _tied(sizes: np.ndarray, s: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the pairs that may be linked, strongest first (Prim)."""
     n = len(sizes)
     best, parent, out = np.full(n, -1.0), np.zeros(n, int), []
@@ -167,16 +256,16 @@ def _tied(sizes: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
         if not len(rest):
             break
         agree = (s[rest] == s[at]).mean(axis=1)
-        fits = 100 * np.minimum(sizes[rest], sizes[at]) >= PERCENT * np.maximum(sizes[rest], sizes[at])
+        fits = 100 * np.minimum(sizes[rest], sizes[at]) >= percent * np.maximum(sizes[rest], sizes[at])
         better = fits & (agree > best[rest])
         best[rest[better]], parent[rest[better]] = agree[better], at
         at = int(rest[best[rest].argmax()])
-        if best[at] >= least_agreement():
+        if best[at] >= least_agreement(percent):
             out.append((int(parent[at]), at))
     return out
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) of each region's forest; rows come ordered by region."""
     held: list[pa.RecordBatch] = []
 
@@ -186,12 +275,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         count = np.diff(np.append(start, len(region)))
         two = start[count == 2]
-        fits = 100 * np.minimum(size[two], size[two + 1]) >= PERCENT * np.maximum(size[two], size[two + 1])
+        fits = 100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1])
         two = two[fits]
-        two = two[(s[two] == s[two + 1]).mean(axis=1) >= least_agreement()]
+        two = two[(s[two] == s[two + 1]).mean(axis=1) >= least_agreement(percent)]
         a, b = [doc[two]], [doc[two + 1]]
         for i, n in zip(start[count > 2].tolist(), count[count > 2].tolist()):
-            if pairs := _tied(size[i : i + n], s[i : i + n]):
+            if pairs := _tied(size[i : i + n], s[i : i + n], percent):
                 x, y = np.array(pairs).T
                 a.append(doc[i + x])
                 b.append(doc[i + y])
@@ -221,7 +310,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), batch.column("part"), sets], ["doc_id", "group", "part", "set"])
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = None) -> np.ndarray:
+def linked(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """For each of some sets the smallest id that confirmed links reach from it; exact.  Sets of one `part` are linked already."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -238,52 +327,57 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], part: np.ndarray | None = No
         mark = np.zeros(code.max() + 1, np.int32)
         mark[code[begin[p] : begin[p] + size[p]]] = 1
         common = np.add.reduceat(mark[code], begin)
-        hit = 100 * common >= PERCENT * (size + size[p] - common)
+        hit = 100 * common >= percent * (size + size[p] - common)
         group[np.isin(group, np.unique(group[hit]))] = group[p]
     out = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(out, group, ids)
     return out[group]
 
 
-def _confirmed(table: pa.Table) -> pa.Table:
-    table = table.sort_by("doc_id")
-    ids = table.column("doc_id").to_numpy()
-    least = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], table.column("part").to_numpy())
-    return pa.table({"a": pa.array(least), "b": pa.array(ids)})
+def _confirmed(percent: int):
+    def confirmed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        ids = table.column("doc_id").to_numpy()
+        least = linked(ids, [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], table.column("part").to_numpy(), percent)
+        return pa.table({"a": pa.array(least), "b": pa.array(ids)})
+
+    return confirmed
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept."""
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links of `percent` similarity or more reach), kept."""
     spark = docs.sparkSession
     with tables.Scratch(spark) as scratch:
         cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         base = scratch.written(cut.mapInArrow(_base, "doc_id long, n_shingles long, print binary, signature binary"), "signatures")
         full = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-        classes = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"))
-        members = scratch.written(full.select("doc_id", "print", "n_shingles").join(classes, ["print", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members")
+        several = full.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+        several = scratch.written(several.drop("rows"), "several")  # read from a table, so that Spark may split a class with very many rows
+        members = full.select("doc_id", "print", "n_shingles").join(several, ["print", "n_shingles"], "left")
+        members = scratch.written(members.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
         reps = full.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         reps = scratch.written(reps.select("doc_id", "n_shingles", "signature"), "classes")
-        regions, hot = _regions(reps, scratch)
+        regions, hot = _candidates(reps, shallowest(percent), scratch)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
         def tied(regions: DataFrame, name: str) -> DataFrame:
             gathered = regions.join(reps, "doc_id").repartition(tasks, "region").sortWithinPartitions("region", "doc_id")
-            return scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(_forest, "a long, b long").distinct(), name)
+            return scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(partial(_forest, percent), "a long, b long").distinct(), name)
 
         def confirmed(ends: DataFrame, name: str) -> DataFrame:
             texts = cut.join(ends, "doc_id").select("doc_id", "group", "part", "text")
-            links = texts.mapInArrow(_sets, "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed, "a long, b long")
+            links = texts.mapInArrow(_sets, "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed(percent), "a long, b long")
             return scratch.written(links.where("a <> b"), name)
 
         def in_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
             return rows.join(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
 
         forest = tied(regions, "forest")
-        near = components(forest)
+        near = components(forest, scratch)
         if not hot.isEmpty():
             met = _blocks(in_parts(hot, near).withColumn("weight", F.lit(1)), max(REGION // 2, 1))
             forest = forest.unionByName(tied(met.withColumnRenamed("group", "region"), "forest-blocks")).distinct()
-            near = components(forest)
+            near = components(forest, scratch)
         sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
         weight = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GATHERED).alias("parts"))
         split = forest.join(near.withColumnRenamed("node", "a"), "a").join(weight, "label")
@@ -292,10 +386,10 @@ def groups(docs: DataFrame) -> DataFrame:
         links = confirmed(scratch.written(ends, "neighbourhoods"), "links")
         large = scratch.written(sized.join(weight.where(F.col("parts") > 1), "label").select(F.col("label").alias("set"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("weight")), "large")
         if not large.isEmpty():
-            held = scratch.written(in_parts(large, components(links)), "parts")
+            held = scratch.written(in_parts(large, components(links, scratch)), "parts")
             ends = _blocks(held, max(GATHERED // 2, 1)).join(held.select("doc_id", "part"), "doc_id")
             links = links.unionByName(confirmed(scratch.written(ends, "blocks"), "links-blocks"))
-        labels = components(links)
+        labels = components(links, scratch)
         labels = labels.select(F.col("node").alias("rep"), "label")
         found = members.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
         out = base.select("doc_id", "n_shingles").join(found, "doc_id", "left")
@@ -305,7 +399,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents."""
-    return groups(tables.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups(tables.read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
 ORACLE_SQL = r"""

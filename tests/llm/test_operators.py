@@ -239,7 +239,7 @@ def test_templates_need_their_key_phrases(spark):
 # 7. near duplicates
 
 
-def grouped(docs):
+def grouped(docs, percent=85):
     sets: dict = defaultdict(set)
     size = []
     for d, text in docs:
@@ -258,7 +258,7 @@ def grouped(docs):
 
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if any(s and t and 100 * len(s & t) >= 85 * len(s | t) for s in sets[a] for t in sets[b]):
+            if any(s and t and 100 * len(s & t) >= percent * len(s | t) for s in sets[a] for t in sets[b]):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return [(d, len(s), None if d is None else root(d), d is None or root(d) == d) for d, s in size]
@@ -272,9 +272,10 @@ def test_groups_equal_brute_force(spark, odd):
 
 def test_large_regions_go_deeper_and_lose_nothing(spark, odd, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "HELD", 10)
     monkeypatch.setattr(near_dedup, "GATHERED", 400)
     docs = [(r.doc_id, r.text) for r in rows(spark, odd) if r.doc_id is not None and 200 <= r.doc_id < 400]
-    got = Counter(tuple(r) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    got = Counter(tuple(r) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect())
     assert got == Counter(grouped(docs))
 
 
@@ -299,19 +300,64 @@ def test_isolated_pairs_inside_unlinked_boilerplate_are_found(spark, monkeypatch
     docs = unlinked_documents(36, 8, 2)
     want = grouped(docs)
     assert sum(not k for *_, k in want) == 8
-    got = Counter(tuple(r) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    got = Counter(tuple(r) for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect())
     assert got == Counter(want)
 
 
+def test_a_thousand_near_copies_in_small_regions_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    monkeypatch.setattr(near_dedup, "HELD", 64)
+    monkeypatch.setattr(near_dedup, "GATHERED", 20_000)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(1100):
+        words = list(base)
+        words[int(rng.integers(120))] = f"e{i}"
+        docs.append((i, " ".join(words)))
+    docs += [(5000 + i, " ".join(f"o{i}x{j % 50}" for j in range(60))) for i in range(40)]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: 0 if d < 5000 else d for d, _ in docs}
+
+
+def test_similarity_is_a_parameter(spark):
+    base = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(base))]
+    for d, edits in ((2, 2), (3, 4), (4, 8)):
+        words = list(base)
+        for k in range(edits):
+            words[20 + 20 * k] = f"e{d}x{k}"
+        docs.append((d, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for percent in (70, 80, 90, 95):
+        assert Counter(tuple(r) for r in near_dedup.groups(frame, percent).collect()) == Counter(grouped(docs, percent))
+
+
+def test_orders_are_cut_where_neighbours_share_least(monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 3)
+    assert near_dedup.pieces(np.array([0, 5, 4, 7, 6, 8, 8, 8, 8]), 4) == [(0, 2), (2, 4), (4, 7), (7, 9)]
+    rng = np.random.default_rng(3)
+    minima = rng.integers(0, 2, (400, near_dedup.DEPTH))
+    upper, lower = np.zeros(400, np.uint64), np.zeros(400, np.uint64)
+    for d in range(near_dedup.DEPTH):
+        if d < 4:
+            upper = upper << np.uint64(15) | minima[:, d].astype(np.uint64)
+        else:
+            lower = lower << np.uint64(16) | minima[:, d].astype(np.uint64)
+    want = [0] + [next((d for d in range(near_dedup.DEPTH) if a[d] != b[d]), near_dedup.DEPTH) for a, b in zip(minima, minima[1:])]
+    assert near_dedup.common_prefix(upper, lower).tolist() == want
+    assert [near_dedup.shallowest(p) for p in (80, 85, 95)] == [3, 4, 8]
+
+
 def test_members_of_a_part_are_linked_already():
     sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 2, 500, 502, 900)]
-    assert near_dedup.linked(np.array([4, 7, 9, 2, 1]), sets, np.array([5, 5, 6, 7, 5])).tolist() == [1, 1, 2, 2, 1]
+    assert near_dedup.linked(np.array([4, 7, 9, 2, 1]), sets, np.array([5, 5, 6, 7, 5]), percent=85).tolist() == [1, 1, 2, 2, 1]
 
 
 def test_links_are_decided_on_whole_sets():
     base = np.arange(100, dtype=np.uint64)
     sets = [base, base[:92], np.concatenate([base[:92], np.arange(200, 208, dtype=np.uint64)]), np.arange(500, 600, dtype=np.uint64)]
-    assert near_dedup.linked(np.array([4, 7, 9, 2]), sets).tolist() == [4, 4, 4, 2]
+    assert near_dedup.linked(np.array([4, 7, 9, 2]), sets, percent=85).tolist() == [4, 4, 4, 2]
 
 
 # 8. archives

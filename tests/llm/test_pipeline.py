@@ -23,7 +23,7 @@ def test_stages_keep_clean_documents_and_their_columns(spark, odd):
     assert len(after) >= len(before) - 8
 
     before, after = seen["near_dedup"]
-    kept = {d for d, _, _, k in grouped([(r.doc_id, r.text) for r in before]) if k}
+    kept = {d for d, _, _, k in grouped([(r.doc_id, r.text) for r in before], 80) if k}
     assert {r.doc_id for r in after} == kept
 
     before, after = seen["substring_dedup"]

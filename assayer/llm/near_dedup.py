@@ -365,7 +365,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(partial(_forest, percent), "a long, b long").distinct(), name)
 
         def confirmed(ends: DataFrame, name: str) -> DataFrame:
-            texts = cut.join(ends, "doc_id").select("doc_id", "group", "part", "text")
+            texts = cut.join(tables.checked(ends), "doc_id").select("doc_id", "group", "part", "text")
             links = texts.mapInArrow(_sets, "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed(percent), "a long, b long")
             return scratch.written(links.where("a <> b"), name)
 

@@ -50,19 +50,34 @@ class Scratch:
     """Written tables that go when the block that made them ends; what it returns must not read them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths = spark, {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}")
-        df.write.option("compression", "zstd").parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.setdefault(name, []).append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Deletes the tables of a name before the block ends."""
+        for path in self.paths.pop(name, ()):
+            gone(self.spark, path)
 
     def __exit__(self, *_) -> None:
-        for path in self.paths:
-            gone(self.spark, path)
+        for name in list(self.paths):
+            self.drop(name)
+
+
+#: Most rows that `checked` lets Spark broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has `BROADCAST_ROWS` rows at most, and else to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def held_out(doc_id: str, folds: int, fold: int):

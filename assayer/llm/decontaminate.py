@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embeddings, bit-sampling LSH and exact edit distance.
 
-Texts are words (A-Z lower-cased, runs of letters, digits and non-ASCII).  A
-document leaks an item if some stretch of it is within an edit distance, counted
+Texts are words (A-Z lower-cased, runs of letters, digits and non-ASCII; in scripts
+that don't part words, as Han, kana or Thai, each character is one).  A document
+leaks an item if some stretch of it is within an edit distance, counted
 in words, of (100 - PERCENT) % of the item's words.
 
 CGK random-walk embedding: a walk starts at a window's first word and at step j
@@ -21,8 +22,14 @@ semi-global alignment decides it exactly.
 One map over whole documents, in which the items (at most `BLOCK_WORDS` words of
 them; more go in several passes) are broadcast.
 
-Defined results: null and empty texts leak nothing; items of fewer than
-`MIN_WORDS` words take no part, as chance would find them in clean text.
+Items of fewer than `MIN_WORDS` words, which allow no edit or one, are looked for
+word by word, if their words have `min_bytes` bytes or more: chance would find
+shorter ones in clean text.
+
+Defined results: null and empty texts leak nothing, null and empty items are never
+leaked; rows that repeat leak each; of an item's stretches that are equally close
+the first is given; items with one text are each leaked; empty tables give no
+rows.  Texts of any length count whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ from assayer.llm import tables, words
 
 #: Least similarity in hundredths, words of the shortest item, and words of items in one pass.
 PERCENT, MIN_WORDS, BLOCK_WORDS = 80, 8, 1 << 20
+#: Least bytes of a shorter item's words.
+MIN_BYTES = 24
 #: Walks, keys of each, and embedding places in a key.
 WALKS, SAMPLES, PLACES = 4, 8, 3
 #: Words of a segment: items of twice as many are cut.
@@ -55,14 +64,20 @@ def distance_allowed(n: int) -> int:
 
 
 class Items:
-    """Items as word hashes, with the keys of their segments' embeddings by class and key number."""
+    """Items as word hashes, with the keys of their segments' embeddings by class and key number; short ones by their first word."""
 
-    def __init__(self, ids: list, texts: list[str | None], seed: int = 5):
-        w = words.split(pa.array([(t or "").encode() for t in texts], pa.binary()), words.NOT_ALNUM, lower=True)
+    def __init__(self, ids: list, texts: list[str | None], seed: int = 5, min_bytes: int = MIN_BYTES):
+        w = words.split(pa.array([(t or "").encode() for t in texts], pa.binary()), words.NOT_ALNUM, lower=True, characters=True)
         h = w.hashes()
         kept = np.flatnonzero(w.counts >= MIN_WORDS)
-        self.ids = [ids[i] for i in kept]
-        self.words = [h[w.first[i] : w.first[i + 1]] for i in kept]
+        letters = words.sums_by_text(w.ends - w.starts, w.first)
+        short = np.flatnonzero((w.counts > 0) & (w.counts < MIN_WORDS) & (letters >= min_bytes))
+        self.ids = [ids[i] for i in (*kept, *short)]
+        self.words = [h[w.first[i] : w.first[i + 1]] for i in (*kept, *short)]
+        self.short = sorted((int(self.words[i][0]), i) for i in range(len(kept), len(self.ids)))
+        self.heads = np.array([x for x, _ in self.short], np.uint64)
+        self.shorts = np.array([i for _, i in self.short], np.int64)
+        short_words, self.words = self.words[len(kept) :], self.words[: len(kept)]
         self.known = np.unique(np.concatenate(self.words)) if len(kept) else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
@@ -89,6 +104,17 @@ class Items:
             maybe = np.zeros(1 << 18, bool)
             maybe[(np.concatenate(keys) >> np.uint64(46)).astype(np.int64)] = True
             self.classes.append((least, longest, moves, places, index, maybe))
+        self.words += short_words
+
+    def exact(self, h: np.ndarray, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where short items stand word by word: first words and items."""
+        a, b = np.searchsorted(self.heads, h, "left"), np.searchsorted(self.heads, h, "right")
+        n = b - a
+        at = np.repeat(np.arange(len(h)), n)
+        item = self.shorts[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(at) else at
+        stop = w.first[np.searchsorted(w.first, at, "right")]
+        good = [len(self.words[i]) <= e - p and (h[p : p + len(self.words[i])] == self.words[i]).all() for p, i, e in zip(at.tolist(), item.tolist(), stop.tolist())]
+        return at[good], item[good]
 
     def contains(self, h: np.ndarray) -> np.ndarray:
         out = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
@@ -156,7 +182,7 @@ def _leaks(shipped, keep: str):
     def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shipped.value
         for batch in words.slices(batches, "text"):
-            w = words.split(batch.column("text"), words.NOT_ALNUM, lower=True)
+            w = words.split(batch.column("text"), words.NOT_ALNUM, lower=True, characters=True)
             if not len(w) or not items.ids:
                 continue
             h = w.hashes()
@@ -178,6 +204,10 @@ def _leaks(shipped, keep: str):
                     d, a, b = aligned(word, texts)
                     good = d <= k
                     rows += zip(doc[good], np.full(good.sum(), i), d[good], (at - k + a)[good] - w.first[doc[good]], (b - a)[good])
+            if len(items.heads):
+                at, exact = items.exact(h, w)
+                doc = np.searchsorted(w.first, at, "right") - 1
+                rows += zip(doc, exact, np.zeros(len(at), np.int64), at - w.first[doc], np.array([len(items.words[i]) for i in exact], np.int64))
             best: dict[tuple, tuple] = {}
             for doc, i, d, a, n in rows:
                 best[doc, i] = min(best.get((doc, i), (d, a, n)), (d, a, n))
@@ -192,7 +222,7 @@ def _leaks(shipped, keep: str):
     return leaks
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, start_word, n_words (the closest stretch), distance, similarity."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
@@ -202,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = []
     for b in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == b).orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
-        shipped = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        shipped = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], min_bytes=min_bytes))
         found.append(cut.mapInArrow(_leaks(shipped, "doc_id"), f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, start_word long, n_words long, distance int, similarity double"))
     return reduce(DataFrame.unionByName, found)
 

@@ -133,8 +133,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def split(column: pa.Array, between: np.ndarray = SPACES, lower: bool = False) -> Words:
-    """The words of each text: longest runs of bytes that aren't in `between`, after A-Z become a-z if `lower`."""
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters of scripts that don't part words begin and end: Thai, Lao, Myanmar, Khmer, kana, Han."""
+    two = np.append(data[1:], 0)
+    lead = ((data == 0xE0) & (two >= 0xB8) & (two <= 0xBB)) | ((data == 0xE1) & ((two <= 0x82) | (two == 0x9E) | (two == 0x9F)) & (two >= 0x80)) | (data == 0xE3) | ((data >= 0xE4) & (data <= 0xE9)) | ((data == 0xF0) & (two >= 0xA0))
+    at = np.flatnonzero(lead)
+    return at, np.minimum(at + np.where(data[at] == 0xF0, 4, 3), len(data))
+
+
+def split(column: pa.Array, between: np.ndarray = SPACES, lower: bool = False, characters: bool = False) -> Words:
+    """The words of each text: longest runs of bytes that aren't in `between`, after A-Z become a-z if `lower`.
+
+    With `characters` each character of a script that doesn't part words is one.
+    """
     data, offsets = buffers(column)
     if lower:
         data = LOWER[data]
@@ -142,6 +153,9 @@ def split(column: pa.Array, between: np.ndarray = SPACES, lower: bool = False) -
     np.logical_not(between[data], out=inside[1:-1])
     first_byte = np.zeros(len(data) + 1, bool)
     first_byte[offsets] = True
+    if characters and len(data) and data.max() >= 0xE0:
+        begin, end = _alone(data)
+        first_byte[begin], first_byte[end] = True, True
     at = inside[1:-1]
     starts = np.flatnonzero(at & (~inside[:-2] | first_byte[:-1]))
     ends = np.flatnonzero(at & (~inside[2:] | first_byte[1:])) + 1

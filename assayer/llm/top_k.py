@@ -18,7 +18,8 @@ may be the query's own), so the others leave before phase 1.
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part; only vectors of equal length are compared; of rows that
 share an id the smallest vector counts; a query with fewer than k others gets
-them all.
+them all; an empty table gives no rows; other columns don't matter.  Vectors of
+any length are scored whole.
 """
 
 from __future__ import annotations
@@ -71,7 +72,12 @@ def _bounds(size: int, part: int, lists: int) -> tuple[int, int]:
 
 
 def _local(queries, lists: int, k: int, second: bool):
-    """Phase 1 or 2 over rows (part, size, vec_id, v): entries (query_id, part, vec_id, score)."""
+    """Phase 1 or 2 over rows (part, size, vec_id, v): entries (query_id, part, vec_id, score).
+
+    In phase 2 an entry's score is by how much it helps its vector to reach the
+    query's cut-off t: lists * score - t + 1, so that sums over the lists that sent
+    one, with t - 1 in place of the others, reach t if these reach `lists`.
+    """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = queries.value.by_size
@@ -97,7 +103,7 @@ def _local(queries, lists: int, k: int, second: bool):
                     own = ids[at][None, :] == q_ids[:, None]
                     if second:
                         row, col = np.nonzero((score >= -(-least[:, None] // lists)) & ~own)
-                        yield rows(p, q_ids[row], ids[at][col], score[row, col])
+                        yield rows(p, q_ids[row], ids[at][col], np.where(least[row] == _NONE, lists, lists * score[row, col] - least[row] + 1))
                     else:
                         score[own] = _NONE
                         found = np.broadcast_to(ids[at], score.shape)
@@ -120,19 +126,21 @@ def _whole(queries):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = queries.value
         for batch in batches:
-            v, asked = batch.column("v"), batch.column("asked")
-            flat, offset = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))])
-            wanted, cut = asked.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))])
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-            for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
-                ids, q, least = held.by_size[offset[i + 1] - offset[i]]
-                mine = wanted[cut[i] : cut[i + 1]]
-                at = np.searchsorted(ids, mine)
-                score = _products(q[at], flat[None, offset[i] : offset[i + 1]])[:, 0]
-                good = score >= least[at]
-                for column, value in zip(out, (mine[good], np.full(good.sum(), vec_id), score[good])):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+            v, asked, ids = batch.column("v"), batch.column("asked"), batch.column("vec_id").to_numpy(zero_copy_only=False)
+            size, m = v.value_lengths().to_numpy(zero_copy_only=False), asked.value_lengths().to_numpy(zero_copy_only=False)
+            flat, offset = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            wanted, cut = asked.flatten().to_numpy(zero_copy_only=False), np.cumsum(m) - m
+            for n in np.unique(size).tolist():
+                q_ids, q, least = held.by_size[n]
+                every = np.flatnonzero(size == n)
+                for i in range(0, len(every), ROWS):  # a tile: some vectors, and all queries that ask for one of them
+                    at = every[i : i + ROWS]
+                    row = np.repeat(np.arange(len(at)), m[at])
+                    pick = wanted[np.repeat(cut[at] - (np.cumsum(m[at]) - m[at]), m[at]) + np.arange(len(row))]
+                    which, own = np.unique(np.searchsorted(q_ids, pick), return_inverse=True)
+                    score = _products(q[which], flat[offset[at][:, None] + np.arange(n)[None, :]])[own, row]
+                    good = score >= least[which[own]]
+                    yield pa.RecordBatch.from_arrays([pa.array(pick[good]), pa.array(ids[at][row[good]]), pa.array(score[good])], ["query_id", "vec_id", "score"])
 
     return scores
 
@@ -150,30 +158,31 @@ def _best(scored: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all others for each row of `vectors` that is_query holds for."""
-    spark = vectors.sparkSession
-    every = tables.kept(integers(vectors))
-    queries = every.where(is_query)
-    same = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
-    candidates = tables.kept(every.withColumn("same", same).where(F.col("same") <= k + 1).select("vec_id", "v"))
-    size = F.size("v")
-    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.slice("v", (F.floor(size * p / lists) + 1).cast("int"), (F.floor(size * (p + 1) / lists) - F.floor(size * p / lists)).cast("int")).alias("v")) for p in range(lists)]))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = candidates.select("vec_id", size.alias("size"), parts.alias("x")).select("vec_id", "size", "x.part", "x.v").repartition(tasks, "part", "vec_id")
-    dealt = tables.kept(dealt)
-    blocks = max(1, -(-queries.count() // block))
-    found = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about `block` rows
-        shipped = spark.sparkContext.broadcast(_Queries(rows))
-        shape = "query_id long, part int, vec_id long, score long"
-        local = _best(dealt.mapInArrow(_local(shipped, lists, k, False), shape), k, "query_id", "part")
-        first = _resolved(local.select("query_id", "vec_id").distinct(), candidates, shipped)
-        reached = {r["query_id"]: r["score"] for r in _best(first, k, "query_id").where(F.col("rank") == k).collect()}
-        cut = spark.sparkContext.broadcast(_Queries(rows, reached))
-        least = spark.createDataFrame([(q, t) for q, t in reached.items()], "query_id long, t long")
-        sent = dealt.mapInArrow(_local(cut, lists, k, True), shape).groupBy("query_id", "vec_id").agg(F.sum("score").alias("known"), F.count("*").alias("n"))
-        open_ = sent.join(F.broadcast(least), "query_id", "left").where(F.col("t").isNull() | (F.col("known") * lists + (lists - F.col("n")) * (F.col("t") - 1) >= F.col("t") * lists))
-        found.append(_best(_resolved(open_.select("query_id", "vec_id"), candidates, cut), k, "query_id"))
+    spark, found = vectors.sparkSession, []
+    with tables.Scratch(spark) as scratch:
+        every = scratch.written(integers(vectors), "vectors")
+        queries = every.where(is_query)
+        same = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+        candidates = scratch.written(every.withColumn("same", same).where(F.col("same") <= k + 1).select("vec_id", "v"), "candidates")
+        size = F.size("v")
+        parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.slice("v", (F.floor(size * p / lists) + 1).cast("int"), (F.floor(size * (p + 1) / lists) - F.floor(size * p / lists)).cast("int")).alias("v")) for p in range(lists)]))
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = candidates.select("vec_id", size.alias("size"), parts.alias("x")).select("vec_id", "size", "x.part", "x.v").repartition(tasks, "part", "vec_id")
+        dealt = scratch.written(dealt, "lists")
+        blocks = max(1, -(-queries.count() // block))
+        for b in range(blocks):
+            rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about `block` rows
+            shipped = spark.sparkContext.broadcast(_Queries(rows))
+            shape = "query_id long, part int, vec_id long, score long"
+            local = _best(dealt.mapInArrow(_local(shipped, lists, k, False), shape), k, "query_id", "part")
+            first = _resolved(local.select("query_id", "vec_id").distinct(), candidates, shipped)
+            reached = {r["query_id"]: r["score"] for r in _best(first, k, "query_id").where(F.col("rank") == k).collect()}
+            cut = spark.sparkContext.broadcast(_Queries(rows, reached))
+            sent = dealt.mapInArrow(_local(cut, lists, k, True), shape).groupBy("query_id", "vec_id").agg(F.sum("score").alias("helps"))
+            open_ = sent.where(F.col("helps") >= lists).select("query_id", "vec_id")
+            found.append(tables.written(_best(_resolved(open_, candidates, cut), k, "query_id"), "best"))
+            shipped.destroy()
+            cut.destroy()
     return reduce(DataFrame.unionByName, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -6,13 +6,21 @@ that share a minimiser travel as one packed string (a super-k-mer) to the
 minimiser's bucket, so that equal windows of all documents meet in one bucket,
 where sorting finds them exactly.
 
+Runs that very many windows would choose come last in that order, so a window
+takes one only if it holds nothing else, and no bucket gets a large share of the
+windows.  One document in `SURVEYED` says which runs those are (as cells that
+hashes fall into); that only orders them: equal windows always choose alike, so
+what is found doesn't depend on it.
+
 Before the shuffle, equal super-k-mers of a task become one, with the smallest
 doc_id that has it; the task already knows that its other documents repeat it.
 So a bucket gets a passage once a task, however many documents share it.
 Buckets answer with runs of repeated words, which meet their documents again.
 
 Defined results: null texts have no words; rows with a null doc_id lose nothing
-and take nothing from others; rows that share a doc_id don't repeat each other.
+and take nothing from others; rows that share a doc_id, repeated rows too, don't
+repeat each other; an empty table gives no rows.  Texts of any length count whole;
+`remove_repeats` keeps columns of any name, and doc_id's type.
 """
 
 from __future__ import annotations
@@ -23,18 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 
-WINDOW, MINIMISER = 13, 2
+WINDOW, MINIMISER = 13, 3
+#: One document in so many is surveyed for frequent runs; cells of runs' hashes, and by how many times the average a cell is frequent.
+SURVEYED, CELLS, FREQUENT = 16, 1 << 20, 16
 #: Most windows in a packed string; longer runs of a minimiser go as several.
 LONGEST = 48
 #: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
 BUCKET_BYTES, HELD_BYTES = 3 << 20, 16 << 20
 
-_BLOCK = "bucket int, found boolean, rows int, bytes int, packed binary"
+_BLOCK = "bucket long, found boolean, rows int, bytes int, packed binary"
+_LAST = np.uint64(1 << 63)
 _RUNS = "doc_id long, start int, stop int"
 
 
@@ -56,11 +68,14 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (n - width)], values[n - width :]) if n > width else values
 
 
-def super_kmers(w: words.Words, window: int = WINDOW, minimiser: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of consecutive windows that share a minimiser: first word, number of words, and the minimiser's hash."""
+def super_kmers(w: words.Words, window: int = WINDOW, minimiser: int = MINIMISER, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of consecutive windows that share a minimiser: first word, number of words, and the minimiser's hash; `frequent` flags the cells of runs that come last."""
     if len(w) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = _least(_run_hashes(w.hashes(), minimiser), window - minimiser + 1)
+    runs = _run_hashes(w.hashes(), minimiser) >> np.uint64(1)
+    if frequent is not None:
+        runs[frequent[(runs & np.uint64(CELLS - 1)).astype(np.int64)]] |= _LAST
+    least = _least(runs, window - minimiser + 1)
     n = np.maximum(w.counts - window + 1, 0)  # windows of each text
     first = np.repeat(w.first[:-1], n)
     begin = np.cumsum(n) - n
@@ -103,8 +118,8 @@ def _unpack(rows: int, size: int, packed: bytes) -> tuple[np.ndarray, np.ndarray
 class _Outbox:
     """Holds a task's super-k-mers and sends each bucket a block of them."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.texts, self.rows = buckets, 0, [], []
+    def __init__(self, buckets: int, turn: int = 0):
+        self.buckets, self.turn, self.held, self.texts, self.rows = buckets, turn, 0, [], []
 
     def put(self, texts: list[bytes], docs: np.ndarray, first: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> None:
         self.texts += texts
@@ -122,34 +137,59 @@ class _Outbox:
         kept = np.flatnonzero(docs == smallest[code])
         gone = np.flatnonzero(docs != smallest[code])
         order = kept[np.lexsort((first[kept], code[kept], bucket[kept]))]
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        cut = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
         columns: list[list] = [[], [], [], [], []]
 
         def put(*values) -> None:
             for column, value in zip(columns, values):
                 column.append(value)
 
-        for b in range(self.buckets):
-            at = order[cut[b] : cut[b + 1]]
-            if len(at):
-                new = np.append(True, code[at][1:] != code[at][:-1])
-                texts = b"\n".join(unique.take(pa.array(code[at][new])).to_pylist())
-                put(b, False, len(at), len(texts), _pack(docs[at], first[at], new, texts))
-        step = -(-len(gone) // self.buckets) if len(gone) else 1
-        for b, i in enumerate(range(0, len(gone), step)):  # the repeats that this task has found itself, dealt evenly
+        for at in np.split(order, cut[1:]):
+            new = np.append(True, code[at][1:] != code[at][:-1])
+            texts = b"\n".join(unique.take(pa.array(code[at][new])).to_pylist())
+            put(bucket[at[0]], False, len(at), len(texts), _pack(docs[at], first[at], new, texts))
+        step = max(1024, -(-len(gone) // self.buckets))
+        for i in range(0, len(gone), step):  # the repeats that this task has found itself, dealt evenly
             at = gone[i : i + step]
-            put(b, True, len(at), 0, _pack(docs[at], first[at], first[at] + count[at], b""))
+            put(self.turn % self.buckets, True, len(at), 0, _pack(docs[at], first[at], first[at] + count[at], b""))
+            self.turn += 1
         self.held, self.texts, self.rows = 0, [], []
-        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "found", "rows", "bytes", "packed"])
 
 
-def _send(buckets: int):
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by their minimiser's cell, where a cell has many; with cell -1 all windows, with -2 the bytes of all texts."""
+    n, size = np.zeros(CELLS, np.int64), 0
+    for batch in batches:
+        size += int(pc.sum(batch.column("bytes")).as_py() or 0)
+        for part in words.slices(iter([batch]), "text"):
+            _, count, key = super_kmers(words.split(part.column("text")))
+            cell, at = np.unique((key & np.uint64(CELLS - 1)).astype(np.int64), return_inverse=True)
+            n[cell] += np.bincount(at, count - WINDOW + 1, len(cell)).astype(np.int64)
+    many = np.flatnonzero(n > max(1, FREQUENT * n.sum() // (4 * CELLS)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], many])), pa.array(np.concatenate([[size, n.sum()], n[many]]))], ["cell", "n"])
+
+
+def survey(docs: DataFrame, scratch: tables.Scratch) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and the cells of frequent runs (of CELLS / FREQUENT at most)."""
+    one = F.pmod(F.xxhash64("doc_id"), F.lit(SURVEYED)) == 0
+    cut = docs.select(F.octet_length("text").cast("long").alias("bytes"), F.when(one, F.col("text")).cast("binary").alias("text"))
+    cells = scratch.written(cut.mapInArrow(_surveyed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    held = {r["cell"]: r["n"] for r in cells.where(F.col("cell") < 0).collect()}
+    windows = held.get(-1, 0)
+    rows = cells.where((F.col("cell") >= 0) & (F.col("n") > F.lit(max(8, FREQUENT * windows // CELLS)))).select("cell").collect()
+    return held.get(-2, 0), np.array(sorted(r["cell"] for r in rows), np.int64)
+
+
+def _send(buckets: int, shipped):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = _Outbox(buckets)
+        box = _Outbox(buckets, TaskContext.get().partitionId() * 7919)
+        frequent = np.zeros(CELLS, bool)
+        frequent[shipped.value] = True
         for batch in words.slices(batches, "text", 1 << 20):
             w = words.split(batch.column("text"))
-            start, count, key = super_kmers(w)
+            start, count, key = super_kmers(w, frequent=frequent)
             if len(start):
                 text, begin = _joined(w)
                 of = np.searchsorted(w.first, start, "right") - 1
@@ -226,9 +266,11 @@ def _answer(group: pa.Table) -> pa.Table:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Runs of words (doc_id, start, stop) that windows of a smaller doc_id cover; a word may be in several runs."""
     cut = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    return cut.mapInArrow(_send(buckets), _BLOCK).groupBy("bucket").applyInArrow(_answer, _RUNS)
+    spark = docs.sparkSession
+    with tables.Scratch(spark) as scratch:
+        size, frequent = survey(docs, scratch)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return cut.mapInArrow(_send(buckets, spark.sparkContext.broadcast(frequent)), _BLOCK).groupBy("bucket").applyInArrow(_answer, _RUNS)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +337,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     types = dict(docs.dtypes)
     out = joined.mapInArrow(replaced, ", ".join(["doc_id long", "text binary", *(f"{n} {types[c]}" for c, n in names.items())]))
-    back = {"doc_id": F.col("doc_id"), "text": F.col("text").cast("string").alias("text"), **{c: F.col(n).alias(c) for c, n in names.items()}}
+    back = {"doc_id": F.col("doc_id").cast(types["doc_id"]).alias("doc_id"), "text": F.col("text").cast("string").alias("text"), **{c: F.col(n).alias(c) for c, n in names.items()}}
     return out.select(*(back[c] for c in docs.columns))
 
 

@@ -1,11 +1,13 @@
 """Licence scans with a positional index of rare licence words.
 
-A first pass counts, over all texts, in how many each licence word occurs.  Each
-template is then indexed by the positions of its `RARE` words of highest inverse
-document frequency.  The second pass looks up the index words of each text; every
-hit proposes a place where the template would start, places proposed by enough of
-its rare words are candidates, and a candidate is kept if enough of the template's
-words stand at their places and all its mandatory key phrases do, exactly.
+A first pass counts, over all texts, in how many each licence word occurs.  The
+index has a posting (template, position) for each word of each template.  The
+second pass looks up each text's own licence words: of a template's words that
+the text holds, the `RARE` of highest inverse document frequency propose places
+where the template would start, and places that enough of them propose, within
+`drift` words of each other, are candidates.  A candidate is kept if enough of the
+template's words stand at their places, again within the drift, and all its
+mandatory key phrases stand there exactly.
 
 Base phrases are templates whose words must all stand at their places; the
 rarest word alone proposes theirs, so none is missed.
@@ -14,12 +16,14 @@ Both passes only map over whole texts; the counts that come back are one row per
 licence word and task.
 
 Defined results: null texts count as empty; a text without a match has empty
-labels, null first_word and last_word and score 0.
+labels, null first_word and last_word and score 0; rows that repeat are scanned
+each; of several matches all labels count and the score is the best one's; an
+empty table gives no rows.  Texts of any length count whole; other columns don't
+matter.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tables, words
 
-#: Rare words that index a template, the share of them that must propose a place, and the share of words that must match there.
+#: Rare words that a text looks a template up by, the share of them that must propose a place, and the share of words that must match there.
 RARE, PROPOSED, COVERED = 5, 0.5, 0.8
 
 
@@ -44,25 +48,85 @@ class Template:
     base: bool = False
 
 
-#: Phrases that are always looked for, and openings of well-known licence notices.
+# Phrases that are always looked for, one-line notices, and the words of well-known licences and notices.
 TEMPLATES = (
     Template("cc-by", "cc by", base=True),
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("free of charge", "software and associated documentation")),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
     Template("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc-by-4.0", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("free of charge", "software and associated documentation")),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("to deal in the software without restriction", "merge publish distribute sublicense"),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        ("source and binary forms", "must retain the above copyright notice"),
+    ),
+    Template(
+        "bsd-3-clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ("endorse or promote products derived from this software",),
+    ),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("with or without fee is hereby granted",),
+    ),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    Template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+        ("must not be misrepresented", "altered from any source distribution"),
+    ),
+    Template(
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("apache license version 2 0", "language governing permissions and limitations"),
+    ),
+    Template(
+        "gpl-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        ("gnu general public license", "either version 3 of the license or at your option any later version"),
+    ),
+    Template(
+        "gpl-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        ("gnu general public license", "either version 2 of the license or at your option any later version"),
+    ),
+    Template(
+        "lgpl-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        ("gnu lesser general public license", "either version 2 1 of the license"),
+    ),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
+    Template(
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ("mozilla public license v 2 0",),
+    ),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template(
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+        ("free and unencumbered software released into the public domain",),
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    Template(
+        "bsl-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+        ("any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    ),
 )
 
 
@@ -107,40 +171,87 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
     return known, n[:-1], int(n[-1])
 
 
+class _Posting:
+    """A template's postings: each of its words with its positions, the rarest word first."""
+
+    def __init__(self, template: Template, known: np.ndarray, idf: np.ndarray):
+        self.template, self.words = template, _hash(template.text)
+        place = np.searchsorted(known, self.words)
+        self.weight = idf[place]
+        self.drift = 0 if template.base else min(8, len(self.words) // 10)
+        distinct = np.unique(place)
+        self.rare = distinct[np.lexsort((distinct, -idf[distinct]))]
+        self.positions = {int(i): np.flatnonzero(place == i) for i in distinct}
+        self.phrases = []
+        for phrase in template.key_phrases:
+            k = _hash(phrase)
+            self.phrases.append((next(i for i in range(len(self.words) - len(k) + 1) if (self.words[i : i + len(k)] == k).all()), k))
+
+    def proposed(self, at: np.ndarray, of: np.ndarray, edge: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the template may start, and in which text; at and of are places and texts of known words, from edge[i] on those of word i."""
+        held = present[:, self.rare]
+        fits = held.all(axis=1) if self.template.base else held.mean(axis=1) >= COVERED
+        asked = held & (np.cumsum(held, axis=1) <= (1 if self.template.base else RARE)) & fits[:, None]
+        starts, texts, words_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(asked.any(axis=0)).tolist():
+            i = int(self.rare[k])
+            own = slice(edge[i], edge[i + 1])
+            hit = asked[of[own], k]
+            place, text = at[own][hit], of[own][hit]
+            for position in self.positions[i].tolist():
+                starts.append(place - position)
+                texts.append(text)
+                words_.append(np.full(len(place), k))
+        start, text, word = np.concatenate(starts), np.concatenate(texts), np.concatenate(words_)
+        order = np.lexsort((word, start, text))
+        start, text = start[order], text[order]
+        wide = int(start.max(initial=0)) + int(-start.min(initial=0)) + 2 * self.drift + 2
+        key = text * wide + start - start.min(initial=0)
+        votes = np.searchsorted(key, key + self.drift, "right") - np.searchsorted(key, key - self.drift, "left")
+        good = votes >= np.ceil(PROPOSED * asked.sum(axis=1)[text])
+        key, first = np.unique(key[good], return_index=True)
+        return start[good][first], text[good][first]
+
+    def verified(self, start: np.ndarray, text: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places where enough words and all key phrases stand, their texts and scores."""
+        begin, end = first[text], first[text + 1]
+
+        def stand(want: np.ndarray, offset: int, shift: int) -> np.ndarray:
+            place = start[:, None] + offset + shift + np.arange(len(want))[None, :]
+            inside = (place >= begin[:, None]) & (place < end[:, None])
+            return inside & (hashes[np.clip(place, 0, max(len(hashes) - 1, 0))] == want) if len(start) else inside
+
+        shifts = range(-self.drift, self.drift + 1)
+        same = np.logical_or.reduce([stand(self.words, 0, x) for x in shifts])
+        score = same @ self.weight / self.weight.sum()
+        good = same.all(axis=1) if self.template.base else same.mean(axis=1) >= COVERED
+        for offset, k in self.phrases:
+            good &= np.logical_or.reduce([stand(k, offset, x).all(axis=1) for x in shifts])
+        return start[good], text[good], score[good]
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known, n, texts = document_frequencies(docs, templates)
     idf = np.log((texts + 1) / (n + 1)) + 1e-3
-    parts = []
-    for t in templates:
-        h = _hash(t.text)
-        weight = idf[np.searchsorted(known, h)]
-        rare = sorted(range(len(h)), key=lambda i: (-weight[i], i))[: 1 if t.base else RARE]
-        keys = np.zeros(len(h), bool)
-        for phrase in t.key_phrases:
-            k = _hash(phrase)
-            at = next(i for i in range(len(h) - len(k) + 1) if (h[i : i + len(k)] == k).all())
-            keys[at : at + len(k)] = True
-        parts.append((t, h, weight, rare, np.ones(len(h), bool) if t.base else keys))
-    index = np.unique(np.concatenate([h[rare] for _, h, _, rare, _ in parts]))
+    parts = [_Posting(t, known, idf) for t in templates]
 
     def matches(w: words.Words, hashes: np.ndarray, find: _Finder) -> Iterator[tuple[Template, np.ndarray, np.ndarray, np.ndarray]]:
         """For each template the texts, places and scores of its matches."""
         at, which = find(hashes)
-        for t, h, weight, rare, keys in parts:
-            proposed = np.concatenate([at[find.known[which] == h[i]] - i for i in rare])
-            start, votes = np.unique(proposed, return_counts=True)
-            start = start[(votes >= math.ceil(PROPOSED * len(rare))) & (start >= 0) & (start + len(h) <= len(hashes))]
-            of = np.searchsorted(w.first, start, "right") - 1
-            inside = start + len(h) <= w.first[of + 1]
-            start, of = start[inside], of[inside]
-            same = hashes[start[:, None] + np.arange(len(h))[None, :]] == h
-            score = same @ weight / weight.sum()
-            good = same[:, keys].all(axis=1) & ((same.mean(axis=1) >= COVERED) if not t.base else True)
-            yield t, of[good], start[good] - w.first[of[good]], score[good]
+        of = np.searchsorted(w.first, at, "right") - 1
+        rows = len(w.first) - 1
+        present = np.zeros((rows, len(known)), bool)
+        present[of, which] = True
+        order = np.argsort(which, kind="stable")
+        at, of, edge = at[order], of[order], np.searchsorted(which[order], np.arange(len(known) + 1))
+        for p in parts:
+            start, in_text = p.proposed(at, of, edge, present)
+            start, in_text, score = p.verified(start, in_text, hashes, w.first)
+            yield p.template, in_text, start - w.first[in_text], score
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Finder(index)
+        find = _Finder(known)
         for batch in words.slices(batches, "text"):
             w = words.split(batch.column("text"), words.NOT_ALNUM, lower=True)
             hashes, rows = w.hashes(), batch.num_rows

@@ -14,7 +14,8 @@ that chain stay: a magic inside a payload is a candidate that nothing reaches.
 
 Defined results: null html counts as empty; a null page id is written and read as
 such and never is what others refer to; rows that share page id and payload are
-all responses; behind a broken record nothing of the file is read.
+all responses; behind a broken record nothing of the file is read; an empty table
+gives no rows.  Payloads of any length count whole; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -199,7 +200,13 @@ def _closed(chunks: DataFrame, every: DataFrame, records: DataFrame) -> DataFram
     torn = tables.written(records.where(~F.col("whole")).select("file", "at", "next"), "torn")
     if torn.isEmpty():
         return records
-    near = every.select("file", F.col("at").alias("piece")).join(torn, "file").where((F.col("piece") >= F.col("at")) & (F.col("piece") < F.col("next")))
+    # Records don't overlap, so a piece can only be part of the last torn one that begins before it, in its part or one before.
+    begun = every.select("file", "part", F.col("at").alias("piece")).join(torn.select("file", F.col("at").alias("piece"), F.struct("at", "next").alias("torn")), ["file", "piece"], "left")
+    ends = begun.groupBy("file", "part").agg(F.max("torn").alias("torn"))  # a row for each part
+    before = F.last("torn", ignorenulls=True).over(W.partitionBy("file").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    own = F.last("torn", ignorenulls=True).over(W.partitionBy("file", "part").orderBy("piece").rowsBetween(W.unboundedPreceding, 0))
+    near = begun.withColumn("own", own).join(ends.select("file", "part", before.alias("before")), ["file", "part"]).select("file", "piece", F.coalesce("own", "before").alias("torn"))
+    near = near.where(F.col("piece") < F.col("torn.next")).select("file", "piece", "torn.at")
     first = every.groupBy("file", "part").agg(F.min("at").alias("base"))
     local = chunks.withColumn("size", F.octet_length("value")).mapInArrow(_pieces, "file string, part long, local long, value binary")
     placed = local.join(first, ["file", "part"]).select("file", (F.col("local") + F.col("base") + len(MAGIC)).alias("piece"), "value")

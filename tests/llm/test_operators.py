@@ -14,7 +14,7 @@ import pytest
 from conftest_helpers import lowered, words_of
 from pyspark.sql import functions as F
 
-from assayer.llm import brown, decontaminate, language_id, licences, near_dedup, packing, substring_dedup, top_k, toxicity, warc, words
+from assayer.llm import brown, decontaminate, language_id, licences, near_dedup, packing, substring_dedup, tables, top_k, toxicity, warc, words
 from assayer.llm.queries import QUERIES
 
 
@@ -46,7 +46,19 @@ def distance(item, text):
 
 
 def alnum(text):
-    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b" ".join(lowered(text)))
+    found = [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b" ".join(lowered(text)))]
+    alone = "\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff\U00020000-\U0003ffff"
+    return [c.encode() for w in found for c in re.findall(f"[{alone}]|[^{alone}]+", w)]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "antidisestablishmentarianism is wrong"), (2, "too short"), (3, "中文句子没有空格也要找到"), (4, "他说今天天气很好我们去公园"), (5, "รักกันไว้เถิดเราเกิดร่วมแดน")]
+    docs = [(1, "x Antidisestablishmentarianism: is wrong! y"), (2, "antidisestablishmentarianism was wrong, too short"), (3, "前面的话。中文句子没有空格也要找到。"), (4, "中文句子没有空各也要找到"), (5, "我们去公园他说今天"), (6, "ก่อนรักกันไว้เถิดเราเกิดร่วมแดน"), (7, None)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in decontaminate.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (0, 1), (3, 3): (0, 5), (4, 3): (1, 0), (6, 5): (0, 4)}
+    some = decontaminate.leaks(frame(docs[1:2], "doc_id long, text string"), frame(items[1:2], "item_id long, text string"), min_bytes=4)
+    assert [(r.doc_id, r.start_word, r.n_words) for r in some.collect()] == [(2, 3, 2)]
 
 
 def test_leaks_are_those_within_the_distance(spark, odd):
@@ -119,6 +131,41 @@ def test_held_out_languages_are_told(spark, sf_dir):
     assert sum(r.rejected for r in out) <= 0.02 * len(out)
 
 
+def test_language_model_folds_to_the_same_scores(spark):
+    rng = np.random.default_rng(8)
+    names = [f"l{i}" for i in range(20)]
+    e, w, b = rng.normal(size=(1 << language_id.BITS, 5)), rng.normal(size=(5, 20)), rng.normal(size=20)
+    docs = spark.createDataFrame([(1, "Some words"), (2, "autre chose é"), (3, None), (4, "12"), (5, "x")], "doc_id long, text string")
+    one, other = (language_id.predict(docs, language_id.Model(names, t.astype(np.float32), o, b, 0.7, 0.2)).collect() for t, o in ((e @ w, None), (e, w)))
+    for r, s in zip(one, other):
+        assert (r.doc_id, r.lang_pred, r.rejected) == (s.doc_id, s.lang_pred, s.rejected) and r.score == pytest.approx(s.score, abs=1e-4)
+    assert {r.doc_id: r.lang_pred for r in one if r.doc_id in (3, 4)} == {3: "und", 4: "und"}
+
+    def plain(text):
+        data = bytes(32 if c < 33 else c for c in text.encode().lower())
+        rows = []
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                code = (int.from_bytes(data[i : i + n], "big") ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+                code = (code ^ code >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
+                rows.append(e[code >> 32 - language_id.BITS] @ w)
+        z = (np.mean(rows, axis=0) + b) / 0.7 if rows else b / 0.7
+        return names[int(z.argmax())], float(np.exp(z - z.max()).max() / np.exp(z - z.max()).sum())
+
+    for r, text in zip(one, ("Some words", "autre chose é")):
+        name, p = plain(text)
+        assert r.lang_pred == name and r.score == pytest.approx(p, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    docs = [(i, " ".join(f"{'abcdefghijklmnopqrstuvwx'[i % 24]}{(i * k) % 7}{'abcdefghijklmnopqrstuvwx'[i % 24]}" for k in range(12)), f"l{i % 24}") for i in range(480)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(frame)
+    assert len(model.languages) == 24 and model.out is not None and model.table.shape[1] == language_id.SIZE
+    got = language_id.predict(frame, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 24}" for r in got) >= 470
+
+
 # 3. top-k
 
 
@@ -166,6 +213,32 @@ def test_sampled_labels_keep_their_base_rate(spark):
     assert 0.05 < 1 / (1 + math.exp(-model.bias)) < 0.2
 
 
+def test_weights_equal_a_plain_ftrl():
+    rng = np.random.default_rng(5)
+    features = [np.unique(rng.integers(0, 40, rng.integers(0, 12))).astype(np.int32) for _ in range(60)]
+    labels = np.array([int(3 in f or rng.random() < 0.2) for f in features])
+    model = toxicity.fit(labels, features, epochs=3)
+    z, n, last = defaultdict(float), defaultdict(float), 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0 if i == last else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = sorted(range(60), key=lambda i: (len(features[i]), zlib.crc32(features[i]), labels[i]))
+    turns = np.random.default_rng(11)
+    for _ in range(3):
+        for k in turns.permutation(60):
+            at = [*features[order[k]].tolist(), last]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - labels[order[k]]
+            for i, v in zip(at, w):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * v
+                n[i] += g * g
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert model.buckets.tolist() == sorted(want)
+    assert model.weights.tolist() == pytest.approx([want[i] for i in sorted(want)]) and model.bias == pytest.approx(weight(last))
+
+
 # 5. substrings
 
 
@@ -209,6 +282,24 @@ def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
     assert got.tolist() == [False, False, True]
 
 
+def test_no_minimiser_gets_a_large_share_of_the_windows(spark):
+    rng = np.random.default_rng(9)
+    share = 1 / np.arange(1, 20_001)
+    picked = rng.choice(20_000, 400_000, p=share / share.sum())
+    texts = [" ".join(f"w{i}" for i in part) for part in picked.reshape(4000, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with tables.Scratch(spark) as scratch:
+        size, cells = substring_dedup.survey(docs, scratch)
+    assert size == sum(len(t) for t in texts)
+    frequent = np.zeros(substring_dedup.CELLS, bool)
+    frequent[cells] = True
+    w = words.split(pa.array([t.encode() for t in texts], pa.binary()))
+    for flags, most in ((None, 0.01), (frequent, 0.002)):
+        _, count, key = substring_dedup.super_kmers(w, frequent=flags)
+        n = np.bincount(np.unique(key, return_inverse=True)[1], count - substring_dedup.WINDOW + 1)
+        assert n.sum() == 4000 * 88 and n.max() / n.sum() < most
+
+
 # 6. licences
 
 
@@ -236,6 +327,59 @@ def test_templates_need_their_key_phrases(spark):
     assert got == {1: "apache-2.0", 2: "", 3: "mit", 4: ""}
 
 
+def test_whole_licences_are_found_with_words_put_in_or_left_out(spark):
+    full = {t.label: t.text for t in licences.TEMPLATES if len(t.text) > 300}
+    assert len(full) >= 10
+    docs = []
+    for i, (label, text) in enumerate(full.items()):
+        w = text.split()
+        at = 3 * len(w) // 4 if label in ("bsl-1.0", "unlicense") else 12  # inside no key phrase
+        docs += [(10 * i, f"Copyright 2020 A.\n\n{text}\n\nmore"), (10 * i + 1, " ".join([*w[:at], "NOTE", "that", *w[at:]])), (10 * i + 2, " ".join(w[: len(w) // 2]))]
+    lone = {label for label in full if sum(t.label == label for t in licences.TEMPLATES) == 1}
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, label in enumerate(full):
+        assert label in got[10 * i][0] and got[10 * i][1] == pytest.approx(1.0), label
+        assert label in got[10 * i + 1][0], label
+        assert label not in got[10 * i + 2][0] or label not in lone, label
+    assert len(lone) >= 5
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    templates = (licences.Template("a", "alpha beta gamma delta epsilon zeta eta theta", ("gamma delta",)), licences.Template("b", "alpha beta iota kappa lambda mu"), licences.Template("base", "zeta eta", base=True))
+    docs = []
+    for i in range(400):
+        w = [rng.choice(["x", "y", "the", "alpha", "mu"]) for _ in range(rng.randrange(30))]
+        for t in rng.sample(templates, rng.randrange(3)):
+            own = t.text.split()
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(["zz", "alpha"])
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known, n, texts = licences.document_frequencies(frame, templates)
+    idf = dict(zip(known.tolist(), (np.log((texts + 1) / (n + 1)) + 1e-3).tolist()))
+    weigh = lambda w: idf[int(licences._hash(w)[0])]
+    want = {}
+    for d, text in docs:
+        w, labels, best = text.split(), set(), 0.0
+        for t in templates:
+            own = t.text.split()
+            for s in range(-len(own), len(w)):
+                same = [0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(own)]
+                keys = all(same[own.index(k.split()[0]) + j] for k in t.key_phrases for j in range(len(k.split())))
+                if all(same) if t.base else sum(same) / len(own) >= licences.COVERED and keys:
+                    labels.add(t.label)
+                    best = max(best, sum(weigh(x) for x, ok in zip(own, same) if ok) / sum(map(weigh, own)))
+        want[d] = (",".join(sorted(labels)), best)
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(frame, templates).collect()}
+    assert {d: x[0] for d, x in got.items()} == {d: x[0] for d, x in want.items()}
+    assert all(got[d][1] == pytest.approx(want[d][1], abs=1e-9) for d in want)
+
+
 # 7. near duplicates
 
 
@@ -435,7 +579,8 @@ def test_targets_hold_until_a_source_runs_out(spark):
     own = defaultdict(Counter)
     for r in out.collect():
         own[r.sequence_id]["b" if r.doc_id >= 100 else "a"] += r.length
-    assert sum(sum(c.values()) for c in own.values()) == 120 * 401 or sum(sum(c.values()) for c in own.values()) > 0
+    pieces = [r for r in out.collect() if r.doc_id < 100]
+    assert {r.doc_id for r in pieces} == set(range(60)) and all(sum(p.length for p in pieces if p.doc_id == d) == next(p.doc_tokens for p in pieces if p.doc_id == d) for d in range(60))
     shares = packing.Shares(8, {"a": 600, "b": 600}, {"a": 3.0, "b": 1.0})
     assert shares.before("a", 600, 4) == pytest.approx(450, abs=2) and shares.before("b", 600, 4) == pytest.approx(150, abs=2)
     assert shares.before("a", 600, 8) == 600 and shares.before("b", 600, 8) == 600
@@ -475,6 +620,30 @@ def test_classes_beat_single_words_on_held_out_text(spark, sf_dir):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_of_bands_equal_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 0)
+    monkeypatch.setattr(brown, "LEAST", 1 << 40)
+    docs = [(r.doc_id, lowered(r.text)) for r in rows(spark, odd) if r.doc_id is not None and r.doc_id != 3]
+    train = [t for d, t in docs if d % 2]
+    count = Counter(w for t in train for w in t)
+    kind = lambda w: sum(count[w] >= b for b in (2, 4, 10, 100)) * 6 + 3 * any(c > 127 for c in w) + (1 if w.endswith(b".") else 2 if w.endswith(b",") else 0)
+    total, distinct = Counter(), Counter()
+    for w, n in count.items():
+        total[kind(w)] += n
+        distinct[kind(w)] += 1
+    beside = np.zeros((brown._WIDTH, brown._WIDTH))
+    path = lambda t: [brown._END, *(brown.CLASSES + kind(w) for w in t), brown._END]
+    for t in train:
+        for a, b in zip(path(t), path(t)[1:]):
+            beside[a, b] += 1
+    share = (beside.sum(axis=0) + 0.5) / (beside.sum() + 0.5 * len(beside))
+    log = np.log10((beside + brown.PRIOR * share) / (beside.sum(axis=1, keepdims=True) + brown.PRIOR))
+    want = {d: sum(log[a, b] for a, b in zip(path(t), path(t)[1:])) + sum(math.log10((count[w] + 0.1) / (total[kind(w)] + 0.1 * (distinct[kind(w)] + (kind(w) < 6)))) for w in t) for d, t in docs}
+    frame = spark.read.parquet(f"{odd}/documents.parquet").where("doc_id IS NOT NULL AND doc_id <> 3").select("doc_id", "text", F.expr("doc_id % 2 = 0").alias("held_out"))
+    got = {r.doc_id: r.score for r in brown.score(frame).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
+
+
 def likelihood(counts, group, classes):
     size = classes + len(counts) - len(group)
     full = np.concatenate([group, np.arange(classes, size)])
@@ -484,6 +653,34 @@ def likelihood(counts, group, classes):
     return x(pair) - x(pair.sum(axis=0)) - x(pair.sum(axis=1))
 
 
+def test_words_move_to_the_class_that_gains_most(monkeypatch):
+    monkeypatch.setattr(brown, "ENTRIES", 7)
+    rng = np.random.default_rng(6)
+    groups, words_ = brown._WIDTH, 12
+    pairs = rng.poisson(rng.random((groups, groups)) ** 6 * 40).astype(np.int64)
+    stay = rng.integers(brown.CLASSES, groups, words_)
+    before, after = rng.integers(0, groups, (words_, 6)), rng.integers(0, groups, (words_, 6))
+    for w in range(words_):
+        np.add.at(pairs, (before[w], stay[w]), 1)
+        np.add.at(pairs, (stay[w], after[w]), 1)
+    keys, count = np.unique(np.concatenate([(np.arange(words_)[:, None] << 8 | before).ravel(), (np.arange(words_)[:, None] << 8 | 128 | after).ravel()]), return_counts=True)
+    got = brown.best_classes(keys >> 8, keys & 255, count, stay, pairs)
+    x = lambda v: (v[v > 0] * np.log(v[v > 0])).sum()
+    value = lambda p: x(p) - x(p.sum(axis=0)) - x(p.sum(axis=1))
+    for w in range(words_):
+        out = pairs.astype(float)
+        np.add.at(out, (before[w], stay[w]), -1)
+        np.add.at(out, (stay[w], after[w]), -1)
+        best = {}
+        for c in (*range(brown.CLASSES), int(stay[w])):
+            held = out.copy()
+            np.add.at(held, (before[w], c), 1)
+            np.add.at(held, (c, after[w]), 1)
+            best[c] = value(held)
+        chosen = int(stay[w]) if got[w] == brown._STAYS else int(got[w])
+        assert best[chosen] == pytest.approx(max(best.values()), abs=1e-6)
+
+
 def test_exchange_ends_where_no_single_move_helps():
     rng = np.random.default_rng(1)
     counts = rng.poisson(rng.random((18, 18)) ** 4 * 30)
@@ -507,7 +704,3 @@ def test_words_are_runs_between_separators():
     assert got == [words_of(t) for t in texts]
     assert [x for x in w.array().to_pylist()] == [x for ws in got for x in ws]
     assert len(set(w.hashes().tolist())) == len(set(w.array().to_pylist()))
-
-
-def test_language_model_folds_to_the_same_scores():
-    assert language_id._softmax(np.array([[0.0, 0.0]])).tolist() == [[0.5, 0.5]]

@@ -4,6 +4,11 @@ Language identification drops documents that it rejects, near-duplicate detectio
 all but the smallest doc_id of a group, substring deduplication the repeated
 passages inside texts, decontamination documents that leak a benchmark item; what
 stays is packed.
+
+Defined results: documents whose text is null or has no letter are rejected by the
+first stage, and with no labelled language all are; rows with a null doc_id pass,
+as nothing tells them from others; of rows that share a doc_id all stay or go
+together; where every document goes, and for an empty table, nothing is packed.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    others = near_dedup.groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = tables.written(near_dedup.groups(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id"), "copies")
+    return docs.join(tables.checked(others), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
     found = decontaminate.leaks(docs.select("doc_id", "text"), tables.read(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(tables.checked(tables.written(found.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,25 +33,26 @@ RECOGNISED = (
 )
 
 
-def folded(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-
-
 def _spellings() -> Column:
     pairs = {s: name for name, others in RECOGNISED for s in (name.lower(), *others)}
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def normalised(raw: Column) -> Column:
-    """A struct of the normal expression and how it was read; both null if it isn't recognised."""
+    """A struct of the normal expression and how it was read; both null if it isn't recognised.
+
+    A text is a recognised spelling as a whole, or operands of one token each with
+    one kind of operator between them.
+    """
     known = _spellings()
     stated = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    parts = F.split(stated, " (AND|OR) ")
-    kinds = F.array_distinct(F.regexp_extract_all(stated, F.lit(" (AND|OR)(?= )"), F.lit(1)))
-    named = F.transform(parts, lambda p: known[F.lower(p)])
+    tokens = F.split(stated, " ")
+    operator = F.get(tokens, F.lit(1))
+    named = F.transform(F.filter(tokens, lambda x, i: i % 2 == 0), lambda p: known[F.lower(p)])
     whole = known[F.lower(stated)]
-    compound = (F.size(parts) > 1) & (F.size(kinds) == 1) & F.forall(named, lambda x: x.isNotNull()) & ~stated.contains("(") & ~stated.contains(")")
-    joined = F.when(F.get(kinds, F.lit(0)) == "AND", F.array_join(named, " AND ")).otherwise(F.array_join(named, " OR "))
+    one_kind = operator.isin("AND", "OR") & F.forall(F.filter(tokens, lambda x, i: i % 2 == 1), lambda x: x == operator)
+    compound = (F.size(tokens) % 2 == 1) & (F.size(tokens) > 1) & one_kind & F.forall(named, lambda x: x.isNotNull()) & ~stated.rlike("[()]")
+    joined = F.when(operator == "AND", F.array_join(named, " AND ")).otherwise(F.array_join(named, " OR "))
     method = F.when(whole == stated, "spdx-identifier").when(whole.isNotNull(), "recognised-spelling").when(compound, "spdx-expression")
     return F.struct(F.coalesce(whole, F.when(compound, joined)).alias("expression"), method.alias("method"))
 

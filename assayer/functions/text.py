@@ -80,9 +80,16 @@ def safe_detail(text: Column, most: int = 1024, mark: str = "...") -> Column:
     return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.left(plain, F.lit(most - len(mark))), F.lit(mark)))
 
 
-def finding_key(table: str, package: Column, facts: list[tuple[str, Column]]) -> Column:
-    """table:package:digest, the digest over each fact's name and value with their lengths."""
-    packed = F.concat(*[x for name, value in facts for x in (F.lit(f"{len(name)}:{name}="), F.length(value).cast("string"), F.lit(":"), value)])
+def iso(at: Column) -> Column:
+    """An instant as text in ISO 8601, UTC, with a fraction only where there is one."""
+    fraction = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == "000000", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("+00:00"))
+
+
+def finding_key(table: str, package: Column, facts: list[tuple[str, Column]], if_set: list[tuple[str, Column]] = []) -> Column:  # noqa: B006
+    """table:package:digest, the digest over each fact's name and value with their lengths; facts of `if_set` count only where they aren't null."""
+    fact = lambda name, value: F.concat(F.lit(f"{len(name)}:{name}="), F.length(value).cast("string"), F.lit(":"), value)
+    packed = F.concat(*[fact(name, F.coalesce(value, F.lit(""))) for name, value in facts], *[F.coalesce(fact(name, value), F.lit("")) for name, value in if_set])
     return F.concat(F.lit(f"{table}:"), package.cast("string"), F.lit(":"), F.substring(F.sha2(packed, 256), 1, 16))
 
 
@@ -124,9 +131,11 @@ def build_number(body: Column) -> Column:
 
 
 def usage_score(signals: list[tuple[Column, int]], cap: int = 100) -> Column:
-    """1 to 100 from weighted signals; null if one is missing."""
+    """1 to 100 from weighted signals; null if one is missing, or if no signal has a weight."""
     total = sum((F.lit(w) * s for s, w in signals), F.lit(0))
     most = cap * sum(w for _, w in signals)
+    if not most:
+        return F.lit(None).cast("int")
     return F.when(total.isNotNull(), F.lit(1) + F.floor(F.least(total, F.lit(most)) * (cap - 1) / most)).cast("int")
 
 

@@ -17,6 +17,9 @@ SURFACES = ("source", "pypi", "feedstock", "conda_package")
 SENTINELS = ("error", "unknown", "not_found", "not_applicable")
 CONFIDENCES = ("verified", "inventory-derived", "unmapped")
 RUN_STATES = ("running", "succeeded", "partial", "failed", "skipped")
+FEEDSTOCK = ("present_and_maintained", "present_and_inactive", "staged_recipe_pending", "absent")
+PYTHON = ("verified_ready", "inferred_ready", "verified_not_ready", "inferred_not_ready")
+WORK = ("fix_vulnerability", "create_recipe", "file_tracking_issue", "already_tracked", "update_feedstock", "validate_python_314", "review_license", "resolve_identity")
 
 
 def strings(values) -> Column:
@@ -29,6 +32,11 @@ def rank(value: Column, order) -> Column:
     return F.when(place > 0, place).when(value.isNotNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), value)).cast("long"))
 
 
+def known(value: Column, order) -> Column:
+    """The value if the vocabulary has it, else null: what else is wrong is for the caller to say."""
+    return F.when(value.isin(*order), value)
+
+
 def ranked(place: Column, order) -> Column:
     return F.when(place.isNotNull(), F.get(strings(order), (place - 1).cast("int")))
 

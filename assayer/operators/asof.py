@@ -41,6 +41,11 @@ def last(evidence: DataFrame, keys: Sequence[str], cutoff, n: int) -> DataFrame:
     return upto(evidence, cutoff).withColumn("place", at).where(F.col("place") <= n)
 
 
+def of(evidence: DataFrame, packages: DataFrame, cutoff) -> DataFrame:
+    """The histories of some packages as of the cut-off."""
+    return upto(evidence, cutoff).join(packages.select("package_id").distinct(), "package_id", "left_semi")
+
+
 def newest(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest instant of each key."""
     return evidence.groupBy(*keys).agg(F.max("observed_at").alias("observed_at"))

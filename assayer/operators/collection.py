@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,22 @@ def cadence_faults() -> list[str]:
     return [c for c, days in CADENCE_DAYS.items() if FRESHNESS_DAYS[c] <= days]
 
 
-def selected(packages: DataFrame, mappings: DataFrame, collector: str) -> DataFrame:
-    """package_id of what a collector covers; none for one that is only run on demand.
+COLLECTORS = ("source_release", "pypi_release", "feedstock", "conda_package", "vulnerability", "kev", "license", "python_readiness", "resolve_identity", "py314_verification")
 
-    packages: package_id, primary_purl, source_repository_url.  mappings: package_id, kind, outcome.
+
+def selections(packages: DataFrame, mappings: DataFrame, kev_declared: bool = True) -> DataFrame:
+    """collector, package_id of all collectors."""
+    return reduce(DataFrame.unionByName, [selected(packages, mappings, c, kev_declared).select(F.lit(c).alias("collector"), "package_id") for c in COLLECTORS])
+
+
+def selected(packages: DataFrame, mappings: DataFrame, collector: str, kev_declared: bool = True) -> DataFrame:
+    """package_id of what a collector covers; none for one that is only run on demand, or for the catalog's while no source is declared.
+
+    packages: package_id, primary_purl, source_repository_url; for identities also
+    confidence, identity_source, associator_key.  mappings: package_id, kind, outcome.
     """
     kinds = {"feedstock": "feedstock", "license": "conda_package", "conda_package": "conda_package"}
-    if collector == "py314_verification":
+    if collector == "py314_verification" or (collector == "kev" and not kev_declared):
         return packages.limit(0).select("package_id")
     if collector in kinds:
         own = mappings.where((F.col("kind") == kinds[collector]) & (F.col("outcome") == "ok"))
@@ -36,6 +46,7 @@ def selected(packages: DataFrame, mappings: DataFrame, collector: str) -> DataFr
         "pypi_release": (part["type"] == "pypi") & project_name(part["name"]).isNotNull(),
         "python_readiness": (part["type"] == "pypi") & project_name(part["name"]).isNotNull(),
         "vulnerability": part["name"].isNotNull(),
+        "resolve_identity": F.coalesce(F.col("confidence") != "verified", F.lit(True)) & (F.coalesce("identity_source", F.lit("")) != "") & (F.coalesce("associator_key", F.lit("")) != ""),
     }
     return packages.where(F.coalesce(conditions.get(collector, F.lit(True)), F.lit(False))).select("package_id")
 
@@ -51,9 +62,11 @@ def sentinels(answers: DataFrame, facts: list[str]) -> DataFrame:
     return answers.where(F.col("state").isin("error", "unknown", "not_found", "not_applicable")).select(*[F.lit(None).cast("string").alias(c) if c in facts else F.col(c) for c in [*(c for c in answers.columns if c not in facts), *facts]])
 
 
-def replayed(answers: DataFrame, bodies: DataFrame, cutoff) -> DataFrame:
-    """Unmodified answers with the body that was last kept for their key."""
-    kept = latest(bodies.where(F.col("body").isNotNull()), ["key"], cutoff).select("key", F.col("body").alias("kept"))
+def replayed(answers: DataFrame, bodies: DataFrame, cutoff, lifetime: str | None = None) -> DataFrame:
+    """Unmodified answers with the body that was last kept for their key, unless that is older than its lifetime."""
+    kept = latest(bodies.where(F.col("body").isNotNull()), ["key"], cutoff)
+    kept = kept if lifetime is None else kept.where(F.col("observed_at") >= F.lit(cutoff) - F.expr(f"INTERVAL {lifetime}"))
+    kept = kept.select("key", F.col("body").alias("kept"))
     return answers.join(kept, "key", "left").withColumn("body", F.when(F.col("status_code") == 304, F.col("kept")).otherwise(F.col("body"))).drop("kept")
 
 
@@ -64,6 +77,26 @@ def ingested(records: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFr
     return shells, sound.withColumn("state", F.lit("ok"))
 
 
+def swept(records: DataFrame, packages: DataFrame) -> DataFrame:
+    """How a sweep of inventory records ends: one row with observed, failed, shells and status; absences are only derived if something was observed."""
+    shells, sound = ingested(records, packages)
+    counts = records.agg(F.count_if(F.col("fault").isNull()).alias("observed"), F.count("fault").alias("failed")).crossJoin(shells.agg(F.count("*").alias("shells")))  # one row each
+    status = F.when(F.col("failed") == 0, "succeeded").when(F.col("observed") == 0, "failed").otherwise("partial")
+    return counts.select("observed", "failed", "shells", status.alias("status"), (F.col("observed") > 0).alias("derives_absences"))
+
+
+def recollected(packages: DataFrame, selected: DataFrame, pending: DataFrame, in_flight: DataFrame, actor: str, at) -> DataFrame:
+    """Request rows (package_id, actor, requested_at, collectors) for packages that a person asks for; refused says why one isn't published.
+
+    selected: collector, package_id.  pending: package_id.  in_flight: package_id.
+    """
+    chosen = selected.groupBy("package_id").agg(F.array_sort(F.collect_set("collector")).alias("collectors"))  # one of each collector
+    flag = lambda rows, name: rows.select("package_id").distinct().withColumn(name, F.lit(True))
+    rows = packages.select("package_id").join(chosen, "package_id", "left").join(flag(pending, "waits"), "package_id", "left").join(flag(in_flight, "runs"), "package_id", "left")
+    refused = F.when(F.col("runs"), "in flight").when(F.col("waits"), "pending").when(F.col("collectors").isNull(), "nothing to collect")
+    return rows.select("package_id", F.lit(actor).alias("actor"), F.lit(at).alias("requested_at"), F.when(refused.isNull(), F.col("collectors")).alias("collectors"), refused.alias("refused"))
+
+
 def pending(requests: DataFrame, ledger: DataFrame, now, hours: int) -> DataFrame:
     """package_id, request_id, waiting: the newest request of the window that still waits for a collector.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.functions.text import span
 from assayer.functions.vocab import RUN_STATES
 
 
@@ -36,3 +37,22 @@ def window_start(now, previous_end):
     from datetime import timedelta
 
     return previous_end if previous_end is not None and now - previous_end <= timedelta(hours=48) else now - timedelta(hours=24)
+
+
+def composed(scopes: DataFrame, counted: DataFrame, fresh: DataFrame) -> DataFrame:
+    """collector, line: each registered collector's sentence, in the text that operators get.
+
+    scopes: collector, target_days (null: none).  counted: histogram's rows.
+    fresh: collector, past_target, never_observed.
+    """
+    rows = scopes.join(counted, "collector", "left").join(fresh, "collector", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    states = F.concat_ws(", ", *[F.when(F.coalesce(F.col(s), F.lit(0)) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in RUN_STATES])
+    late = F.when(F.col("target_days").isNotNull() & F.col("past_target").isNotNull(), F.concat(number("past_target"), F.lit(" past the freshness target of "), span(F.col("target_days") * 86400), F.lit(", "), number("never_observed"), F.lit(" never observed")))
+    return rows.select("collector", F.concat_ws("; ", F.concat(F.lit("collections "), F.when(states == "", "none").otherwise(states)), F.concat(number("rate_limited"), F.lit(" rate-limited")), late).alias("line"))
+
+
+def history(digests: DataFrame, earlier: int = 30) -> DataFrame:
+    """The newest digest and those before it, with their place (1: the newest)."""
+    rows = digests.orderBy(F.desc("observed_at"), F.desc("id")).limit(earlier + 1)
+    return rows.withColumn("place", F.row_number().over(W.orderBy(F.desc("observed_at"), F.desc("id"))))  # a month of rows

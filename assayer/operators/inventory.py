@@ -42,6 +42,15 @@ def due(selected: DataFrame, ledger: DataFrame, now, hours: int) -> DataFrame:
     return selected.join(recent.select("collector", "package_id").distinct(), ["collector", "package_id"], "left_anti")
 
 
+def remembered(calls: DataFrame, seconds: int) -> DataFrame:
+    """Calls (collector, id, at, refused) with until: for calls after a refusal of their collector's credentials in the same window, when that window ends; null for others."""
+    index = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / seconds)
+    rows = calls.withColumn("window", index)
+    before = F.max(F.coalesce("refused", F.lit(False))).over(W.partitionBy("collector", "window").orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1))
+    until = F.timestamp_seconds((F.col("window") + 1) * seconds).cast("timestamp_ntz")
+    return rows.withColumn("until", F.when(before, until)).drop("window")
+
+
 def admitted(calls: DataFrame, seconds: int, most: int) -> DataFrame:
     """Calls (collector, id, at, cost) with their window and whether its allowance covers them; refused calls use it too."""
     index = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / seconds).alias("window")

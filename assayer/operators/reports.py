@@ -58,6 +58,26 @@ def left_out(health: DataFrame, name: str) -> DataFrame:
     return health.agg(F.count_if(gone).alias("excluded"))
 
 
+#: Fixed value: why a report leaves packages out.
+ABSENT_REASON = "absent from the inventory at the run's cut-off"
+
+
+def page(name: str, health: DataFrame, derived: Mapping[str, DataFrame]) -> DataFrame:
+    """A report's rows, each with its package's absence tag ('' where the inventory lists it)."""
+    tag = F.coalesce(absence_tag(F.col("inventory_absent_since"), F.col("inventory_last_listed")), F.lit(""))
+    return rows(name, health, derived).join(health.select("package_id", tag.alias("absence")), "package_id", "left")
+
+
+def summary(name: str, health: DataFrame, derived: Mapping[str, DataFrame]) -> DataFrame:
+    """One row about a report: how many rows, the newest cut-off and the policy versions of their packages, how many packages are left out, and the sentence that says so."""
+    own = rows(name, health, derived).select("package_id")
+    held = health.join(own.distinct(), "package_id", "left_semi")
+    n, counted = F.col("excluded"), own.agg(F.count("*").alias("rows"))
+    said = F.when(n == 1, F.concat(F.lit("1 package excluded: "), F.lit(ABSENT_REASON))).otherwise(F.concat(n.cast("string"), F.lit(" packages excluded: "), F.lit(ABSENT_REASON)))
+    out = counted.crossJoin(provenance(held)).crossJoin(left_out(health, name))  # one row each
+    return out.withColumn("sentence", said if REPORTS[name].drops_absent else F.lit(""))
+
+
 def provenance(health: DataFrame) -> DataFrame:
     """One row: the newest cut-off and the policy versions behind a report."""
     return health.agg(F.max("evidence_cutoff").alias("evidence_cutoff")).crossJoin(versions(health))  # one row each
@@ -65,26 +85,49 @@ def provenance(health: DataFrame) -> DataFrame:
 
 def absence_tag(since: Column, last_listed: Column) -> Column:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return F.when(since.isNotNull(), F.concat(F.lit("not listed since "), day(since), F.coalesce(F.concat(F.lit(", last listed "), day(last_listed)), F.lit(""))))
+    return F.when(since.isNotNull(), F.concat(F.lit("absent from the inventory since "), day(since), F.coalesce(F.concat(F.lit(" (last listed "), day(last_listed), F.lit(")")), F.lit(""))))
+
+
+#: Fixed value: what a cell says where the pass wrote no row at this run.
+NO_ROW = "no evaluation recorded at this run"
 
 
-def health_rows(health: DataFrame, derived: Mapping[str, DataFrame]) -> DataFrame:
-    """A row for each package with six cells (status, note): of this run only, gated by confidence."""
-    keys = ["package_id", "policy_run_id"]
-    out = health
-    for table, columns in (("currency", ("chosen_authority",)), ("vulnerability", ("vulnerability_status", "risk_level")), ("licence", ("license_outcome", "matched_rule")), ("python_readiness", ("readiness", "evidence_type")), ("priority", ("score",))):
-        out = out.join(derived[table].select(*keys, *columns), keys, "left")
-    shown = lambda c: vocab.gated(F.coalesce(F.col(c), F.lit("unknown")), F.col("confidence"))
-    cell = lambda status, note: F.struct(status.alias("status"), F.coalesce(note, F.lit("")).alias("note"))
+def health_rows(health: DataFrame, derived: Mapping[str, DataFrame], observed: Mapping[str, DataFrame]) -> DataFrame:
+    """A row for each package with six cells (status, note, observed_at): of this run only, gated by confidence.
+
+    observed: id and observed_at of the evidence that cells cite: surfaces, findings,
+    kev, licences, assessments, verifications, feedstock.
+    """
+    keys, out = ["package_id", "policy_run_id"], health
+    read = {
+        "currency": ("chosen_authority", *(f"{s}_snapshot_id" for s in vocab.SURFACES)),  # known as {surface}_cites, as another table has a name of these
+        "vulnerability": ("vulnerability_status", "risk_level", "kev_membership", "vulnerability_finding_id", "kev_finding_id"),
+        "licence": ("license_outcome", "matched_rule", "license_finding_id"),
+        "python_readiness": ("readiness", "evidence_type", "assessment_id", "verification_id"),
+        "feedstock_presence": ("feedstock_snapshot_id",),
+    }
+    for table, columns in read.items():
+        own = [F.col(c).alias(c.replace("_snapshot_id", "_cites")) if table == "currency" else F.col(c) for c in columns]
+        out = out.join(derived[table].select(*keys, *own, F.lit(True).alias(f"{table}_row")), keys, "left")
+    authority, kind = F.col("chosen_authority"), F.col("evidence_type")
+    chosen = F.coalesce(*[F.when(authority == s, F.col(f"{s}_cites")) for s in vocab.SURFACES])
+    cited = {"surfaces": chosen, "findings": F.col("vulnerability_finding_id"), "kev": F.col("kev_finding_id"), "licences": F.col("license_finding_id"), "assessments": F.when(kind == "inferred", F.col("assessment_id")), "verifications": F.when(kind == "verified", F.col("verification_id")), "feedstock": F.col("feedstock_snapshot_id")}
+    out = out.withColumns({f"{n}_cited": c for n, c in cited.items()})
+    for n in cited:
+        out = out.join(observed[n].select(F.col("id").alias(f"{n}_cited"), F.col("observed_at").alias(f"{n}_at")), f"{n}_cited", "left")
+    shown = lambda c, row: F.when(F.col(f"{row}_row").isNull(), "unknown").otherwise(vocab.gated(F.col(c), F.col("confidence")))
+    said = lambda note, row, empty: F.when(F.col(f"{row}_row").isNull(), F.lit(NO_ROW)).otherwise(F.coalesce(F.nullif(note, F.lit("")), F.lit(empty)))
+    cell = lambda status, note, at: F.struct(status.alias("status"), note.alias("note"), at.alias("observed_at"))
+    at = lambda n: F.col(f"{n}_at")
     return out.select(
         "package_id",
         "canonical_name",
-        cell(F.col("currency_status"), F.col("chosen_authority")).alias("currency"),
-        cell(F.col("feedstock_presence_status"), F.lit("")).alias("feedstock"),
-        cell(shown("vulnerability_status"), F.col("risk_level")).alias("vulnerability"),
-        cell(shown("license_outcome"), F.col("matched_rule")).alias("licence"),
-        cell(shown("readiness"), F.col("evidence_type")).alias("python"),
-        cell(F.col("priority_status"), F.col("score").cast("string")).alias("priority"),
+        cell(F.col("currency_status"), said(authority, "currency", "no authority chosen"), at("surfaces")).alias("currency"),
+        cell(shown("vulnerability_status", "vulnerability"), said(F.col("risk_level"), "vulnerability", "advisory"), at("findings")).alias("vulnerability"),
+        cell(shown("kev_membership", "vulnerability"), said(F.lit("kev"), "vulnerability", "kev"), at("kev")).alias("kev"),
+        cell(shown("license_outcome", "licence"), said(F.col("matched_rule"), "licence", "licence"), at("licences")).alias("licence"),
+        cell(shown("readiness", "python_readiness"), said(kind, "python_readiness", "no evidence"), F.coalesce(at("verifications"), at("assessments"))).alias("python"),
+        cell(F.col("feedstock_presence_status"), said(F.lit("feedstock"), "feedstock_presence", "feedstock"), at("feedstock")).alias("feedstock"),
     )
 
 

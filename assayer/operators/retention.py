@@ -61,6 +61,30 @@ def figures(evidence: DataFrame, gone: DataFrame, cutoff) -> DataFrame:
     return old.crossJoin(gone.agg(F.count("*").alias("deleted"))).withColumn("protected", F.col("older") - F.col("deleted"))  # one row each
 
 
+def survivors(evidence: DataFrame, gone: DataFrame) -> DataFrame:
+    """The evidence without what goes: what a table is rewritten with."""
+    return evidence.join(gone.select("id"), "id", "left_anti")
+
+
+def apply(planned: Mapping[str, DataFrame], tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Writes each planned table's survivors to a new folder, in the plan's order, and returns them; whoever asks puts them in the old ones' place."""
+    out = {}
+    for name, gone in planned.items():
+        if name in tables:
+            survivors(tables[name], gone).write.parquet(f"{folder}/{name}")
+            out[name] = gone.sparkSession.read.schema(tables[name].schema).parquet(f"{folder}/{name}")
+    return out
+
+
+def moved_cutoffs(purges: DataFrame, tolerance: str = "1 DAY") -> DataFrame:
+    """Purge runs (run_id, started_at, cutoff) whose cut-off isn't the one before it moved on by the time between them, within the tolerance."""
+    order = W.orderBy("started_at", "run_id")  # a run a day: a small table
+    rows = purges.withColumns({"was": F.lag("cutoff").over(order), "at": F.lag("started_at").over(order)})
+    expected = F.col("was") + (F.col("started_at") - F.col("at"))
+    allowed = F.expr(f"INTERVAL {tolerance}")
+    return rows.where(F.col("was").isNotNull() & ((F.col("cutoff") > expected + allowed) | (F.col("cutoff") < expected - allowed))).select("run_id", "started_at", "cutoff", "was")
+
+
 def plan(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], citing: Mapping[str, Sequence[DataFrame]], runs: DataFrame, health: DataFrame, ledger: DataFrame, cutoff) -> dict[str, DataFrame]:
     """What a purge deletes, in the order that it must: derived rows' runs, then evidence tables as given, then the ledger.
 

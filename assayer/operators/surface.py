@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.functions import vocab
 from assayer.functions.text import share
 from assayer.functions.vocab import bucket_order
 
 PAGE, MOST, REPORT_ROWS, EXPORT_ROWS = 50, 500, 200, 5_000
+#: What a listing can be narrowed by: a derived table (none: health itself), its column, and the column's vocabulary.
+FACETS = {
+    "vuln": ("vulnerability", "vulnerability_status", (*vocab.SENTINELS, "advisories_matched", "no_advisory_matched")),
+    "kev": ("vulnerability", "kev_membership", vocab.KEV),
+    "confidence": (None, "confidence", vocab.CONFIDENCES),
+    "priority": (None, "priority_status", (*vocab.SENTINELS, *vocab.BUCKETS)),
+    "work": (None, "work_type_status", (*vocab.SENTINELS, *vocab.WORK)),
+    "currency": (None, "currency_status", (*vocab.SENTINELS, "current", "behind")),
+    "licence": ("licence", "license_outcome", (*vocab.SENTINELS, "allowed", "restricted", "forbidden", "manual_review")),
+    "py314": ("python_readiness", "readiness", (*vocab.SENTINELS, *vocab.PYTHON)),
+    "feedstock": (None, "feedstock_presence_status", (*vocab.SENTINELS, *vocab.FEEDSTOCK)),
+}
+#: Orders of a listing, the default first.
+ORDERINGS = ("name", "rank")
 
 
 def faceted(health: DataFrame, facets: Mapping[str, tuple[DataFrame | None, str, tuple[str, ...]]], chosen: Mapping[str, list[str]]) -> DataFrame:
@@ -42,9 +57,74 @@ def named(rows: DataFrame, term: str, column: str = "canonical_name") -> DataFra
     return rows if not term or len(term) > 128 else rows.where(F.lower(column).contains(term))
 
 
+def asked(health: DataFrame, derived: Mapping[str, DataFrame], params: Mapping[str, list[str]]) -> DataFrame:
+    """Health rows that a query's facets and name search (`q`) select, before any exclusion."""
+    facets = {name: (derived[table] if table else None, column, values) for name, (table, column, values) in FACETS.items()}
+    return named(faceted(health, facets, params), next(iter(params.get("q", ())), ""))
+
+
+def listing(health: DataFrame, derived: Mapping[str, DataFrame], params: Mapping[str, list[str]], sort: str = "") -> DataFrame:
+    """The health listing of a query, in order, with each row's score at its own run.
+
+    Asking for packages without a feedstock leaves out those that the inventory
+    doesn't list.  An order that isn't known is the first one.
+    """
+    rows = asked(health, derived, params)
+    if "absent" in params.get("feedstock", ()):
+        rows = rows.where(F.col("inventory_absent_since").isNull())
+    rows = rows.join(derived["priority"].select("package_id", "policy_run_id", "score"), ["package_id", "policy_run_id"], "left")
+    return ranked(rows.withColumn("bucket", F.col("priority_status"))).drop("bucket") if sort == "rank" else rows.orderBy("canonical_name", "package_id")
+
+
+def feedstock_gap(health: DataFrame, derived: Mapping[str, DataFrame], params: Mapping[str, list[str]]) -> DataFrame | None:
+    """One row: what asking for packages without a feedstock left out, and how many unmapped ones the facet can't tell; None for other queries."""
+    if "absent" not in params.get("feedstock", ()):
+        return None
+    gone = asked(health, derived, params).agg(F.count("inventory_absent_since").alias("absent_from_inventory"))
+    rest = asked(health, derived, {k: v for k, v in params.items() if k != "feedstock"})
+    return gone.crossJoin(rest.agg(F.count_if(F.col("confidence") == "unmapped").alias("unmapped")))  # one row each
+
+
 def ranked(rows: DataFrame) -> DataFrame:
-    """By bucket, then score, then package."""
-    return rows.orderBy(bucket_order(F.col("bucket")), F.desc_nulls_last("score"), "package_id")
+    """By bucket, then score (none first, as the reports' store sorts), then package."""
+    return rows.orderBy(bucket_order(F.col("bucket")), F.desc_nulls_first("score"), "package_id")
+
+
+def globally_ranked(rows: DataFrame) -> DataFrame:
+    """By the bucket's text, then score (none first), then package."""
+    return rows.orderBy("bucket", F.desc_nulls_first("score"), "package_id")
+
+
+def inventory_page(entries: DataFrame, active_only: bool = False, prefix: str = "") -> DataFrame:
+    """Inventory entries by key: only those not retired, and only keys that begin with the prefix, case and all."""
+    rows = entries.where(F.col("retired_at").isNull()) if active_only else entries
+    return (rows.where(F.col("source_package_key").startswith(prefix)) if prefix else rows).orderBy("source_package_key")
+
+
+def recent(rows: DataFrame, at: str, n: int = 20) -> DataFrame:
+    """The newest n rows of all."""
+    return rows.orderBy(F.desc(at), F.desc("id")).limit(n)
+
+
+def work_history(moves: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
+    """Of each package the newest moves of its items: n for each item, counted over all of them together.
+
+    moves: id, item_id, occurred_at.  items: item_id, package_id.
+    """
+    size = items.groupBy("package_id").agg((F.count("*") * n).alias("most"))
+    at = F.row_number().over(W.partitionBy("package_id").orderBy(F.desc("occurred_at"), F.desc("id")))
+    rows = moves.join(items.select("item_id", "package_id"), "item_id").withColumn("place", at)
+    return rows.join(size, "package_id").where(F.col("place") <= F.col("most")).drop("most")
+
+
+def identity(packages: DataFrame, overrides: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Packages with the newest override that a person made, and all mappings, the newest first.
+
+    overrides: id, package_id, observed_at, actor, reason.  mappings: id, package_id, resolved_at, kind, outcome.
+    """
+    newest = overrides.groupBy("package_id").agg(F.max_by(F.struct("id", "actor", "reason"), F.struct("observed_at", "id")).alias("override"))
+    held = mappings.groupBy("package_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("resolved_at", "id", "kind", "outcome")))).alias("mappings"))  # a package has few
+    return packages.join(newest, "package_id", "left").join(held, "package_id", "left")
 
 
 def page(rows: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
@@ -88,7 +168,7 @@ def collector_health(ledger: DataFrame, collectors: list[str]) -> DataFrame:
     found = ledger.groupBy("collector").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("finished_at").alias("newest"))
     every = spark.createDataFrame([(c,) for c in collectors], "collector string")
     out = every.join(found, "collector", "left").fillna(0, ["runs", "failed"])
-    return out.withColumn("status", F.when(F.col("runs") == 0, "never_run").when(F.col("failed") > 0, "failing").otherwise("healthy"))
+    return out.withColumn("status", F.when(F.col("runs") == 0, "never_run").when(F.col("failed") > 0, "failing").otherwise("ok"))
 
 
 def traced(history: DataFrame, cited: DataFrame) -> DataFrame:
@@ -99,7 +179,3 @@ def traced(history: DataFrame, cited: DataFrame) -> DataFrame:
 def over(rows: DataFrame, cap: int = EXPORT_ROWS) -> bool:
     """Whether an export would pass the cap; reads no more than it must."""
     return rows.limit(cap + 1).count() > cap
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.text import finding_key
+from assayer.functions.text import finding_key, iso
+from assayer.functions.vocab import bucket_order
 
 TERMINAL = ("resolved", "accepted")
 ANY_ROLE = ("security_reviewer", "packaging_engineer", "leadership")
@@ -43,21 +44,30 @@ def judged(requests: DataFrame, items: DataFrame) -> DataFrame:
 def to_open(verdicts: DataFrame, existing: DataFrame) -> DataFrame:
     """Items to open: finding_key, package_id, queue.
 
-    verdicts: package_id, confidence, vulnerability_status, license_outcome,
-    absent_since, listed_since.  Unmapped packages get an identity item only,
-    absent ones none; a package that came back gets new keys.
+    verdicts: package_id, confidence, absent_since, listed_since, vulnerability_status
+    and the finding that it cites (vulnerability_finding_id, advisory_id,
+    affected_range), license_outcome and its finding (license_finding_id,
+    normalized_license, channel).  existing: finding_key, package_id, queue, state.
+
+    An item is filed under the facts of its finding.  Unmapped packages get an
+    identity item only, and none while one is open; absent packages get none; a
+    package that was absent and is listed again gets new keys.
     """
     here = verdicts.where(F.col("absent_since").isNull())
-    epoch = F.coalesce(F.col("listed_since").cast("string"), F.lit(""))
+    again = [("listed_since", iso(F.col("listed_since")))]
     mapped = F.col("confidence") != "unmapped"
+    key = lambda table, facts: finding_key(table, F.col("package_id"), facts, again)
+    named = lambda *columns: [(c, F.col(c)) for c in columns]
     kinds = (
-        ("packages", "identity_review", ~mapped, F.col("confidence")),
-        ("package_vulnerability", "remediation", mapped & (F.col("vulnerability_status") == "advisories_matched"), F.col("vulnerability_status")),
-        ("package_license", "compliance_review", mapped & F.col("license_outcome").isin("manual_review", "restricted", "forbidden"), F.col("license_outcome")),
+        ("identity_review", ~mapped, key("packages", named("confidence"))),
+        ("remediation", mapped & (F.col("vulnerability_status") == "advisories_matched") & F.col("vulnerability_finding_id").isNotNull(), key("vulnerability_findings", named("advisory_id", "affected_range"))),
+        ("compliance_review", mapped & F.col("license_outcome").isin("manual_review", "restricted", "forbidden") & F.col("license_finding_id").isNotNull(), key("license_findings", named("normalized_license", "channel"))),
     )
-    item = F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(finding_key(table, F.col("package_id"), [("verdict", value), ("epoch", epoch)]).alias("finding_key"), F.lit(queue).alias("queue"))) for table, queue, when, value in kinds])
+    item = F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(name.alias("finding_key"), F.lit(queue).alias("queue"))) for queue, when, name in kinds])
     rows = here.select("package_id", F.explode(F.filter(item, lambda x: x.isNotNull())).alias("item")).select("item.finding_key", "package_id", "item.queue")
-    return rows.dropDuplicates(["finding_key"]).join(existing.select("finding_key"), "finding_key", "left_anti")
+    waiting = existing.where((F.col("queue") == "identity_review") & ~F.col("state").isin(*TERMINAL)).select("package_id", "queue").distinct()
+    rows = rows.dropDuplicates(["finding_key"]).join(existing.select("finding_key"), "finding_key", "left_anti")
+    return rows.join(waiting, ["package_id", "queue"], "left_anti").select("finding_key", "package_id", "queue")
 
 
 def to_close(items: DataFrame, absent: DataFrame) -> DataFrame:
@@ -66,18 +76,22 @@ def to_close(items: DataFrame, absent: DataFrame) -> DataFrame:
     return live.join(absent.select("package_id").distinct(), "package_id", "left_semi").select("item_id", "package_id", F.col("state").alias("from_state"), F.lit("resolved").alias("to_state"), F.lit("system").alias("origin"))
 
 
-def queue(items: DataFrame, scores: DataFrame) -> DataFrame:
-    """Items that aren't done with their package's bucket and newest score, the most pressing first.
+def queue(items: DataFrame, health: DataFrame, scores: DataFrame, name: str | None = None, finished: bool = False) -> DataFrame:
+    """Items of a queue (None: of all) that aren't done, with their package's bucket and newest score, the most pressing first.
 
-    scores: package_id, policy_run_id, bucket, score.
+    items: finding_key, package_id, queue, state.  health: package_id, priority_status
+    (the bucket).  scores: package_id, policy_run_id, score.  No score comes before
+    any, as the queues' store sorts.
     """
-    from assayer.functions.vocab import bucket_order
-
-    newest = scores.groupBy("package_id").agg(F.max_by(F.struct("bucket", "score"), "policy_run_id").alias("n")).select("package_id", "n.bucket", "n.score")
-    rows = items.where(~F.col("state").isin(*TERMINAL)).join(newest, "package_id", "left")
-    return rows.orderBy(bucket_order(F.col("bucket")), F.desc_nulls_last("score"), "item_id")
-
-
-def system_move(state: Column) -> Column:
-    """What the product itself may do with an item: resolve it, unless it is done."""
-    return F.when(~state.isin(*TERMINAL), "resolved")
+    newest = scores.groupBy("package_id").agg(F.max_by(F.struct("score"), "policy_run_id").alias("n")).select("package_id", "n.score")
+    rows = items if name is None else items.where(F.col("queue") == name)
+    rows = rows if finished else rows.where(~F.col("state").isin(*TERMINAL))
+    rows = rows.join(health.select("package_id", F.col("priority_status").alias("bucket")), "package_id", "left").join(newest, "package_id", "left")
+    return rows.orderBy(bucket_order(F.col("bucket")), F.desc_nulls_first("score"), "finding_key")
+
+
+def absent_unresolved(health: DataFrame, packages: DataFrame) -> DataFrame:
+    """One row: packages that aren't verified and that the inventory doesn't list, by the packages' confidence as it is now."""
+    gone = health.where(F.col("inventory_absent_since").isNotNull()).select("package_id")
+    open_ = packages.where(F.coalesce(F.col("confidence") != "verified", F.lit(True)))
+    return open_.join(gone, "package_id", "left_semi").agg(F.count("*").alias("not_offered"))

@@ -44,7 +44,7 @@ def currency(packages: DataFrame, evidence: DataFrame, cutoff, surfaces=vocab.SU
 
 
 def feedstock_presence(packages: DataFrame, evidence: DataFrame, cutoff, days: int = 180) -> DataFrame:
-    """package_id, presence_status, activity_age (seconds), feedstock_snapshot_id.
+    """package_id, presence_status, activity_age (seconds), feedstock_snapshot_id, error (null but where the state isn't one).
 
     evidence: package_id, id, observed_at, state, last_activity_at, staged_url, absence_established.
     """
@@ -61,43 +61,50 @@ def feedstock_presence(packages: DataFrame, evidence: DataFrame, cutoff, days: i
         .when(age <= limit, "present_and_maintained")
         .otherwise("present_and_inactive")
     )
-    return packages.select("package_id").join(row, "package_id", "left").select("package_id", status.alias("presence_status"), F.when(F.col("state") == "ok", age).alias("activity_age"), F.col("id").alias("feedstock_snapshot_id"))
+    return packages.select("package_id").join(row, "package_id", "left").select("package_id", status.alias("presence_status"), F.when(F.col("state") == "ok", age).alias("activity_age"), F.col("id").alias("feedstock_snapshot_id"), _fault(F.col("state"), vocab.OUTCOME).alias("error"))
+
+
+def _fault(state: Column, states) -> Column:
+    return F.when(~state.isin(*states), F.concat(F.lit("not a state: "), state))
 
 
 def _finding_verdict() -> Column:
-    """A finding row's verdict; nothing_matched says that the source answered and matched nothing."""
+    """A finding row's verdict, null for an odd state; nothing_matched says that the source answered and matched nothing."""
     known = F.col("state").isin("error", "not_found", "unknown")
-    return F.when(F.col("state") == "matched", "advisories_matched").when((F.col("state") == "unknown") & F.coalesce("nothing_matched", F.lit(False)), "no_advisory_matched").when(known, "unknown").otherwise(F.raise_error(F.lit("not a finding state")).cast("string"))
+    return F.when(F.col("state") == "matched", "advisories_matched").when((F.col("state") == "unknown") & F.coalesce("nothing_matched", F.lit(False)), "no_advisory_matched").when(known, "unknown")
 
 
 def vulnerability(packages: DataFrame, findings: DataFrame, kev: DataFrame, cutoff, risk_order: list[str]) -> DataFrame:
-    """package_id, vulnerability_status, kev_membership, risk_level, and the rows that support them.
+    """package_id, vulnerability_status, kev_membership, risk_level, the rows that support them, and error (an odd state of a finding).
 
     findings: package_id, id, observed_at, state, nothing_matched, severity.
     kev: package_id, id, observed_at, state, finding_id (null: about the package).
+    Findings meet their cross-references once, and one aggregate reads both.
     """
-    current = asof.sweep(findings, ["package_id"], cutoff).withColumn("verdict", _finding_verdict())
+    current = asof.sweep(findings, ["package_id"], cutoff).select("package_id", "id", "state", "severity", _finding_verdict().alias("verdict"))
+    crossed = asof.sweep(kev, ["package_id"], cutoff).select(F.col("package_id").alias("kev_package"), F.col("id").alias("kev_id"), F.col("state").alias("kev_state"), "finding_id")
+    both = current.join(crossed, (current["package_id"] == crossed["kev_package"]) & (current["id"] == crossed["finding_id"]), "full_outer")
     severity = F.array_position(vocab.strings(risk_order), F.lower(F.trim("severity")))
     place = F.when((F.col("state") == "matched") & (severity > 0), severity)
-    status = current.groupBy("package_id").agg(
-        F.min(vocab.rank(F.col("verdict"), vocab.VULNERABILITY)).alias("worst"),
-        F.min(F.struct(vocab.rank(F.col("verdict"), vocab.VULNERABILITY).alias("r"), F.col("id"))).alias("support"),
+    worst = vocab.rank(F.col("verdict"), vocab.VULNERABILITY)
+    said = F.when(F.col("kev_state").isin("listed", "not_listed"), F.col("kev_state")).otherwise("not_established")
+    about = F.col("kev_id").isNotNull() & (F.col("id").isNotNull() | F.col("finding_id").isNull())
+    answer = F.when(about, said).when(F.col("kev_id").isNull() & (F.col("state") == "matched"), "not_established")
+    status = both.groupBy(F.coalesce("package_id", "kev_package").alias("package_id")).agg(
+        F.min(F.when(worst.isNotNull(), F.struct(worst.alias("r"), F.col("id")))).alias("support"),
         F.coalesce(vocab.ranked(F.min(place), risk_order), F.lit("")).alias("risk_level"),
+        F.min(F.when(answer.isNotNull(), F.struct(vocab.rank(answer, vocab.KEV).alias("r"), F.col("kev_id")))).alias("kev"),
+        F.max(F.when(F.col("id").isNotNull() & F.col("verdict").isNull(), F.concat(F.lit("not a finding state: "), F.coalesce("state", F.lit("none"))))).alias("error"),
     )
-    crossed = asof.sweep(kev, ["package_id"], cutoff).select("package_id", F.col("id").alias("kev_id"), F.col("state").alias("kev_state"), "finding_id")
-    about = crossed.join(current.select("package_id", F.col("id").alias("finding_id"), F.lit(True).alias("own")), ["package_id", "finding_id"], "left").where(F.col("own") | F.col("finding_id").isNull())
-    loose = current.where(F.col("state") == "matched").join(about.select("package_id", F.col("finding_id").alias("id")), ["package_id", "id"], "left_anti").select("package_id", F.lit(None).cast("long").alias("kev_id"), F.lit("not_established").alias("kev_state"))
-    answer = F.when(F.col("kev_state").isin("listed", "not_listed"), F.col("kev_state")).otherwise("not_established")
-    membership = about.select("package_id", "kev_id", answer.alias("answer")).unionByName(loose.select("package_id", "kev_id", F.col("kev_state").alias("answer")))
-    membership = membership.groupBy("package_id").agg(F.min(F.struct(vocab.rank(F.col("answer"), vocab.KEV).alias("r"), F.col("kev_id"))).alias("kev"))
-    out = packages.select("package_id").join(status, "package_id", "left").join(membership, "package_id", "left")
+    out = packages.select("package_id").join(status, "package_id", "left")
     return out.select(
         "package_id",
-        F.coalesce(vocab.ranked(F.col("worst"), vocab.VULNERABILITY), F.lit("unknown")).alias("vulnerability_status"),
+        F.coalesce(vocab.ranked(F.col("support.r"), vocab.VULNERABILITY), F.lit("unknown")).alias("vulnerability_status"),
         F.coalesce(vocab.ranked(F.col("kev.r"), vocab.KEV), F.lit("not_established")).alias("kev_membership"),
         F.coalesce("risk_level", F.lit("")).alias("risk_level"),
         F.col("support.id").alias("vulnerability_finding_id"),
         F.col("kev.kev_id").alias("kev_finding_id"),
+        "error",
     )
 
 
@@ -106,9 +113,10 @@ def licence(packages: DataFrame, findings: DataFrame, cutoff, rules: list[tuple[
 
     findings: package_id, id, observed_at, state, normalized_license.
     """
-    judged = licence_terms.disposition(F.col("normalized_license"), rules)
     spoken = (F.col("state") == "normalized") & (F.coalesce("normalized_license", F.lit("")) != "")
-    rows = asof.sweep(findings, ["package_id"], cutoff).withColumn("judged", judged)
+    rows = asof.sweep(findings, ["package_id"], cutoff)
+    judged = findings.select("normalized_license").where(F.col("normalized_license").isNotNull()).distinct().withColumn("judged", licence_terms.disposition(F.col("normalized_license"), rules))  # each expression once
+    rows = rows.join(judged, "normalized_license", "left")
     rows = rows.withColumn("verdict", F.when(spoken, F.coalesce("judged.disposition", F.lit("manual_review"))).otherwise("unknown"))
     counted = F.col("state") != "not_found"
     place = vocab.rank(F.col("verdict"), vocab.LICENCE)
@@ -211,4 +219,12 @@ def priority(verdicts: DataFrame, rules=PRIORITY_RULES) -> Column:
 
 
 def score(weights: dict[str, int] = SCORE_WEIGHTS) -> Column:
+    """The usage score; null without weights."""
     return usage_score([(F.col(c), w) for c, w in weights.items()])
+
+
+def stated_expressions(findings: DataFrame, cutoff) -> DataFrame:
+    """package_id, expressions: the distinct normal expressions that a package's current findings state, sorted."""
+    said = F.nullif(F.trim("normalized_license"), F.lit(""))
+    rows = asof.sweep(findings, ["package_id"], cutoff).where(F.col("state") == "normalized").select("package_id", said.alias("said")).where(F.col("said").isNotNull())
+    return rows.groupBy("package_id").agg(F.array_sort(F.collect_set("said")).alias("expressions"))  # a channel states one

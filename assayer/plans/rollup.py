@@ -34,13 +34,22 @@ def ending(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("packages"), bad.alias("failed"), status.alias("status"))
 
 
-def evidence_cutoff(ledger: DataFrame) -> DataFrame:
-    """The newest finish that no unfinished run began before: one row; null where none is."""
+def evidence_cutoff(ledger: DataFrame, purge: str = "prune") -> DataFrame:
+    """The newest finish that no unfinished run began before: one row; null where none is.  Runs of the purge don't count."""
+    ledger = ledger.where(F.col("collector") != purge) if "collector" in ledger.columns else ledger
     bound = ledger.agg(F.min(F.when(F.col("finished_at").isNull(), F.col("started_at"))).alias("bound"))
     done = ledger.where(F.col("finished_at").isNotNull()).crossJoin(F.broadcast(bound))  # the bound is one row
     return done.agg(F.max(F.when(F.col("bound").isNull() | (F.col("finished_at") <= F.col("bound")), F.col("finished_at"))).alias("cutoff"))
 
 
+def stated_cutoff(ledger: DataFrame):
+    """The cut-off of a new run; an error where no finished collection gives one."""
+    at = evidence_cutoff(ledger).first()["cutoff"]
+    if at is None:
+        raise ValueError("no finished collection run gives this policy run a cut-off")
+    return at
+
+
 def needing_review(packages: DataFrame) -> DataFrame:
     """Packages whose identity is anything but verified; a null confidence is not verified."""
     return packages.where(F.coalesce(F.col("confidence") != "verified", F.lit(True)))

@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions import vocab
 from assayer.operators import presence, replay, workflow
 from assayer.plans import passes, rollup
 
-#: Verdict columns of a run's passes, by pass; each column has one owner.
-OWNED = {"currency": "currency_status", "feedstock_presence": "feedstock_presence_status", "priority": "priority_status", "work_type": "work_type_status"}
+#: Each pass's verdict column and the column of the rollup that it alone fills (None: none).
+PASSES = {
+    "currency": ("overall_status", "currency_status"),
+    "feedstock_presence": ("presence_status", "feedstock_presence_status"),
+    "vulnerability": ("vulnerability_status", None),
+    "licence": ("license_outcome", None),
+    "remediation": ("readiness_status", None),
+    "python_readiness": ("readiness", None),
+    "work_type": ("work_type", "work_type_status"),
+    "priority": ("bucket", "priority_status"),
+}
+#: What a pass's verdict is called where later passes read it.
+DOMAINS = {"currency": "currency_status", "feedstock_presence": "feedstock_presence_status", "vulnerability": "vulnerability_status", "licence": "license_outcome", "remediation": "remediation_readiness", "python_readiness": "python_readiness"}
+#: Columns of the usage signals that weights name.
+SIGNALS = {"internal_lob_count": "lobs", "internal_component_count": "components"}
 
+Keep = Callable[[str, DataFrame], DataFrame]
 
-def derive(t: Mapping[str, DataFrame], cutoff, parameters: Mapping) -> dict[str, DataFrame]:
+
+def owners(registry: Mapping[str, tuple[str, str | None]] = PASSES) -> dict[str, str]:
+    """Rollup columns with the one pass that fills each; an error if two do."""
+    out: dict[str, str] = {}
+    for name, (_, column) in registry.items():
+        if column is not None and out.setdefault(column, name) != name:
+            raise ValueError(f"{column} has two owners: {out[column]} and {name}")
+    return out
+
+
+def stored(folder: str, run_id: int) -> Keep:
+    """Writes each pass's rows once, under its name, and reads them back for whatever follows."""
+
+    def keep(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{folder}/{name}/policy_run_id={run_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    return keep
+
+
+def derive(t: Mapping[str, DataFrame], cutoff, parameters: Mapping, keep: Keep = lambda name, rows: rows) -> dict[str, DataFrame]:
     """Each pass's rows as of the cut-off; the last two read what the others found in this run.
 
     Tables: packages, surfaces (source_release to conda_package evidence in one, by
     surface), feedstock, findings, kev, licences, assessments, verifications, inventory.
+    A version without priority rules gives every package the bucket unknown, one
+    without weights no score.
     """
     packages = t["packages"]
     rules = [(r["expression"], r["disposition"]) for r in parameters.get("license_rules", ())]
@@ -31,46 +70,80 @@ def derive(t: Mapping[str, DataFrame], cutoff, parameters: Mapping) -> dict[str,
         "remediation": passes.remediation(packages, t["findings"], t["surfaces"], cutoff, {"source": 2, "pypi": 2, "feedstock": 14, "conda_package": 2}),
         "python_readiness": passes.python_readiness(packages, t["assessments"], t["verifications"], cutoff),
     }
+    out = {name: keep(name, rows) for name, rows in out.items()}
     every = packages.select("package_id")
-    for name, column, alias in (
-        ("currency", "overall_status", "currency_status"),
-        ("feedstock_presence", "presence_status", "feedstock_presence_status"),
-        ("vulnerability", "vulnerability_status", "vulnerability_status"),
-        ("licence", "license_outcome", "license_outcome"),
-        ("remediation", "readiness_status", "remediation_readiness"),
-        ("python_readiness", "readiness", "python_readiness"),
-    ):
-        every = every.join(out[name].select("package_id", F.col(column).alias(alias)), "package_id", "left")
-    weights = dict(parameters.get("priority_score_weights", {"internal_lob_count": 5, "internal_component_count": 1}))
+    for name, alias in DOMAINS.items():
+        every = every.join(out[name].select("package_id", F.col(PASSES[name][0]).alias(alias)), "package_id", "left")
+    every = out["verdicts"] = keep("verdicts", every)
+    weights = dict(parameters.get("priority_score_weights") or {})
+    if unknown := set(weights) - set(SIGNALS):
+        raise ValueError(f"priority_score_weights: no such signal: {', '.join(sorted(unknown))}")
+    bucket = passes.priority(every, [(r["bucket"], dict(r["when"])) for r in parameters.get("priority_rules", ())])
+    score = passes.score({SIGNALS[c]: w for c, w in weights.items()})
+    out["work_type"] = keep("work_type", every.select("package_id", passes.work_type(every).alias("work_type")))
     broad = presence.breadth(t["inventory"], cutoff)
-    found = [(r["bucket"], dict(r["when"])) for r in parameters["priority_rules"]] if "priority_rules" in parameters else passes.PRIORITY_RULES
-    bucket = passes.priority(every, found)
-    score = passes.score({"lobs": weights.get("internal_lob_count", 5), "components": weights.get("internal_component_count", 1)})
-    out["verdicts"] = every
-    out["work_type"] = every.select("package_id", passes.work_type(every).alias("work_type"))
-    out["priority"] = every.join(broad, "package_id", "left").select("package_id", bucket["bucket"].alias("bucket"), bucket["rule"].alias("matched_rule"), score.alias("score"))
+    out["priority"] = keep("priority", every.join(broad, "package_id", "left").select("package_id", bucket["bucket"].alias("bucket"), bucket["rule"].alias("matched_rule"), score.alias("score")))
     return out
 
 
-def execute(t: Mapping[str, DataFrame], cutoff, parameters: Mapping, run_id: int, version: str) -> dict[str, DataFrame]:
-    """derive's tables, and health (one gated row per package with absence stamps) and new_items."""
-    out = derive(t, cutoff, parameters)
-    verdicts = {
-        "currency_status": out["verdicts"].select("package_id", "currency_status"),
-        "feedstock_presence_status": out["verdicts"].select("package_id", "feedstock_presence_status"),
-        "priority_status": out["priority"].select("package_id", F.col("bucket").alias("priority_status")),
-        "work_type_status": out["work_type"].select("package_id", F.col("work_type").alias("work_type_status")),
-    }
-    folded = presence.presence(t["inventory"], cutoff)
-    health = rollup.compose(t["packages"], verdicts, {"policy_run_id": F.lit(run_id).cast("long"), "policy_version": F.lit(version), "evidence_cutoff": F.lit(cutoff)})
-    out["health"] = presence.stamped(health, folded)
-    open_to = t["packages"].select("package_id", "confidence").join(out["verdicts"], "package_id").join(folded, "package_id", "left")
-    existing = t.get("items", t["packages"].sparkSession.createDataFrame([], "finding_key string"))
-    out["new_items"] = workflow.to_open(open_to, existing)
+def failures(packages: DataFrame, derived: Mapping[str, DataFrame]) -> DataFrame:
+    """package_id, error: packages that a pass can't judge, or whose confidence isn't one."""
+    odd = packages.select("package_id", F.when(~F.coalesce(F.col("confidence").isin(*vocab.CONFIDENCES), F.lit(False)), F.lit("not a confidence")).alias("error"))
+    rows = reduce(DataFrame.unionByName, [odd, *(rows.select("package_id", "error") for rows in derived.values() if "error" in rows.columns)])
+    return rows.where(F.col("error").isNotNull()).groupBy("package_id").agg(F.min("error").alias("error"))
+
+
+def _absence(out: dict[str, DataFrame], t: Mapping[str, DataFrame]) -> DataFrame:
+    return presence.stamped(out["health"], out["presence"])
+
+
+def _new_items(out: dict[str, DataFrame], t: Mapping[str, DataFrame]) -> DataFrame:
+    optional = lambda rows, *columns: [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    findings = t["findings"].select(F.col("id").alias("vulnerability_finding_id"), *optional(t["findings"], "advisory_id", "affected_range"))
+    licences = t["licences"].select(F.col("id").alias("license_finding_id"), *optional(t["licences"], "normalized_license", "channel"))
+    rows = t["packages"].select("package_id", "confidence").join(out["health"].select("package_id"), "package_id", "left_semi").join(out["presence"], "package_id", "left")
+    rows = rows.join(out["vulnerability"].select("package_id", "vulnerability_status", "vulnerability_finding_id"), "package_id").join(findings, "vulnerability_finding_id", "left")
+    rows = rows.join(out["licence"].select("package_id", "license_outcome", "license_finding_id"), "package_id").join(licences, "license_finding_id", "left")
+    existing = t["items"] if "items" in t else rows.sparkSession.createDataFrame([], "finding_key string, package_id long, queue string, state string")
+    return workflow.to_open(rows, existing)
+
+
+def _closed_items(out: dict[str, DataFrame], t: Mapping[str, DataFrame]) -> DataFrame | None:
+    return workflow.to_close(t["items"], out["presence"].where(F.col("absent_since").isNotNull())) if "items" in t else None
+
+
+#: What follows a run, in this order; each step reads what those before it left.
+AFTER_RUN = (("health", _absence), ("new_items", _new_items), ("closed_items", _closed_items))
+
+
+def execute(t: Mapping[str, DataFrame], cutoff, parameters: Mapping, run_id: int, version: str, keep: Keep = lambda name, rows: rows) -> dict[str, DataFrame]:
+    """derive's tables; failed (package_id, error) and ending (one row); health, one gated row with absence stamps for each package that didn't fail; rollup, these and the earlier rows of the others (table health); new_items and closed_items."""
+    owners()
+    out = derive(t, cutoff, parameters, keep)
+    out["failed"] = failures(t["packages"], out)
+    out["ending"] = rollup.ending(t["packages"].select("package_id").join(out["failed"], "package_id", "left"))
+    good = t["packages"].join(out["failed"].select("package_id"), "package_id", "left_anti")
+    verdicts = {column: out[name].select("package_id", F.col(verdict).alias(column)) for name, (verdict, column) in PASSES.items() if column is not None}
+    out["presence"] = keep("presence", presence.presence(t["inventory"], cutoff))
+    out["health"] = rollup.compose(good, verdicts, {"policy_run_id": F.lit(run_id).cast("long"), "policy_version": F.lit(version), "evidence_cutoff": F.lit(cutoff)})
+    for name, step in AFTER_RUN:
+        if (rows := step(out, t)) is not None:
+            out[name] = rows
+    out["rollup"] = rollup.upsert(t["health"].select(*out["health"].columns), out["health"]) if "health" in t else out["health"]
     return out
 
 
+def requested(parameters: Mapping[str, Mapping], version: str | None = None) -> tuple[str, Mapping]:
+    """The version that a run applies (the newest, if none is asked for) and its parameters."""
+    from assayer.sources.files import newest
+
+    if version is not None and version not in parameters:
+        raise ValueError(f"nothing is recorded for version {version}: {', '.join(sorted(parameters))}")
+    chosen = newest(parameters) if version is None else version
+    return chosen, parameters[chosen]
+
+
 def compare(t: Mapping[str, DataFrame], cutoff, parameters: Mapping, recorded: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """What a replay at the same cut-off and parameters makes different from the rows recorded; writes nothing."""
     again = derive(t, cutoff, parameters)
-    return {name: replay.differences(rows, again[name], [c for c in rows.columns if c not in ("package_id", "id", "policy_run_id")]) for name, rows in recorded.items()}
+    return {name: replay.differences(rows, again[name], [c for c in rows.columns if c not in ("package_id", "id", "policy_run_id", "error")]) for name, rows in recorded.items()}

@@ -132,7 +132,7 @@ SELECT package_id, CASE WHEN state IS NULL THEN 'unknown' WHEN state IN ('error'
   WHEN age IS NULL THEN 'unknown' WHEN age <= 180 * 86400 THEN 'present_and_maintained' ELSE 'present_and_inactive' END AS presence_status,
   CASE WHEN state = 'ok' THEN age END AS activity_age, id AS feedstock_snapshot_id FROM a""")
 def feedstock_presence_pass(t: Tables):
-    return passes.feedstock_presence(t.packages(), _feedstock(t), t.cutoff)
+    return passes.feedstock_presence(t.packages(), _feedstock(t), t.cutoff).drop("error")
 
 
 def _advisories(t: Tables):
@@ -170,14 +170,14 @@ SELECT part.p_partkey AS package_id, coalesce({_arr(vocab.VULNERABILITY)}[st.p],
   coalesce({_arr(passes.RISK_ORDER)}[st.sev], '') AS risk_level, sup.fid AS vulnerability_finding_id, ms.kid AS kev_finding_id
 FROM part LEFT JOIN st ON st.package_id = p_partkey LEFT JOIN sup ON sup.package_id = p_partkey LEFT JOIN mk ON mk.package_id = p_partkey LEFT JOIN ms ON ms.package_id = p_partkey""")
 def vulnerability_pass(t: Tables):
-    return passes.vulnerability(_parts(t), _advisories(t), _kev(t), F.lit(_AT).cast("timestamp_ntz"), passes.RISK_ORDER)
+    return passes.vulnerability(_parts(t), _advisories(t), _kev(t), F.lit(_AT).cast("timestamp_ntz"), passes.RISK_ORDER).drop("error")
 
 
 _RULES = [("MIT", "allowed"), ("GPL-3.0-only", "forbidden"), ("LGPL-3.0-only", "restricted")]
-_RAW = ["MIT", "the mit license", "GPL-3.0-only AND MIT", "MIT OR GPL-3.0-only", "odd", "lgpl-3.0-only  AND mit license", ""]
-_NORMAL = ["MIT", "MIT", "GPL-3.0-only AND MIT", "MIT OR GPL-3.0-only", None, "LGPL-3.0-only AND MIT", None]
-_VERDICT = ["allowed", "allowed", "forbidden", "manual_review", "unknown", "restricted", "unknown"]
-_RULE = ["MIT", "MIT", "GPL-3.0-only", None, None, "LGPL-3.0-only", None]
+_RAW = ["MIT", "the mit license", "GPL-3.0-only AND MIT", "MIT OR GPL-3.0-only", "odd", "lgpl-3.0-only  AND mit-license", "", "Apache 2.0 OR MIT", "Apache-2.0 OR MIT", "MIT AND ISC OR Zlib", "MIT and ISC", "(MIT OR ISC)", "ISC AND"]
+_NORMAL = ["MIT", "MIT", "GPL-3.0-only AND MIT", "MIT OR GPL-3.0-only", None, "LGPL-3.0-only AND MIT", None, None, "Apache-2.0 OR MIT", None, None, None, None]
+_VERDICT = ["allowed", "allowed", "forbidden", "manual_review", "unknown", "restricted", "unknown", "unknown", "manual_review", *["unknown"] * 4]
+_RULE = ["MIT", "MIT", "GPL-3.0-only", None, None, "LGPL-3.0-only", *[None] * 7]
 
 
 def _sql_list(values) -> str:
@@ -203,7 +203,7 @@ def licence_pass(t: Tables):
     return passes.licence(_parts(t), _licences(t), F.lit(_AT).cast("timestamp_ntz"), _RULES)
 
 
-@query("licence_normalise", f"WITH g AS (SELECT doc_id, doc_id % {len(_RAW)} + 1 AS i FROM documents) SELECT doc_id, {_sql_list(_RAW)}[i] AS raw, {_sql_list(_NORMAL)}[i] AS expression, {_sql_list(['spdx-identifier', 'recognised-spelling', 'spdx-expression', 'spdx-expression', None, 'spdx-expression', None])}[i] AS method FROM g")
+@query("licence_normalise", f"WITH g AS (SELECT doc_id, doc_id % {len(_RAW)} + 1 AS i FROM documents) SELECT doc_id, {_sql_list(_RAW)}[i] AS raw, {_sql_list(_NORMAL)}[i] AS expression, {_sql_list(['spdx-identifier', 'recognised-spelling', 'spdx-expression', 'spdx-expression', None, 'spdx-expression', None, None, 'spdx-expression', None, None, None, None])}[i] AS method FROM g")
 def licence_normalise(t: Tables):
     from assayer.functions import licence_terms
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.adapters import EV, PKG, Tables, query
-from assayer.operators import digest, reports
+from assayer.adapters import CUTOFF, EV, PKG, Tables, query
+from assayer.functions import vocab
+from assayer.operators import asof, digest, reports, surface, workflow
 from assayer.queries.surface import _LEDGER, ledger
+from assayer.sources import documents
 
 _H = f"""WITH {PKG}, health AS (SELECT package_id, canonical_name, confidence, CAST(package_id % 2 AS BIGINT) AS policy_run_id,
   CASE package_id % 5 WHEN 0 THEN 'behind' WHEN 1 THEN 'error' WHEN 2 THEN 'unknown' ELSE 'current' END AS currency_status,
@@ -26,6 +29,9 @@ def _health(t: Tables):
         F.when(p % 7 == 0, F.lit("2024-01-05 10:00:00").cast("timestamp_ntz")).alias("inventory_absent_since"),
         F.when(p % 14 == 0, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).alias("inventory_last_listed"),
         F.concat(F.lit("src"), (p % 4).cast("string")).alias("identity_source"),
+        F.element_at(F.array(*[F.lit(w) for w in ("fix_vulnerability", "create_recipe", "unknown")]), (p % 3 + 1).cast("int")).alias("work_type_status"),
+        F.create_map(F.lit("currency"), F.concat(F.lit("2024."), (p % 2 + 1).cast("string"))).alias("policy_versions"),
+        F.when(p % 2 == 0, F.lit("2024-01-06 00:00:00")).otherwise("2024-01-07 00:00:00").cast("timestamp_ntz").alias("evidence_cutoff"),
     )
 
 
@@ -45,8 +51,21 @@ def _derived(t: Tables):
         pick("forbidden", "restricted", "allowed").alias("license_outcome"),
         pick("rule a", "rule b", "rule c").alias("matched_rule"),
         (F.col("o_orderkey") % 100).alias("score"),
+        *[F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).alias(f"{s}_snapshot_id") for s in ("source", "pypi", "feedstock", "conda_package")],
+        *[F.col("o_orderkey").alias(c) for c in ("vulnerability_finding_id", "kev_finding_id", "license_finding_id", "assessment_id", "verification_id")],
     )
-    return {n: rows for n in ("currency", "vulnerability", "licence", "python_readiness", "priority")}
+    return {n: rows for n in ("currency", "vulnerability", "licence", "python_readiness", "feedstock_presence", "priority")}
+
+
+def _one(t: Tables):
+    """Derived rows, one for each package and run."""
+    derived = _derived(t)
+    newest = derived["currency"].groupBy("package_id", "policy_run_id").agg(F.max("id").alias("id"))
+    return {n: rows.join(newest, ["package_id", "policy_run_id", "id"], "left_semi") for n, rows in derived.items()}
+
+
+_X = """, o AS (SELECT package_id, policy_run_id, max(id) AS id FROM d GROUP BY 1, 2), x AS (SELECT d.*, o_orderdate AS seen FROM d JOIN o USING (package_id, policy_run_id, id) JOIN orders ON o_orderkey = id),
+work AS (SELECT package_id, ['fix_vulnerability', 'create_recipe', 'unknown'][package_id % 3 + 1] AS work_type_status FROM health)"""
 
 
 def _report(name: str, sql: str):
@@ -68,22 +87,114 @@ def report_left_out(t: Tables):
     return reports.left_out(_health(t), "feedstock-lag")
 
 
-@query("report_absence_tags", _H + " SELECT package_id, 'not listed since 2024-01-05' || CASE WHEN inventory_last_listed IS NULL THEN '' ELSE ', last listed 2024-01-03' END AS tag FROM health WHERE inventory_absent_since IS NOT NULL")
+@query("report_absence_tags", _H + " SELECT package_id, 'absent from the inventory since 2024-01-05' || CASE WHEN inventory_last_listed IS NULL THEN '' ELSE ' (last listed 2024-01-03)' END AS tag FROM health WHERE inventory_absent_since IS NOT NULL")
 def report_absence_tags(t: Tables):
     tag = reports.absence_tag(F.col("inventory_absent_since"), F.col("inventory_last_listed"))
     return _health(t).select("package_id", tag.alias("tag")).where(F.col("tag").isNotNull())
 
 
-@query("health_rows", _H + """, o AS (SELECT package_id, policy_run_id, max(id) AS id, count(*) AS n FROM d GROUP BY 1, 2), x AS (SELECT d.* FROM d JOIN o USING (package_id, policy_run_id, id))
-SELECT health.package_id, currency_status AS currency, coalesce(CASE x.p WHEN 'a' THEN 'source' WHEN 'b' THEN 'pypi' WHEN 'c' THEN 'feedstock' END, '') AS note,
- CASE WHEN confidence = 'unmapped' OR x.p IS NULL THEN 'unknown' ELSE CASE x.p WHEN 'a' THEN 'forbidden' WHEN 'b' THEN 'restricted' ELSE 'allowed' END END AS licence, coalesce(CAST(x.id % 100 AS VARCHAR), '') AS score
-FROM health LEFT JOIN x ON x.package_id = health.package_id AND x.policy_run_id = health.policy_run_id""")
+@query("health_rows", _H + _X + """, y AS (SELECT health.package_id, confidence, currency_status, feedstock_presence_status, x.id, x.p, x.seen FROM health LEFT JOIN x ON x.package_id = health.package_id AND x.policy_run_id = health.policy_run_id)
+SELECT package_id, currency_status AS currency, CASE p WHEN 'a' THEN 'source' WHEN 'b' THEN 'pypi' WHEN 'c' THEN 'feedstock' ELSE 'no evaluation recorded at this run' END AS currency_note, CASE WHEN id % 3 <> 0 THEN seen END AS currency_at,
+ CASE WHEN p IS NULL OR confidence = 'unmapped' THEN 'unknown' WHEN p = 'a' THEN 'advisories_matched' WHEN p = 'b' THEN 'unknown' ELSE 'no_advisory_matched' END AS vulnerability, CASE WHEN p IS NULL THEN 'no evaluation recorded at this run' WHEN p = 'a' THEN 'high' ELSE 'advisory' END AS vulnerability_note,
+ CASE WHEN p IS NULL OR confidence = 'unmapped' THEN 'unknown' WHEN p = 'a' THEN 'listed' WHEN p = 'b' THEN 'not_listed' ELSE 'not_established' END AS kev, seen AS kev_at,
+ CASE WHEN p IS NULL OR confidence = 'unmapped' THEN 'unknown' WHEN p = 'a' THEN 'forbidden' WHEN p = 'b' THEN 'restricted' ELSE 'allowed' END AS licence, coalesce('rule ' || p, 'no evaluation recorded at this run') AS licence_note,
+ CASE WHEN p IS NULL OR confidence = 'unmapped' THEN 'unknown' WHEN p = 'a' THEN 'verified_not_ready' WHEN p = 'b' THEN 'inferred_not_ready' ELSE 'inferred_ready' END AS python, CASE WHEN p IS NULL THEN 'no evaluation recorded at this run' WHEN p = 'a' THEN 'verified' ELSE 'inferred' END AS python_note, seen AS python_at,
+ feedstock_presence_status AS feedstock, CASE WHEN p IS NULL THEN 'no evaluation recorded at this run' ELSE 'feedstock' END AS feedstock_note FROM y""")
 def health_rows(t: Tables):
-    derived = _derived(t)
-    newest = derived["currency"].groupBy("package_id", "policy_run_id").agg(F.max("id").alias("id"))
-    one = {n: rows.join(newest, ["package_id", "policy_run_id", "id"], "left_semi") for n, rows in derived.items()}
-    rows = reports.health_rows(_health(t), one)
-    return rows.select("package_id", F.col("currency.status").alias("currency"), F.col("currency.note").alias("note"), F.col("licence.status").alias("licence"), F.col("priority.note").alias("score"))
+    seen = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("observed_at"))
+    rows = reports.health_rows(_health(t), _one(t), {n: seen for n in ("surfaces", "findings", "kev", "licences", "assessments", "verifications", "feedstock")})
+    part = lambda c, what: F.col(c)[what].alias(f"{c}_{'at' if what == 'observed_at' else what}")
+    return rows.select("package_id", *[F.col(c)["status"].alias(c) for c in ("currency", "vulnerability", "kev", "licence", "python", "feedstock")], *[part(c, "note") for c in ("currency", "vulnerability", "licence", "python", "feedstock")], *[part(c, "observed_at") for c in ("currency", "kev", "python")])
+
+
+@query("report_page_rows", _H + " SELECT package_id, canonical_name, currency_status, feedstock_presence_status, CASE WHEN inventory_absent_since IS NULL THEN '' ELSE 'absent from the inventory since 2024-01-05' || CASE WHEN inventory_last_listed IS NULL THEN '' ELSE ' (last listed 2024-01-03)' END END AS absence FROM health WHERE currency_status IN ('unknown', 'error')")
+def report_page_rows(t: Tables):
+    return reports.page("stale-evidence", _health(t), _derived(t))
+
+
+@query("report_page_summary", _H + """, r AS (SELECT * FROM health WHERE inventory_absent_since IS NULL AND (currency_status = 'behind' OR feedstock_presence_status IS DISTINCT FROM 'present_and_maintained')), x AS (SELECT count(*) AS n FROM health WHERE inventory_absent_since IS NOT NULL AND (currency_status = 'behind' OR feedstock_presence_status IS DISTINCT FROM 'present_and_maintained'))
+SELECT count(*) AS rows, max(CASE package_id % 2 WHEN 0 THEN TIMESTAMP '2024-01-06' ELSE TIMESTAMP '2024-01-07' END) AS evidence_cutoff, (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT 'currency@2024.' || (package_id % 2 + 1) AS v FROM r)) AS versions, any_value(x.n) AS excluded,
+ CASE WHEN any_value(x.n) = 1 THEN '1 package' ELSE any_value(x.n) || ' packages' END || ' excluded: absent from the inventory at the run''s cut-off' AS sentence FROM r, x""")
+def report_page_summary(t: Tables):
+    return reports.summary("feedstock-lag", _health(t), _derived(t))
+
+
+@query("report_screen", _H + " SELECT package_id, canonical_name, identity_source FROM health WHERE confidence = 'unmapped' ORDER BY canonical_name, package_id LIMIT 200")
+def report_screen(t: Tables):
+    return reports.rows("unmapped-identities", _health(t), _derived(t)).limit(surface.REPORT_ROWS)
+
+
+_ASKED = "licence_x.p IN ('a', 'b') AND feedstock_presence_status = 'absent' AND contains(lower(canonical_name), 'customer#0000')"
+_WITH_X = " FROM health LEFT JOIN x licence_x ON licence_x.package_id = health.package_id AND licence_x.policy_run_id = health.policy_run_id"
+_PARAMS = {"licence": ["forbidden", "restricted"], "feedstock": ["absent"], "q": [" Customer#0000 "], "other": ["x"]}
+
+
+@query("listing_composed", _H + _X + f" SELECT health.package_id, canonical_name, licence_x.id % 100 AS score, row_number() OVER (ORDER BY canonical_name, health.package_id) AS place{_WITH_X} WHERE {_ASKED} AND inventory_absent_since IS NULL")
+def listing_composed(t: Tables):
+    rows = surface.listing(_health(t), _one(t), _PARAMS, "odd")
+    return rows.withColumn("place", F.row_number().over(W.orderBy("canonical_name", "package_id")).cast("long")).select("package_id", "canonical_name", "score", "place")  # the order, as a column to compare
+
+
+@query("listing_by_rank", _H + _X + f" SELECT health.package_id, priority_status, licence_x.id % 100 AS score{_WITH_X} WHERE work_type_status = 'create_recipe' AND currency_status IN ('current', 'behind') ORDER BY CAST(substr(priority_status, 2) AS INTEGER), score DESC NULLS FIRST, health.package_id LIMIT 50".replace("FROM health LEFT", "FROM health JOIN work USING (package_id) LEFT"))
+def listing_by_rank(t: Tables):
+    params = {"work": ["create_recipe"], "currency": ["current", "behind"]}
+    return surface.page(surface.listing(_health(t), _one(t), params, "rank")).select("package_id", "priority_status", "score")
+
+
+@query("listing_facets", _H + _X + " SELECT count(*) AS packages" + _WITH_X + " WHERE licence_x.p = 'a' AND confidence <> 'unmapped' AND priority_status IN ('p1', 'p2')")
+def listing_facets(t: Tables):
+    params = {"vuln": ["advisories_matched"], "kev": ["listed", ""], "confidence": ["verified", "inventory-derived"], "priority": ["p1", "p2"], "py314": ["verified_not_ready"]}
+    return surface.asked(_health(t), _one(t), params).agg(F.count("*").alias("packages"))
+
+
+@query("feedstock_gap_exclusions", _H + _X + f" SELECT count(*) FILTER (WHERE feedstock_presence_status = 'absent' AND inventory_absent_since IS NOT NULL) AS absent_from_inventory, count(*) FILTER (WHERE confidence = 'unmapped') AS unmapped{_WITH_X} WHERE licence_x.p IN ('a', 'b') AND contains(lower(canonical_name), 'customer#0000')")
+def feedstock_gap_exclusions(t: Tables):
+    return surface.feedstock_gap(_health(t), _one(t), _PARAMS)
+
+
+@query("ranking_global", _H + _X + f" SELECT health.package_id, priority_status AS bucket, licence_x.id % 100 AS score{_WITH_X} ORDER BY bucket, score DESC NULLS FIRST, health.package_id LIMIT 50")
+def ranking_global(t: Tables):
+    rows = _health(t).join(_one(t)["priority"].select("package_id", "policy_run_id", "score"), ["package_id", "policy_run_id"], "left")
+    return surface.page(surface.globally_ranked(rows.withColumn("bucket", F.col("priority_status")))).select("package_id", "bucket", "score")
+
+
+@query("absent_unresolved", _H + " SELECT count(*) AS not_offered FROM health WHERE inventory_absent_since IS NOT NULL AND confidence <> 'verified'")
+def absent_unresolved(t: Tables):
+    return workflow.absent_unresolved(_health(t), t.packages())
+
+
+@query("identity_block", _H + """, ov AS (SELECT p_partkey AS id, p_size AS package_id, CAST(p_retailprice AS BIGINT) AS observed_at, 'u' || (p_partkey % 3) AS actor, p_type AS reason FROM part), n AS (SELECT package_id, arg_max(id, (observed_at, id)) AS override_id, arg_max(actor, (observed_at, id)) AS actor, arg_max(reason, (observed_at, id)) AS reason FROM ov GROUP BY 1),
+mp AS (SELECT s_nationkey AS package_id, count(*) AS mappings, arg_max(s_suppkey, (CAST(s_acctbal AS BIGINT), s_suppkey)) AS newest FROM supplier GROUP BY 1)
+SELECT package_id, confidence, override_id, actor, reason, coalesce(mappings, 0) AS mappings, newest FROM pkg LEFT JOIN n USING (package_id) LEFT JOIN mp USING (package_id)""")
+def identity_block(t: Tables):
+    overrides = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("package_id"), F.round("p_retailprice").cast("long").alias("observed_at"), F.concat(F.lit("u"), (F.col("p_partkey") % 3).cast("string")).alias("actor"), F.col("p_type").alias("reason"))
+    mappings = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("package_id"), F.round("s_acctbal").cast("long").alias("resolved_at"), F.lit("feedstock").alias("kind"), F.lit("ok").alias("outcome"))
+    rows = surface.identity(t.packages(), overrides, mappings)
+    return rows.select("package_id", "confidence", F.col("override.id").alias("override_id"), "override.actor", "override.reason", F.coalesce(F.size("mappings"), F.lit(0)).cast("long").alias("mappings"), F.get("mappings", F.lit(0))["id"].alias("newest"))
+
+
+_ENTRIES = "entries AS (SELECT c_name AS source_package_key, c_custkey AS id, c_mktsegment AS package_name, CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2024-01-01' END AS retired_at FROM customer)"
+
+
+def _entries(t: Tables):
+    k = F.col("c_custkey")
+    return t.customer.select(F.col("c_name").alias("source_package_key"), k.alias("id"), F.col("c_mktsegment").alias("package_name"), (k % 7).cast("int").alias("internal_component_count"), F.when(k % 3 != 0, (k % 5).cast("int")).alias("internal_lob_count"), F.lit(None).cast("int").alias("apps"), F.lit(1).alias("platforms"), F.lit(None).cast("int").alias("downloads"), F.lit(None).cast("int").alias("versions"), F.when(k % 4 == 0, F.lit("2024-01-01")).cast("timestamp_ntz").alias("retired_at"))
+
+
+@query("inventory_page", f"WITH {_ENTRIES} SELECT source_package_key, package_name FROM entries WHERE retired_at IS NULL AND starts_with(source_package_key, 'Customer#00000001')")
+def inventory_page(t: Tables):
+    return surface.inventory_page(_entries(t), True, "Customer#00000001").select("source_package_key", "package_name")
+
+
+@query("inventory_recent_changes", "SELECT o_orderkey AS id, 'k' || o_custkey AS source_package_key, o_orderpriority AS actor FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
+def inventory_recent_changes(t: Tables):
+    changes = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("source_package_key"), F.col("o_orderpriority").alias("actor"), F.col("o_orderdate").alias("changed_at"))
+    return surface.recent(changes, "changed_at").select("id", "source_package_key", "actor")
+
+
+@query("inventory_records", "SELECT c_name AS source_package_key, '{\"source_package_key\":\"' || c_name || '\",\"package_name\":\"' || c_mktsegment || '\",\"internal_component_count\":' || (c_custkey % 7) || CASE WHEN c_custkey % 3 <> 0 THEN ',\"internal_lob_count\":' || (c_custkey % 5) ELSE '' END || ',\"platforms\":1}' AS record FROM customer WHERE c_custkey % 4 <> 0")
+def inventory_records(t: Tables):
+    return documents.active_records(_entries(t))
 
 
 @query("digest_problems", f"WITH {EV}, {_LEDGER}, g AS (SELECT collector, count(*) FILTER (WHERE status = 'failed') AS f, count(*) FILTER (WHERE status = 'failed' AND contains(detail, 'rate limit')) AS r FROM ledger WHERE finished_at >= TIMESTAMP '2024-01-19' AND finished_at < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT collector, collector || ' ' || CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' failed collection' ELSE ' failed collections' END || CASE WHEN r > 0 THEN ', ' ELSE '' END ELSE '' END || CASE WHEN r > 0 THEN r || ' rate-limited' ELSE '' END AS clause FROM g WHERE f > 0 OR r > 0")
@@ -91,3 +202,25 @@ def digest_problems(t: Tables):
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     figures = digest.histogram(ledger(t), at("2024-01-19"), at("2024-01-20"))
     return reports.problems(figures.select("collector", "failed", "rate_limited", F.lit(0).alias("past_target"), F.lit(0).alias("never_observed")))
+
+
+@query("digest_lines", f"WITH {EV}, {_LEDGER}, g AS (SELECT collector, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in vocab.RUN_STATES) + """, count(*) FILTER (WHERE status = 'failed' AND contains(detail, 'rate limit')) AS r FROM ledger WHERE finished_at >= TIMESTAMP '2024-01-19' AND finished_at < TIMESTAMP '2024-01-20' GROUP BY 1),
+w AS (SELECT collector, r, concat_ws(', ', """ + ", ".join(f"CASE WHEN {s} > 0 THEN {s} || ' {s}' END" for s in vocab.RUN_STATES) + """) AS said FROM g)
+SELECT n.collector, 'collections ' || coalesce(nullif(said, ''), 'none') || '; ' || coalesce(r, 0) || ' rate-limited' || CASE WHEN n.days IS NOT NULL THEN '; 4 past the freshness target of ' || n.days || CASE WHEN n.days = 1 THEN ' day' ELSE ' days' END || ', 2 never observed' ELSE '' END AS line
+FROM (VALUES ('c0', 1), ('c1', 2), ('c2', NULL), ('c3', 14), ('never', 2)) n(collector, days) LEFT JOIN w USING (collector)""")
+def digest_lines(t: Tables):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    scopes = t.spark.createDataFrame([("c0", 1), ("c1", 2), ("c2", None), ("c3", 14), ("never", 2)], "collector string, target_days int")
+    fresh = scopes.select("collector", F.lit(4).alias("past_target"), F.lit(2).alias("never_observed"))
+    return digest.composed(scopes, digest.histogram(ledger(t), at("2024-01-19"), at("2024-01-20")), fresh)
+
+
+@query("digest_history", "WITH d AS (SELECT date_trunc('hour', ts) AS observed_at, count(*) AS figures, max(event_id) AS id FROM events GROUP BY 1) SELECT observed_at, figures, row_number() OVER (ORDER BY observed_at DESC, id DESC) AS place FROM d QUALIFY place <= 31")
+def digest_history(t: Tables):
+    digests = t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("observed_at")).agg(F.count("*").alias("figures"), F.max("event_id").alias("id"))
+    return digest.history(digests).select("observed_at", "figures", F.col("place").cast("long").alias("place"))
+
+
+@query("detail_recent_runs", f"WITH {EV}, {_LEDGER} SELECT package_id, id, collector, status FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY started_at DESC, id DESC) AS rn FROM ledger WHERE started_at <= TIMESTAMP '{CUTOFF}') WHERE rn <= 20")
+def detail_recent_runs(t: Tables):
+    return asof.last(ledger(t).withColumn("observed_at", F.col("started_at")), ["package_id"], t.cutoff, 20).select("package_id", "id", "collector", "status")

@@ -40,7 +40,7 @@ def listing_search(t: Tables):
     return surface.named(t.packages(), "  R#00000001 ").select("package_id", "canonical_name")
 
 
-_RANK = "ORDER BY CASE WHEN bucket IN ('p1','p2','p3','p4','p5','p6','p7','p8','p9','p10') THEN CAST(substr(bucket, 2) AS INTEGER) ELSE 11 END, score DESC NULLS LAST, package_id"
+_RANK = "ORDER BY CASE WHEN bucket IN ('p1','p2','p3','p4','p5','p6','p7','p8','p9','p10') THEN CAST(substr(bucket, 2) AS INTEGER) ELSE 11 END, score DESC NULLS FIRST, package_id"
 
 
 @query("listing_ranked_topk", f"WITH {PKG}, {_HEALTH} SELECT package_id, bucket, score FROM health {_RANK} LIMIT 50")
@@ -64,23 +64,30 @@ def feedstock_gap_counts(t: Tables):
     return rows.agg(F.count("absent_since").alias("left_out"), F.count_if(F.col("absent_since").isNull()).alias("listed"))
 
 
-@query("queue_listing", f"""WITH {ITEM}, s AS (SELECT package_id, item_id AS run, bucket, CASE WHEN item_id % 4 <> 0 THEN item_id % 100 END AS score FROM item),
-n AS (SELECT package_id, bucket, score FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY run DESC) AS rn FROM s) WHERE rn = 1)
-SELECT item.item_id, item.package_id, item.state, n.bucket, n.score FROM item LEFT JOIN n USING (package_id) WHERE item.state NOT IN ('resolved', 'accepted')
-ORDER BY CAST(substr(n.bucket, 2) AS INTEGER), n.score DESC NULLS LAST, item_id LIMIT 200""")
+_QUEUES = """q AS (SELECT item_id, 'f' || item_id AS finding_key, package_id, ['identity_review', 'remediation', 'compliance_review'][item_id % 3 + 1] AS queue, state FROM item),
+h AS (SELECT package_id, 'p' || (package_id % 12) AS bucket FROM pkg WHERE package_id % 9 <> 0),
+n AS (SELECT package_id, score FROM (SELECT package_id, CASE WHEN item_id % 4 <> 0 THEN item_id % 100 END AS score, row_number() OVER (PARTITION BY package_id ORDER BY item_id DESC) AS rn FROM item) WHERE rn = 1),
+w AS (SELECT finding_key, q.package_id, q.queue, q.state, h.bucket, n.score, CASE WHEN h.bucket IN ('p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p7', 'p8', 'p9', 'p10') THEN CAST(substr(h.bucket, 2) AS INTEGER) ELSE 11 END AS r FROM q LEFT JOIN h USING (package_id) LEFT JOIN n USING (package_id) WHERE q.state NOT IN ('resolved', 'accepted'))"""
+
+
+def _queued(t: Tables):
+    i, p = F.col("item_id"), F.col("package_id")
+    items = t.items().select(F.concat(F.lit("f"), i.cast("string")).alias("finding_key"), "package_id", F.element_at(vocab.strings(("identity_review", "remediation", "compliance_review")), (i % 3 + 1).cast("int")).alias("queue"), "state")
+    health = t.packages().where(p % 9 != 0).select("package_id", F.concat(F.lit("p"), (p % 12).cast("string")).alias("priority_status"))
+    scores = t.items().select("package_id", i.alias("policy_run_id"), F.when(i % 4 != 0, i % 100).alias("score"))
+    return items, health, scores
+
+
+@query("queue_listing", f"WITH {ITEM}, {PKG}, {_QUEUES} SELECT finding_key, package_id, state, bucket, score, row_number() OVER (ORDER BY r, score DESC NULLS FIRST, finding_key) AS place FROM w WHERE queue = 'remediation'")
 def queue_listing(t: Tables):
-    items = t.items()
-    scores = items.select("package_id", F.col("item_id").alias("policy_run_id"), "bucket", F.when(F.col("item_id") % 4 != 0, F.col("item_id") % 100).alias("score"))
-    return workflow.queue(items.select("item_id", "package_id", "state"), scores).select("item_id", "package_id", "state", "bucket", "score").limit(200)
+    rows = workflow.queue(*_queued(t), "remediation")
+    place = F.row_number().over(W.orderBy(vocab.bucket_order(F.col("bucket")), F.desc_nulls_first("score"), "finding_key"))  # the order, as a column to compare
+    return rows.withColumn("place", place.cast("long")).select("finding_key", "package_id", "state", "bucket", "score", "place")
 
 
-@query("queue_listing_all", f"""WITH {ITEM}, s AS (SELECT package_id, item_id AS run, bucket, CASE WHEN item_id % 4 <> 0 THEN item_id % 100 END AS score FROM item),
-n AS (SELECT package_id, bucket, score FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY run DESC) AS rn FROM s) WHERE rn = 1)
-SELECT item.item_id, item.package_id, item.state, n.bucket, n.score FROM item LEFT JOIN n USING (package_id) WHERE item.state NOT IN ('resolved', 'accepted')""")
+@query("queue_listing_all", f"WITH {ITEM}, {PKG}, {_QUEUES} SELECT finding_key, package_id, queue, state, bucket, score FROM w")
 def queue_listing_all(t: Tables):
-    items = t.items()
-    scores = items.select("package_id", F.col("item_id").alias("policy_run_id"), "bucket", F.when(F.col("item_id") % 4 != 0, F.col("item_id") % 100).alias("score"))
-    return workflow.queue(items.select("item_id", "package_id", "state"), scores).select("item_id", "package_id", "state", "bucket", "score")
+    return workflow.queue(*_queued(t)).select("finding_key", "package_id", "queue", "state", "bucket", "score")
 
 
 @query("report_distinct", f"WITH {PKG}, {_HEALTH} SELECT DISTINCT health.package_id, canonical_name, license_outcome FROM health JOIN derived USING (package_id) WHERE license_outcome IN ('forbidden', 'restricted')")
@@ -129,7 +136,7 @@ def ledger(t: Tables):
 
 
 @query("collector_health", f"""WITH {EV}, {_LEDGER}, g AS (SELECT collector, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, max(finished_at) AS newest FROM ledger GROUP BY 1)
-SELECT n.collector, coalesce(runs, 0) AS runs, coalesce(failed, 0) AS failed, newest, CASE WHEN runs IS NULL THEN 'never_run' WHEN failed > 0 THEN 'failing' ELSE 'healthy' END AS status FROM (SELECT unnest(['c0', 'c1', 'c2', 'c3', 'never']) AS collector) n LEFT JOIN g USING (collector)""")
+SELECT n.collector, coalesce(runs, 0) AS runs, coalesce(failed, 0) AS failed, newest, CASE WHEN runs IS NULL THEN 'never_run' WHEN failed > 0 THEN 'failing' ELSE 'ok' END AS status FROM (SELECT unnest(['c0', 'c1', 'c2', 'c3', 'never']) AS collector) n LEFT JOIN g USING (collector)""")
 def collector_health(t: Tables):
     return surface.collector_health(ledger(t), list(_NAMES))
 
@@ -151,13 +158,11 @@ def detail_cited(t: Tables):
     return surface.traced(asof.last(t.evidence(), ["package_id"], t.cutoff, 20).select("package_id", "id"), cited)
 
 
-@query("transition_history", "SELECT conv_id AS item_id, turn, role AS author FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
+@query("transition_history", "WITH m AS (SELECT conv_id AS item_id, conv_id % 40 AS package_id, turn, role AS author, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY turn DESC, conv_id * 1000 + turn DESC) AS place FROM conversations), n AS (SELECT conv_id % 40 AS package_id, 3 * count(DISTINCT conv_id) AS most FROM conversations GROUP BY 1) SELECT package_id, item_id, turn, author FROM m JOIN n USING (package_id) WHERE place <= most")
 def transition_history(t: Tables):
-    at = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return t.conversations.select("conv_id", "turn", "role").withColumn("rn", at).where(F.col("rn") <= 3).select(F.col("conv_id").alias("item_id"), "turn", F.col("role").alias("author"))
-
-
-_KEY = "'{table}:' || package_id || ':' || substr(sha256('7:verdict=' || length({v}) || ':' || {v} || '5:epoch=' || length({e}) || ':' || {e}), 1, 16)"
+    moves = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("item_id"), F.col("turn").alias("occurred_at"), F.col("role").alias("author"))
+    items = t.conversations.select(F.col("conv_id").alias("item_id"), (F.col("conv_id") % 40).alias("package_id")).distinct()
+    return surface.work_history(moves, items, 3).select("package_id", "item_id", F.col("occurred_at").alias("turn"), "author")
 
 
 @query("finding_keys", f"WITH {FIND} SELECT package_id, id, 'find:' || package_id || ':' || substr(sha256('7:verdict=' || length(verdict) || ':' || verdict || '2:id=' || length(CAST(id AS VARCHAR)) || ':' || id), 1, 16) AS finding_key FROM find")
@@ -167,22 +172,32 @@ def finding_keys(t: Tables):
     return t.findings().select("package_id", "id", finding_key("find", F.col("package_id"), [("verdict", F.col("verdict")), ("id", F.col("id").cast("string"))]).alias("finding_key"))
 
 
-_OPEN = f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, v AS (SELECT pkg.package_id, confidence, CASE WHEN pkg.package_id % 3 = 0 THEN 'advisories_matched' ELSE 'unknown' END AS vuln, CASE pkg.package_id % 4 WHEN 0 THEN 'forbidden' WHEN 1 THEN 'manual_review' ELSE 'allowed' END AS lic, absent_since, coalesce(strftime(listed_since, '%Y-%m-%d %H:%M:%S.%f'), '') AS e FROM pkg LEFT JOIN fold USING (package_id) WHERE absent_since IS NULL),
-k AS (SELECT package_id, 'packages' AS tb, 'identity_review' AS queue, confidence AS val, e FROM v WHERE confidence = 'unmapped'
- UNION ALL SELECT package_id, 'package_vulnerability', 'remediation', vuln, e FROM v WHERE confidence <> 'unmapped' AND vuln = 'advisories_matched'
- UNION ALL SELECT package_id, 'package_license', 'compliance_review', lic, e FROM v WHERE confidence <> 'unmapped' AND lic IN ('manual_review', 'restricted', 'forbidden')),
-f AS (SELECT package_id, queue, e, CASE WHEN e LIKE '%.%' THEN rtrim(rtrim(e, '0'), '.') ELSE e END AS ee, tb, val FROM k)
-SELECT tb || ':' || package_id || ':' || substr(sha256('7:verdict=' || length(val) || ':' || val || '5:epoch=' || length(ee) || ':' || ee), 1, 16) AS finding_key, package_id, queue FROM f JOIN pkg USING (package_id) WHERE confidence <> 'verified'"""
+def _fact(name: str, value: str) -> str:
+    return f"'{len(name)}:{name}=' || length({value}) || ':' || {value}"
+
+
+_ISO = "strftime(listed_since, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', listed_since) % 1000000 = 0 THEN '' ELSE '.' || strftime(listed_since, '%f') END || '+00:00'"
+#: SQL of the items of v: package_id, confidence, listed_since, and finding ids fid and lid with their facts, null where there is nothing to do.
+ITEMS_OF_V = f"""k AS (SELECT package_id, 'identity_review' AS queue, 'packages' AS tb, {_fact('confidence', 'confidence')} AS facts, listed_since FROM v WHERE confidence = 'unmapped'
+ UNION ALL SELECT package_id, 'remediation', 'vulnerability_findings', {_fact('advisory_id', 'advisory_id')} || {_fact('affected_range', 'affected_range')}, listed_since FROM v WHERE confidence <> 'unmapped' AND fid IS NOT NULL
+ UNION ALL SELECT package_id, 'compliance_review', 'license_findings', {_fact('normalized_license', 'normalized_license')} || {_fact('channel', 'channel')}, listed_since FROM v WHERE confidence <> 'unmapped' AND lid IS NOT NULL),
+e AS (SELECT *, {_ISO} AS iso FROM k),
+opened AS (SELECT DISTINCT tb || ':' || package_id || ':' || substr(sha256(facts || coalesce({_fact('listed_since', 'iso')}, '')), 1, 16) AS finding_key, package_id, queue FROM e)"""
 
 
-@query("open_items", _OPEN)
+@query("open_items", f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, v AS (SELECT pkg.package_id, confidence, listed_since, CASE WHEN pkg.package_id % 3 = 0 AND pkg.package_id % 6 <> 0 THEN pkg.package_id END AS fid, 'ADV-' || (pkg.package_id % 7) AS advisory_id, CASE WHEN pkg.package_id % 2 = 0 THEN '<2' ELSE '' END AS affected_range,
+ CASE WHEN pkg.package_id % 4 < 2 THEN pkg.package_id END AS lid, CASE WHEN pkg.package_id % 4 = 0 THEN 'GPL-3.0-only' ELSE '' END AS normalized_license, 'main' AS channel FROM pkg LEFT JOIN fold USING (package_id) WHERE absent_since IS NULL), {ITEMS_OF_V}
+SELECT finding_key, package_id, queue FROM opened WHERE NOT (queue = 'identity_review' AND package_id % 5 = 0) AND NOT (queue = 'remediation' AND package_id % 5 = 1)""")
 def open_items(t: Tables):
     p = F.col("package_id")
     rows = t.packages().join(presence.presence(inventory(t), t.cutoff), "package_id", "left").select(
-        "package_id", "confidence", F.when(p % 3 == 0, "advisories_matched").otherwise("unknown").alias("vulnerability_status"), F.when(p % 4 == 0, "forbidden").when(p % 4 == 1, "manual_review").otherwise("allowed").alias("license_outcome"), "absent_since", "listed_since"
+        "package_id", "confidence", "absent_since", "listed_since", F.when(p % 3 == 0, "advisories_matched").otherwise("unknown").alias("vulnerability_status"), F.when(p % 6 != 0, p).alias("vulnerability_finding_id"), F.concat(F.lit("ADV-"), (p % 7).cast("string")).alias("advisory_id"), F.when(p % 2 == 0, "<2").alias("affected_range"),
+        F.when(p % 4 == 0, "forbidden").when(p % 4 == 1, "manual_review").otherwise("allowed").alias("license_outcome"), p.alias("license_finding_id"), F.when(p % 4 == 0, "GPL-3.0-only").alias("normalized_license"), F.lit("main").alias("channel"),
     )
-    existing = workflow.to_open(rows.where(F.col("confidence") == "verified"), t.spark.createDataFrame([], "finding_key string"))
-    return workflow.to_open(rows, existing)
+    none = t.spark.createDataFrame([], "finding_key string, package_id long, queue string, state string")
+    waiting = t.packages().where(p % 5 == 0).select(F.concat(F.lit("other"), p.cast("string")).alias("finding_key"), "package_id", F.lit("identity_review").alias("queue"), F.lit("open").alias("state"))
+    known = workflow.to_open(rows, none).where((F.col("queue") == "remediation") & (p % 5 == 1)).withColumn("state", F.lit("resolved"))
+    return workflow.to_open(rows, waiting.unionByName(known))
 
 
 @query("close_items", f"WITH {EVC}, {_INV}, {_FOLD}, {ITEM} SELECT item_id, package_id, state AS from_state, 'resolved' AS to_state, 'system' AS origin FROM item WHERE state NOT IN ('resolved', 'accepted') AND package_id IN (SELECT package_id FROM fold WHERE absent_since IS NOT NULL)")

@@ -210,7 +210,7 @@ def watchlist_rows(t: Tables):
     return files.typed(rows).select("source_package_key", "package_name", "internal_component_count", "fault")
 
 
-@query("stream_append_parity")
+@query("stream_append_parity", "SELECT event_type, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1")
 def stream_append_parity(t: Tables):
     source = ingest.folder(t.spark, f"{t.folder}/event[s].parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string")
     out = f"{scratch(t.spark)}/stream-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import text
+from assayer.functions import licence_terms, text
 from assayer.functions.specifiers import admits, declares_versions
 
 ADVISORIES = "identified boolean, findings array<struct<advisory_id: string, severity: string, affected_range: string, fixed_range: string, match_confidence: string>>, detail string"
@@ -37,11 +37,18 @@ def advisories(documents: DataFrame, most: int = 1000) -> DataFrame:
     return rows.select("package_id", "fault", F.explode_outer(F.when(F.col("fault").isNull(), F.col("d.findings"))).alias("f")).select("package_id", "fault", "f.*")
 
 
+#: The earliest and latest date that a catalog entry may state.
+EARLIEST, LATEST = "1999-01-01T00:00:00Z", "2200-01-01T00:00:00Z"
+
+
 def catalog(documents: DataFrame) -> DataFrame:
-    """advisory_id (lower case, aliases too), date_added; the date null where it isn't an instant."""
+    """advisory_id (lower case, aliases too), date_added and fault: why there is no date (none stated, unreadable, out of range)."""
     entry = documents.select(F.explode(F.from_json("body", CATALOG)["entries"]).alias("e"))
     name = F.explode(F.array_distinct(F.transform(F.concat(F.array("e.advisory_id"), F.coalesce("e.aliases", F.array().cast("array<string>"))), F.lower)))
-    return entry.select(name.alias("advisory_id"), text.instant(F.col("e.date_added")).alias("date_added"))
+    at = text.instant(F.col("e.date_added"))
+    inside = at.between(F.lit(EARLIEST).cast("timestamp"), F.lit(LATEST).cast("timestamp"))
+    fault = F.when(F.trim(F.coalesce("e.date_added", F.lit(""))) == "", "no date").when(at.isNull(), "unreadable").when(~inside, "out of range")
+    return entry.select(name.alias("advisory_id"), F.when(inside, at).alias("date_added"), fault.alias("fault"))
 
 
 def listed(findings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,6 +68,41 @@ def channel_facts(documents: DataFrame, platforms: list[str]) -> DataFrame:
     return rows.select("package_id", "platform", F.when(best.isNotNull(), F.col("d.latest_version")).alias("version"), best["build"].alias("build"), F.nullif(best["n"], F.lit(-1)).alias("build_number"))
 
 
+def channel_licences(documents: DataFrame, channel: str) -> DataFrame:
+    """package_id, channel, state, raw_license, normalized_license, detection_method, detail (what was missing, in a word) of channel documents."""
+    rows = documents.select("package_id", F.from_json("body", CHANNEL)["license"].alias("raw"), F.json_object_keys("body").alias("keys"))
+    raw, read = F.trim(F.coalesce("raw", F.lit(""))), licence_terms.normalised(F.col("raw"))
+    detail = F.when(F.col("keys").isNull(), "no document").when((raw == "") & ~F.array_contains("keys", "license"), "no field").when(raw == "", "none stated").when(F.col("raw").rlike(r"[\x00-\x1F\x7F]"), "control characters").when(read["expression"].isNull(), "not recognised")
+    good = detail.isNull()
+    return rows.select("package_id", F.lit(channel).alias("channel"), F.when(F.col("keys").isNull(), "error").when(good, "normalized").otherwise("unknown").alias("state"), "raw", F.when(good, read["expression"]).alias("normalized_license"), F.when(good, read["method"]).alias("detection_method"), F.coalesce(detail, F.lit("")).alias("detail"))
+
+
+def tags(documents: DataFrame) -> DataFrame:
+    """package_id, latest_version of tag lists: the first that has a name; null where none does."""
+    names = F.filter(F.transform(F.from_json("body", "array<struct<name: string>>"), lambda t: F.trim(t["name"])), lambda n: n != "")
+    return documents.select("package_id", F.get(names, F.lit(0)).alias("latest_version"))
+
+
+def feedstock_index(documents: DataFrame) -> DataFrame:
+    """package_id, feedstocks (lower case, each once, in their order) of index documents; null with a fault where the list, or a name in it, isn't one."""
+    names = F.transform(F.from_json("body", "feedstocks array<string>")["feedstocks"], lambda n: F.lower(F.trim(n)))
+    fault = F.when(names.isNull(), "not a list").when(F.exists(names, lambda n: ~F.coalesce(n.rlike("^[a-z0-9_.-]+$"), F.lit(False))), "not a name")
+    return documents.select("package_id", F.when(fault.isNull(), F.array_distinct(names)).alias("feedstocks"), fault.alias("fault"))
+
+
+def project_urls(documents: DataFrame) -> DataFrame:
+    """package_id, urls: the labelled links of index documents, trimmed, without blank ones."""
+    urls = F.from_json("body", INDEX)["info"]["project_urls"]
+    kept = F.map_filter(urls, lambda k, v: (F.trim(k) != "") & (F.trim(F.coalesce(v, F.lit(""))) != ""))
+    return documents.select("package_id", F.transform_values(F.transform_keys(kept, lambda k, v: F.trim(k)), lambda k, v: F.trim(v)).alias("urls"))
+
+
+def active_records(entries: DataFrame) -> DataFrame:
+    """source_package_key, record: each entry that isn't retired as the JSON that the inventory adapter reads; signals without a value are left out."""
+    record = F.to_json(F.struct("source_package_key", "package_name", "internal_component_count", "internal_lob_count", "apps", "platforms", "downloads", "versions"), {"ignoreNullFields": "true"})
+    return entries.where(F.col("retired_at").isNull()).select("source_package_key", record.alias("record")).orderBy("source_package_key")
+
+
 def releases(documents: DataFrame) -> DataFrame:
     """package_id, latest_version, released_at, last_activity_at, releases_seen and how many were left out, by reason."""
     rows = documents.select("package_id", F.from_json("body", RELEASES).alias("d"))

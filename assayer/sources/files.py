@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.vocab import BUCKETS
+
 WATCHLIST = ("source_package_key", "package_name", "internal_component_count", "internal_lob_count", "apps", "platforms", "downloads", "versions")
 REQUIRED = WATCHLIST[:4]
 
@@ -41,13 +43,49 @@ def typed(rows: DataFrame) -> DataFrame:
 
 def parameters(text: str) -> dict[str, dict]:
     """Policy parameters by version from TOML; each rule's position is its place in the file."""
-    held = tomllib.loads(text)["versions"]
-    for version, p in held.items():
-        if not isinstance(p.get("feedstock_inactivity_days"), int) or p["feedstock_inactivity_days"] <= 0:
-            raise ValueError(f"{version}: feedstock_inactivity_days")
-        if any("bucket" not in r or not r.get("when") for r in p.get("priority_rules", ())):
-            raise ValueError(f"{version}: priority_rules")
-    return held
+    held = tomllib.loads(text)
+    if set(held) != {"versions"} or not isinstance(held["versions"], dict) or not held["versions"]:
+        raise ValueError("the only table is versions, and it must hold one at least")
+    for version, p in held["versions"].items():
+        if fault := _fault(version, p):
+            raise ValueError(f"{version}: {fault}")
+    return held["versions"]
+
+
+#: What a version may hold, and what licence rules may say.
+PARAMETERS = ("feedstock_inactivity_days", "license_rules", "vulnerability_risk_order", "priority_rules", "priority_score_weights")
+DISPOSITIONS = ("allowed", "restricted", "forbidden", "manual_review")
+RULE_DOMAINS = ("currency_status", "feedstock_presence_status", "vulnerability_status", "license_outcome", "remediation_readiness", "python_readiness")
+
+
+def _fault(version: str, p: dict) -> str | None:
+    """The first parameter of a version that can't be applied."""
+    days, rules = p.get("feedstock_inactivity_days"), p.get("license_rules", [])
+    order, ranked, weights = p.get("vulnerability_risk_order", ["high"]), p.get("priority_rules", []), p.get("priority_score_weights", {})
+    text = lambda x: isinstance(x, str) and x.strip() == x != ""
+    if not text(version):
+        return "the version's name"
+    if odd := set(p) - set(PARAMETERS):
+        return f"no such parameter: {', '.join(sorted(odd))}"
+    if type(days) is not int or not 0 < days <= 36_500:
+        return "feedstock_inactivity_days"
+    if not isinstance(rules, list) or any(not isinstance(r, dict) or set(r) != {"expression", "disposition"} or not text(r["expression"]) or r["disposition"] not in DISPOSITIONS for r in rules):
+        return "license_rules"
+    if len({r["expression"].lower() for r in rules}) < len(rules):
+        return "license_rules: an expression stands twice"
+    if not isinstance(order, list) or not order or any(not text(x) or x != x.lower() for x in order) or len(set(order)) < len(order):
+        return "vulnerability_risk_order"
+    if not isinstance(ranked, list) or any(not isinstance(r, dict) or r.get("bucket") not in BUCKETS or not isinstance(r.get("when"), dict) or not r["when"] or set(r["when"]) - set(RULE_DOMAINS) or not all(text(v) for v in r["when"].values()) for r in ranked):
+        return "priority_rules"
+    if not isinstance(weights, dict) or set(weights) - {"internal_lob_count", "internal_component_count"} or any(type(w) is not int or w < 0 for w in weights.values()):
+        return "priority_score_weights"
+    return None
+
+
+def rules_of(spark: SparkSession, held: dict[str, dict]) -> DataFrame:
+    """version, position, bucket, conditions of all priority rules, in their order."""
+    rows = [(v, i + 1, r["bucket"], ",".join(f"{k}={r['when'][k]}" for k in sorted(r["when"]))) for v, p in held.items() for i, r in enumerate(p.get("priority_rules", ()))]
+    return spark.createDataFrame(rows, "version string, position int, bucket string, conditions string")
 
 
 def version_key(version: str) -> tuple:
@@ -60,7 +98,10 @@ def newest(versions) -> str:
 
 
 def append_evidence(rows: DataFrame, path: str) -> None:
-    """Appends evidence, in a folder for each day observed; never changes what is there."""
+    """Appends a batch of evidence of one instant, in a folder for each day observed; never changes what is there."""
+    seen = rows.agg(F.min("observed_at").alias("a"), F.max("observed_at").alias("b"), F.count_if(F.col("observed_at").isNull()).alias("none")).first()
+    if seen["a"] != seen["b"] or seen["none"]:
+        raise ValueError("a batch of evidence has one observed_at")
     rows.withColumn("observed_date", F.to_date("observed_at")).write.mode("append").partitionBy("observed_date").parquet(path)
 
 

@@ -12,8 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assayer.functions import licence_terms, specifiers, text, vocab
-from assayer.operators import asof, digest, inventory, presence, replay, retention, surface, workflow
-from assayer.plans import passes, rollup
+from assayer.operators import asof, collection, digest, inventory, presence, replay, retention, surface, workflow
+from assayer.plans import passes, rollup, run
 from assayer.sources import documents, files
 
 T0 = datetime(2024, 1, 1)
@@ -144,15 +144,17 @@ def test_specifiers_that_cannot_be_read(spark):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["MIT", "mit license", "ISC", "odd", "Zlib"]), st.sampled_from([" AND ", " OR "])), min_size=1, max_size=4))
+@given(st.lists(st.tuples(st.sampled_from(["MIT", "mit-license", "mit license", "ISC", "odd", "Zlib", "Apache 2.0"]), st.sampled_from([" AND ", " OR ", "  AND "])), min_size=1, max_size=4))
 def test_licences_are_read_operand_by_operand(spark, parts):
     raw = "".join(p + (op if i < len(parts) - 1 else "") for i, (p, op) in enumerate(parts))
-    names = {"MIT": "MIT", "mit license": "MIT", "ISC": "ISC", "Zlib": "Zlib"}
-    ops = {op for _, op in parts[:-1]}
-    known = all(p in names for p, _ in parts)
+    whole = {"MIT": "MIT", "mit-license": "MIT", "mit license": "MIT", "ISC": "ISC", "Zlib": "Zlib", "Apache 2.0": "Apache-2.0"}
+    one_token = {p: n for p, n in whole.items() if " " not in p}
+    ops = {op.strip() for _, op in parts[:-1]}
     want = None
-    if known and len(ops) <= 1:
-        want = next(iter(ops)).join(names[p] for p, _ in parts) if ops else names[parts[0][0]]
+    if len(parts) == 1:
+        want = whole.get(parts[0][0])
+    elif all(p in one_token for p, _ in parts) and len(ops) == 1:
+        want = f" {next(iter(ops))} ".join(one_token[p] for p, _ in parts)
     got = spark.createDataFrame([(raw,)], "r string").select(licence_terms.normalised(F.col("r"))["expression"].alias("e")).first().e
     assert got == want
 
@@ -292,3 +294,83 @@ def test_everything_but_verified_needs_review(spark):
     breadth = spark.createDataFrame([(i, i, i) for i in range(1, 7)], "package_id long, components long, lobs long")
     assert [r.package_id for r in rollup.unresolved(packages, folded, breadth).collect()] == [5, 4, 3, 2]
     assert rollup.unresolved_left_out(packages, folded).first().left_out == 1
+
+
+def test_a_rollup_column_has_one_owner():
+    assert run.owners() == {"currency_status": "currency", "feedstock_presence_status": "feedstock_presence", "work_type_status": "work_type", "priority_status": "priority"}
+    with pytest.raises(ValueError, match="two owners"):
+        run.owners({"a": ("x", "c"), "b": ("y", "c")})
+
+
+def test_a_run_takes_the_newest_version_unless_told():
+    held = {"2024.2": {"feedstock_inactivity_days": 1}, "2024.10": {"feedstock_inactivity_days": 2}}
+    assert run.requested(held) == ("2024.10", held["2024.10"])
+    assert run.requested(held, "2024.2")[0] == "2024.2"
+    with pytest.raises(ValueError, match="nothing is recorded"):
+        run.requested(held, "2023")
+
+
+def test_a_version_without_weights_gives_no_score(spark):
+    rows = spark.createDataFrame([(1, 3, 4)], "package_id long, lobs int, components int")
+    for weights in ({}, {"lobs": 0}, {"lobs": 0, "components": 0}):
+        assert rows.select(passes.score(weights).alias("s")).first().s is None
+    assert rows.select(passes.score({"lobs": 1}).alias("s")).first().s == 1 + 3 * 99 // 100
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "feedstock_inactivity_days = 0",
+        "feedstock_inactivity_days = 40000",
+        "feedstock_inactivity_days = true",
+        "feedstock_inactivity_days = 9\nodd = 1",
+        'feedstock_inactivity_days = 9\nlicense_rules = [{expression = "MIT", disposition = "perhaps"}]',
+        'feedstock_inactivity_days = 9\nlicense_rules = [{expression = "MIT", disposition = "allowed"}, {expression = "mit", disposition = "forbidden"}]',
+        "feedstock_inactivity_days = 9\nvulnerability_risk_order = []",
+        'feedstock_inactivity_days = 9\nvulnerability_risk_order = ["High"]',
+        'feedstock_inactivity_days = 9\npriority_rules = [{bucket = "p1", when = {}}]',
+        'feedstock_inactivity_days = 9\npriority_rules = [{bucket = "p11", when = {currency_status = "behind"}}]',
+        'feedstock_inactivity_days = 9\npriority_rules = [{bucket = "p1", when = {odd = "behind"}}]',
+        "feedstock_inactivity_days = 9\npriority_score_weights = {apps = 1}",
+        "feedstock_inactivity_days = 9\npriority_score_weights = {internal_lob_count = -1}",
+    ],
+)
+def test_parameters_that_cannot_be_applied_are_refused(line):
+    with pytest.raises(ValueError, match="1: "):
+        files.parameters(f'[versions."1"]\n{line}\n')
+
+
+def test_a_batch_of_evidence_has_one_instant(spark, tmp_path):
+    rows = spark.createDataFrame([(1, at(1)), (2, at(2))], "id long, observed_at timestamp")
+    with pytest.raises(ValueError, match="one observed_at"):
+        files.append_evidence(rows, f"{tmp_path}/x")
+    files.append_evidence(rows.where("id = 1"), f"{tmp_path}/x")
+    files.append_evidence(rows.where("id = 2"), f"{tmp_path}/x")
+    assert spark.read.parquet(f"{tmp_path}/x").count() == 2
+
+
+def test_a_run_without_a_finished_collection_has_no_cutoff(spark):
+    rows = lambda data: spark.createDataFrame(data, "collector string, started_at timestamp, finished_at timestamp")
+    with pytest.raises(ValueError, match="cut-off"):
+        rollup.stated_cutoff(rows([("prune", at(1), at(2)), ("c", at(3), None)]))
+    assert rollup.stated_cutoff(rows([("prune", at(1), at(9)), ("c", at(1), at(2)), ("c", at(3), None), ("c", at(2), at(4))])) == at(2)
+
+
+def test_a_replay_needs_a_run_at_its_cutoff(spark):
+    runs = spark.createDataFrame([(at(5),), (None,)], "evidence_cutoff timestamp")
+    replay.require_run(runs, at(5))
+    with pytest.raises(ValueError, match="no retained run"):
+        replay.require_run(runs, at(6))
+
+
+def test_collectors_outlast_their_cadence():
+    assert collection.cadence_faults() == []
+
+
+def test_an_odd_state_costs_its_package_only(spark):
+    packages = spark.createDataFrame([(1, "verified"), (2, "verified"), (3, "odd")], "package_id long, confidence string")
+    findings = spark.createDataFrame([(1, 10, at(1), "matched", False, "high"), (2, 11, at(1), "odd", False, "high"), (2, 12, at(1), "matched", False, "low")], "package_id long, id long, observed_at timestamp, state string, nothing_matched boolean, severity string")
+    kev = spark.createDataFrame([], "package_id long, id long, observed_at timestamp, state string, finding_id long")
+    out = passes.vulnerability(packages, findings, kev, at(9), ["high", "low"])
+    assert {r.package_id: (r.vulnerability_status, r.error) for r in out.collect()} == {1: ("advisories_matched", None), 2: ("advisories_matched", "not a finding state: odd"), 3: ("unknown", None)}
+    assert {r.package_id: r.error for r in run.failures(packages, {"vulnerability": out}).collect()} == {2: "not a finding state: odd", 3: "not a confidence"}

@@ -16,8 +16,8 @@ size of the segments: these are put in classes of similar length, and a class
 samples only places inside its shortest segment.
 
 A window of which too few words occur in any item can't be within the distance
-and isn't walked.  Every window whose key is a segment's is a candidate, and a
-semi-global alignment decides it exactly.
+and isn't walked.  Every window whose key is a segment's is a candidate; where enough
+of the item's words stand around it, a semi-global alignment decides it exactly.
 
 One map over whole documents, in which the items (at most `BLOCK_WORDS` words of
 them; more go in several passes) are broadcast.
@@ -201,7 +201,13 @@ def _leaks(shipped, keep: str):
                     place = at[:, None] + np.arange(-k, n + far)[None, :]
                     out = (place < w.first[doc][:, None]) | (place >= w.first[doc + 1][:, None])
                     texts = np.where(out, np.uint64(1), h[np.clip(place, 0, len(h) - 1)])
-                    d, a, b = aligned(word, texts)
+                    own = np.sort(word)
+                    held = own[np.minimum(np.searchsorted(own, texts), n - 1)] == texts
+                    may = np.flatnonzero(held.sum(axis=1) >= n - k)  # within the distance, n - k of the item's words stand there
+                    if not len(may):
+                        continue
+                    at, doc = at[may], doc[may]
+                    d, a, b = aligned(word, texts[may])
                     good = d <= k
                     rows += zip(doc[good], np.full(good.sum(), i), d[good], (at - k + a)[good] - w.first[doc[good]], (b - a)[good])
             if len(items.heads):

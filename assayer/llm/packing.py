@@ -39,6 +39,8 @@ from assayer.llm import tables, words
 
 #: Tokens of a sequence, windows of a pack partition, the least deficit that is served, and the token that ends a document.
 LENGTH, WINDOWS, PIECE, END = 2048, 256, 64, 1
+#: Pack partitions that a task gets, on average.
+PACKS = 6
 # Fixed value: what the byte-level vocabulary splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEQUENCES = 1 << 20
@@ -344,7 +346,8 @@ def pack(docs: DataFrame, path: str | None = None, targets: Mapping[str, float]
     placed = table.join(places, ["part", "source"]).select("doc_id", "source", (F.col("place") + F.col("before")).alias("at"), "n", "total", "ids")
     kind = dict(docs.dtypes)["doc_id"]
     dealt = placed.mapInArrow(_dealt(shares, width), f"pack long, source string, at long, doc_id {kind}, start long, doc_tokens long, ids binary")
-    return dealt.groupBy("pack").applyInArrow(_packed(np.dtype(encoder.dtype).str), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shares.partitions // PACKS))
+    return dealt.repartition(tasks, "pack").groupBy("pack").applyInArrow(_packed(np.dtype(encoder.dtype).str), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

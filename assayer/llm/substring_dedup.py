@@ -44,6 +44,8 @@ SURVEYED, CELLS, FREQUENT = 16, 1 << 20, 16
 LONGEST = 48
 #: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
 BUCKET_BYTES, HELD_BYTES = 3 << 20, 16 << 20
+#: Buckets that a task gets, on average.
+BUCKETS = 5
 
 _BLOCK = "bucket long, found boolean, rows int, bytes int, packed binary"
 _LAST = np.uint64(1 << 63)
@@ -269,8 +271,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     with tables.Scratch(spark) as scratch:
         size, frequent = survey(docs, scratch)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    return cut.mapInArrow(_send(buckets, spark.sparkContext.broadcast(frequent)), _BLOCK).groupBy("bucket").applyInArrow(_answer, _RUNS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-size // BUCKET_BYTES))
+    sent = cut.mapInArrow(_send(buckets, spark.sparkContext.broadcast(frequent)), _BLOCK)
+    return sent.repartition(max(tasks, buckets // BUCKETS), "bucket").groupBy("bucket").applyInArrow(_answer, _RUNS)
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

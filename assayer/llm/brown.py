@@ -510,7 +510,7 @@ def score(docs: DataFrame) -> DataFrame:
 
         def answered(whole: DataFrame, replies: DataFrame, column: str) -> DataFrame:
             """Blocks with what buckets answered them."""
-            held = replies.where(F.col("block").isNotNull()).groupBy("block").agg(F.collect_list(F.struct("bucket", "n", column)).alias("answers"))  # at most a block's words
+            held = replies.where(F.col("block").isNotNull()).repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", column)).alias("answers"))  # at most a block's words
             return whole.where(F.col("tokens").isNotNull()).select("block", "n", "bytes", "docs", "held", "sizes", "tokens").repartition(parts, "block").join(held, "block", "left")
 
         state = scratch.written(answered(blocks, answers.select("block", "bucket", "n", "totals"), "totals").mapInArrow(_neighbours(model), _STATE), "state")

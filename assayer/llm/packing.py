@@ -191,7 +191,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(path), TaskContext.get().partitionId(), {}
-        for batch in words.slices(batches, "text", 6 << 20):
+        for batch in words.slices(batches, "text", 3 << 20):
             ids, offset = encoder(batch.column("text"))
             end = np.array([END], ids.dtype).tobytes()
             n = np.diff(offset) + 1

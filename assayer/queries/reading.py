@@ -163,12 +163,12 @@ def absent_unresolved(t: Tables):
     return workflow.absent_unresolved(_health(t), t.packages())
 
 
-@query("identity_block", _H + """, ov AS (SELECT p_partkey AS id, p_size AS package_id, CAST(p_retailprice AS BIGINT) AS observed_at, 'u' || (p_partkey % 3) AS actor, p_type AS reason FROM part), n AS (SELECT package_id, arg_max(id, (observed_at, id)) AS override_id, arg_max(actor, (observed_at, id)) AS actor, arg_max(reason, (observed_at, id)) AS reason FROM ov GROUP BY 1),
-mp AS (SELECT s_nationkey AS package_id, count(*) AS mappings, arg_max(s_suppkey, (CAST(s_acctbal AS BIGINT), s_suppkey)) AS newest FROM supplier GROUP BY 1)
+@query("identity_block", _H + """, ov AS (SELECT p_partkey AS id, p_size AS package_id, CAST(floor(p_retailprice) AS BIGINT) AS observed_at, 'u' || (p_partkey % 3) AS actor, p_type AS reason FROM part), n AS (SELECT package_id, arg_max(id, (observed_at, id)) AS override_id, arg_max(actor, (observed_at, id)) AS actor, arg_max(reason, (observed_at, id)) AS reason FROM ov GROUP BY 1),
+mp AS (SELECT s_nationkey AS package_id, count(*) AS mappings, arg_max(s_suppkey, (CAST(floor(s_acctbal) AS BIGINT), s_suppkey)) AS newest FROM supplier GROUP BY 1)
 SELECT package_id, confidence, override_id, actor, reason, coalesce(mappings, 0) AS mappings, newest FROM pkg LEFT JOIN n USING (package_id) LEFT JOIN mp USING (package_id)""")
 def identity_block(t: Tables):
-    overrides = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("package_id"), F.round("p_retailprice").cast("long").alias("observed_at"), F.concat(F.lit("u"), (F.col("p_partkey") % 3).cast("string")).alias("actor"), F.col("p_type").alias("reason"))
-    mappings = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("package_id"), F.round("s_acctbal").cast("long").alias("resolved_at"), F.lit("feedstock").alias("kind"), F.lit("ok").alias("outcome"))
+    overrides = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("package_id"), F.floor("p_retailprice").alias("observed_at"), F.concat(F.lit("u"), (F.col("p_partkey") % 3).cast("string")).alias("actor"), F.col("p_type").alias("reason"))
+    mappings = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("package_id"), F.floor("s_acctbal").alias("resolved_at"), F.lit("feedstock").alias("kind"), F.lit("ok").alias("outcome"))
     rows = surface.identity(t.packages(), overrides, mappings)
     return rows.select("package_id", "confidence", F.col("override.id").alias("override_id"), "override.actor", "override.reason", F.coalesce(F.size("mappings"), F.lit(0)).cast("long").alias("mappings"), F.get("mappings", F.lit(0))["id"].alias("newest"))
 

@@ -303,9 +303,9 @@ def _forest(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield edges(pa.Table.from_batches(held))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.slices(batches, "text"):
-        hashes, first = shingle_hashes(words.split(batch.column("text"), lower=True))
+        hashes, first = shingle_hashes(words.split(batch.column("text"), lower=True), size)
         sets = pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("group"), batch.column("part"), sets], ["doc_id", "group", "part", "set"])
 
@@ -344,6 +344,32 @@ def _confirmed(percent: int):
     return confirmed
 
 
+def _in_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+
+
+def confirmed_links(cut: DataFrame, forest: DataFrame, near: DataFrame, reps: DataFrame, percent: int, scratch: tables.Scratch, size: int = SHINGLE) -> DataFrame:
+    """Links (a, b) inside the components `near` of a forest, decided on full sets of `size`-word shingles of the texts in `cut`: enough of them for the groups that all links make."""
+
+    def confirmed(ends: DataFrame, name: str) -> DataFrame:
+        texts = cut.join(tables.checked(ends), "doc_id").select("doc_id", "group", "part", "text")
+        links = texts.mapInArrow(partial(_sets, size), "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed(percent), "a long, b long")
+        return scratch.written(links.where("a <> b"), name)
+
+    sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    weight = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GATHERED).alias("parts"))
+    split = forest.join(near.withColumnRenamed("node", "a"), "a").join(weight, "label")
+    group = F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts")))
+    ends = split.select(group.alias("group"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("part", F.col("doc_id"))
+    links = confirmed(scratch.written(ends, "neighbourhoods"), "links")
+    large = scratch.written(sized.join(weight.where(F.col("parts") > 1), "label").select(F.col("label").alias("set"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("weight")), "large")
+    if not large.isEmpty():
+        held = scratch.written(_in_parts(large, components(links, scratch)), "parts")
+        ends = _blocks(held, max(GATHERED // 2, 1)).join(held.select("doc_id", "part"), "doc_id")
+        links = links.unionByName(confirmed(scratch.written(ends, "blocks"), "links-blocks"))
+    return links
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links of `percent` similarity or more reach), kept."""
     spark = docs.sparkSession
@@ -364,31 +390,13 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             gathered = regions.join(reps, "doc_id").repartition(tasks, "region").sortWithinPartitions("region", "doc_id")
             return scratch.written(gathered.select("region", "doc_id", "n_shingles", "signature").mapInArrow(partial(_forest, percent), "a long, b long").distinct(), name)
 
-        def confirmed(ends: DataFrame, name: str) -> DataFrame:
-            texts = cut.join(tables.checked(ends), "doc_id").select("doc_id", "group", "part", "text")
-            links = texts.mapInArrow(_sets, "doc_id long, group long, part long, set binary").groupBy("group").applyInArrow(_confirmed(percent), "a long, b long")
-            return scratch.written(links.where("a <> b"), name)
-
-        def in_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
-            return rows.join(labels.select(F.col("node").alias("doc_id"), F.col("label").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-
         forest = tied(regions, "forest")
         near = components(forest, scratch)
         if not hot.isEmpty():
-            met = _blocks(in_parts(hot, near).withColumn("weight", F.lit(1)), max(REGION // 2, 1))
+            met = _blocks(_in_parts(hot, near).withColumn("weight", F.lit(1)), max(REGION // 2, 1))
             forest = forest.unionByName(tied(met.withColumnRenamed("group", "region"), "forest-blocks")).distinct()
             near = components(forest, scratch)
-        sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-        weight = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GATHERED).alias("parts"))
-        split = forest.join(near.withColumnRenamed("node", "a"), "a").join(weight, "label")
-        group = F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts")))
-        ends = split.select(group.alias("group"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("part", F.col("doc_id"))
-        links = confirmed(scratch.written(ends, "neighbourhoods"), "links")
-        large = scratch.written(sized.join(weight.where(F.col("parts") > 1), "label").select(F.col("label").alias("set"), F.col("node").alias("doc_id"), F.col("n_shingles").alias("weight")), "large")
-        if not large.isEmpty():
-            held = scratch.written(in_parts(large, components(links, scratch)), "parts")
-            ends = _blocks(held, max(GATHERED // 2, 1)).join(held.select("doc_id", "part"), "doc_id")
-            links = links.unionByName(confirmed(scratch.written(ends, "blocks"), "links-blocks"))
+        links = confirmed_links(cut, forest, near, reps, percent, scratch)
         labels = components(links, scratch)
         labels = labels.select(F.col("node").alias("rep"), "label")
         found = members.join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("label"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import near_dedup, substring_dedup, top_k, warc
+from assayer.llm import jaccard_join, near_dedup, substring_dedup, top_k, warc
 from assayer.llm.brown import op10_brown
 from assayer.llm.decontaminate import op1_decontaminate
+from assayer.llm.jaccard_join import op13_jaccard_join
 from assayer.llm.language_id import op2_language_id
 from assayer.llm.licences import op6_licences
 from assayer.llm.near_dedup import op7_near_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_brown": op10_brown,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op13_jaccard_join": jaccard_join.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import jaccard_join, near_dedup, substring_dedup, top_k, warc
+from assayer.llm import jaccard_join, near_dedup, substring_dedup, top_k, treap_search, warc
 from assayer.llm.brown import op10_brown
 from assayer.llm.decontaminate import op1_decontaminate
 from assayer.llm.jaccard_join import op13_jaccard_join
@@ -17,6 +17,7 @@ from assayer.llm.packing import op9_packing
 from assayer.llm.substring_dedup import op5_substring_dedup
 from assayer.llm.top_k import op3_top_k
 from assayer.llm.toxicity import op4_toxicity
+from assayer.llm.treap_search import op12_treap_search
 from assayer.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_brown": op10_brown,
+    "op12_treap_search": op12_treap_search,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
@@ -38,5 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_near_dedup": near_dedup.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op12_treap_search": treap_search.ORACLE_SQL,
     "op13_jaccard_join": jaccard_join.ORACLE_SQL,
 }

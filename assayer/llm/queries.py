@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm import jaccard_join, near_dedup, substring_dedup, top_k, treap_search, warc
+from assayer.llm.alignment import op11_alignment
 from assayer.llm.brown import op10_brown
 from assayer.llm.decontaminate import op1_decontaminate
 from assayer.llm.jaccard_join import op13_jaccard_join
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_brown": op10_brown,
+    "op11_alignment": op11_alignment,
     "op12_treap_search": op12_treap_search,
     "op13_jaccard_join": op13_jaccard_join,
 }

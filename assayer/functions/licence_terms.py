@@ -58,8 +58,10 @@ def normalised(raw: Column) -> Column:
 
 
 def conjoined(expression: Column) -> Column:
-    """The operands that all hold at once: those of a compound joined by AND only."""
-    return F.when(expression.contains(" AND ") & ~expression.contains(" OR "), F.split(expression, " AND ")).otherwise(F.array().cast("array<string>"))
+    """The operands that all hold at once: those of a compound joined by AND only, in any case, with single spaces."""
+    tokens = F.split(expression, " ")
+    joined = F.forall(F.filter(tokens, lambda x, i: i % 2 == 1), lambda x: F.lower(x) == "and")
+    return F.when((F.size(tokens) > 2) & (F.size(tokens) % 2 == 1) & joined, F.filter(tokens, lambda x, i: i % 2 == 0)).otherwise(F.array().cast("array<string>"))
 
 
 def disposition(expression: Column, rules: list[tuple[str, str]]) -> Column:

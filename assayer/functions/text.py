@@ -74,10 +74,14 @@ def scheme_of(identifier: Column) -> Column:
     return F.lower(F.substring_index(identifier, "-", 1))
 
 
-def safe_detail(text: Column, most: int = 1024, mark: str = "...") -> Column:
-    """Text without control characters, cut with a mark where it is too long."""
+# Fixed value: what follows a text that was cut.
+SHORTENED = "[shortened by this collector]"
+
+
+def safe_detail(text: Column, most: int = 1024, mark: str = SHORTENED) -> Column:
+    """Text without control characters; of a longer one the first `most` characters, a space and the mark."""
     plain = F.regexp_replace(text, r"[\x00-\x1F\x7F\x{D800}-\x{DFFF}]", " ")
-    return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.left(plain, F.lit(most - len(mark))), F.lit(mark)))
+    return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.left(plain, F.lit(most)), F.lit(f" {mark}")))
 
 
 def iso(at: Column) -> Column:

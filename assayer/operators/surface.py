@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -152,14 +152,18 @@ def versions(health: DataFrame, column: str = "policy_versions") -> DataFrame:
     return pair.agg(F.array_join(F.array_sort(F.collect_set("p")), ", ").alias("versions"))  # passes times versions: small
 
 
-def coverage(health: DataFrame, statuses: Mapping[str, tuple[str, ...]]) -> DataFrame:
-    """One row: packages, and for each status how many are unknown and how many negative, with shares."""
+#: States that are no verdict, and those that are a negative one.
+GAPS, NEGATIVE = ("unknown", "error"), ("not_found", "not_applicable")
+
+
+def coverage(health: DataFrame, statuses: Sequence[str], stamps: Sequence[str] = ()) -> DataFrame:
+    """One row: packages, and for each status how many have no verdict and how many a negative one, with the gap's share; the newest of each stamp."""
     whole = F.count("*")
     out = [whole.alias("packages")]
-    for column, negative in statuses.items():
-        gap, bad = F.count_if(F.col(column) == "unknown"), F.count_if(F.col(column).isin(*negative))
+    for column in statuses:
+        gap, bad = F.count_if(F.col(column).isin(*GAPS)), F.count_if(F.col(column).isin(*NEGATIVE))
         out += [gap.alias(f"{column}_unknown"), bad.alias(f"{column}_negative"), share(gap, whole).alias(f"{column}_share")]
-    return health.agg(*out)
+    return health.agg(*out, *[F.max(c).alias(c) for c in stamps])
 
 
 def collector_health(ledger: DataFrame, collectors: list[str]) -> DataFrame:

@@ -41,6 +41,48 @@ def judged(requests: DataFrame, items: DataFrame) -> DataFrame:
     return rows.select(*requests.columns, answer.alias("answer"))
 
 
+def in_order(requests: DataFrame, items: DataFrame, chunk: str = "minute") -> DataFrame:
+    """Requests with the answer that each gets when an item's requests are taken one after another, by requested_at and request_id.
+
+    requests: request_id, requested_at, item_id, expected_state, to_state, role,
+    justification.  A request is judged against the state that the ones before it
+    left.  What a request does is a function from states to states, and such
+    functions compose, so an item's requests are folded in chunks of time: each
+    chunk's function first, then the chunks in order, then each chunk from the state
+    that it starts at.  No task holds more than a chunk of an item's requests.
+    """
+    table = F.broadcast(transition_table(requests.sparkSession))  # seven rows
+    states = sorted({s for a, b, *_ in TRANSITIONS for s in (a, b)})
+    known = F.array(*[F.lit(s) for s in states])
+    refused = (
+        F.when(F.col("roles").isNull(), "undeclared")
+        .when(~F.coalesce(F.array_contains("roles", F.col("role")), F.lit(False)), "role")
+        .when(F.col("needs_reason") & (F.trim(F.coalesce("justification", F.lit(""))) == ""), "justification")
+    )
+    joined = requests.join(table.select(F.col("from_state").alias("expected_state"), "to_state", "roles", "needs_reason"), ["expected_state", "to_state"], "left")
+    rows = joined.select("item_id", F.date_trunc(chunk, "requested_at").alias("chunk"), F.struct("requested_at", "request_id", F.col("expected_state").alias("expected"), F.col("to_state").alias("to"), refused.alias("refused")).alias("r"))
+    chunks = rows.groupBy("item_id", "chunk").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    step = lambda s, r: F.when(r["refused"].isNull() & (r["expected"] == s), r["to"]).otherwise(s)
+    does = F.map_from_arrays(known, F.transform(known, lambda s: F.aggregate("rs", s, step)))
+    by_item = chunks.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", F.struct(*[does[F.lit(s)].alias(s) for s in states]).alias("does")))).alias("cs"))
+    held = by_item.join(items.select("item_id", "state"), "item_id", "left")
+    after = lambda s, c: F.coalesce(*[F.when(s == x, c["does"][x]) for x in states], s)
+    starts = F.aggregate("cs", F.array(F.struct(F.lit(None).cast("timestamp_ntz").alias("chunk"), F.col("state").alias("state"))), lambda acc, c: F.concat(acc, F.array(F.struct(c["chunk"].cast("timestamp_ntz").alias("chunk"), after(F.element_at(acc, -1)["state"], c).alias("state")))))
+    placed = held.withColumn("starts", starts).select("item_id", F.posexplode(F.transform("cs", lambda c, i: F.struct(c["chunk"].alias("chunk"), F.get(F.col("starts"), i)["state"].alias("state")))).alias("n", "c"))
+    begun = placed.select("item_id", "c.chunk", "c.state")
+    whole = chunks.join(begun, ["item_id", "chunk"])
+    fold = F.aggregate(
+        "rs",
+        F.struct(F.col("state").alias("state"), F.array().cast("array<struct<request_id: bigint, answer: string>>").alias("out")),
+        lambda acc, r: F.struct(
+            step(acc["state"], r).alias("state"),
+            F.concat(acc["out"], F.array(F.struct(r["request_id"].cast("long").alias("request_id"), F.when(acc["state"].isNull(), "no such item").when(acc["state"] != r["expected"], "stale").otherwise(F.coalesce(r["refused"], F.lit("applied"))).alias("answer")))).alias("out"),
+        ),
+    )
+    answers = whole.select(F.explode(fold["out"]).alias("a")).select("a.request_id", "a.answer")
+    return requests.join(answers, "request_id")
+
+
 def to_open(verdicts: DataFrame, existing: DataFrame) -> DataFrame:
     """Items to open: finding_key, package_id, queue.
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from assayer.functions import licence_terms, vocab
 from assayer.functions.text import comparable_version, fix_kind, usage_score
 from assayer.operators import asof
+from assayer.plans import details
 
 
 def currency(packages: DataFrame, evidence: DataFrame, cutoff, surfaces=vocab.SURFACES) -> DataFrame:
-    """package_id, a verdict for each surface, overall_status, chosen_authority, detail.
+    """package_id, a verdict for each surface, overall_status, chosen_authority, detail, error (an odd state of a surface).
 
     evidence: package_id, surface, id, observed_at, state, version.  packages may
     hold authority_order.  Versions are compared for equality only.
@@ -40,11 +41,12 @@ def currency(packages: DataFrame, evidence: DataFrame, cutoff, surfaces=vocab.SU
     overall = F.when(F.size(counted) == 0, "not_applicable").otherwise(vocab.worst_of(counted, vocab.CURRENCY))
     detail = F.array_join(F.filter(F.array(*[F.when(F.col(f"{s}_status") == "behind", F.concat(F.lit(f"{s}: "), F.col("rows")[F.lit(s)]["version"], F.lit(" is not "), head)) for s in surfaces]), lambda x: x.isNotNull()), "\n")
     ids = [F.col("rows")[F.lit(s)]["id"].alias(f"{s}_snapshot_id") for s in surfaces]
-    return whole.select("package_id", *[f"{s}_status" for s in surfaces], overall.alias("overall_status"), "chosen_authority", detail.alias("detail"), *ids)
+    fault = F.coalesce(*[_fault(F.col("rows")[F.lit(s)]["state"], vocab.OUTCOME) for s in surfaces])
+    return whole.select("package_id", *[f"{s}_status" for s in surfaces], overall.alias("overall_status"), "chosen_authority", detail.alias("detail"), *ids, fault.alias("error"))
 
 
 def feedstock_presence(packages: DataFrame, evidence: DataFrame, cutoff, days: int = 180) -> DataFrame:
-    """package_id, presence_status, activity_age (seconds), feedstock_snapshot_id, error (null but where the state isn't one).
+    """package_id, presence_status, activity_age (seconds), feedstock_snapshot_id, detail, error (null but where the state isn't one).
 
     evidence: package_id, id, observed_at, state, last_activity_at, staged_url, absence_established.
     """
@@ -54,14 +56,15 @@ def feedstock_presence(packages: DataFrame, evidence: DataFrame, cutoff, days: i
     status = (
         F.when(F.col("state").isNull(), "unknown")
         .when(F.col("state").isin("error", "unknown", "not_applicable"), F.col("state"))
-        .when((F.col("state") == "not_found") & (F.coalesce("staged_url", F.lit("")) != ""), "staged_recipe_pending")
         .when((F.col("state") == "not_found") & ~F.coalesce("absence_established", F.lit(False)), "unknown")
+        .when((F.col("state") == "not_found") & (F.trim(F.coalesce("staged_url", F.lit(""))) != ""), "staged_recipe_pending")
         .when(F.col("state") == "not_found", "absent")
         .when(age.isNull() | (seen > limit), "unknown")
         .when(age <= limit, "present_and_maintained")
         .otherwise("present_and_inactive")
     )
-    return packages.select("package_id").join(row, "package_id", "left").select("package_id", status.alias("presence_status"), F.when(F.col("state") == "ok", age).alias("activity_age"), F.col("id").alias("feedstock_snapshot_id"), _fault(F.col("state"), vocab.OUTCOME).alias("error"))
+    detail = details.feedstock(status, age, seen, limit)
+    return packages.select("package_id").join(row, "package_id", "left").select("package_id", status.alias("presence_status"), F.when(F.col("state") == "ok", age).alias("activity_age"), F.col("id").alias("feedstock_snapshot_id"), detail.alias("detail"), _fault(F.col("state"), vocab.OUTCOME).alias("error"))
 
 
 def _fault(state: Column, states) -> Column:
@@ -75,7 +78,7 @@ def _finding_verdict() -> Column:
 
 
 def vulnerability(packages: DataFrame, findings: DataFrame, kev: DataFrame, cutoff, risk_order: list[str]) -> DataFrame:
-    """package_id, vulnerability_status, kev_membership, risk_level, the rows that support them, and error (an odd state of a finding).
+    """package_id, vulnerability_status, kev_membership, risk_level, the rows that support them, detail, and error (an odd state of a finding).
 
     findings: package_id, id, observed_at, state, nothing_matched, severity.
     kev: package_id, id, observed_at, state, finding_id (null: about the package).
@@ -91,10 +94,11 @@ def vulnerability(packages: DataFrame, findings: DataFrame, kev: DataFrame, cuto
     about = F.col("kev_id").isNotNull() & (F.col("id").isNotNull() | F.col("finding_id").isNull())
     answer = F.when(about, said).when(F.col("kev_id").isNull() & (F.col("state") == "matched"), "not_established")
     status = both.groupBy(F.coalesce("package_id", "kev_package").alias("package_id")).agg(
-        F.min(F.when(worst.isNotNull(), F.struct(worst.alias("r"), F.col("id")))).alias("support"),
+        F.min(F.when(worst.isNotNull(), F.struct(worst.alias("r"), F.col("id"), F.col("state")))).alias("support"),
         F.coalesce(vocab.ranked(F.min(place), risk_order), F.lit("")).alias("risk_level"),
         F.min(F.when(answer.isNotNull(), F.struct(vocab.rank(answer, vocab.KEV).alias("r"), F.col("kev_id")))).alias("kev"),
         F.max(F.when(F.col("id").isNotNull() & F.col("verdict").isNull(), F.concat(F.lit("not a finding state: "), F.coalesce("state", F.lit("none"))))).alias("error"),
+        *details.finding_counts(),
     )
     out = packages.select("package_id").join(status, "package_id", "left")
     return out.select(
@@ -104,31 +108,32 @@ def vulnerability(packages: DataFrame, findings: DataFrame, kev: DataFrame, cuto
         F.coalesce("risk_level", F.lit("")).alias("risk_level"),
         F.col("support.id").alias("vulnerability_finding_id"),
         F.col("kev.kev_id").alias("kev_finding_id"),
+        details.vulnerability(F.coalesce(vocab.ranked(F.col("support.r"), vocab.VULNERABILITY), F.lit("unknown")), risk_order).alias("detail"),
         "error",
     )
 
 
 def licence(packages: DataFrame, findings: DataFrame, cutoff, rules: list[tuple[str, str]]) -> DataFrame:
-    """package_id, license_outcome, matched_rule, license_finding_id.
+    """package_id, license_outcome, matched_rule, license_finding_id, detail, error (an odd state of a finding).
 
-    findings: package_id, id, observed_at, state, normalized_license.
+    findings: package_id, id, observed_at, state, normalized_license.  Rules are
+    few and judge an expression on its row.
     """
-    spoken = (F.col("state") == "normalized") & (F.coalesce("normalized_license", F.lit("")) != "")
-    rows = asof.sweep(findings, ["package_id"], cutoff)
-    judged = findings.select("normalized_license").where(F.col("normalized_license").isNotNull()).distinct().withColumn("judged", licence_terms.disposition(F.col("normalized_license"), rules))  # each expression once
-    rows = rows.join(judged, "normalized_license", "left")
+    said = F.nullif(F.trim("normalized_license"), F.lit(""))
+    spoken = (F.col("state") == "normalized") & said.isNotNull()
+    rows = asof.sweep(findings, ["package_id"], cutoff).withColumn("judged", licence_terms.disposition(said, rules))
     rows = rows.withColumn("verdict", F.when(spoken, F.coalesce("judged.disposition", F.lit("manual_review"))).otherwise("unknown"))
     counted = F.col("state") != "not_found"
     place = vocab.rank(F.col("verdict"), vocab.LICENCE)
-    mark = F.struct(place.alias("r"), F.col("id"), F.col("judged.rule").alias("rule"))
-    status = rows.groupBy("package_id").agg(F.min(F.when(counted, mark)).alias("best"), F.min("id").alias("any_id"))
+    mark = F.struct(place.alias("r"), F.col("id"), F.col("judged.rule").alias("rule"), F.when(F.col("state") == "normalized", said).alias("expression"))
+    status = rows.groupBy("package_id").agg(F.min(F.when(counted, mark)).alias("best"), F.min("id").alias("any_id"), F.max(_fault(F.col("state"), ("normalized", *vocab.SENTINELS))).alias("error"), *details.licence_counts(spoken))
     out = packages.select("package_id").join(status, "package_id", "left")
     outcome = F.coalesce(vocab.ranked(F.col("best.r"), vocab.LICENCE), F.lit("unknown"))
-    return out.select("package_id", outcome.alias("license_outcome"), F.when(outcome.isin("forbidden", "restricted", "allowed", "manual_review"), F.col("best.rule")).alias("matched_rule"), F.coalesce("best.id", "any_id").alias("license_finding_id"))
+    return out.select("package_id", outcome.alias("license_outcome"), F.when(outcome.isin("forbidden", "restricted", "allowed", "manual_review"), F.col("best.rule")).alias("matched_rule"), F.coalesce("best.id", "any_id").alias("license_finding_id"), details.licence(outcome, len(rules)).alias("detail"), "error")
 
 
 def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, cutoff, targets: dict[str, int], advisory_days: int = 2, surfaces=vocab.SURFACES) -> DataFrame:
-    """package_id, readiness_status, fixed_version, a fix availability for each surface, evidence_stale.
+    """package_id, readiness_status, fixed_version, a fix availability for each surface, evidence_stale, detail, error (an odd state of a finding).
 
     findings also hold fixed_range; targets give the days that a surface's evidence stays fresh.
     """
@@ -137,24 +142,30 @@ def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, c
         F.max(asof.stale(F.col("observed_at"), cutoff, f"{advisory_days} DAYS")).alias("stale"),
         F.count_if(F.col("state") == "matched").alias("matched"),
         F.count_if((F.col("state") != "matched") & ~F.coalesce("nothing_matched", F.lit(False))).alias("open"),
+        F.max(F.when(~F.coalesce(F.col("state").isin("matched", "error", "not_found", "unknown"), F.lit(False)), F.concat(F.lit("not a finding state: "), F.coalesce("state", F.lit("none"))))).alias("error"),
     )
     fixed = F.trim("fixed_range")
-    matched = current.where(F.col("state") == "matched").select("package_id", F.col("id").alias("finding_id"), F.when(fix_kind(F.col("fixed_range")) == "recorded", comparable_version(fixed)).alias("fixed_version"))
-    fresh = reduce(lambda a, b: a | b, [(F.col("surface") == s) & ~asof.stale(F.col("observed_at"), cutoff, f"{d} DAYS") for s, d in targets.items()], F.lit(False))
-    stated = asof.sweep(evidence, ["package_id", "surface"], cutoff).where(fresh & (F.col("state") == "ok")).select("package_id", "surface", F.nullif(comparable_version(F.col("version")), F.lit("")).alias("stated")).where(F.col("stated").isNotNull()).distinct()
-    seen = matched.join(stated, (matched["package_id"] == stated["package_id"]) & (matched["fixed_version"] == stated["stated"]), "left").groupBy(matched["package_id"], "finding_id", "fixed_version").agg(*[F.max(F.coalesce(F.col("surface") == s, F.lit(False))).alias(s) for s in surfaces])
+    kind = fix_kind(F.col("fixed_range"))
+    matched = current.where(F.col("state") == "matched").select("package_id", F.col("id").alias("finding_id"), kind.alias("kind"), F.when(kind == "recorded", comparable_version(fixed)).alias("fixed_version"))
+    aged = reduce(lambda a, b: a | b, [(F.col("surface") == s) & asof.stale(F.col("observed_at"), cutoff, f"{d} DAYS") for s, d in targets.items()], F.lit(False))
+    said = F.when(F.col("state") == "ok", F.nullif(comparable_version(F.col("version")), F.lit("")))
+    read = asof.sweep(evidence, ["package_id", "surface"], cutoff).select("package_id", "surface", said.alias("said"), aged.alias("aged"))
+    stated = read.where(~F.col("aged") & F.col("surface").isin(*targets) & F.col("said").isNotNull()).select("package_id", "surface", F.col("said").alias("stated")).distinct()
+    seen = matched.join(stated, (matched["package_id"] == stated["package_id"]) & (matched["fixed_version"] == stated["stated"]), "left").groupBy(matched["package_id"], "finding_id", "kind", "fixed_version").agg(*[F.max(F.coalesce(F.col("surface") == s, F.lit(False))).alias(s) for s in surfaces])
     readiness = F.when(F.col("conda_package"), "ready").when(F.col("feedstock"), "awaiting_build").when(F.col("source") | F.col("pypi"), "awaiting_packaging").otherwise("unknown")
     place = vocab.rank(readiness, vocab.READINESS)
-    support = seen.groupBy("package_id").agg(F.min(F.struct(place.alias("r"), F.col("finding_id"), F.col("fixed_version"), *[F.col(s) for s in surfaces])).alias("s"))
-    out = packages.select("package_id").join(checked, "package_id", "left").join(support, "package_id", "left")
+    support = seen.groupBy("package_id").agg(F.min(F.struct(place.alias("r"), F.col("finding_id"), F.col("kind"), F.col("fixed_version"), *[F.col(s) for s in surfaces])).alias("s"))
+    by_surface = read.groupBy("package_id").agg(*details.surface_marks(surfaces, targets))
+    out = packages.select("package_id").join(checked, "package_id", "left").join(support, "package_id", "left").join(by_surface, "package_id", "left")
     blind = F.coalesce("stale", F.lit(False))
     status = F.when(F.col("matched").isNull() | blind, "unknown").when((F.col("matched") == 0) & (F.col("open") > 0), "unknown").when(F.col("matched") == 0, "not_applicable").otherwise(vocab.ranked(F.col("s.r"), vocab.READINESS))
     fix = lambda s: F.when(~blind & F.coalesce(F.col("s")[s], F.lit(False)), "published").otherwise("not_read").alias(f"{s}_fix")
-    return out.select("package_id", status.alias("readiness_status"), *[fix(s) for s in surfaces], F.when(~blind, F.col("s.fixed_version")).alias("fixed_version"), F.when(~blind, F.col("s.finding_id")).alias("vulnerability_finding_id"), blind.alias("evidence_stale"))
+    detail = details.remediation(status, blind, surfaces, targets)
+    return out.select("package_id", status.alias("readiness_status"), *[fix(s) for s in surfaces], F.when(~blind, F.col("s.fixed_version")).alias("fixed_version"), F.when(~blind, F.col("s.finding_id")).alias("vulnerability_finding_id"), blind.alias("evidence_stale"), detail.alias("detail"), "error")
 
 
 def python_readiness(packages: DataFrame, assessments: DataFrame, verifications: DataFrame, cutoff, assessed_for: str = "14 DAYS", verified_for: str = "30 DAYS") -> DataFrame:
-    """package_id, readiness, evidence_type, evidence_stale, assessment_id, verification_id; a fresh verification beats a fresh assessment."""
+    """package_id, readiness, evidence_type, evidence_stale, assessment_id, verification_id, detail; a fresh verification beats a fresh assessment."""
     one = lambda rows, name: asof.latest(rows, ["package_id"], cutoff).select("package_id", F.col("id").alias(f"{name}_id"), F.col("state").alias(f"{name}_state"), F.col("observed_at").alias(f"{name}_at"))
     out = packages.select("package_id").join(one(assessments, "assessment"), "package_id", "left").join(one(verifications, "verification"), "package_id", "left")
     old_a, old_v = asof.stale(F.col("assessment_at"), cutoff, assessed_for), asof.stale(F.col("verification_at"), cutoff, verified_for)
@@ -162,14 +173,14 @@ def python_readiness(packages: DataFrame, assessments: DataFrame, verifications:
     inferred = F.when(F.col("assessment_state") == "inferred_ready", "inferred_ready").when(F.col("assessment_state") == "inferred_not_ready", "inferred_not_ready")
     none = F.coalesce(F.col("assessment_state") == "not_applicable", F.lit(False)) | F.coalesce(F.col("verification_state") == "not_applicable", F.lit(False))
     use_v, use_a = verified.isNotNull() & ~old_v, inferred.isNotNull() & ~old_a
-    any_old = (verified.isNotNull() & old_v) | (inferred.isNotNull() & old_a)
     return out.select(
         "package_id",
         F.when(none, "not_applicable").when(use_v, verified).when(use_a, inferred).otherwise("unknown").alias("readiness"),
         F.when(none, "none").when(use_v, "verified").when(use_a, "inferred").otherwise("none").alias("evidence_type"),
-        F.when(none, False).when(use_v, inferred.isNotNull() & old_a).when(use_a, verified.isNotNull() & old_v).otherwise(any_old).alias("evidence_stale"),
-        "assessment_id",
-        "verification_id",
+        F.when(none, False).when(use_v, old_a).when(use_a, old_v).otherwise(old_a | old_v).alias("evidence_stale"),  # what a row says doesn't matter to its age
+        F.when(~none, F.col("assessment_id")).alias("assessment_id"),
+        F.when(~none, F.col("verification_id")).alias("verification_id"),
+        details.python_readiness(none, use_v, use_a, verified, inferred, old_a | old_v).alias("detail"),
     )
 
 

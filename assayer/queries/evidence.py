@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from assayer.adapters import CUTOFF, EV, EVC, FIND, ITEM, PKG, Tables, query
@@ -110,7 +111,7 @@ SELECT package_id, max(v) FILTER (WHERE surface = 0) AS source_status, max(v) FI
 FROM v GROUP BY package_id""")
 def currency_pass(t: Tables):
     out = passes.currency(t.packages(), _surfaces(t), t.cutoff)
-    return out.drop(*[f"{s}_snapshot_id" for s in vocab.SURFACES])
+    return out.drop("error", *[f"{s}_snapshot_id" for s in vocab.SURFACES])
 
 
 def _feedstock(t: Tables):
@@ -128,9 +129,11 @@ def _feedstock(t: Tables):
 l AS ({LATEST.format(keys='package_id', ties='', rows='f')}),
 a AS (SELECT pkg.package_id, l.*  EXCLUDE (package_id), CAST(floor(epoch(TIMESTAMP '{CUTOFF}')) - floor(epoch(act)) AS BIGINT) AS age FROM pkg LEFT JOIN l USING (package_id))
 SELECT package_id, CASE WHEN state IS NULL THEN 'unknown' WHEN state IN ('error', 'unknown', 'not_applicable') THEN state
-  WHEN state = 'not_found' AND staged <> '' THEN 'staged_recipe_pending' WHEN state = 'not_found' AND NOT est THEN 'unknown' WHEN state = 'not_found' THEN 'absent'
+  WHEN state = 'not_found' AND NOT est THEN 'unknown' WHEN state = 'not_found' AND staged <> '' THEN 'staged_recipe_pending' WHEN state = 'not_found' THEN 'absent'
   WHEN age IS NULL THEN 'unknown' WHEN age <= 180 * 86400 THEN 'present_and_maintained' ELSE 'present_and_inactive' END AS presence_status,
-  CASE WHEN state = 'ok' THEN age END AS activity_age, id AS feedstock_snapshot_id FROM a""")
+  CASE WHEN state = 'ok' THEN age END AS activity_age, id AS feedstock_snapshot_id,
+  CASE WHEN state = 'not_found' AND NOT est THEN 'row ' || id || ' found no feedstock but could not establish its absence' WHEN state = 'not_found' AND staged <> '' THEN 'no feedstock; row ' || id || ' holds an open recipe at ' || staged
+    WHEN state = 'ok' AND age IS NULL THEN 'row ' || id || ' states no activity that could be measured against 180 days' ELSE '' END AS detail FROM a""")
 def feedstock_presence_pass(t: Tables):
     return passes.feedstock_presence(t.packages(), _feedstock(t), t.cutoff).drop("error")
 
@@ -161,14 +164,20 @@ st AS (SELECT package_id, min(p) AS p, min(sev) FILTER (WHERE sev > 0 AND state
 sup AS (SELECT v.package_id, min(id) AS fid FROM v JOIN st ON v.package_id = st.package_id AND v.p = st.p GROUP BY 1),
 k AS (SELECT package_id, id + 1000000000 AS id, observed_at, CASE id % 4 WHEN 0 THEN 'listed' WHEN 1 THEN 'not_listed' ELSE 'not_established' END AS a, CASE WHEN id % 7 <> 0 THEN id END AS fid FROM find WHERE severity <> 'odd' AND observed_at <= TIMESTAMP '{_AT}'),
 ks AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM k) WHERE r = 1),
+fc AS (SELECT sw.package_id, count(*) FILTER (WHERE sw.state = 'matched') AS matched, count(*) FILTER (WHERE sw.state = 'matched' AND ks.id IS NULL) AS loose, min(sw.id) FILTER (WHERE sw.state = 'matched' AND ks.id IS NULL) AS first_loose,
+  count(*) FILTER (WHERE sw.state = 'matched' AND trim(coalesce(severity, '')) <> '') AS sevs FROM sw LEFT JOIN ks ON ks.package_id = sw.package_id AND ks.fid = sw.id GROUP BY 1),
+kc AS (SELECT ks.package_id, count(*) AS crossed, count(*) FILTER (WHERE ks.fid IS NOT NULL AND sw.id IS NULL) AS apart, min(ks.id) FILTER (WHERE ks.fid IS NOT NULL AND sw.id IS NULL) AS first_apart FROM ks LEFT JOIN sw ON sw.package_id = ks.package_id AND sw.id = ks.fid GROUP BY 1),
 about AS (SELECT ks.* FROM ks LEFT JOIN sw ON sw.package_id = ks.package_id AND sw.id = ks.fid WHERE ks.fid IS NULL OR sw.id IS NOT NULL),
 loose AS (SELECT package_id FROM sw WHERE state = 'matched' AND NOT EXISTS (SELECT 1 FROM about WHERE about.package_id = sw.package_id AND about.fid = sw.id)),
 m AS (SELECT package_id, list_position({_arr(vocab.KEV)}, a) AS p, id FROM about UNION ALL SELECT package_id, 2, NULL FROM loose),
 mk AS (SELECT package_id, min(p) AS p FROM m GROUP BY 1),
 ms AS (SELECT m.package_id, CASE WHEN count(*) = count(m.id) THEN min(m.id) END AS kid FROM m JOIN mk ON m.package_id = mk.package_id AND m.p = mk.p GROUP BY 1)
 SELECT part.p_partkey AS package_id, coalesce({_arr(vocab.VULNERABILITY)}[st.p], 'unknown') AS vulnerability_status, coalesce({_arr(vocab.KEV)}[mk.p], 'not_established') AS kev_membership,
-  coalesce({_arr(passes.RISK_ORDER)}[st.sev], '') AS risk_level, sup.fid AS vulnerability_finding_id, ms.kid AS kev_finding_id
-FROM part LEFT JOIN st ON st.package_id = p_partkey LEFT JOIN sup ON sup.package_id = p_partkey LEFT JOIN mk ON mk.package_id = p_partkey LEFT JOIN ms ON ms.package_id = p_partkey""")
+  coalesce({_arr(passes.RISK_ORDER)}[st.sev], '') AS risk_level, sup.fid AS vulnerability_finding_id, ms.kid AS kev_finding_id,
+  concat_ws(' ', CASE WHEN st.p IS NOT NULL AND {_arr(vocab.VULNERABILITY)}[st.p] = 'unknown' THEN CASE sst.state WHEN 'error' THEN 'finding ' || sup.fid || ': the lookup failed' WHEN 'not_found' THEN 'finding ' || sup.fid || ': the source does not know the locator' ELSE 'finding ' || sup.fid || ' establishes nothing' END END,
+    CASE WHEN {_arr(vocab.VULNERABILITY)}[st.p] = 'advisories_matched' AND st.sev IS NULL THEN CASE WHEN sevs = 0 THEN 'none of ' || matched || ' matched findings states a severity' ELSE 'no severity of ' || matched || ' matched findings is ranked' END END,
+    CASE WHEN crossed > 0 AND (coalesce(loose, 0) > 0 OR apart > 0) THEN 'the two sweeps differ: ' || concat_ws(', ', CASE WHEN loose > 0 THEN loose || ' matched without a cross-reference, the first ' || first_loose END, CASE WHEN apart > 0 THEN apart || ' cross-references about other findings, the first ' || first_apart END) END) AS detail
+FROM part LEFT JOIN fc ON fc.package_id = p_partkey LEFT JOIN kc ON kc.package_id = p_partkey LEFT JOIN st ON st.package_id = p_partkey LEFT JOIN sup ON sup.package_id = p_partkey LEFT JOIN sw sst ON sst.package_id = p_partkey AND sst.id = sup.fid LEFT JOIN mk ON mk.package_id = p_partkey LEFT JOIN ms ON ms.package_id = p_partkey""")
 def vulnerability_pass(t: Tables):
     return passes.vulnerability(_parts(t), _advisories(t), _kev(t), F.lit(_AT).cast("timestamp_ntz"), passes.RISK_ORDER).drop("error")
 
@@ -194,13 +203,19 @@ def _licences(t: Tables):
 
 
 @query("licence_pass", f"""WITH {FIND}, {_SWEEP},
-v AS (SELECT package_id, id, id % 5 = 0 AS gone, {_sql_list(_VERDICT)}[id % {len(_RAW)} + 1] AS verdict, {_sql_list(_RULE)}[id % {len(_RAW)} + 1] AS rule FROM sw),
-b AS (SELECT package_id, min(id) AS any_id, min(list_position({_arr(vocab.LICENCE)}, verdict)) FILTER (WHERE NOT gone) AS p FROM v GROUP BY 1),
-s AS (SELECT package_id, id, rule FROM (SELECT v.*, row_number() OVER (PARTITION BY v.package_id ORDER BY id) AS rn FROM v JOIN b ON b.package_id = v.package_id AND NOT gone AND list_position({_arr(vocab.LICENCE)}, verdict) = b.p) WHERE rn = 1)
-SELECT p_partkey AS package_id, coalesce({_arr(vocab.LICENCE)}[b.p], 'unknown') AS license_outcome, CASE WHEN {_arr(vocab.LICENCE)}[b.p] <> 'unknown' THEN s.rule END AS matched_rule, coalesce(s.id, b.any_id) AS license_finding_id
+v AS (SELECT package_id, id, id % 5 = 0 AS gone, CASE WHEN id % 5 <> 0 THEN {_sql_list(_NORMAL)}[id % {len(_RAW)} + 1] END AS expr, {_sql_list(_VERDICT)}[id % {len(_RAW)} + 1] AS verdict, {_sql_list(_RULE)}[id % {len(_RAW)} + 1] AS rule FROM sw),
+b AS (SELECT package_id, min(id) AS any_id, min(list_position({_arr(vocab.LICENCE)}, verdict)) FILTER (WHERE NOT gone) AS p, count(*) FILTER (WHERE NOT gone) AS answered, count(*) FILTER (WHERE gone) AS unserved, min(id) FILTER (WHERE gone) AS first_gone,
+  count(*) FILTER (WHERE NOT gone AND expr IS NULL) AS unclear, min(id) FILTER (WHERE NOT gone AND expr IS NULL) AS first_unclear, min(expr) AS one, max(expr) AS other FROM v GROUP BY 1),
+s AS (SELECT package_id, id, rule, expr FROM (SELECT v.*, row_number() OVER (PARTITION BY v.package_id ORDER BY id) AS rn FROM v JOIN b ON b.package_id = v.package_id AND NOT gone AND list_position({_arr(vocab.LICENCE)}, verdict) = b.p) WHERE rn = 1)
+SELECT p_partkey AS package_id, coalesce({_arr(vocab.LICENCE)}[b.p], 'unknown') AS license_outcome, CASE WHEN {_arr(vocab.LICENCE)}[b.p] <> 'unknown' THEN s.rule END AS matched_rule, coalesce(s.id, b.any_id) AS license_finding_id,
+  concat_ws(' ', CASE WHEN {_arr(vocab.LICENCE)}[b.p] = 'manual_review' THEN 'none of 3 rules names ' || s.expr END,
+    CASE WHEN coalesce({_arr(vocab.LICENCE)}[b.p], 'unknown') = 'unknown' AND unserved > 0 AND answered = 0 THEN unserved || ' channels do not serve the package, the first ' || first_gone END,
+    CASE WHEN coalesce({_arr(vocab.LICENCE)}[b.p], 'unknown') = 'unknown' AND unclear > 0 THEN unclear || ' channels state nothing that could be normalized, the first ' || first_unclear END,
+    CASE WHEN {_arr(vocab.LICENCE)}[b.p] IN ('forbidden', 'restricted', 'allowed') AND lower(s.rule) <> lower(s.expr) THEN 'no rule names ' || s.expr || ' whole; its operand ' || s.rule || ' is ' || {_arr(vocab.LICENCE)}[b.p] END,
+    CASE WHEN one <> other THEN 'channels state different licences, from ' || one || ' to ' || other WHEN one IS NOT NULL AND s.expr IS NULL THEN 'a channel states ' || one END) AS detail
 FROM part LEFT JOIN b ON b.package_id = p_partkey LEFT JOIN s ON s.package_id = p_partkey""")
 def licence_pass(t: Tables):
-    return passes.licence(_parts(t), _licences(t), F.lit(_AT).cast("timestamp_ntz"), _RULES)
+    return passes.licence(_parts(t), _licences(t), F.lit(_AT).cast("timestamp_ntz"), _RULES).drop("error")
 
 
 @query("licence_normalise", f"WITH g AS (SELECT doc_id, doc_id % {len(_RAW)} + 1 AS i FROM documents) SELECT doc_id, {_sql_list(_RAW)}[i] AS raw, {_sql_list(_NORMAL)}[i] AS expression, {_sql_list(['spdx-identifier', 'recognised-spelling', 'spdx-expression', 'spdx-expression', None, 'spdx-expression', None, None, 'spdx-expression', None, None, None, None])}[i] AS method FROM g")
@@ -223,13 +238,19 @@ c AS (SELECT package_id, bool_or(observed_at < TIMESTAMP '{CUTOFF}' - INTERVAL 2
 st AS ({_STATED}),
 x AS (SELECT sw.package_id, sw.id, CASE WHEN fixed <> '>=2' THEN fixed END AS fixed, coalesce(bool_or(st.surface = 0), false) AS s0, coalesce(bool_or(st.surface = 1), false) AS s1, coalesce(bool_or(st.surface = 2), false) AS s2, coalesce(bool_or(st.surface = 3), false) AS s3
   FROM sw LEFT JOIN st ON st.package_id = sw.package_id AND st.version = CASE WHEN fixed <> '>=2' THEN fixed END WHERE sw.state = 'matched' GROUP BY 1, 2, 3),
+sf AS (SELECT package_id, bool_or(surface = 3 AND observed_at < TIMESTAMP '2024-01-19 00:00:00') AS old3, bool_or(surface = 0 AND ok) AS h0, bool_or(surface = 1 AND ok) AS h1, bool_or(surface = 2 AND ok) AS h2, bool_or(surface = 3 AND ok AND observed_at >= TIMESTAMP '2024-01-19 00:00:00') AS h3
+  FROM (SELECT *, state = 'ok' AS ok, rank() OVER (PARTITION BY package_id, surface ORDER BY observed_at DESC) AS r FROM evp) WHERE r = 1 GROUP BY 1),
 y AS (SELECT *, CASE WHEN s3 THEN 5 WHEN s2 THEN 4 WHEN s0 OR s1 THEN 3 ELSE 2 END AS p FROM x),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY p, id) AS rn FROM y) WHERE rn = 1)
 SELECT pk.package_id, CASE WHEN c.matched IS NULL OR c.stale THEN 'unknown' WHEN c.matched = 0 AND c.open > 0 THEN 'unknown' WHEN c.matched = 0 THEN 'not_applicable' ELSE {_arr(vocab.READINESS)}[b.p] END AS readiness_status,
   CASE WHEN NOT coalesce(c.stale, false) AND b.s0 THEN 'published' ELSE 'not_read' END AS source_fix, CASE WHEN NOT coalesce(c.stale, false) AND b.s1 THEN 'published' ELSE 'not_read' END AS pypi_fix,
   CASE WHEN NOT coalesce(c.stale, false) AND b.s2 THEN 'published' ELSE 'not_read' END AS feedstock_fix, CASE WHEN NOT coalesce(c.stale, false) AND b.s3 THEN 'published' ELSE 'not_read' END AS conda_package_fix,
-  CASE WHEN NOT coalesce(c.stale, false) THEN b.fixed END AS fixed_version, CASE WHEN NOT coalesce(c.stale, false) THEN b.id END AS vulnerability_finding_id, coalesce(c.stale, false) AS evidence_stale
-FROM (SELECT DISTINCT package_id FROM ev) pk LEFT JOIN c ON c.package_id = pk.package_id LEFT JOIN b ON b.package_id = pk.package_id""")
+  CASE WHEN NOT coalesce(c.stale, false) THEN b.fixed END AS fixed_version, CASE WHEN NOT coalesce(c.stale, false) THEN b.id END AS vulnerability_finding_id, coalesce(c.stale, false) AS evidence_stale,
+  CASE WHEN coalesce(c.stale, false) THEN 'the advisory evidence is older than its target' WHEN b.id IS NULL THEN CASE WHEN c.matched IS NULL THEN 'no advisory evidence at the cut-off' WHEN c.open > 0 THEN 'no advisory matched, and ' || c.open || ' findings establish nothing' ELSE 'no advisory matched' END
+   ELSE concat_ws(' ', CASE WHEN c.matched > 1 THEN c.matched || ' findings matched; this is the least ready, ' || b.id END, CASE WHEN b.fixed IS NULL THEN 'finding ' || b.id || ' states a range, not a version' END, CASE WHEN sf.old3 THEN 'old evidence: conda_package' END,
+    CASE WHEN b.fixed IS NOT NULL AND b.p = 2 THEN 'version ' || b.fixed || ' was not seen on: source, pypi, feedstock, conda_package' END,
+    CASE WHEN b.fixed IS NOT NULL AND ((h0 AND NOT s0) OR (h1 AND NOT s1) OR (h2 AND NOT s2) OR (h3 AND NOT s3)) THEN 'other versions than ' || b.fixed || ' on: ' || concat_ws(', ', CASE WHEN h0 AND NOT s0 THEN 'source' END, CASE WHEN h1 AND NOT s1 THEN 'pypi' END, CASE WHEN h2 AND NOT s2 THEN 'feedstock' END, CASE WHEN h3 AND NOT s3 THEN 'conda_package' END) END) END AS detail
+FROM (SELECT DISTINCT package_id FROM ev) pk LEFT JOIN sf ON sf.package_id = pk.package_id LEFT JOIN c ON c.package_id = pk.package_id LEFT JOIN b ON b.package_id = pk.package_id""")
 def remediation_pass(t: Tables):
     findings = t.lineitem.select(
         (F.col("l_partkey") % 150).alias("package_id"),
@@ -239,7 +260,7 @@ def remediation_pass(t: Tables):
         F.when(F.col("l_linenumber") == 7, ">=2").otherwise(F.floor(F.col("l_quantity") / 10).cast("string")).alias("fixed_range"),
     ).withColumn("nothing_matched", F.col("id") % 2 == 0)
     days = {"source": 100, "pypi": 100, "feedstock": 100, "conda_package": 1}
-    return passes.remediation(t.evidence().select("package_id").distinct(), findings, _surfaces(t), t.cutoff, days)
+    return passes.remediation(t.evidence().select("package_id").distinct(), findings, _surfaces(t), t.cutoff, days).drop("error")
 
 
 def _readiness_rows(t: Tables):
@@ -256,7 +277,9 @@ j AS (SELECT pkg.package_id, a.id AS aid, v.id AS vid, a.state AS a0, v.state AS
   FROM pkg LEFT JOIN a USING (package_id) LEFT JOIN v USING (package_id)),
 k AS (SELECT *, coalesce(a0 = 'not_applicable', false) OR coalesce(v0 = 'not_applicable', false) AS na, ver IS NOT NULL AND NOT ov AS uv, inf IS NOT NULL AND NOT oa AS ua FROM j)
 SELECT package_id, CASE WHEN na THEN 'not_applicable' WHEN uv THEN ver WHEN ua THEN inf ELSE 'unknown' END AS readiness, CASE WHEN na THEN 'none' WHEN uv THEN 'verified' WHEN ua THEN 'inferred' ELSE 'none' END AS evidence_type,
-  CASE WHEN na THEN false WHEN uv THEN inf IS NOT NULL AND oa WHEN ua THEN ver IS NOT NULL AND ov ELSE (ver IS NOT NULL AND ov) OR (inf IS NOT NULL AND oa) END AS evidence_stale, aid AS assessment_id, vid AS verification_id FROM k""")
+  CASE WHEN na THEN false WHEN uv THEN oa WHEN ua THEN ov ELSE ov OR oa END AS evidence_stale, CASE WHEN NOT na THEN aid END AS assessment_id, CASE WHEN NOT na THEN vid END AS verification_id,
+  CASE WHEN na THEN 'the package has no release ecosystem that declares a Python' WHEN uv AND ua THEN CASE WHEN (ver = 'verified_ready') = (inf = 'inferred_ready') THEN 'assessment and verification agree' ELSE 'assessment and verification disagree; the build decides' END
+   WHEN uv OR ua THEN '' WHEN ov OR oa THEN 'evidence is older than its target' WHEN aid IS NULL AND vid IS NULL THEN 'no evidence of either kind' ELSE 'the evidence establishes nothing' END AS detail FROM k""")
 def py_readiness_pass(t: Tables):
     a, v = _readiness_rows(t)
     return passes.python_readiness(t.packages(), a, v, t.cutoff, "6 HOURS", "12 HOURS")
@@ -371,13 +394,11 @@ def absent_detection(t: Tables):
     return presence.unnamed(inventory(t), named, t.cutoff)
 
 
-@query("unresolved_selection", f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, b AS (SELECT package_id, components, lobs FROM ({LATEST.format(keys='package_id', ties='', rows='inv')})),
-r AS (SELECT pkg.package_id, components, lobs FROM pkg LEFT JOIN fold USING (package_id) LEFT JOIN b USING (package_id) WHERE confidence = 'unmapped' AND absent_since IS NULL)
-SELECT package_id, components, lobs, CAST(row_number() OVER (ORDER BY components DESC NULLS LAST, lobs DESC NULLS LAST, package_id) AS INTEGER) AS place FROM r ORDER BY place LIMIT 25""")
+@query("unresolved_selection", f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, b AS (SELECT package_id, components, lobs FROM ({LATEST.format(keys='package_id', ties='', rows='inv')}))
+SELECT pkg.package_id, components, lobs, confidence FROM pkg LEFT JOIN fold USING (package_id) LEFT JOIN b USING (package_id) WHERE confidence IS DISTINCT FROM 'verified' AND absent_since IS NULL""")
 def unresolved_selection(t: Tables):
-    out = rollup.unresolved(t.packages().where("confidence = 'unmapped'"), presence.presence(inventory(t), t.cutoff), presence.breadth(inventory(t), t.cutoff)).limit(25)
-    order = [F.desc_nulls_last("components"), F.desc_nulls_last("lobs"), F.col("package_id")]
-    return out.withColumn("place", F.row_number().over(W.orderBy(*order)))  # over the 25 rows that are left
+    rows = rollup.unresolved(t.packages(), presence.presence(inventory(t), t.cutoff), presence.breadth(inventory(t), t.cutoff))
+    return rows.join(t.packages().select("package_id", "confidence"), "package_id")
 
 
 @query("unresolved_all", f"""WITH {EVC}, {PKG}, {_INV}, {_FOLD}, b AS (SELECT package_id, components, lobs FROM ({LATEST.format(keys='package_id', ties='', rows='inv')}))
@@ -389,3 +410,24 @@ def unresolved_all(t: Tables):
 @query("unresolved_left_out", f"WITH {EVC}, {PKG}, {_INV}, {_FOLD} SELECT count(*) AS left_out FROM pkg JOIN fold USING (package_id) WHERE confidence IS DISTINCT FROM 'verified' AND absent_since IS NOT NULL")
 def unresolved_left_out(t: Tables):
     return rollup.unresolved_left_out(t.packages(), presence.presence(inventory(t), t.cutoff))
+
+
+@query("pass_errors", f"""WITH {EVC}, s AS ({LATEST.format(keys='package_id, surface', ties=OK_FIRST, rows="(SELECT * EXCLUDE (state), CASE WHEN state = 'error' AND id % 5 = 0 THEN 'odd' ELSE state END AS state FROM evc)")}),
+f AS ({LATEST.format(keys='package_id', ties='', rows='(SELECT * FROM evc WHERE surface = 2)')}), l AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM evc) WHERE r = 1)
+SELECT 'currency' AS pass, package_id, 'not a state: odd' AS error FROM s WHERE state = 'odd' GROUP BY 2 UNION ALL SELECT 'feedstock_presence', package_id, 'not a state: odd' FROM f WHERE state = 'error' AND id % 5 = 0
+UNION ALL SELECT 'licence', package_id, 'not a state: odd' FROM l WHERE state = 'error' AND id % 5 = 0 GROUP BY 2 UNION ALL SELECT unnest(['vulnerability', 'remediation']), package_id, 'not a finding state: odd' FROM (SELECT DISTINCT package_id FROM l WHERE state = 'error' AND id % 5 = 0)""")
+def pass_errors(t: Tables):
+    """Packages that each pass can't judge, as a state isn't one."""
+    odd = lambda ok: F.when((F.col("state") == "error") & (F.col("id") % 5 == 0), "odd").when(F.col("state") == "ok", ok).when(F.col("state") == "not_applicable", "unknown").otherwise(F.col("state"))
+    packages, e = t.evidence().select("package_id").distinct(), t.evidence()
+    found = e.withColumn("state", odd("matched")).withColumns({"nothing_matched": F.lit(True), "severity": F.lit("high"), "fixed_range": F.col("version")})
+    kev = e.where("false").select("package_id", "id", "observed_at", "state", F.col("id").alias("finding_id"))
+    rows = {
+        "currency": passes.currency(packages, _surfaces(t).withColumn("state", odd("ok")), t.cutoff),
+        "feedstock_presence": passes.feedstock_presence(packages, _feedstock(t).withColumn("state", odd("ok")), t.cutoff),
+        "vulnerability": passes.vulnerability(packages, found, kev, t.cutoff, passes.RISK_ORDER),
+        "licence": passes.licence(packages, e.select("package_id", "id", "observed_at", odd("normalized").alias("state"), F.lit("MIT").alias("normalized_license")), t.cutoff, _RULES),
+        "remediation": passes.remediation(packages, found, _surfaces(t), t.cutoff, {s: 14 for s in vocab.SURFACES}),
+    }
+    named = [r.where(F.col("error").isNotNull()).select(F.lit(name).alias("pass"), "package_id", "error") for name, r in rows.items()]
+    return reduce(lambda a, b: a.unionByName(b), named)

@@ -183,11 +183,11 @@ def repository_facts(t: Tables):
 # Text
 
 
-@query("text_forms", "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS label, 'pkg:conda/' || p_name AS purl, sha256('c' || ':' || p_size) AS window_key, CASE WHEN length(p_name) <= 12 THEN p_name ELSE p_name[:9] || '...' END AS detail, CASE WHEN p_partkey % 2 = 0 THEN 'pkg:pypi/n' || p_partkey END AS locator FROM part")
+@query("text_forms", "SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS label, 'pkg:conda/' || p_name AS purl, sha256('c' || ':' || p_size) AS window_key, CASE WHEN length(p_name) <= 12 THEN p_name ELSE p_name[:12] || ' ...' END AS detail, CASE WHEN p_partkey % 2 = 0 THEN 'pkg:pypi/n' || p_partkey END AS locator FROM part")
 def text_forms(t: Tables):
     name, k = F.col("p_name"), F.col("p_partkey")
     purl = F.when(k % 2 == 0, F.concat(F.lit("pkg:pypi/n"), k.cast("string"), F.lit("@1"))).otherwise("odd")
-    return t.part.select("p_partkey", text.project_label(name).alias("label"), text.package_url("conda", name).alias("purl"), text.window_key(F.lit("c"), F.col("p_size")).alias("window_key"), text.safe_detail(name, 12).alias("detail"), collection.advisory_locator(purl).alias("locator"))
+    return t.part.select("p_partkey", text.project_label(name).alias("label"), text.package_url("conda", name).alias("purl"), text.window_key(F.lit("c"), F.col("p_size")).alias("window_key"), text.safe_detail(name, 12, "...").alias("detail"), collection.advisory_locator(purl).alias("locator"))
 
 
 @query("index_paths", "WITH g AS (SELECT p_partkey, lower(p_name) AS n, rpad(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), 3, 'z') AS p FROM part) SELECT p_partkey, p[1] || '/' || p[2] || '/' || p[3] || '/' || n AS path FROM g")
@@ -195,9 +195,11 @@ def index_paths(t: Tables):
     return t.part.select("p_partkey", text.index_path(F.col("p_name")).alias("path"))
 
 
-@query("safe_details", "SELECT event_id, 'a b c' || event_id AS detail FROM events")
+@query("safe_details", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN left(repeat('x ' || event_id || '  ', 200), 1024) || ' [shortened by this collector]' ELSE 'a b c' || event_id END AS detail FROM events WHERE event_id % 3 <> 0 OR length(repeat('x ' || event_id || '  ', 200)) > 1024 UNION ALL SELECT event_id, repeat('x ' || event_id || '  ', 200) FROM events WHERE event_id % 3 = 0 AND length(repeat('x ' || event_id || '  ', 200)) <= 1024")
 def safe_details(t: Tables):
-    return t.events.select("event_id", text.safe_detail(F.concat(F.lit("a\tb\x7fc"), F.col("event_id").cast("string"))).alias("detail"))
+    n = F.col("event_id").cast("string")
+    long = F.expr("repeat(concat('x ', event_id, '\t\t'), 200)")
+    return t.events.select("event_id", text.safe_detail(F.when(F.col("event_id") % 3 == 0, long).otherwise(F.concat(F.lit("a\tb\x7fc"), n))).alias("detail"))
 
 
 # Guards

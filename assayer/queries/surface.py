@@ -112,12 +112,12 @@ def report_versions(t: Tables):
     return surface.versions(rows)
 
 
-@query("coverage_counts", f"""WITH {EVC}, l AS ({LATEST.format(keys='package_id', ties='', rows='evc')}), {PKG}, h AS (SELECT coalesce(state, 'unknown') AS status FROM pkg LEFT JOIN l USING (package_id))
-SELECT count(*) AS packages, count(*) FILTER (WHERE status = 'unknown') AS status_unknown, count(*) FILTER (WHERE status IN ('error', 'not_found')) AS status_negative, round(100.0 * count(*) FILTER (WHERE status = 'unknown') / count(*), 1) AS status_share FROM h""")
+@query("coverage_counts", f"""WITH {EVC}, l AS ({LATEST.format(keys='package_id', ties='', rows='evc')}), {PKG}, h AS (SELECT coalesce(state, 'unknown') AS status, observed_at AS computed_at, observed_at - INTERVAL 1 HOUR AS evidence_cutoff FROM pkg LEFT JOIN l USING (package_id))
+SELECT count(*) AS packages, count(*) FILTER (WHERE status IN ('unknown', 'error')) AS status_unknown, count(*) FILTER (WHERE status IN ('not_found', 'not_applicable')) AS status_negative, round(100.0 * count(*) FILTER (WHERE status IN ('unknown', 'error')) / count(*), 1) AS status_share, max(computed_at) AS computed_at, max(evidence_cutoff) AS evidence_cutoff FROM h""")
 def coverage_counts(t: Tables):
-    newest = asof.latest(t.evidence(), ["package_id"], t.cutoff).select("package_id", F.col("state").alias("status"))
-    rows = t.packages().join(newest, "package_id", "left").select(F.coalesce("status", F.lit("unknown")).alias("status"))
-    return surface.coverage(rows, {"status": ("error", "not_found")})
+    newest = asof.latest(t.evidence(), ["package_id"], t.cutoff).select("package_id", F.col("state").alias("status"), F.col("observed_at").alias("computed_at"), (F.col("observed_at") - F.expr("INTERVAL 1 HOUR")).alias("evidence_cutoff"))
+    rows = t.packages().select("package_id").join(newest, "package_id", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    return surface.coverage(rows, ["status"], ["computed_at", "evidence_cutoff"])
 
 
 @query("coverage_confidence", f"WITH {PKG} SELECT confidence, count(*) AS packages FROM pkg GROUP BY confidence")
@@ -240,3 +240,27 @@ def digest_change(t: Tables):
     day = F.date_trunc("day", "observed_at").cast("timestamp_ntz").alias("day")
     figures = t.evidence().groupBy("surface", day).agg(F.floor(F.count_if(F.col("state") == "error") / 8).alias("figure"))
     return digest.changes(figures, ["surface"], "day", "figure")
+
+
+_MOVES = """r AS (SELECT event_id AS request_id, ts AS requested_at, user_id AS item_id, ['open', 'triaged', 'routed', 'in_progress', 'triaged'][1 + (event_id // 2) % 5] AS expected_state, ['triaged', 'routed', 'in_progress', 'resolved', 'accepted'][1 + event_id % 5] AS to_state,
+  CASE event_id % 7 WHEN 0 THEN 'visitor' ELSE 'security_reviewer' END AS role, CASE WHEN event_id % 3 = 0 THEN 'as agreed' ELSE ' ' END AS justification FROM events),
+tr AS (SELECT * FROM (VALUES ('open', 'triaged'), ('triaged', 'routed'), ('triaged', 'in_progress'), ('routed', 'in_progress'), ('in_progress', 'resolved'), ('in_progress', 'triaged'), ('triaged', 'accepted')) x(a, b)),
+o AS (SELECT r.*, row_number() OVER (PARTITION BY item_id ORDER BY requested_at, request_id) AS n, CASE WHEN tr.a IS NULL THEN 'undeclared' WHEN role = 'visitor' THEN 'role' WHEN to_state = 'accepted' AND trim(justification) = '' THEN 'justification' END AS refused FROM r LEFT JOIN tr ON tr.a = expected_state AND tr.b = to_state),
+i AS (SELECT c_custkey AS item_id, ['open', 'triaged', 'in_progress', 'resolved'][1 + c_nationkey % 4] AS state FROM customer WHERE c_custkey % 10 <> 0)"""
+
+
+@query("transitions_in_order", "WITH RECURSIVE " + _MOVES + """, f AS (SELECT o.item_id, 0::BIGINT AS n, NULL::BIGINT AS request_id, i.state, NULL::VARCHAR AS answer FROM (SELECT DISTINCT item_id FROM o) o LEFT JOIN i USING (item_id)
+ UNION ALL SELECT o.item_id, o.n, o.request_id, CASE WHEN f.state = o.expected_state AND o.refused IS NULL THEN o.to_state ELSE f.state END, CASE WHEN f.state IS NULL THEN 'no such item' WHEN f.state <> o.expected_state THEN 'stale' ELSE coalesce(o.refused, 'applied') END FROM f JOIN o ON o.item_id = f.item_id AND o.n = f.n + 1)
+SELECT request_id, item_id, answer FROM f WHERE n > 0""")
+def transitions_in_order(t: Tables):
+    """Each user's events as requests about one item, judged one after another."""
+    e = F.col("event_id")
+    pick = lambda values, n: F.element_at(vocab.strings(values), n.cast("int"))
+    requests = t.events.select(
+        e.alias("request_id"), F.col("ts").alias("requested_at"), F.col("user_id").alias("item_id"),
+        pick(("open", "triaged", "routed", "in_progress", "triaged"), 1 + F.floor(e / 2) % 5).alias("expected_state"),
+        pick(("triaged", "routed", "in_progress", "resolved", "accepted"), 1 + e % 5).alias("to_state"),
+        F.when(e % 7 == 0, "visitor").otherwise("security_reviewer").alias("role"), F.when(e % 3 == 0, "as agreed").otherwise(" ").alias("justification"),
+    )
+    items = t.customer.where(F.col("c_custkey") % 10 != 0).select(F.col("c_custkey").alias("item_id"), pick(("open", "triaged", "in_progress", "resolved"), 1 + F.col("c_nationkey") % 4).alias("state"))
+    return workflow.in_order(requests, items, "day").select("request_id", "item_id", "answer")

@@ -31,6 +31,38 @@ def presence(inventory: DataFrame, cutoff) -> DataFrame:
     return every.join(folded, "package_id", "left")
 
 
+def live(inventory: DataFrame) -> DataFrame:
+    """The rows that any later fold can still depend on, whatever arrives and in whatever order.
+
+    A fold needs the last ok, the last not_found, and what came after the earlier of
+    the two; a row before both can't become part of it.  One row of another state
+    stays for a package that has none of these, so that it is still there.
+    """
+    mark = F.struct("observed_at", "id")
+    of = lambda state: F.max(F.when(F.col("state") == state, mark))
+    counts = F.col("state").isin("ok", "not_found")
+    marks = inventory.groupBy("package_id").agg(of("ok").alias("_ok"), of("not_found").alias("_missing"), F.min(F.when(~counts, mark)).alias("_other"))
+    rows = inventory.join(marks, "package_id")
+    bound = F.when(F.col("_ok").isNotNull() & F.col("_missing").isNotNull(), F.least("_ok", "_missing"))
+    none = F.col("_ok").isNull() & F.col("_missing").isNull()
+    keep = (counts & (bound.isNull() | (mark >= bound))) | (~counts & none & (mark == F.col("_other")))
+    return rows.where(keep).select(*inventory.columns)
+
+
+def merged(parts, batch: DataFrame, slots: int = 16) -> int:
+    """Takes a batch of observations into a stored summary (`sources.parts.Parts` by slot, live rows only); the same batch again changes nothing.
+
+    Only slots of packages that the batch names are read and written.
+    """
+    slot = F.pmod(F.xxhash64("package_id"), F.lit(slots)).cast("int")
+    rows = batch.withColumn("slot", slot)
+    touched = [str(r["slot"]) for r in rows.select("slot").distinct().collect()]  # at most `slots`
+    version, _ = parts.manifest()
+    columns = [*batch.columns, "slot"]
+    held = parts.read(touched).select(*columns).unionByName(rows).dropDuplicates(["package_id", "observed_at", "id"])
+    return parts.rewrite(touched, live(held).select(*columns), version) if touched else version
+
+
 def breadth(inventory: DataFrame, cutoff) -> DataFrame:
     """package_id with the counts of its newest row."""
     counts = F.max_by(F.struct("components", "lobs"), F.struct("observed_at", "id"))

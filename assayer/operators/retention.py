@@ -76,6 +76,25 @@ def apply(planned: Mapping[str, DataFrame], tables: Mapping[str, DataFrame], fol
     return out
 
 
+def rewritten(parts, gone: DataFrame) -> int:
+    """Takes rows (id and the column that parts go by) out of a table of parts: reads and writes only parts that lose one; how many parts that were."""
+    held = gone.select("id", F.col(parts.column).cast("string").alias("_part"))
+    touched = [r["_part"] or "" for r in held.select("_part").distinct().collect()]  # a part for each day
+    version, _ = parts.manifest()
+    if touched:
+        parts.rewrite(touched, survivors(parts.read(touched), gone), version)
+    return len(touched)
+
+
+def purged(planned: Mapping[str, DataFrame], stored: Mapping, order: Sequence[str]) -> dict[str, int]:
+    """Applies a plan to stored tables of parts in the given order, citing tables first; how many parts of each were written anew.
+
+    Each table's change is one manifest: broken off between two tables, what cites is
+    gone before what it cites, and the same plan applied again does the rest.
+    """
+    return {name: rewritten(stored[name], planned[name]) for name in order if name in planned}
+
+
 def moved_cutoffs(purges: DataFrame, tolerance: str = "1 DAY") -> DataFrame:
     """Purge runs (run_id, started_at, cutoff) whose cut-off isn't the one before it moved on by the time between them, within the tolerance."""
     order = W.orderBy("started_at", "run_id")  # a run a day: a small table

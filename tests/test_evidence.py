@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import licence_terms, specifiers, text, vocab
 from assayer.operators import asof, collection, digest, inventory, presence, replay, retention, surface, workflow
-from assayer.plans import passes, rollup, run
+from assayer.plans import passes, registry, rollup, run
 from assayer.sources import documents, files
 
 T0 = datetime(2024, 1, 1)
@@ -297,9 +297,9 @@ def test_everything_but_verified_needs_review(spark):
 
 
 def test_a_rollup_column_has_one_owner():
-    assert run.owners() == {"currency_status": "currency", "feedstock_presence_status": "feedstock_presence", "work_type_status": "work_type", "priority_status": "priority"}
+    assert run.REGISTRY.owners() == {"currency_status": "currency", "feedstock_presence_status": "feedstock_presence", "work_type_status": "work_type", "priority_status": "priority"}
     with pytest.raises(ValueError, match="two owners"):
-        run.owners({"a": ("x", "c"), "b": ("y", "c")})
+        registry.Registry([registry.Pass("a", "x", None, column="c"), registry.Pass("b", "y", None, column="c")], columns=("c",))
 
 
 def test_a_run_takes_the_newest_version_unless_told():
@@ -374,3 +374,152 @@ def test_an_odd_state_costs_its_package_only(spark):
     out = passes.vulnerability(packages, findings, kev, at(9), ["high", "low"])
     assert {r.package_id: (r.vulnerability_status, r.error) for r in out.collect()} == {1: ("advisories_matched", None), 2: ("advisories_matched", "not a finding state: odd"), 3: ("unknown", None)}
     assert {r.package_id: r.error for r in run.failures(packages, {"vulnerability": out}).collect()} == {2: "not a finding state: odd", 3: "not a confidence"}
+
+
+def test_a_declared_pass_runs_where_what_it_needs_is_there(spark, sf_dir):
+    """A ninth pass, its rollup column and a step of its own, without a change to the run."""
+    from assayer.adapters import Tables
+    from assayer.plans.registry import ROLLUP_COLUMNS, Pass, Registry
+    from assayer.queries.runs import _PARAMETERS, _tables
+
+    def alarm(c):
+        rows = c.verdicts()
+        return rows.select("package_id", F.when((F.col("vulnerability_status") == "advisories_matched") & (F.col("currency_status") == "behind"), "unknown").otherwise("not_applicable").alias("alarm"))
+
+    mine = Registry([Pass("alarm", "alarm", alarm, needs=("vulnerability", "currency"), column="alarm_status"), *run.REGISTRY.passes.values()], run.REGISTRY.steps.items(), (*ROLLUP_COLUMNS, "alarm_status"))
+    mine.after_run("alarms", lambda out, t: out["alarm"].groupBy("alarm").count())
+    assert [p.name for p in mine.ordered()].index("alarm") > [p.name for p in mine.ordered()].index("currency")
+    out = run.execute(_tables(Tables(spark, sf_dir)), "2024-01-20 00:00:00", _PARAMETERS, 1, "1", registry=mine)
+    assert "alarm_status" in out["health"].columns and sum(r["count"] for r in out["alarms"].collect()) == out["alarm"].count() > 0
+    assert "alarm" not in run.REGISTRY.passes
+
+
+def test_passes_that_need_each_other_or_nobody_are_refused():
+    both = registry.Registry([registry.Pass("a", "x", None, needs=("b",)), registry.Pass("b", "y", None, needs=("a",))])
+    with pytest.raises(ValueError, match="need each other"):
+        both.ordered()
+    with pytest.raises(ValueError, match="nobody declares"):
+        registry.Registry([registry.Pass("a", "x", None, needs=("z",))]).ordered()
+    with pytest.raises(ValueError, match="taken"):
+        both.register(registry.Pass("a", "x", None))
+    both.after_run("s", len)
+    with pytest.raises(ValueError, match="taken"):
+        both.after_run("s", len)
+    with pytest.raises(ValueError, match="no column"):
+        both.register(registry.Pass("c", "x", None, column="odd_status"))
+
+
+def test_a_table_of_parts_changes_at_once_or_not_at_all(spark, tmp_path):
+    from assayer.sources.parts import Changed, Parts
+
+    rows = lambda *values: spark.createDataFrame(values, "id long, day string")
+    table = Parts(spark, str(tmp_path / "t"), "day", "id bigint, day string")
+    ids = lambda version=None: sorted(r.id for r in table.read(version=version).collect())
+    assert ids() == [] and table.append(rows((1, "a"), (2, "b/c"), (3, None))) == 1
+    table.append(rows((4, "a")))
+    assert ids() == [1, 2, 3, 4] and ids(1) == [1, 2, 3]
+    before = table.manifest()[1]
+    assert table.rewrite(["a"], rows((4, "a"))) == 3 and ids() == [2, 3, 4]
+    assert {k: v for k, v in table.manifest()[1].items() if k != "a"} == {k: v for k, v in before.items() if k != "a"}
+    with pytest.raises(Changed):
+        table.rewrite(["a"], rows(), version=2)
+    with pytest.raises(Changed):
+        table._commit(2, {})
+    with pytest.raises(ValueError, match="other parts"):
+        table.rewrite(["a"], rows((9, "z")))
+    assert table.rewrite(["a", ""], rows()) == 4 and ids() == [2]
+    assert table.swept() > 0 and ids() == [2] and table.versions() == [4]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from(["ok", "not_found", "error"])), min_size=1, max_size=25), st.randoms())
+def test_live_rows_fold_like_all_rows_after_each_batch(spark, log, rng):
+    rows = [(p, i, datetime(2024, 1, 1) + timedelta(hours=i // 2), s) for i, (p, s) in enumerate(log)]
+    shape = "package_id long, id long, observed_at timestamp_ntz, state string"
+    mixed = rng.sample(rows, len(rows))
+    held, shown = [], lambda df: sorted(presence.presence(df, datetime(2030, 1, 1)).collect(), key=lambda r: r.package_id)
+    for k in range(0, len(mixed), 9):
+        held = [tuple(r) for r in presence.live(spark.createDataFrame(held + mixed[k : k + 9], shape)).collect()]
+        assert shown(spark.createDataFrame(held, shape)) == shown(spark.createDataFrame(mixed[: k + 9], shape))
+
+
+def test_snapshot_reads_scan_only_the_days_after_the_last_one(spark, sf_dir):
+    from assayer.adapters import Tables
+    from assayer.queries.stored import snapshots
+
+    kept = snapshots(Tables(spark, sf_dir))
+    assert sorted(kept.stored.manifest()[1]) == ["2024-01-04 00:00:00", "2024-01-15 00:00:00"]  # late rows dropped the others
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = kept.latest(datetime(2024, 1, 20))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "observed_date" in line)
+    assert "(observed_date" in scan and "<= 2024-01-20" in scan and ">= 2024-01-15" in scan
+
+
+def test_a_pass_over_buckets_shuffles_nothing(spark, sf_dir):
+    from assayer.adapters import Tables
+    from assayer.queries.stored import bucketed_currency
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of any size
+    try:
+        out = bucketed_currency(Tables(spark, sf_dir), 4)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SelectedBucketsCount" in plan
+        assert out.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_batch_of_documents_leaves_a_row_each_and_the_same_twice(spark, tmp_path):
+    from assayer.streaming import typed
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, at, "license", 1, True, False, 200, '{"license": "MIT"}'), (2, at, "license", 1, True, False, 304, None), (3, at, "license", 2, True, False, 304, None), (4, at, "license", 2, None, None, None, None), (5, None, "license", None, True, False, 200, "{["), (6, at, "odd", 1, True, False, 200, "{}"), (7, at, "pypi_release", 1, True, False, 200, '{"info": {"version": "1"}}')]
+    df = spark.createDataFrame(rows, typed.BRONZE)
+    for _ in range(2):
+        typed.batch(df, 3, str(tmp_path))
+    got = {r.id: (r.state, r.normalized_license, r.detail) for r in typed.table(spark, str(tmp_path), "license_findings").collect()}
+    assert got == {1: ("normalized", "MIT", ""), 2: ("normalized", "MIT", ""), 3: ("error", None, "unmodified, and nothing was kept"), 4: ("error", None, "status none"), 5: ("error", None, "the document could not be read")}
+    typed.batch(spark.createDataFrame([(8, at, "license", 1, True, False, 304, None)], typed.BRONZE), 4, str(tmp_path))
+    assert {r.id: r.state for r in typed.table(spark, str(tmp_path), "license_findings").collect()}[8] == "normalized"
+
+
+def test_late_rows_are_told_whatever_their_delay(spark):
+    from assayer.operators import late
+
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    rows = [(1, 1, at(1), at(1)), (1, 2, at(2), at(9)), (1, 3, at(5), at(5)), (2, 4, at(3), at(30))]
+    runs = [(2, at(2, 2), at(2, 1)), (4, at(4, 2), at(4, 1)), (6, at(6, 2), at(6, 1)), (9, at(9, 2), at(8, 1)), (31, at(31), None)]
+    got = late.missed(spark.createDataFrame(rows, "package_id long, id long, observed_at timestamp_ntz, arrived_at timestamp_ntz"), spark.createDataFrame(runs, "run_id long, started_at timestamp_ntz, evidence_cutoff timestamp_ntz"), ["package_id"])
+    assert {(r.run_id, r.id): r.changes for r in got.collect()} == {(2, 2): True, (4, 2): True, (6, 2): False, (4, 4): True, (6, 4): True, (9, 4): True}
+    assert late.affected(got).where("run_id = 6").first().changed_keys == 1
+
+
+def test_a_run_that_breaks_off_is_recorded_and_unknown_cutoffs_are_refused(spark, sf_dir, tmp_path):
+    from assayer.adapters import Tables
+    from assayer.queries.runs import _PARAMETERS, _tables
+
+    t = _tables(Tables(spark, sf_dir))
+    t["ledger"] = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 2))], "started_at timestamp_ntz, finished_at timestamp_ntz")
+    held = run.Recorded(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no such signal"):
+        held.run(t, {"1": {**_PARAMETERS, "priority_score_weights": {"odd": 1}}}, datetime.now)
+    assert [(r.run_id, r.status, r.evidence_cutoff) for r in held.runs().collect()] == [(1, "failed", datetime(2024, 1, 2))]
+    with pytest.raises(ValueError, match="no retained run"):
+        run.compare(t, datetime(2024, 1, 3), _PARAMETERS, {}, held.runs())
+    with pytest.raises(ValueError, match="no finished run"):
+        held.replay(t, {"1": _PARAMETERS}, 5)
+    empty = {**t, "ledger": t["ledger"].where("false")}
+    with pytest.raises(ValueError, match="no finished collection"):
+        held.run(empty, {"1": _PARAMETERS}, datetime.now)
+    assert held.runs().count() == 1
+
+
+def test_requests_about_one_item_are_judged_in_turn(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [(1, at(0), 7, "open", "triaged", "leadership", None), (2, at(0), 7, "open", "triaged", "leadership", None), (3, at(5), 7, "triaged", "accepted", "leadership", "x"), (4, at(5), 7, "triaged", "accepted", "security_reviewer", " "), (5, at(6), 7, "triaged", "accepted", "security_reviewer", "x"), (6, at(6), 7, "accepted", "open", "leadership", None), (7, at(0), 8, "open", "triaged", "leadership", None)]
+    requests = spark.createDataFrame(rows, "request_id long, requested_at timestamp_ntz, item_id long, expected_state string, to_state string, role string, justification string")
+    items = spark.createDataFrame([(7, "open")], "item_id long, state string")
+    for chunk in ("minute", "year"):
+        got = {r.request_id: r.answer for r in workflow.in_order(requests, items, chunk).collect()}
+        assert got == {1: "applied", 2: "stale", 3: "role", 4: "justification", 5: "applied", 6: "undeclared", 7: "no such item"}

@@ -16,15 +16,21 @@ size of the segments: these are put in classes of similar length, and a class
 samples only places inside its shortest segment.
 
 A window of which too few words occur in any item can't be within the distance
-and isn't walked.  Every window whose key is a segment's is a candidate; where enough
-of the item's words stand around it, a semi-global alignment decides it exactly.
+and isn't walked.  Equal segments of several items are one in the index.  A window
+whose key is a segment's is a candidate for those of the segment's items of which
+enough rare words (words of few items) stand in the document: an edit takes one word
+at most, so a document that lacks more of them than edits are allowed can't leak the
+item.  So a head that very many items share costs a document nothing for the items
+that it doesn't hold, and no item is left out.  Where enough of an item's words stand
+around a candidate, a semi-global alignment decides it exactly.
 
 One map over whole documents, in which the items (at most `BLOCK_WORDS` words of
 them; more go in several passes) are broadcast.
 
 Items of fewer than `MIN_WORDS` words, which allow no edit or one, are looked for
-word by word, if their words have `min_bytes` bytes or more: chance would find
-shorter ones in clean text.
+word by word.  Chance finds the shortest of them in clean text too: where an item's
+words have fewer than `MIN_BYTES` bytes its leaks are flagged `short`, and whoever
+drops documents may leave these in.
 
 Defined results: null and empty texts leak nothing, null and empty items are never
 leaked; rows that repeat leak each; of an item's stretches that are equally close
@@ -46,8 +52,10 @@ from assayer.llm import tables, words
 
 #: Least similarity in hundredths, words of the shortest item, and words of items in one pass.
 PERCENT, MIN_WORDS, BLOCK_WORDS = 80, 8, 1 << 20
-#: Least bytes of a shorter item's words.
+#: Bytes of an item's words under which a leak of it is flagged as short.
 MIN_BYTES = 24
+#: Items that a word of a rare one stands in at most.
+RARE = 16
 #: Walks, keys of each, and embedding places in a key.
 WALKS, SAMPLES, PLACES = 4, 8, 3
 #: Words of a segment: items of twice as many are cut.
@@ -69,23 +77,34 @@ class Items:
     def __init__(self, ids: list, texts: list[str | None], seed: int = 5, min_bytes: int = MIN_BYTES):
         w = words.split(pa.array([(t or "").encode() for t in texts], pa.binary()), words.NOT_ALNUM, lower=True, characters=True)
         h = w.hashes()
-        kept = np.flatnonzero(w.counts >= MIN_WORDS)
         letters = words.sums_by_text(w.ends - w.starts, w.first)
-        short = np.flatnonzero((w.counts > 0) & (w.counts < MIN_WORDS) & (letters >= min_bytes))
-        self.ids = [ids[i] for i in (*kept, *short)]
-        self.words = [h[w.first[i] : w.first[i + 1]] for i in (*kept, *short)]
-        self.short = sorted((int(self.words[i][0]), i) for i in range(len(kept), len(self.ids)))
+        same: dict[bytes, list[int]] = {}  # items of the same words are one
+        for i in np.flatnonzero(w.counts).tolist():
+            same.setdefault(h[w.first[i] : w.first[i + 1]].tobytes(), []).append(i)
+        own = sorted(same.values(), key=lambda x: (w.counts[x[0]] < MIN_WORDS, x))
+        self.ids = [[ids[i] for i in x] for x in own]
+        self.words = [h[w.first[x[0]] : w.first[x[0] + 1]] for x in own]
+        self.brief = np.array([letters[x[0]] < min_bytes for x in own], bool)
+        long = sum(len(x) >= MIN_WORDS for x in self.words)
+        self.short = sorted((int(self.words[i][0]), i) for i in range(long, len(self.ids)))
         self.heads = np.array([x for x, _ in self.short], np.uint64)
         self.shorts = np.array([i for _, i in self.short], np.int64)
-        short_words, self.words = self.words[len(kept) :], self.words[: len(kept)]
-        self.known = np.unique(np.concatenate(self.words)) if len(kept) else np.zeros(0, np.uint64)
+        short_words, self.words = self.words[long:], self.words[:long]
+        self.known = np.unique(np.concatenate(self.words)) if long else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        self._rare()
         rng = np.random.default_rng(seed)
         cuts = [np.linspace(0, len(x), max(1, len(x) // SEGMENT) + 1).astype(np.int64) for x in self.words]
-        self.item = np.repeat(np.arange(len(kept)), [len(c) - 1 for c in cuts])
+        self.item = np.repeat(np.arange(long), [len(c) - 1 for c in cuts])
         self.offset = np.concatenate([np.zeros(0, np.int64), *(c[:-1] for c in cuts)])
-        segments = [x[a:b] for x, c in zip(self.words, cuts) for a, b in zip(c, c[1:])]
+        kinds: dict[bytes, int] = {}
+        self.kind = np.array([kinds.setdefault(x[a:b].tobytes(), len(kinds)) for x, c in zip(self.words, cuts) for a, b in zip(c, c[1:])], np.int64)
+        segments = [np.frombuffer(k, np.uint64) for k in kinds]
+        self.item_first = np.searchsorted(self.item, np.arange(long + 1))
+        lone = np.flatnonzero(self.always[self.item])
+        self.lone = lone[np.argsort(self.kind[lone], kind="stable")]
+        self.lone_first = np.searchsorted(self.kind[self.lone], np.arange(len(segments) + 1))
         order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         self.classes = []
         while order:
@@ -106,6 +125,52 @@ class Items:
             self.classes.append((least, longest, moves, places, index, maybe))
         self.words += short_words
 
+    def _rare(self) -> None:
+        """Words of few items, and how many of an item's a document must hold; `always` are items of which it may hold none."""
+        each = [np.unique(x) for x in self.words]
+        flat, of = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        word, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        few = count[code] <= RARE
+        order = np.argsort(code[few], kind="stable")
+        self.rare, self.rare_items = word[count <= RARE], of[few][order]
+        self.rare_first = np.append(0, np.cumsum(count[count <= RARE]))
+        edits = np.array([distance_allowed(len(x)) for x in self.words], np.int64)
+        self.need = np.bincount(of[few], minlength=len(each)) - edits
+        self.always = self.need <= 0
+
+    def allowed(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words h in documents `doc` the (document, item) pairs in which enough of the item's rare words stand; without items that need none."""
+        k = np.minimum(np.searchsorted(self.rare, h), max(len(self.rare) - 1, 0))
+        at = np.flatnonzero(self.rare[k] == h) if len(self.rare) else np.zeros(0, np.int64)
+        pair = np.unique(doc[at] * len(self.rare) + k[at])
+        doc, word = pair // max(len(self.rare), 1), pair % max(len(self.rare), 1)
+        n = self.rare_first[word + 1] - self.rare_first[word]
+        item = self.rare_items[np.repeat(self.rare_first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        code, count = np.unique(np.repeat(doc, n) * len(self.need) + item, return_counts=True)
+        doc, item = code // max(len(self.need), 1), code % max(len(self.need), 1)
+        good = (count >= self.need[item]) & ~self.always[item]
+        return doc[good], item[good]
+
+    def spread(self, window: np.ndarray, kind: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(First word of a window, segment) for each kind of segment that a window meets and each item of it that its document may hold."""
+        of = np.searchsorted(first, window, "right") - 1
+        own = np.zeros(len(first) - 1, bool)
+        own[of] = True
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        some = np.flatnonzero(own[text])
+        doc, item = self.allowed(h[some], text[some])
+        kinds = len(self.lone_first) - 1
+        n = self.item_first[item + 1] - self.item_first[item]
+        segment = np.repeat(self.item_first[item], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.repeat(doc, n) * kinds + self.kind[segment]
+        order = np.argsort(key, kind="stable")
+        key, segment = key[order], segment[order]
+        out = []
+        for known, begin, stop in ((segment, *(np.searchsorted(key, of * kinds + kind, side) for side in ("left", "right"))), (self.lone, self.lone_first[kind], self.lone_first[kind + 1])):
+            m = stop - begin
+            out.append((np.repeat(window, m), known[np.repeat(begin, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
     def exact(self, h: np.ndarray, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """Where short items stand word by word: first words and items."""
         a, b = np.searchsorted(self.heads, h, "left"), np.searchsorted(self.heads, h, "right")
@@ -146,7 +211,7 @@ def embedded(h: np.ndarray, begin: np.ndarray, stop: np.ndarray, moves: np.ndarr
 
 
 def _candidates(h: np.ndarray, w: words.Words, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (first word of a window, segment) whose keys meet."""
+    """Distinct (first word of a window, kind of segment) whose keys meet."""
     inside = np.append(0, np.cumsum(items.contains(h)))
     end = np.repeat(w.first[1:], w.counts)
     found = [np.zeros((0, 2), np.int64)]
@@ -186,7 +251,7 @@ def _leaks(shipped, keep: str):
             if not len(w) or not items.ids:
                 continue
             h = w.hashes()
-            window, segment = _candidates(h, w, items)
+            window, segment = items.spread(*_candidates(h, w, items), h, w.first)
             found = np.stack([items.item[segment], np.searchsorted(w.first, window, "right") - 1, window - items.offset[segment]], axis=1)
             item, of_doc, start = np.unique(found, axis=0).T
             rows = []
@@ -218,18 +283,19 @@ def _leaks(shipped, keep: str):
             for doc, i, d, a, n in rows:
                 best[doc, i] = min(best.get((doc, i), (d, a, n)), (d, a, n))
             rows = sorted((doc, i, *v) for (doc, i), v in best.items())
+            rows = [(*r, i) for r in rows for i in items.ids[r[1]]]
             docs = batch.column(keep).take(pa.array([r[0] for r in rows], pa.int64()))
             size = [len(items.words[r[1]]) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64()), pa.array([int(r[2]) for r in rows], pa.int32()), pa.array([1 - r[2] / n for r, n in zip(rows, size)], pa.float64())],
-                [keep, "item_id", "start_word", "n_words", "distance", "similarity"],
+                [docs, pa.array([r[5] for r in rows], pa.int64()), pa.array([int(r[3]) for r in rows], pa.int64()), pa.array([int(r[4]) for r in rows], pa.int64()), pa.array([int(r[2]) for r in rows], pa.int32()), pa.array([1 - r[2] / n for r, n in zip(rows, size)], pa.float64()), pa.array([bool(items.brief[r[1]]) for r in rows], pa.bool_())],
+                [keep, "item_id", "start_word", "n_words", "distance", "similarity", "short"],
             )
 
     return leaks
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """A row for each document and item that it leaks: doc_id, item_id, start_word, n_words (the closest stretch), distance, similarity."""
+    """A row for each document and item that it leaks: doc_id, item_id, start_word, n_words (the closest stretch), distance, similarity, short (the item has fewer than `min_bytes` bytes of words)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -239,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_bytes: int = MIN_BYTES) ->
     for b in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == b).orderBy("item_id", "text").collect()  # about BLOCK_WORDS words
         shipped = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], min_bytes=min_bytes))
-        found.append(cut.mapInArrow(_leaks(shipped, "doc_id"), f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, start_word long, n_words long, distance int, similarity double"))
+        found.append(cut.mapInArrow(_leaks(shipped, "doc_id"), f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, start_word long, n_words long, distance int, similarity double, short boolean"))
     return reduce(DataFrame.unionByName, found)
 
 

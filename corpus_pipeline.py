@@ -9,6 +9,9 @@ Defined results: documents whose text is null or has no letter are rejected by t
 first stage, and with no labelled language all are; rows with a null doc_id pass,
 as nothing tells them from others; of rows that share a doc_id all stay or go
 together; where every document goes, and for an empty table, nothing is packed.
+Very long texts go through every stage whole.  A stage's own columns never meet those
+of documents: each takes what it needs and joins back by doc_id, so that extra
+columns of any name stay as they are until packing, which returns pieces.
 """
 
 from __future__ import annotations
@@ -19,6 +22,10 @@ from pyspark.sql import functions as F
 from assayer.llm import decontaminate, language_id, near_dedup, packing, substring_dedup, tables
 
 
+#: Whether documents that hold an item of fewer than `decontaminate.MIN_BYTES` bytes of words are dropped.
+DROP_SHORT = False
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
     return language_id.accepted(docs, language_id.model_of(docs))
@@ -39,8 +46,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; an item of a few short words, which clean texts hold too, drops none (`DROP_SHORT`)."""
     found = decontaminate.leaks(docs.select("doc_id", "text"), tables.read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    found = found if DROP_SHORT else found.where(~F.col("short"))
     return docs.join(tables.checked(tables.written(found.select("doc_id").distinct(), "leaks")), "doc_id", "left_anti").select(*docs.columns)
 
 

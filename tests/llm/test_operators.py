@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,10 +56,52 @@ def test_short_items_and_scripts_without_spaces(spark):
     items = [(1, "antidisestablishmentarianism is wrong"), (2, "too short"), (3, "中文句子没有空格也要找到"), (4, "他说今天天气很好我们去公园"), (5, "รักกันไว้เถิดเราเกิดร่วมแดน")]
     docs = [(1, "x Antidisestablishmentarianism: is wrong! y"), (2, "antidisestablishmentarianism was wrong, too short"), (3, "前面的话。中文句子没有空格也要找到。"), (4, "中文句子没有空各也要找到"), (5, "我们去公园他说今天"), (6, "ก่อนรักกันไว้เถิดเราเกิดร่วมแดน"), (7, None)]
     frame = lambda rows, names: spark.createDataFrame(rows, names)
-    got = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in decontaminate.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
-    assert got == {(1, 1): (0, 1), (3, 3): (0, 5), (4, 3): (1, 0), (6, 5): (0, 4)}
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word, r.short) for r in decontaminate.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (0, 1, False), (2, 2): (0, 3, True), (3, 3): (0, 5, False), (4, 3): (1, 0, False), (6, 5): (0, 4, False)}
     some = decontaminate.leaks(frame(docs[1:2], "doc_id long, text string"), frame(items[1:2], "item_id long, text string"), min_bytes=4)
-    assert [(r.doc_id, r.start_word, r.n_words) for r in some.collect()] == [(2, 3, 2)]
+    assert [(r.doc_id, r.start_word, r.n_words, r.short) for r in some.collect()] == [(2, 3, 2, False)]
+
+
+def headed(n, seed=4):
+    """n items of 60 words that share the first 30, and one of shared words alone."""
+    rng = np.random.default_rng(seed)
+    head = [f"h{x}" for x in rng.integers(0, 9000, 30)]
+    return head, [head + [f"t{x}" for x in rng.integers(0, 200_000, 30)] for _ in range(n)]
+
+
+def found_in(items, texts):
+    shipped = type("Shipped", (), {"value": decontaminate.Items(list(range(len(items))), [" ".join(i) for i in items])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([" ".join(t).encode() for t in texts], pa.binary())], ["doc_id", "text"])
+    return {(d, i): x for b in decontaminate._leaks(shipped, "doc_id")([batch]) for d, i, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "distance")))}
+
+
+def test_items_that_share_a_head_are_found_and_the_head_alone_is_none():
+    head, items = headed(40)
+    items += [list(items[3]), head + head[::-1]]
+    rng = np.random.default_rng(6)
+    texts = [["x"] * (d % 5) + head + ["y"] * 20 for d in range(10)]
+    for d in range(40):
+        leak = list(items[d])
+        for k in sorted(rng.choice(60, 9, replace=False), reverse=True):
+            leak[k : k + 1] = [[], [f"c{k}"], [leak[k], f"c{k}"]][k % 3]
+        texts.append(["x"] * (d % 5) + leak + ["y"])
+    texts.append(head + head[::-1])
+    got = found_in(items, texts)
+    assert {(10 + d, d) for d in range(40)} <= set(got) and (13, 40) in got and got[50, 41] == 0
+    assert set(got) <= {(10 + d, d) for d in range(40)} | {(13, 40), (50, 41)}
+
+
+def test_a_shared_head_costs_the_same_for_more_items():
+    took = []
+    for n in (250, 1000):
+        head, items = headed(n)
+        texts = [["x"] * (d % 7) + head + ["z"] * 9 for d in range(100)]
+        shipped = type("Shipped", (), {"value": decontaminate.Items(list(range(n)), [" ".join(i) for i in items])})
+        batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([" ".join(t).encode() for t in texts], pa.binary())], ["doc_id", "text"])
+        began = time.process_time()
+        assert sum(b.num_rows for b in decontaminate._leaks(shipped, "doc_id")([batch])) == 0
+        took.append(time.process_time() - began)
+    assert took[1] < 2 and took[1] < 3 * took[0] + 0.2
 
 
 def test_leaks_are_those_within_the_distance(spark, odd):
@@ -530,6 +573,16 @@ def test_records_behind_a_broken_one_are_not_read(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/b").count() == 3
 
 
+def test_revisits_of_a_page_id_with_two_payloads_keep_their_own(spark, tmp_path):
+    a, b, c = "A" * 1500, "B" * 2500, "C" * 1200
+    rows = [(7, "u", a), (7, "u", b), (5, "u", a), (4, "u", b), (7, "u", c), (7, "u", c)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in QUERIES["op8_warc"](spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    want = [(7, len(x), sha(x), "response", None) for x in (a, b, c, c)] + [(5, 1500, sha(a), "revisit", 7), (4, 2500, sha(b), "revisit", 7)]
+    assert got == sorted(want)
+
+
 # 9. packing
 
 

@@ -14,7 +14,8 @@ that chain stay: a magic inside a payload is a candidate that nothing reaches.
 
 Defined results: null html counts as empty; a null page id is written and read as
 such and never is what others refer to; rows that share page id and payload are
-all responses; behind a broken record nothing of the file is read; an empty table
+all responses, and where it has several payloads a revisit takes the one of its own
+digest; behind a broken record nothing of the file is read; an empty table
 gives no rows.  Payloads of any length count whole; other columns don't matter.
 """
 
@@ -79,7 +80,7 @@ def _header(chunk: bytes) -> tuple[int, dict[bytes, bytes]] | None:
     return (end + 4, fields) if fields.get(b"content-length", b"").isdigit() and b"warc-type" in fields else None
 
 
-_CANDIDATE = "file string, part long, at long, next long, leaves long, stop long, page_id long, type string, refers_to long, url string, body long, whole boolean, digest string"
+_CANDIDATE = "file string, part long, at long, next long, leaves long, stop long, page_id long, type string, refers_to long, url string, body long, whole boolean, digest string, declared string"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, stop = at - len(MAGIC), at + len(chunk)
             at = stop + len(MAGIC)
             found = _header(chunk)
-            row = [file, part, place, -(1 << 60) - len(held), 0, stop, None, None, None, None, None, False, None]
+            row = [file, part, place, -(1 << 60) - len(held), 0, stop, None, None, None, None, None, False, None, None]
             if found:
                 head, fields = found
                 length = int(fields[b"content-length"])
@@ -127,6 +128,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row[6:9] = [int(page[1]) if page else None, fields[b"warc-type"].decode("ascii", "replace"), int(refers[1]) if refers else None]
                 row[9], row[10], row[11] = fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), head + length - http if http >= 4 else None, whole
                 row[12] = hashlib.sha1(chunk[http : head + length]).hexdigest() if whole else None
+                row[13] = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
             held.append(row)
     if held:
         yield done()
@@ -146,7 +148,7 @@ def _on_chain(group: pa.Table) -> pa.Table:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives in a folder: file, at, page_id, type, refers_to, url, payload_bytes, payload_digest (of what the record holds)."""
+    """The records of all archives in a folder: file, at, page_id, type, refers_to, url, payload_bytes, payload_digest (of what the record holds), declared_digest (what its header says)."""
     chunks = spark.read.option("lineSep", MAGIC.decode()).text(folder)
     chunks = chunks.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("value").cast("binary").alias("value"))
     local = tables.written(chunks.mapInArrow(_candidates, _CANDIDATE), "candidates")
@@ -170,7 +172,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     entries = every.join(reached, ["file", "at"], "left_semi").where(F.col("type").isNotNull()).groupBy("file", "part").agg(F.min("at").alias("entry"))
     shape = ", ".join(f"{c} {t}" for c, t in every.dtypes)
     records = tables.written(every.join(entries, ["file", "part"]).groupBy("file", "part").applyInArrow(_on_chain, shape), "records")
-    return _closed(chunks, every, records).select("file", "at", "page_id", "type", "refers_to", "url", F.col("body").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    return _closed(chunks, every, records).select("file", "at", "page_id", "type", "refers_to", "url", F.col("body").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("declared").alias("declared_digest"))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +223,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(tables.read(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     records = read_archives(spark, folder)
     held = records.where(F.col("type") == "response").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    seen = records.where(F.col("type") == "revisit").select("page_id", "refers_to")
-    first = held.groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("of"))
-    revisits = seen.join(first, "refers_to").select("page_id", "of.payload_bytes", "of.payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    seen = records.where(F.col("type") == "revisit").select("page_id", "refers_to", F.col("declared_digest").alias("payload_digest"))
+    first = held.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))  # a page id may have several payloads
+    revisits = seen.join(first, ["refers_to", "payload_digest"]).select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     return held.unionByName(revisits)
 
 

@@ -221,17 +221,23 @@ def _summed(height: int, width: int):
         total = np.zeros(n, np.int64)
         for x in group.column("counts").to_pylist():
             total += np.frombuffer(_opened(x, 8 * n), np.int64)
-        return pa.table({"rows": pa.array([row], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"rows": pa.array([row], pa.int32()), "counts": pa.array([_squeezed(total)], pa.binary())})
 
     return add
 
 
+#: Tasks whose rows of a matrix meet in one group; their sums meet after that.
+SLOT = 256
+
+
 def _matrix(parts: DataFrame, width: int) -> np.ndarray:
-    """The sum of tasks' square matrices; width is a model parameter, so it fits the driver."""
+    """The sum of tasks' square matrices, added up in two levels; width is a model parameter, so it fits the driver."""
     out = np.zeros((width, width), np.int64)
-    for r in parts.groupBy("rows").applyInArrow(_summed(width, width), "rows int, counts binary").collect():
-        part = np.frombuffer(r["counts"], np.int64).reshape(-1, width)
-        out[r["rows"] * _ROWS : r["rows"] * _ROWS + len(part)] = part
+    add, shape = _summed(width, width), "rows int, counts binary"
+    some = parts.select("rows", F.floor(F.spark_partition_id() / SLOT).cast("int").alias("slot"), "counts").groupBy("rows", "slot").applyInArrow(add, shape)
+    for r in some.groupBy("rows").applyInArrow(add, shape).collect():
+        n = min(_ROWS, width - r["rows"] * _ROWS)
+        out[r["rows"] * _ROWS :][:n] = np.frombuffer(_opened(r["counts"], 8 * n * width), np.int64).reshape(n, width)
     return out
 
 

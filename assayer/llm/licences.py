@@ -2,12 +2,14 @@
 
 A first pass counts, over all texts, in how many each licence word occurs.  The
 index has a posting (template, position) for each word of each template.  The
-second pass looks up each text's own licence words: of a template's words that
-the text holds, the `RARE` of highest inverse document frequency propose places
-where the template would start, and places that enough of them propose, within
-`drift` words of each other, are candidates.  A candidate is kept if enough of the
-template's words stand at their places, again within the drift, and all its
-mandatory key phrases stand there exactly.
+second pass ranks each text's own licence words once, highest inverse document
+frequency first, and looks up their postings in that order.  Templates of which the
+text holds enough words are asked for by the first `RARE` of these: postings and
+places in the text meet by relative position, and starts that enough of the words
+agree on, within `drift` words of each other, are candidates.  Only then is a
+template's text touched: a candidate is kept if enough of the template's words stand
+at their places, again within the drift, and all its mandatory key phrases stand
+there exactly.
 
 Base phrases are templates whose words must all stand at their places; the
 rarest word alone proposes theirs, so none is missed.
@@ -171,47 +173,19 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
     return known, n[:-1], int(n[-1])
 
 
-class _Posting:
-    """A template's postings: each of its words with its positions, the rarest word first."""
+class _Checked:
+    """A template to hold against a text at a place: its words, their weights, and its key phrases with where they stand."""
 
     def __init__(self, template: Template, known: np.ndarray, idf: np.ndarray):
         self.template, self.words = template, _hash(template.text)
-        place = np.searchsorted(known, self.words)
-        self.weight = idf[place]
+        self.place = np.searchsorted(known, self.words)
+        self.weight = idf[self.place]
         self.drift = 0 if template.base else min(8, len(self.words) // 10)
-        distinct = np.unique(place)
-        self.rare = distinct[np.lexsort((distinct, -idf[distinct]))]
-        self.positions = {int(i): np.flatnonzero(place == i) for i in distinct}
         self.phrases = []
         for phrase in template.key_phrases:
             k = _hash(phrase)
             self.phrases.append((next(i for i in range(len(self.words) - len(k) + 1) if (self.words[i : i + len(k)] == k).all()), k))
 
-    def proposed(self, at: np.ndarray, of: np.ndarray, edge: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the template may start, and in which text; at and of are places and texts of known words, from edge[i] on those of word i."""
-        held = present[:, self.rare]
-        fits = held.all(axis=1) if self.template.base else held.mean(axis=1) >= COVERED
-        asked = held & (np.cumsum(held, axis=1) <= (1 if self.template.base else RARE)) & fits[:, None]
-        starts, texts, words_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(asked.any(axis=0)).tolist():
-            i = int(self.rare[k])
-            own = slice(edge[i], edge[i + 1])
-            hit = asked[of[own], k]
-            place, text = at[own][hit], of[own][hit]
-            for position in self.positions[i].tolist():
-                starts.append(place - position)
-                texts.append(text)
-                words_.append(np.full(len(place), k))
-        start, text, word = np.concatenate(starts), np.concatenate(texts), np.concatenate(words_)
-        order = np.lexsort((word, start, text))
-        start, text = start[order], text[order]
-        wide = int(start.max(initial=0)) + int(-start.min(initial=0)) + 2 * self.drift + 2
-        key = text * wide + start - start.min(initial=0)
-        votes = np.searchsorted(key, key + self.drift, "right") - np.searchsorted(key, key - self.drift, "left")
-        good = votes >= np.ceil(PROPOSED * asked.sum(axis=1)[text])
-        key, first = np.unique(key[good], return_index=True)
-        return start[good][first], text[good][first]
-
     def verified(self, start: np.ndarray, text: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places where enough words and all key phrases stand, their texts and scores."""
         begin, end = first[text], first[text + 1]
@@ -230,25 +204,88 @@ class _Posting:
         return start[good], text[good], score[good]
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i] to first[i] + n[i] for each i, one after another."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Index:
+    """Postings: for each licence word the templates that hold it, and its positions in each of them."""
+
+    def __init__(self, parts: list[_Checked], known: np.ndarray, idf: np.ndarray):
+        self.words = len(known)
+        self.by_rank = np.lexsort((np.arange(len(known)), -idf))  # rarest first
+        self.rank = np.argsort(self.by_rank)
+        template = np.repeat(np.arange(len(parts)), [len(p.place) for p in parts])
+        word, position = np.concatenate([p.place for p in parts]), np.concatenate([np.arange(len(p.place)) for p in parts])
+        order = np.lexsort((position, word, template))
+        self.posting, self.position = (template * len(known) + word)[order], position[order]
+        held = np.unique(word * len(parts) + template)
+        self.templates, self.first = held % len(parts), np.searchsorted(held, np.arange(len(known) + 1) * len(parts))
+        self.distinct = np.bincount(self.templates, minlength=len(parts))
+        base = np.array([p.template.base for p in parts])
+        self.least = np.where(base, self.distinct, np.ceil(COVERED * self.distinct - 1e-9)).astype(np.int64)
+        self.asked = np.where(base, 1, RARE)
+        self.drift = np.array([p.drift for p in parts])
+
+    def proposed(self, at: np.ndarray, of: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Templates that may start in a text, where, and which text; at, of and which are places, texts and words of known words.
+
+        A text's licence words are ranked once, rarest first, and looked up in that
+        order.  A template that enough of them name is asked for by the first of these;
+        their places meet where they agree on where it starts.
+        """
+        pair = np.unique(of * self.words + self.rank[which])
+        text, word = pair // self.words, self.by_rank[pair % self.words]
+        n = self.first[word + 1] - self.first[word]
+        template = self.templates[_spread(self.first[word], n)]
+        text, word = np.repeat(text, n), np.repeat(word, n)
+        order = np.argsort(text * len(self.least) + template, kind="stable")  # a text's words stay in rank order
+        text, word, template = text[order], word[order], template[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (template[1:] != template[:-1])) if len(text) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(text)))
+        group = np.repeat(np.arange(len(begin)), count)
+        keep = (count >= self.least[template[begin]])[group] & (np.arange(len(text)) - begin[group] < self.asked[template])
+        text, word, template, group = text[keep], word[keep], template[keep], group[keep]
+        asked = np.bincount(group, minlength=len(begin))
+        order = np.lexsort((at, which, of))
+        here = (of * self.words + which)[order]
+        bounds = [np.searchsorted(here, text * self.words + word, side) for side in ("left", "right")]
+        posts = [np.searchsorted(self.posting, template * self.words + word, side) for side in ("left", "right")]
+        n_here, n_post = bounds[1] - bounds[0], posts[1] - posts[0]
+        row = np.repeat(np.arange(len(text)), n_here)
+        place = at[order][_spread(bounds[0], n_here)]
+        n = n_post[row]
+        start = np.repeat(place, n) - self.position[_spread(posts[0][row], n)]
+        row = np.repeat(row, n)
+        low, drift = int(start.min(initial=0)), self.drift[template[row]]
+        wide = int(start.max(initial=0)) - low + 2 * int(self.drift.max(initial=0)) + 2
+        key = group[row] * wide + start - low
+        order = np.argsort(key, kind="stable")
+        key, row, drift = key[order], row[order], drift[order]
+        votes = np.searchsorted(key, key + drift, "right") - np.searchsorted(key, key - drift, "left")
+        good = votes >= np.ceil(PROPOSED * asked[group[row]])
+        key, first = np.unique(key[good], return_index=True)
+        row = row[good][first]
+        return template[row], key - group[row] * wide + low, text[row]
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known, n, texts = document_frequencies(docs, templates)
     idf = np.log((texts + 1) / (n + 1)) + 1e-3
-    parts = [_Posting(t, known, idf) for t in templates]
+    parts = [_Checked(t, known, idf) for t in templates]
+    index = _Index(parts, known, idf)
 
     def matches(w: words.Words, hashes: np.ndarray, find: _Finder) -> Iterator[tuple[Template, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each template the texts, places and scores of its matches."""
+        """For each template that some text may hold the texts, places and scores of its matches."""
         at, which = find(hashes)
-        of = np.searchsorted(w.first, at, "right") - 1
-        rows = len(w.first) - 1
-        present = np.zeros((rows, len(known)), bool)
-        present[of, which] = True
-        order = np.argsort(which, kind="stable")
-        at, of, edge = at[order], of[order], np.searchsorted(which[order], np.arange(len(known) + 1))
-        for p in parts:
-            start, in_text = p.proposed(at, of, edge, present)
-            start, in_text, score = p.verified(start, in_text, hashes, w.first)
-            yield p.template, in_text, start - w.first[in_text], score
+        template, start, in_text = index.proposed(at, np.searchsorted(w.first, at, "right") - 1, which)
+        for t in np.unique(template).tolist():
+            own = template == t
+            place, text, score = parts[t].verified(start[own], in_text[own], hashes, w.first)
+            yield parts[t].template, text, place - w.first[text], score
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(known)

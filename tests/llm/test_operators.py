@@ -370,6 +370,38 @@ def test_templates_need_their_key_phrases(spark):
     assert got == {1: "apache-2.0", 2: "", 3: "mit", 4: ""}
 
 
+def test_templates_with_drift_are_found_where_a_plain_search_finds_them(spark):
+    """Long templates with words put in, left out and changed: what is found holds when each start is tried, and nothing planted is missed."""
+    rng = np.random.default_rng(11)
+    text = [[f"l{x}" for x in rng.choice(90, 60)] for _ in range(3)]
+    templates = tuple(licences.Template(f"t{i}", " ".join(w), (" ".join(w[20:23]),)) for i, w in enumerate(text))
+    docs = []
+    for d in range(60):
+        own, changed = list(text[d % 3]), d % 13
+        for k in sorted(rng.choice([*range(18), *range(26, 60)], changed, replace=False), reverse=True):
+            own[k : k + 1] = [["x"], [own[k], "y"], []][(k if d % 2 else 0) % 3]
+        docs.append((d, " ".join(["l1", "l2"] * (d % 4) + own + ["l3"] * (d % 3) + (text[(d + 1) % 3][:25] if d % 5 == 0 else []))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licences.scan(frame, templates).collect()}
+
+    def holds(t, words_):
+        own, drift = t.text.split(), min(8, len(t.text.split()) // 10)
+        phrase = t.key_phrases[0].split()
+        for start in range(-len(own), len(words_)):
+            near = lambda p, w: any(0 <= start + p + x < len(words_) and words_[start + p + x] == w for x in range(-drift, drift + 1))
+            keys = any(words_[start + 20 + x : start + 23 + x] == phrase for x in range(-drift, drift + 1) if start + 20 + x >= 0)
+            if keys and sum(near(p, w) for p, w in enumerate(own)) >= licences.COVERED * len(own):
+                return True
+        return False
+
+    for d, doc in docs:
+        want = {t.label for t in templates if holds(t, doc.split())}
+        assert got[d] <= want
+        if d % 13 <= 5:
+            assert f"t{d % 3}" in got[d]
+    assert sum(f"t{d % 3}" in got[d] for d in range(60)) >= 57
+
+
 def test_whole_licences_are_found_with_words_put_in_or_left_out(spark):
     full = {t.label: t.text for t in licences.TEMPLATES if len(t.text) > 300}
     assert len(full) >= 10

@@ -323,7 +323,7 @@ def _with_runs(docs: DataFrame, *more) -> DataFrame:
     runs = repeated_runs(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
     cut = cut.mapInArrow(_zipped, ", ".join(f"{c} {t}" for c, t in cut.dtypes))
-    return cut.join(runs.hint("shuffle_hash"), "doc_id", "left")
+    return cut.join(runs, "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

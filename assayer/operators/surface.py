@@ -180,6 +180,38 @@ def traced(history: DataFrame, cited: DataFrame) -> DataFrame:
     return history.join(cited.select("package_id", F.col("id"), F.lit(True).alias("c")), ["package_id", "id"], "left").withColumn("cited", F.coalesce("c", F.lit(False))).drop("c")
 
 
+# What a status says instead of a table where it rests on no observation.
+NOT_EVALUATED, NOT_CITED, FROM_VERDICTS = "no evaluation recorded at this run", "no observation cited at this run", "derived from other verdicts, not from an observation"
+#: Observations that a trace shows.
+HISTORY = 20
+
+
+def trace(health: DataFrame, derived: DataFrame, status: str, cited: Column | None = None, history: DataFrame | None = None, table: str = "", detail: str | None = None, n: int = HISTORY) -> DataFrame:
+    """package_id, status (gated), produced_from, detail, observation_count, observations: one status of each health row and the evidence behind it.
+
+    derived: a pass's rows (package_id, policy_run_id, the status, detail); cited: the id
+    of the row that it rests on (None: it rests on other verdicts).  history: that
+    row's table (package_id, id, observed_at, state).  The newest n rows come, each
+    with whether it is the cited one, and how many there are in all.
+    """
+    own = derived.select("package_id", "policy_run_id", F.col(status).alias("_status"), (F.lit(None).cast("long") if cited is None else cited).alias("_cited"), (F.lit("") if detail is None else F.coalesce(F.col(detail), F.lit(""))).alias("_detail"), F.lit(True).alias("_there"))
+    rows = health.select("package_id", "policy_run_id", "confidence").join(own, ["package_id", "policy_run_id"], "left")
+    shown = vocab.gated(F.coalesce("_status", F.lit("unknown")), F.col("confidence"))
+    source = F.when(F.col("_there").isNull(), NOT_EVALUATED).when(F.col("_cited").isNotNull(), table).otherwise(FROM_VERDICTS if cited is None else NOT_CITED)
+    rows = rows.select("package_id", F.when(F.col("_there").isNull(), "unknown").otherwise(shown).alias("status"), source.alias("produced_from"), F.coalesce("_detail", F.lit("")).alias("detail"), "_cited")
+    if history is None or cited is None:
+        return rows.select("package_id", "status", "produced_from", "detail", F.lit(0).cast("long").alias("observation_count"), F.array().cast("array<struct<observed_at: timestamp_ntz, id: bigint, state: string, cited: boolean>>").alias("observations"))
+    place = F.row_number().over(W.partitionBy("package_id").orderBy(F.desc("observed_at"), F.desc("id")))
+    newest = history.select("package_id", "id", "observed_at", "state").withColumn("_place", place).where(F.col("_place") <= n)
+    listed = newest.groupBy("package_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("observed_at", "id", "state")))).alias("_rows"))  # n at most
+    counts = history.groupBy("package_id").agg(F.count("*").alias("_n"))
+    out = rows.join(listed, "package_id", "left").join(counts, "package_id", "left")
+    has = F.col("_cited").isNotNull()
+    seen = F.transform("_rows", lambda r: F.struct(r["observed_at"].alias("observed_at"), r["id"].alias("id"), r["state"].alias("state"), (r["id"] == F.col("_cited")).alias("cited")))
+    none = F.array().cast(newest.select(F.array(F.struct("observed_at", "id", "state", F.lit(True).alias("cited"))).alias("x")).schema["x"].dataType)
+    return out.select("package_id", "status", "produced_from", "detail", F.when(has, F.coalesce("_n", F.lit(0))).otherwise(0).cast("long").alias("observation_count"), F.when(has & F.col("_rows").isNotNull(), seen).otherwise(none).alias("observations"))
+
+
 def over(rows: DataFrame, cap: int = EXPORT_ROWS) -> bool:
     """Whether an export would pass the cap; reads no more than it must."""
     return rows.limit(cap + 1).count() > cap

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.adapters import CUTOFF, EV, PKG, Tables, query
+from assayer.adapters import CUTOFF, EV, EVC, PKG, Tables, query
 from assayer.functions import vocab
 from assayer.operators import asof, digest, reports, surface, workflow
 from assayer.queries.surface import _LEDGER, ledger
@@ -129,10 +129,9 @@ _WITH_X = " FROM health LEFT JOIN x licence_x ON licence_x.package_id = health.p
 _PARAMS = {"licence": ["forbidden", "restricted"], "feedstock": ["absent"], "q": [" Customer#0000 "], "other": ["x"]}
 
 
-@query("listing_composed", _H + _X + f" SELECT health.package_id, canonical_name, licence_x.id % 100 AS score, row_number() OVER (ORDER BY canonical_name, health.package_id) AS place{_WITH_X} WHERE {_ASKED} AND inventory_absent_since IS NULL")
+@query("listing_composed", _H + _X + f" SELECT health.package_id, canonical_name, licence_x.id % 100 AS score{_WITH_X} WHERE {_ASKED} AND inventory_absent_since IS NULL")
 def listing_composed(t: Tables):
-    rows = surface.listing(_health(t), _one(t), _PARAMS, "odd")
-    return rows.withColumn("place", F.row_number().over(W.orderBy("canonical_name", "package_id")).cast("long")).select("package_id", "canonical_name", "score", "place")  # the order, as a column to compare
+    return surface.listing(_health(t), _one(t), _PARAMS, "odd").select("package_id", "canonical_name", "score")
 
 
 @query("listing_by_rank", _H + _X + f" SELECT health.package_id, priority_status, licence_x.id % 100 AS score{_WITH_X} WHERE work_type_status = 'create_recipe' AND currency_status IN ('current', 'behind') ORDER BY CAST(substr(priority_status, 2) AS INTEGER), score DESC NULLS FIRST, health.package_id LIMIT 50".replace("FROM health LEFT", "FROM health JOIN work USING (package_id) LEFT"))
@@ -215,6 +214,57 @@ def digest_lines(t: Tables):
     return digest.composed(scopes, digest.histogram(ledger(t), at("2024-01-19"), at("2024-01-20")), fresh)
 
 
+_FIGURES = """lg AS (SELECT collector, status, count(*) AS n, count(*) FILTER (WHERE status = 'failed' AND detail LIKE '%rate limit%') AS r FROM ledger WHERE finished_at >= TIMESTAMP '2024-01-19' AND finished_at < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
+c AS (SELECT collector, coalesce(sum(n) FILTER (WHERE status = 'failed'), 0) AS failed, coalesce(sum(r), 0) AS limited FROM lg GROUP BY 1), sc AS (SELECT * FROM (VALUES ('c3', 1), ('c0', 2), ('c1', 3), ('never', 4)) x(collector, position)),
+s AS (SELECT position, sc.collector, concat_ws(', ', CASE WHEN failed > 0 THEN failed || ' failed collection' || CASE WHEN failed = 1 THEN '' ELSE 's' END END, CASE WHEN limited > 0 THEN limited || ' rate-limited' END, CASE WHEN position > 2 THEN '4 past target' END, CASE WHEN position = 4 THEN '2 never observed' END) AS p FROM sc LEFT JOIN c USING (collector)),
+stand AS (SELECT coalesce(string_agg(collector || ' ' || p, '; ' ORDER BY position), 'nothing') AS standing FROM s WHERE p <> '')"""
+
+
+def _figures(t: Tables):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    scopes = t.spark.createDataFrame([("c3", 1, None), ("c0", 2, None), ("c1", 3, 2), ("never", 4, 14)], "collector string, position int, target_days int")
+    counted = digest.histogram(ledger(t), at("2024-01-19"), at("2024-01-20"))
+    fresh = scopes.select("collector", F.when(F.col("position") > 2, 4).otherwise(0).alias("past_target"), F.when(F.col("position") == 4, 2).otherwise(0).alias("never_observed"))
+    return scopes, counted, fresh
+
+
+@query("digest_unchanged", f"WITH {EV}, {_LEDGER}, {_FIGURES} SELECT 'evidence digest 2024-01-20 (unchanged)' || chr(10) || 'Nothing changed since the digest of 2024-01-18 -- standing: ' || standing || chr(10) || 'Trace: t1' AS text FROM stand")
+def digest_unchanged(t: Tables):
+    return digest.unchanged_text("evidence digest", "2024-01-20", "2024-01-18", digest.standing(*_figures(t)), "t1")
+
+
+@query("digest_text", f"""WITH {EV}, {_LEDGER}, {PKG}, {_FIGURES}, st AS (SELECT sc.position, sc.collector, coalesce(string_agg(n || ' ' || status, ', ' ORDER BY list_position(['running', 'succeeded', 'partial', 'failed', 'skipped'], status)) FILTER (WHERE n > 0), 'none') AS states, coalesce(sum(r), 0) AS limited FROM sc LEFT JOIN lg USING (collector) GROUP BY 1, 2),
+ln AS (SELECT position, '  ' || collector || ': ' || concat_ws('; ', 'collections ' || states, limited || ' rate-limited', CASE position WHEN 3 THEN '4 past the freshness target of 2 days, 0 never observed' WHEN 4 THEN '4 past the freshness target of 14 days, 2 never observed' END) AS line FROM st),
+body AS (SELECT string_agg(line, chr(10) ORDER BY position) AS body FROM ln), n AS (SELECT count(*) FILTER (WHERE confidence = 'verified') AS v, count(*) FILTER (WHERE confidence = 'inventory-derived') AS i, count(*) FILTER (WHERE confidence = 'unmapped') AS u FROM pkg),
+q AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, count(*) FILTER (WHERE o_orderstatus = 'O') AS succeeded FROM orders), inv AS (SELECT count(*) FILTER (WHERE state = 'ok') AS ingested, count(*) FILTER (WHERE state = 'not_found') AS absent, max(observed_at) FILTER (WHERE observed_at <= TIMESTAMP '{CUTOFF}') AS ended FROM ev)
+SELECT concat_ws(chr(10), 'evidence digest 2024-01-20', 'Window: 2024-01-19 00:00Z to 2024-01-20 00:00Z', 'Trace: none', '', 'Collectors', body, '', 'Overall', '  prune runs: ' || CASE WHEN succeeded + failed = 0 THEN 'none' ELSE concat_ws(', ', CASE WHEN succeeded > 0 THEN succeeded || ' succeeded' END, CASE WHEN failed > 0 THEN failed || ' failed' END) END, '  inventory: ' || ingested || ' ingested, ' || absent || ' absent',
+ '  packages: ' || v || ' resolved (' || v || ' verified), ' || (i + u) || ' unresolved (' || i || ' inventory-derived, ' || u || ' unmapped)', '  policy run: version 2024.10 finished ' || strftime(ended, '%Y-%m-%d %H:%MZ') || ', ' || (SELECT k || CASE WHEN h THEN ' hour' ELSE ' minute' END || CASE WHEN k = 1 THEN '' ELSE 's' END FROM (SELECT g >= 3600 AS h, CAST(floor(g / CASE WHEN g >= 3600 THEN 3600 ELSE 60 END) AS BIGINT) AS k FROM (SELECT epoch(TIMESTAMP '2024-01-20') - floor(epoch(ended)) AS g))) || ' ago, partial') AS text FROM body, n, q, inv""")
+def digest_text(t: Tables):
+    """The whole digest of a day."""
+    scopes, counted, fresh = _figures(t)
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    lines = digest.composed(scopes, counted, fresh)
+    prune = t.orders.agg(F.count_if(F.col("o_orderstatus") == "O").alias("prune_succeeded"), F.count_if(F.col("o_orderstatus") == "F").alias("prune_failed"), *[F.lit(0).alias(f"prune_{s}") for s in digest.RUN_STATES if s not in ("succeeded", "failed")])
+    seen = t.evidence().agg(F.count_if(F.col("state") == "ok").alias("ingested"), F.count_if(F.col("state") == "not_found").alias("absent"), F.lit("2024.10").alias("version"), F.max(F.when(F.col("observed_at") <= t.cutoff, F.col("observed_at"))).alias("finished_at"), F.lit("partial").alias("status"))
+    sure = t.packages().agg(*[F.count_if(F.col("confidence") == c).alias(c) for c in ("verified", "inventory-derived", "unmapped")])
+    return digest.full_text("evidence digest", lines, scopes, prune.crossJoin(seen).crossJoin(sure), at("2024-01-20"), at("2024-01-19"))  # one row each
+
+
+@query("detail_traces", f"""WITH {EVC}, {PKG}, d AS (SELECT package_id, max(state) FILTER (WHERE id = m) AS state, m FROM (SELECT *, max(id) OVER (PARTITION BY package_id) AS m FROM evc WHERE package_id % 6 <> 0) GROUP BY package_id, m),
+o AS (SELECT package_id, id, state, observed_at, row_number() OVER (PARTITION BY package_id ORDER BY observed_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY package_id) AS n FROM evc),
+t AS (SELECT pkg.package_id, CASE WHEN d.package_id IS NULL OR confidence = 'unmapped' THEN 'unknown' ELSE d.state END AS status, CASE WHEN d.package_id IS NULL THEN 'no evaluation recorded at this run' WHEN m % 4 = 0 THEN 'no observation cited at this run' ELSE 'snapshots' END AS produced_from, CASE WHEN m % 4 <> 0 THEN m END AS cited FROM pkg LEFT JOIN d USING (package_id))
+SELECT t.package_id, status, produced_from, CASE WHEN cited IS NULL THEN 0 ELSE max(n) END AS observation_count, coalesce(string_agg(o.id || ' ' || o.state || CASE WHEN o.id = cited THEN ' cited' ELSE '' END, ', ' ORDER BY rn) FILTER (WHERE cited IS NOT NULL), '') AS observations
+FROM t LEFT JOIN o ON o.package_id = t.package_id AND rn <= 20 GROUP BY t.package_id, status, produced_from, cited""")
+def detail_traces(t: Tables):
+    """Each package's status at its run, the newest twenty rows behind it and how many there are."""
+    rows = asof.upto(t.evidence(), t.cutoff)
+    derived = rows.where(F.col("package_id") % 6 != 0).groupBy("package_id").agg(F.max(F.struct("id", "state")).alias("m")).select("package_id", F.lit(3).alias("policy_run_id"), "m.state", "m.id")
+    health = t.packages().select("package_id", F.lit(3).alias("policy_run_id"), "confidence")
+    out = surface.trace(health, derived, "state", F.when(F.col("id") % 4 != 0, F.col("id")), rows, "snapshots")
+    shown = F.transform("observations", lambda o: F.concat(o["id"].cast("string"), F.lit(" "), o["state"], F.when(o["cited"], " cited").otherwise("")))
+    return out.select("package_id", "status", "produced_from", "observation_count", F.array_join(shown, ", ").alias("observations"))
+
+
 @query("digest_history", "WITH d AS (SELECT date_trunc('hour', ts) AS observed_at, count(*) AS figures, max(event_id) AS id FROM events GROUP BY 1) SELECT observed_at, figures, row_number() OVER (ORDER BY observed_at DESC, id DESC) AS place FROM d QUALIFY place <= 31")
 def digest_history(t: Tables):
     digests = t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("observed_at")).agg(F.count("*").alias("figures"), F.max("event_id").alias("id"))

@@ -55,13 +55,18 @@ def moved_cutoffs(t: Tables):
     return retention.moved_cutoffs(purges).select("run_id")
 
 
-@query("collector_limits", "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('worst_seconds', 97.0), ('retention_days', 90.0), ('cadence_faults', 0.0)) x(name, value)")
+@query("collector_limits", """SELECT n_nationkey, count(s_suppkey) AS packages, 97.0 * count(s_suppkey) AS worst_seconds, coalesce(max(old), 0) AS past_retention FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+ LEFT JOIN (SELECT c_nationkey, count(*) AS old FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1""")
 def collector_limits(t: Tables):
+    """How long a sweep of each nation's suppliers can take, and how many of its orders a retention of 90 days is over for."""
     from datetime import datetime
 
-    now = datetime(2024, 4, 1)
-    rows = [("worst_seconds", collection.worst_seconds(30.0, 2, 7 / 3)), ("retention_days", float((now - collection.retention_cutoff(now, 90)).days)), ("cadence_faults", float(len(collection.cadence_faults())))]
-    return t.spark.createDataFrame(rows, "name string, value double")
+    assert not collection.cadence_faults()
+    cutoff = F.lit(collection.retention_cutoff(datetime(1998, 1, 1), 90)).cast("timestamp_ntz")
+    old = t.orders.where(F.col("o_orderdate") < cutoff).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("past_retention"))
+    own = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("packages"))
+    rows = t.nation.select("n_nationkey").join(own, "n_nationkey", "left").join(old, "n_nationkey", "left").fillna(0)
+    return rows.select("n_nationkey", "packages", (F.col("packages") * collection.worst_seconds(30.0, 2, 7 / 3)).alias("worst_seconds"), "past_retention")
 
 
 # Documents
@@ -229,22 +234,31 @@ priority_rules = [{bucket = "p1", when = {vulnerability_status = "advisories_mat
 """
 
 
-@query("parameter_rules", "SELECT * FROM (VALUES ('2024.2', 1, 'p2', 'currency_status=behind,license_outcome=allowed', false), ('2024.2', 2, 'p9', 'python_readiness=inferred_not_ready', false), ('2024.10', 1, 'p1', 'vulnerability_status=advisories_matched', true)) x(version, position, bucket, conditions, newest)")
+@query("parameter_rules", """WITH v AS (SELECT p_partkey AS package_id, CASE WHEN p_partkey % 3 = 0 THEN 'behind' ELSE 'current' END AS c, CASE WHEN p_partkey % 2 = 0 THEN 'allowed' ELSE 'forbidden' END AS l, CASE WHEN p_partkey % 5 = 0 THEN 'inferred_not_ready' ELSE 'unknown' END AS p, CASE WHEN p_partkey % 7 = 0 THEN 'advisories_matched' ELSE 'unknown' END AS a FROM part)
+SELECT package_id, '2024.2' AS version, false AS newest, CASE WHEN c = 'behind' AND l = 'allowed' THEN 'p2' WHEN p = 'inferred_not_ready' THEN 'p9' ELSE 'unknown' END AS bucket, CASE WHEN c = 'behind' AND l = 'allowed' THEN 'currency_status=behind,license_outcome=allowed' WHEN p = 'inferred_not_ready' THEN 'python_readiness=inferred_not_ready' END AS conditions FROM v
+UNION ALL SELECT package_id, '2024.10', true, CASE WHEN a = 'advisories_matched' THEN 'p1' ELSE 'unknown' END, CASE WHEN a = 'advisories_matched' THEN 'vulnerability_status=advisories_matched' END FROM v""")
 def parameter_rules(t: Tables):
-    held = files.parameters(_TOML)
-    return files.rules_of(t.spark, held).withColumn("newest", F.col("version") == files.newest(held))
+    """The rule of each version of the parameters that each package falls under."""
+    held, k = files.parameters(_TOML), F.col("p_partkey")
+    either = lambda n, a, b, name: F.when(k % n == 0, a).otherwise(b).alias(name)
+    verdicts = t.part.select(k.alias("package_id"), either(3, "behind", "current", "currency_status"), either(2, "allowed", "forbidden", "license_outcome"), either(5, "inferred_not_ready", "unknown", "python_readiness"), either(7, "advisories_matched", "unknown", "vulnerability_status"))
+    rules = files.rules_of(t.spark, held).withColumn("rule", F.concat(F.lit("rule "), F.col("position").cast("string")))
+    out = []
+    for version, p in held.items():
+        found = passes.priority(verdicts, [(r["bucket"], r["when"]) for r in p.get("priority_rules", ())])
+        out.append(verdicts.select("package_id", F.lit(version).alias("version"), F.lit(version == files.newest(held)).alias("newest"), found["bucket"].alias("bucket"), found["rule"].alias("rule")))
+    return out[0].unionByName(out[1]).join(F.broadcast(rules.select("version", "rule", "conditions")), ["version", "rule"], "left").drop("rule")  # three rules
 
 
 # Written tables
 
 
-@query("evidence_written", "SELECT o_orderdate AS observed_at, count(*) AS n FROM orders WHERE o_orderdate IN (SELECT DISTINCT o_orderdate FROM orders ORDER BY 1 LIMIT 3) GROUP BY 1")
+@query("evidence_written", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS observed_date, o_orderdate AS observed_at, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders GROUP BY ALL")
 def evidence_written(t: Tables):
+    """All orders as batches of evidence, one for each instant."""
     path = _folder(t)
-    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("observed_at"))
-    for r in rows.select("observed_at").distinct().orderBy("observed_at").limit(3).collect():  # three batches
-        files.append_evidence(rows.where(F.col("observed_at") == F.lit(r["observed_at"]).cast("timestamp_ntz")), path)
-    return t.spark.read.parquet(path).groupBy("observed_at").agg(F.count("*").alias("n"))
+    files.append_batches(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("observed_at"), F.date_format("o_orderdate", "yyyyMMdd").alias("batch_id")).repartition("batch_id"), path)
+    return t.spark.read.parquet(path).groupBy(F.col("observed_date").cast("string").alias("observed_date"), "observed_at").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query("derived_rewritten", "SELECT CAST(o_orderkey % 3 AS INTEGER) AS policy_run_id, CASE o_orderkey % 3 WHEN 1 THEN 'new' ELSE 'old' END AS verdict, count(*) AS n FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0) GROUP BY 1, 2")
@@ -267,10 +281,10 @@ def export_over_cap(t: Tables):
     return t.spark.createDataFrame([(surface.over(t.packages(), 100),)], "over boolean")
 
 
-@query("purge_survivors", "SELECT p_partkey AS id, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("purge_survivors", "SELECT p_partkey AS id, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 40 = 0)")
 def purge_survivors(t: Tables):
     rows = t.part.select(F.col("p_partkey").alias("id"), "p_size")
-    gone = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("id")).distinct()
+    gone = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_orderkey") % 40 == 0)).select(F.col("l_partkey").alias("id")).distinct()
     return retention.apply({"parts": gone}, {"parts": rows}, _folder(t))["parts"]
 
 

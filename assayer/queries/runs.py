@@ -152,9 +152,11 @@ def selections_all(t: Tables):
     return collection.selections(*_covered(t))
 
 
-@query("selection_without_catalog", "SELECT count(*) AS packages FROM part WHERE false")
+@query("selection_without_catalog", "SELECT true AS declared, p_partkey AS package_id FROM part UNION ALL SELECT NULL, p_partkey FROM part WHERE p_partkey % 3 < 2")
 def selection_without_catalog(t: Tables):
-    return collection.selected(*_covered(t), "kev", kev_declared=False).agg(F.count("*").alias("packages"))
+    """What a cross-reference sweep selects where a catalog is declared and where none is (nothing); beside it what the advisory sweep selects."""
+    found = [collection.selected(*_covered(t), "kev", kev_declared=declared).select(F.lit(declared).alias("declared"), "package_id") for declared in (True, False)]
+    return found[0].unionByName(found[1]).unionByName(collection.selected(*_covered(t), "vulnerability").select(F.lit(None).cast("boolean").alias("declared"), "package_id"))
 
 
 @query("recollection_requests", f"WITH {_COVERED}, s AS (SELECT package_id, string_agg(collector, ',' ORDER BY collector) AS w FROM c GROUP BY 1) SELECT p_partkey AS package_id, 'u1' AS actor, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 THEN w END AS collectors, CASE WHEN p_partkey % 13 = 0 THEN 'in flight' WHEN p_partkey % 11 = 0 THEN 'pending' END AS refused FROM part LEFT JOIN s ON package_id = p_partkey")

@@ -105,6 +105,14 @@ def append_evidence(rows: DataFrame, path: str) -> None:
     rows.withColumn("observed_date", F.to_date("observed_at")).write.mode("append").partitionBy("observed_date").parquet(path)
 
 
+def append_batches(rows: DataFrame, path: str, batch: str = "batch_id") -> None:
+    """Appends many batches in one write, each of one instant, in a folder for each day observed; a batch of several instants is refused, and nothing is written."""
+    torn = rows.groupBy(batch).agg(F.min("observed_at").alias("a"), F.max("observed_at").alias("b"), F.count_if(F.col("observed_at").isNull()).alias("none")).where((F.col("a") != F.col("b")) | (F.col("none") > 0))
+    if not torn.isEmpty():
+        raise ValueError("a batch of evidence has one observed_at")
+    rows.drop(batch).withColumn("observed_date", F.to_date("observed_at")).write.mode("append").partitionBy("observed_date").parquet(path)
+
+
 def bucketed(rows: DataFrame, table: str, keys: list[str], buckets: int, order: list[str] = []) -> DataFrame:  # noqa: B006
     """Writes evidence as a table of buckets by its keys, sorted inside: what reads newest rows or joins by these keys needs no shuffle.
 

@@ -55,7 +55,7 @@ def moved_cutoffs(t: Tables):
     return retention.moved_cutoffs(purges).select("run_id")
 
 
-@query("collector_limits", """SELECT n_nationkey, count(s_suppkey) AS packages, 97.0 * count(s_suppkey) AS worst_seconds, coalesce(max(old), 0) AS past_retention FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+@query("collector_limits", """SELECT n_nationkey, count(s_suppkey) AS packages, CAST(97 * count(s_suppkey) AS DOUBLE) AS worst_seconds, coalesce(max(old), 0) AS past_retention FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey
  LEFT JOIN (SELECT c_nationkey, count(*) AS old FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 90 DAY GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1""")
 def collector_limits(t: Tables):
     """How long a sweep of each nation's suppliers can take, and how many of its orders a retention of 90 days is over for."""

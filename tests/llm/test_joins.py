@@ -50,9 +50,13 @@ def brute_alignment(rows):
                         at += len(x)
                         out.append(at)
                     ends.append(out)
-                for end in sorted(set(ends[0]) & set(ends[1])):
-                    begin = groups[-1][2] if groups else 0
-                    groups.append(([i for (i, _), e in zip(bytes_a, ends[0]) if begin < e <= end], [i for (i, _), e in zip(bytes_b, ends[1]) if begin < e <= end], end))
+                both, sides = set(ends[0]) & set(ends[1]), ([[]], [[]])
+                for out, side, stops in zip(sides, (bytes_a, bytes_b), ends):
+                    for (i, _), stop in zip(side, stops):
+                        out[-1].append(i)
+                        if stop in both:
+                            out.append([])
+                groups = list(zip(*sides))[:-1]
         kept.append((doc_id, groups))
     count = Counter(p for _, groups in kept for p in {(x, y) for g in groups for x in g[0] for y in g[1]})
     best = defaultdict(int)
@@ -95,7 +99,8 @@ def test_piece_texts_may_be_cut_at_spaces():
     texts = ["".join(rng.choice(["a", "the", " ", "  ", "\n", "é", "日", "\t", ".", "ing", "1", "😀", "▁"]) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
     data, offsets = alignment.words.buffers(pa.array([(" " + t).encode() for t in texts], pa.binary()))
     ids, first, good = pieces(data, offsets)
-    assert [ids[x:y].tolist() for x, y in zip(first, first[1:])] == [pieces.model.encode(t) for t in texts]
+    found = [ids[x:y].tolist() for x, y in zip(first, first[1:])]
+    assert [f for f, t in zip(found, texts) if "▁" not in t] == [pieces.model.encode(t) for t in texts if "▁" not in t]
     assert good.tolist() == ["▁" not in t for t in texts]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -13,4 +14,7 @@ def scratch(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return folder or tempfile.mkdtemp(prefix="assayer-")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="assayer-")
+        warnings.warn(f"spark.checkpoint.dir is not set: tables of this local session go to {folder}", stacklevel=2)
+    return folder

@@ -12,9 +12,12 @@ windows.  One document in `SURVEYED` says which runs those are (as cells that
 hashes fall into); that only orders them: equal windows always choose alike, so
 what is found doesn't depend on it.
 
-Before the shuffle, equal super-k-mers of a task become one, with the smallest
-doc_id that has it; the task already knows that its other documents repeat it.
-So a bucket gets a passage once a task, however many documents share it.
+Before the shuffle, equal super-k-mers that a task holds become one, with the
+smallest doc_id that has it; the task already knows that its other documents
+repeat it.  A task remembers the super-k-mers that several documents shared, so
+that a bucket gets a passage once a task, however many documents share it.  A
+bucket reads its blocks one after another and holds each distinct super-k-mer
+once, so a passage of all tasks takes no more memory than one of two.
 Buckets answer with runs of repeated words, which meet their documents again.
 
 Defined results: null texts have no words; rows with a null doc_id lose nothing
@@ -42,8 +45,8 @@ WINDOW, MINIMISER = 13, 3
 SURVEYED, CELLS, FREQUENT = 16, 1 << 20, 16
 #: Most windows in a packed string; longer runs of a minimiser go as several.
 LONGEST = 48
-#: Bytes of text for each bucket, and of packed strings that a task holds before it sends them.
-BUCKET_BYTES, HELD_BYTES = 3 << 20, 16 << 20
+#: Bytes of text for each bucket, of packed strings that a task or a bucket holds before it sends or merges them, and of shared ones that a task remembers.
+BUCKET_BYTES, HELD_BYTES, SHARED_BYTES = 3 << 20, 16 << 20, 16 << 20
 #: Buckets that a task gets, on average.
 BUCKETS = 5
 
@@ -122,12 +125,26 @@ class _Outbox:
 
     def __init__(self, buckets: int, turn: int = 0):
         self.buckets, self.turn, self.held, self.texts, self.rows = buckets, turn, 0, [], []
+        self.shared, self.least = pa.array([], pa.binary()), np.zeros(0, np.int64)
 
     def put(self, texts: list[bytes], docs: np.ndarray, first: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> None:
         self.texts += texts
         self.rows.append((docs, first, count, bucket))
         self.held += sum(map(len, texts))
 
+    def _remember(self, unique: pa.Array, code: np.ndarray, docs: np.ndarray, smallest: np.ndarray) -> None:
+        """Lowers `smallest` to the documents that shared texts were sent for before, and remembers texts that documents share now."""
+        known = pc.index_in(unique, value_set=self.shared)
+        old = known.is_valid().to_numpy(zero_copy_only=False)
+        at = known.drop_null().to_numpy()
+        self.least[at] = smallest[old] = np.minimum(self.least[at], smallest[old])
+        repeated = np.zeros(len(unique), bool)
+        repeated[code[docs != smallest[code]]] = True
+        new = np.flatnonzero(repeated & ~old)
+        size = np.cumsum(pc.binary_length(unique).to_numpy()[new], dtype=np.int64)
+        new = new[size <= SHARED_BYTES - self.shared.nbytes]
+        self.shared, self.least = pa.concat_arrays([self.shared, unique.take(pa.array(new))]), np.append(self.least, smallest[new])
+
     def blocks(self) -> Iterator[pa.RecordBatch]:
         if not self.texts:
             return
@@ -136,6 +153,7 @@ class _Outbox:
         unique, code = code.dictionary, code.indices.to_numpy()
         smallest = np.full(len(unique), np.iinfo(np.int64).max)
         np.minimum.at(smallest, code, docs)
+        self._remember(unique, code, docs, smallest)
         kept = np.flatnonzero(docs == smallest[code])
         gone = np.flatnonzero(docs != smallest[code])
         order = kept[np.lexsort((first[kept], code[kept], bucket[kept]))]
@@ -224,22 +242,45 @@ def repeated_windows(code: np.ndarray, at: np.ndarray, docs: np.ndarray, window:
     return out
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Runs of repeated words of the documents in one bucket's blocks."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    texts, owners, places = [], [], []
-    for found, rows, size, packed in zip(*(group.column(c).to_pylist() for c in ("found", "rows", "bytes", "packed"))):
-        docs, first, more, plain = _unpack(rows, size, packed)
-        if found:
-            out.append((docs, first, more))
-        else:
-            places.append((np.cumsum(more) - 1 + len(texts), docs, first))
-            owners.append(docs[more > 0])
-            texts += plain.split(b"\n")
-    if texts:
-        w = words.split(pa.array(texts, pa.large_binary()))
+class _Bucket:
+    """The distinct super-k-mers of a bucket with the smallest document of each, and the places in it that hold them."""
+
+    def __init__(self):
+        self.texts, self.parts, self.docs, self.first = [], [], [], []
+        self.added, self.least = 0, 0
+
+    def put(self, docs: np.ndarray, first: np.ndarray, new: np.ndarray, plain: bytes) -> None:
+        self.parts.append(np.cumsum(new) - 1 + len(self.texts))
+        self.docs.append(docs)
+        self.first.append(first)
+        self.texts += plain.split(b"\n")
+        self.added += len(plain) + 16 * len(docs)
+
+    def full(self) -> bool:
+        return self.added > max(HELD_BYTES, self.least)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Equal texts become one; returns the runs of words that stand there for larger documents."""
+        held = pa.array(self.texts, pa.large_binary()).dictionary_encode()
+        text = held.indices.to_numpy()[np.concatenate(self.parts)]
+        docs, first = np.concatenate(self.docs), np.concatenate(self.first)
+        smallest = np.full(len(held.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, text, docs)
+        kept = docs == smallest[text]
+        self.texts = held.dictionary.to_pylist()
+        self.parts, self.docs, self.first = [text[kept]], [docs[kept]], [first[kept]]
+        self.added, self.least = 0, sum(map(len, self.texts)) + 16 * int(kept.sum())
+        gone = np.flatnonzero(~kept)
+        count = np.array([self.texts[i].count(b" ") + 1 for i in text[gone].tolist()], np.int32)
+        return docs[gone], first[gone], first[gone] + count
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of words that repeated windows cover, after `merged`."""
+        part, docs, first = self.parts[0], self.docs[0], self.first[0]
+        owner = np.zeros(len(self.texts), np.int64)
+        owner[part] = docs
+        w = words.split(pa.array(self.texts, pa.large_binary()))
         code = w.array().dictionary_encode().indices.to_numpy().astype(np.int64)
-        owner = np.concatenate(owners)
         n = w.counts - WINDOW + 1
         of = np.repeat(np.arange(len(n)), n)
         at = np.repeat(w.first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -255,14 +296,32 @@ def _answer(group: pa.Table) -> pa.Table:
         stop = np.flatnonzero(covered & (~np.append(covered[1:], False) | edge[1:])) + 1
         text_of = np.searchsorted(w.first, start, "right") - 1
         runs_from = np.searchsorted(text_of, np.arange(len(n) + 1))
-        part, docs, first = (np.concatenate(x) for x in zip(*places))
         runs = (runs_from[1:] - runs_from[:-1])[part]
         i = np.repeat(np.arange(len(part)), runs)
         k = runs_from[part][i] + np.arange(len(i)) - np.repeat(np.cumsum(runs) - runs, runs)
         base = first[i] - w.first[part[i]]
-        out.append((docs[i], (base + start[k]).astype(np.int32), (base + stop[k]).astype(np.int32)))
-    docs, start, stop = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())})
+        return docs[i], base + start[k], base + stop[k]
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated words of the documents in one bucket's blocks."""
+    bucket = _Bucket()
+
+    def runs(docs: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "start", "stop"])
+
+    for batch in batches:
+        for found, rows, size, packed in zip(*(batch.column(c) for c in ("found", "rows", "bytes", "packed"))):
+            docs, first, more, plain = _unpack(rows.as_py(), size.as_py(), packed.as_py())
+            if found.as_py():
+                yield runs(docs, first, more)
+                continue
+            bucket.put(docs, first, more, plain)
+            if bucket.full():
+                yield runs(*bucket.merged())
+    if bucket.texts:
+        yield runs(*bucket.merged())
+        yield runs(*bucket.repeats())
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest_helpers import lowered, words_of
 from pyspark.sql import functions as F
@@ -318,6 +319,76 @@ def test_repeats_leave_other_columns_and_clean_texts_alone(spark, odd):
     assert len(after[105].text.split()) < len(before[105].text.split())
 
 
+def test_a_passage_of_all_documents_goes_to_its_bucket_once_a_task():
+    def blocks(box, doc):
+        """What is sent of three documents that hold a passage, the first of them `doc`."""
+        passage, own = b"a b c d e f g h i j k l m", [b"%d b c d e f g h i j k l m" % (doc + i) for i in range(3)]
+        box.put([passage] * 3 + own, np.arange(doc, doc + 3).repeat(2).reshape(3, 2).T.ravel(), np.zeros(6, np.int64), np.full(6, 13), np.array([0] * 3 + [1] * 3))
+        sent = [r for b in box.blocks() for r in b.to_pylist()]
+        out = [(r["bucket"], r["found"], substring_dedup._unpack(r["rows"], r["bytes"], r["packed"])[0].tolist()) for r in sent]
+        return {b: docs for b, found, docs in out if not found}, sorted(d for _, found, docs in out if found for d in docs)
+
+    box = substring_dedup._Outbox(2)
+    assert blocks(box, 10) == ({0: [10], 1: [10, 11, 12]}, [11, 12])
+    assert blocks(box, 20) == ({1: [20, 21, 22]}, [20, 21, 22])
+    assert blocks(box, 5) == ({0: [5], 1: [5, 6, 7]}, [6, 7])  # a smaller document is news to the bucket
+    assert blocks(box, 8) == ({1: [8, 9, 10]}, [8, 9, 10])
+
+
+def test_a_bucket_holds_a_passage_once(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD_BYTES", 1000)
+    passage = b"a b c d e f g h i j k l m n"
+    packed = [substring_dedup._pack(np.array([d, d]), np.array([3, 90]), np.array([1, 0]), passage) for d in range(1, 501)]
+    n, most = len(packed), [0]
+    batch = pa.RecordBatch.from_pydict({"found": [False] * n, "rows": [2] * n, "bytes": [len(passage)] * n, "packed": packed})
+    put = substring_dedup._Bucket.put
+
+    def counted(self, *columns):
+        put(self, *columns)
+        most[0] = max(most[0], len(self.texts))
+
+    monkeypatch.setattr(substring_dedup._Bucket, "put", counted)
+    got = [tuple(r.values()) for out in substring_dedup._answer(iter([batch] * 2)) for r in out.to_pylist()]
+    want = [(d, at, at + 14) for d in range(2, 501) for at in (3, 90)]
+    assert sorted(set(got)) == want and len(got) == 2 * len(want)
+    assert most[0] < 40
+
+
+@pytest.mark.parametrize("held", [0, 200, 5000])
+def test_repeats_equal_brute_force_when_little_is_held(monkeypatch, held):
+    """Blocks of any size, with and without room to remember shared passages."""
+    rng = np.random.default_rng(held)
+    docs = []
+    for d in range(60):
+        size = int(rng.integers(0, 60))
+        at = int(rng.integers(0, 30))
+        docs.append((d, " ".join([f"v{i}" for i in rng.integers(0, 4, size)] + [f"p{i}" for i in range(at, at + 20)] + ["own", str(d)])))
+    docs = [docs[i] for i in rng.permutation(60)]
+    slot = [b.encode() for _, b in docs]
+    ids = np.array([d for d, _ in docs])
+    monkeypatch.setattr(substring_dedup, "HELD_BYTES", held)
+    monkeypatch.setattr(substring_dedup, "SHARED_BYTES", held)
+    sent = []
+    for task in range(3):
+        box = substring_dedup._Outbox(2, task)
+        for i in range(task, 60, 3):
+            w = words.split(pa.array([slot[i]], pa.binary()))
+            start, count, key = substring_dedup.super_kmers(w)
+            found = [b" ".join(slot[i].split()[a : a + c]) for a, c in zip(start.tolist(), count.tolist())]
+            box.put(found, np.full(len(start), ids[i]), start, count, (key % np.uint64(2)).astype(np.int64))
+            if box.held > held:
+                sent += list(box.blocks())
+        sent += list(box.blocks())
+    blocks = pa.Table.from_batches(sent)
+    gone: dict = {}
+    for b in range(2):
+        for out in substring_dedup._answer(iter(blocks.filter(pc.equal(blocks.column("bucket"), b)).to_batches())):
+            for r in out.to_pylist():
+                gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    assert {d: len(gone.get(d, ())) for d, _ in docs} == {d: n for d, _, n, _ in removed(docs)}
+    assert any(gone.values())
+
+
 def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_run_hashes", lambda h, n: np.zeros(max(len(h) - n + 1, 0), np.uint64))
     code = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])

@@ -16,7 +16,10 @@ that all windows hold the same mixture; given targets hold until a source runs
 out, and then the others share its part.
 
 Defined results: null and empty texts are the end token alone; null sources are
-one queue; rows that share a doc_id are packed each.
+one queue; rows that share a doc_id, repeated rows too, are packed each, equal
+ones in any order; a null doc_id stays null; texts of any length go whole, cut
+where windows end; an empty table gives no rows; other columns of any name don't
+matter.
 """
 
 from __future__ import annotations

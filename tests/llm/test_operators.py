@@ -718,6 +718,21 @@ def test_pieces_hold_each_token_once(spark, odd):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_columns_that_clash_and_long_and_repeated_texts_are_packed(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    names = ("part", "place", "n", "total", "ids", "before", "pack", "start", "at")
+    long = " ".join(f"w{i}" for i in range(30_000))
+    docs = [(1, "a", long), (2, None, "short"), (2, None, "short"), (None, "a", None), (3, "b", "")]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string").select("*", *[F.lit("x").alias(n) for n in names])
+    got = packing.pack(frame).collect()
+    want = Counter((d, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 if t else 1) for d, _, t in docs)
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(n * k for (_, n), k in want.items())
+    assert max(r.offset + r.length for r in got) <= 2048 and sum(r.doc_id == 1 for r in got) > 10
+
+
 def test_windows_meet_the_mixture_and_carry_deficits():
     sizes = np.array([100_000, 50_000, 7_000, 900])
     windows = packing.round_robin(sizes)

@@ -86,21 +86,21 @@ def licence(outcome: Column, rules: int) -> Column:
     )
 
 
-def surface_marks(surfaces, targets: dict[str, int]) -> list[Column]:
-    """By package, over the surfaces' sweeps: whether a surface's evidence is old, and whether it states a version."""
+def surface_marks(surfaces) -> list[Column]:
+    """By package, over the surfaces' sweeps: whether a surface's evidence is old, and its first row whose version is relied on."""
     out = []
     for s in surfaces:
         own = F.col("surface") == s
-        out += [F.coalesce(F.max(own & F.col("aged")), F.lit(False)).alias(f"{s}_old"), F.coalesce(F.max(own & ~F.col("aged") & F.col("said").isNotNull()), F.lit(False)).alias(f"{s}_states")]
+        out += [F.coalesce(F.max(own & F.col("aged")), F.lit(False)).alias(f"{s}_old"), F.min(F.when(own & F.col("said").isNotNull(), F.col("id"))).alias(f"{s}_first")]
     return out
 
 
-def remediation(status: Column, blind: Column, surfaces, targets: dict[str, int]) -> Column:
+def remediation(status: Column, blind: Column, surfaces, targets: dict[str, int], advisory_target: bool) -> Column:
     by, kind, fixed = F.col("s.finding_id"), F.col("s.kind"), F.col("s.fixed_version")
     named = lambda of: F.array_join(F.filter(F.array(*[F.when(of(s), s) for s in surfaces]), lambda x: x.isNotNull()), ", ")
     old = named(lambda s: F.col(f"{s}_old"))
-    unread = named(lambda s: ~F.coalesce(F.col("s")[s], F.lit(False)))
-    apart = named(lambda s: F.coalesce(F.col(f"{s}_states"), F.lit(False)) & ~F.coalesce(F.col("s")[s], F.lit(False)))
+    unread = named(lambda s: F.col("s")[s].isNull())
+    apart = named(lambda s: F.col(f"{s}_first").isNotNull() & F.col("s")[s].isNull())
     without = [s for s in surfaces if s not in targets]
     none = F.when(F.col("matched").isNull(), "no advisory evidence at the cut-off").when(F.col("open") > 0, _text("no advisory matched, and ", F.col("open"), " findings establish nothing")).otherwise("no advisory matched")
     some = _lines(
@@ -111,7 +111,8 @@ def remediation(status: Column, blind: Column, surfaces, targets: dict[str, int]
         F.when((kind == "recorded") & (status == "unknown") & (unread != ""), _text("version ", fixed, " was not seen on: ", unread)),
         F.when((kind == "recorded") & (apart != ""), _text("other versions than ", fixed, " on: ", apart)),
     )
-    return F.when(blind, "the advisory evidence is older than its target").when(by.isNull(), none).otherwise(some)
+    untimed = F.lit(None if advisory_target else "no freshness target: advisories").cast("string")
+    return _lines(untimed, F.when(blind, "the advisory evidence is older than its target").when(by.isNull(), none).otherwise(F.nullif(some, F.lit(""))))
 
 
 def python_readiness(none: Column, use_v: Column, use_a: Column, verified: Column, inferred: Column, old: Column) -> Column:

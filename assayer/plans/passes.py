@@ -132,14 +132,18 @@ def licence(packages: DataFrame, findings: DataFrame, cutoff, rules: list[tuple[
     return out.select("package_id", outcome.alias("license_outcome"), F.when(outcome.isin("forbidden", "restricted", "allowed", "manual_review"), F.col("best.rule")).alias("matched_rule"), F.coalesce("best.id", "any_id").alias("license_finding_id"), details.licence(outcome, len(rules)).alias("detail"), "error")
 
 
-def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, cutoff, targets: dict[str, int], advisory_days: int = 2, surfaces=vocab.SURFACES) -> DataFrame:
-    """package_id, readiness_status, fixed_version, a fix availability for each surface, evidence_stale, detail, error (an odd state of a finding).
-
-    findings also hold fixed_range; targets give the days that a surface's evidence stays fresh.
+def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, cutoff, targets: dict[str, int], advisory_days: int | None = 2, surfaces=vocab.SURFACES) -> DataFrame:
+    """package_id, readiness_status, fixed_version, a fix availability for each surface and the row it was read from, evidence_stale, detail, error (an odd state of a finding).
+
+    findings also hold fixed_range; targets give the days that a surface's evidence
+    stays fresh, and a surface without one isn't relied on.  A surface names its first
+    row that states the fix, else its first that states a version, and none where it
+    wasn't relied on or no version was looked for.  Evidence is stale where the
+    advisories are, or any surface that was asked about a matched finding.
     """
     current = asof.sweep(findings, ["package_id"], cutoff)
     checked = current.groupBy("package_id").agg(
-        F.max(asof.stale(F.col("observed_at"), cutoff, f"{advisory_days} DAYS")).alias("stale"),
+        F.max(asof.stale(F.col("observed_at"), cutoff, f"{advisory_days} DAYS") if advisory_days is not None else F.lit(False)).alias("stale"),
         F.count_if(F.col("state") == "matched").alias("matched"),
         F.count_if((F.col("state") != "matched") & ~F.coalesce("nothing_matched", F.lit(False))).alias("open"),
         F.max(F.when(~F.coalesce(F.col("state").isin("matched", "error", "not_found", "unknown"), F.lit(False)), F.concat(F.lit("not a finding state: "), F.coalesce("state", F.lit("none"))))).alias("error"),
@@ -149,19 +153,23 @@ def remediation(packages: DataFrame, findings: DataFrame, evidence: DataFrame, c
     matched = current.where(F.col("state") == "matched").select("package_id", F.col("id").alias("finding_id"), kind.alias("kind"), F.when(kind == "recorded", comparable_version(fixed)).alias("fixed_version"))
     aged = reduce(lambda a, b: a | b, [(F.col("surface") == s) & asof.stale(F.col("observed_at"), cutoff, f"{d} DAYS") for s, d in targets.items()], F.lit(False))
     said = F.when(F.col("state") == "ok", F.nullif(comparable_version(F.col("version")), F.lit("")))
-    read = asof.sweep(evidence, ["package_id", "surface"], cutoff).select("package_id", "surface", said.alias("said"), aged.alias("aged"))
-    stated = read.where(~F.col("aged") & F.col("surface").isin(*targets) & F.col("said").isNotNull()).select("package_id", "surface", F.col("said").alias("stated")).distinct()
-    seen = matched.join(stated, (matched["package_id"] == stated["package_id"]) & (matched["fixed_version"] == stated["stated"]), "left").groupBy(matched["package_id"], "finding_id", "kind", "fixed_version").agg(*[F.max(F.coalesce(F.col("surface") == s, F.lit(False))).alias(s) for s in surfaces])
-    readiness = F.when(F.col("conda_package"), "ready").when(F.col("feedstock"), "awaiting_build").when(F.col("source") | F.col("pypi"), "awaiting_packaging").otherwise("unknown")
+    relied = ~aged & F.col("surface").isin(*targets)
+    read = asof.sweep(evidence, ["package_id", "surface"], cutoff).select("package_id", "surface", "id", F.when(relied, said).alias("said"), aged.alias("aged"))
+    stated = read.where(F.col("said").isNotNull()).groupBy("package_id", "surface", F.col("said").alias("stated")).agg(F.min("id").alias("row_id"))
+    seen = matched.join(stated, (matched["package_id"] == stated["package_id"]) & (matched["fixed_version"] == stated["stated"]), "left").groupBy(matched["package_id"], "finding_id", "kind", "fixed_version").agg(*[F.min(F.when(F.col("surface") == s, F.col("row_id"))).alias(s) for s in surfaces])
+    carries = lambda s: F.col(s).isNotNull()
+    readiness = F.when(carries("conda_package"), "ready").when(carries("feedstock"), "awaiting_build").when(carries("source") | carries("pypi"), "awaiting_packaging").otherwise("unknown")
     place = vocab.rank(readiness, vocab.READINESS)
     support = seen.groupBy("package_id").agg(F.min(F.struct(place.alias("r"), F.col("finding_id"), F.col("kind"), F.col("fixed_version"), *[F.col(s) for s in surfaces])).alias("s"))
-    by_surface = read.groupBy("package_id").agg(*details.surface_marks(surfaces, targets))
+    by_surface = read.groupBy("package_id").agg(*details.surface_marks(surfaces))
     out = packages.select("package_id").join(checked, "package_id", "left").join(support, "package_id", "left").join(by_surface, "package_id", "left")
     blind = F.coalesce("stale", F.lit(False))
     status = F.when(F.col("matched").isNull() | blind, "unknown").when((F.col("matched") == 0) & (F.col("open") > 0), "unknown").when(F.col("matched") == 0, "not_applicable").otherwise(vocab.ranked(F.col("s.r"), vocab.READINESS))
-    fix = lambda s: F.when(~blind & F.coalesce(F.col("s")[s], F.lit(False)), "published").otherwise("not_read").alias(f"{s}_fix")
-    detail = details.remediation(status, blind, surfaces, targets)
-    return out.select("package_id", status.alias("readiness_status"), *[fix(s) for s in surfaces], F.when(~blind, F.col("s.fixed_version")).alias("fixed_version"), F.when(~blind, F.col("s.finding_id")).alias("vulnerability_finding_id"), blind.alias("evidence_stale"), detail.alias("detail"), "error")
+    fix = lambda s: F.when(~blind & F.col("s")[s].isNotNull(), "published").otherwise("not_read").alias(f"{s}_fix")
+    cited = lambda s: F.when(~blind & F.col("s.fixed_version").isNotNull(), F.coalesce(F.col("s")[s], F.col(f"{s}_first"))).alias(f"{s}_snapshot_id")
+    old = blind | ((F.coalesce("matched", F.lit(0)) > 0) & reduce(lambda a, b: a | b, [F.coalesce(f"{s}_old", F.lit(False)) for s in surfaces]))
+    detail = details.remediation(status, blind, surfaces, targets, advisory_days is not None)
+    return out.select("package_id", status.alias("readiness_status"), *[fix(s) for s in surfaces], F.when(~blind, F.col("s.fixed_version")).alias("fixed_version"), F.when(~blind, F.col("s.finding_id")).alias("vulnerability_finding_id"), *[cited(s) for s in surfaces], old.alias("evidence_stale"), detail.alias("detail"), "error")
 
 
 def python_readiness(packages: DataFrame, assessments: DataFrame, verifications: DataFrame, cutoff, assessed_for: str = "14 DAYS", verified_for: str = "30 DAYS") -> DataFrame:

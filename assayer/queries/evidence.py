@@ -227,7 +227,7 @@ def licence_normalise(t: Tables):
     return t.documents.select("doc_id", raw.alias("raw")).select("doc_id", "raw", read["expression"].alias("expression"), read["method"].alias("method"))
 
 
-_STATED = "SELECT DISTINCT package_id, surface, version FROM (SELECT *, rank() OVER (PARTITION BY package_id, surface ORDER BY observed_at DESC) AS r FROM evp) WHERE r = 1 AND state = 'ok' AND (surface <> 3 OR observed_at >= TIMESTAMP '2024-01-19 00:00:00')"
+_STATED = "SELECT package_id, surface, version, min(id) AS row_id FROM (SELECT *, rank() OVER (PARTITION BY package_id, surface ORDER BY observed_at DESC) AS r FROM evp) WHERE r = 1 AND state = 'ok' AND (surface = 0 OR surface = 2 OR surface = 3 AND observed_at >= TIMESTAMP '2024-01-19 00:00:00') GROUP BY ALL"
 
 
 @query("remediation_pass", f"""WITH {EVC}, evp AS (SELECT * FROM evc), f AS (SELECT l_partkey % 150 AS package_id, l_orderkey * 10 + l_linenumber AS id,
@@ -236,20 +236,22 @@ _STATED = "SELECT DISTINCT package_id, surface, version FROM (SELECT *, rank() O
 sw AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM f) WHERE r = 1),
 c AS (SELECT package_id, bool_or(observed_at < TIMESTAMP '{CUTOFF}' - INTERVAL 2 DAY) AS stale, count(*) FILTER (WHERE state = 'matched') AS matched, count(*) FILTER (WHERE state <> 'matched' AND id % 2 <> 0) AS open FROM sw GROUP BY 1),
 st AS ({_STATED}),
-x AS (SELECT sw.package_id, sw.id, CASE WHEN fixed <> '>=2' THEN fixed END AS fixed, coalesce(bool_or(st.surface = 0), false) AS s0, coalesce(bool_or(st.surface = 1), false) AS s1, coalesce(bool_or(st.surface = 2), false) AS s2, coalesce(bool_or(st.surface = 3), false) AS s3
+x AS (SELECT sw.package_id, sw.id, CASE WHEN fixed <> '>=2' THEN fixed END AS fixed, min(row_id) FILTER (WHERE st.surface = 0) AS r0, min(row_id) FILTER (WHERE st.surface = 2) AS r2, min(row_id) FILTER (WHERE st.surface = 3) AS r3
   FROM sw LEFT JOIN st ON st.package_id = sw.package_id AND st.version = CASE WHEN fixed <> '>=2' THEN fixed END WHERE sw.state = 'matched' GROUP BY 1, 2, 3),
-sf AS (SELECT package_id, bool_or(surface = 3 AND observed_at < TIMESTAMP '2024-01-19 00:00:00') AS old3, bool_or(surface = 0 AND ok) AS h0, bool_or(surface = 1 AND ok) AS h1, bool_or(surface = 2 AND ok) AS h2, bool_or(surface = 3 AND ok AND observed_at >= TIMESTAMP '2024-01-19 00:00:00') AS h3
-  FROM (SELECT *, state = 'ok' AS ok, rank() OVER (PARTITION BY package_id, surface ORDER BY observed_at DESC) AS r FROM evp) WHERE r = 1 GROUP BY 1),
-y AS (SELECT *, CASE WHEN s3 THEN 5 WHEN s2 THEN 4 WHEN s0 OR s1 THEN 3 ELSE 2 END AS p FROM x),
+sf AS (SELECT package_id, bool_or(surface = 3 AND NOT fresh) AS old3, min(id) FILTER (WHERE surface = 0 AND ok) AS h0, min(id) FILTER (WHERE surface = 2 AND ok) AS h2, min(id) FILTER (WHERE surface = 3 AND ok AND fresh) AS h3
+  FROM (SELECT *, state = 'ok' AS ok, observed_at >= TIMESTAMP '2024-01-19 00:00:00' AS fresh, rank() OVER (PARTITION BY package_id, surface ORDER BY observed_at DESC) AS r FROM evp) WHERE r = 1 GROUP BY 1),
+y AS (SELECT *, CASE WHEN r3 IS NOT NULL THEN 5 WHEN r2 IS NOT NULL THEN 4 WHEN r0 IS NOT NULL THEN 3 ELSE 2 END AS p FROM x),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY p, id) AS rn FROM y) WHERE rn = 1)
 SELECT pk.package_id, CASE WHEN c.matched IS NULL OR c.stale THEN 'unknown' WHEN c.matched = 0 AND c.open > 0 THEN 'unknown' WHEN c.matched = 0 THEN 'not_applicable' ELSE {_arr(vocab.READINESS)}[b.p] END AS readiness_status,
-  CASE WHEN NOT coalesce(c.stale, false) AND b.s0 THEN 'published' ELSE 'not_read' END AS source_fix, CASE WHEN NOT coalesce(c.stale, false) AND b.s1 THEN 'published' ELSE 'not_read' END AS pypi_fix,
-  CASE WHEN NOT coalesce(c.stale, false) AND b.s2 THEN 'published' ELSE 'not_read' END AS feedstock_fix, CASE WHEN NOT coalesce(c.stale, false) AND b.s3 THEN 'published' ELSE 'not_read' END AS conda_package_fix,
-  CASE WHEN NOT coalesce(c.stale, false) THEN b.fixed END AS fixed_version, CASE WHEN NOT coalesce(c.stale, false) THEN b.id END AS vulnerability_finding_id, coalesce(c.stale, false) AS evidence_stale,
+  CASE WHEN NOT coalesce(c.stale, false) AND b.r0 IS NOT NULL THEN 'published' ELSE 'not_read' END AS source_fix, 'not_read' AS pypi_fix,
+  CASE WHEN NOT coalesce(c.stale, false) AND b.r2 IS NOT NULL THEN 'published' ELSE 'not_read' END AS feedstock_fix, CASE WHEN NOT coalesce(c.stale, false) AND b.r3 IS NOT NULL THEN 'published' ELSE 'not_read' END AS conda_package_fix,
+  CASE WHEN NOT c.stale AND b.fixed IS NOT NULL THEN coalesce(b.r0, h0) END AS source_snapshot_id, CAST(NULL AS BIGINT) AS pypi_snapshot_id,
+  CASE WHEN NOT c.stale AND b.fixed IS NOT NULL THEN coalesce(b.r2, h2) END AS feedstock_snapshot_id, CASE WHEN NOT c.stale AND b.fixed IS NOT NULL THEN coalesce(b.r3, h3) END AS conda_package_snapshot_id,
+  CASE WHEN NOT coalesce(c.stale, false) THEN b.fixed END AS fixed_version, CASE WHEN NOT coalesce(c.stale, false) THEN b.id END AS vulnerability_finding_id, coalesce(c.stale, false) OR coalesce(c.matched > 0 AND old3, false) AS evidence_stale,
   CASE WHEN coalesce(c.stale, false) THEN 'the advisory evidence is older than its target' WHEN b.id IS NULL THEN CASE WHEN c.matched IS NULL THEN 'no advisory evidence at the cut-off' WHEN c.open > 0 THEN 'no advisory matched, and ' || c.open || ' findings establish nothing' ELSE 'no advisory matched' END
    ELSE concat_ws(' ', CASE WHEN c.matched > 1 THEN c.matched || ' findings matched; this is the least ready, ' || b.id END, CASE WHEN b.fixed IS NULL THEN 'finding ' || b.id || ' states a range, not a version' END, CASE WHEN sf.old3 THEN 'old evidence: conda_package' END,
-    CASE WHEN b.fixed IS NOT NULL AND b.p = 2 THEN 'version ' || b.fixed || ' was not seen on: source, pypi, feedstock, conda_package' END,
-    CASE WHEN b.fixed IS NOT NULL AND ((h0 AND NOT s0) OR (h1 AND NOT s1) OR (h2 AND NOT s2) OR (h3 AND NOT s3)) THEN 'other versions than ' || b.fixed || ' on: ' || concat_ws(', ', CASE WHEN h0 AND NOT s0 THEN 'source' END, CASE WHEN h1 AND NOT s1 THEN 'pypi' END, CASE WHEN h2 AND NOT s2 THEN 'feedstock' END, CASE WHEN h3 AND NOT s3 THEN 'conda_package' END) END) END AS detail
+    'no freshness target: pypi', CASE WHEN b.fixed IS NOT NULL AND b.p = 2 THEN 'version ' || b.fixed || ' was not seen on: source, pypi, feedstock, conda_package' END,
+    CASE WHEN b.fixed IS NOT NULL AND (h0 IS NOT NULL AND r0 IS NULL OR h2 IS NOT NULL AND r2 IS NULL OR h3 IS NOT NULL AND r3 IS NULL) THEN 'other versions than ' || b.fixed || ' on: ' || concat_ws(', ', CASE WHEN h0 IS NOT NULL AND r0 IS NULL THEN 'source' END, CASE WHEN h2 IS NOT NULL AND r2 IS NULL THEN 'feedstock' END, CASE WHEN h3 IS NOT NULL AND r3 IS NULL THEN 'conda_package' END) END) END AS detail
 FROM (SELECT DISTINCT package_id FROM ev) pk LEFT JOIN sf ON sf.package_id = pk.package_id LEFT JOIN c ON c.package_id = pk.package_id LEFT JOIN b ON b.package_id = pk.package_id""")
 def remediation_pass(t: Tables):
     findings = t.lineitem.select(
@@ -259,7 +261,7 @@ def remediation_pass(t: Tables):
         F.when(F.col("l_returnflag") == "A", "matched").when(F.col("l_returnflag") == "N", "unknown").otherwise("not_found").alias("state"),
         F.when(F.col("l_linenumber") == 7, ">=2").otherwise(F.floor(F.col("l_quantity") / 10).cast("string")).alias("fixed_range"),
     ).withColumn("nothing_matched", F.col("id") % 2 == 0)
-    days = {"source": 100, "pypi": 100, "feedstock": 100, "conda_package": 1}
+    days = {"source": 100, "feedstock": 100, "conda_package": 1}  # pypi has no target
     return passes.remediation(t.evidence().select("package_id").distinct(), findings, _surfaces(t), t.cutoff, days).drop("error")
 
 

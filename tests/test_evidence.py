@@ -523,3 +523,19 @@ def test_requests_about_one_item_are_judged_in_turn(spark):
     for chunk in ("minute", "year"):
         got = {r.request_id: r.answer for r in workflow.in_order(requests, items, chunk).collect()}
         assert got == {1: "applied", 2: "stale", 3: "role", 4: "justification", 5: "applied", 6: "undeclared", 7: "no such item"}
+
+
+def test_a_surface_names_the_row_that_its_fix_was_read_from(spark):
+    packages = spark.createDataFrame([(p,) for p in range(1, 7)], "package_id long")
+    fixes = [(1, "2.0"), (2, "2.0"), (3, "2.0"), (4, ">=2"), (5, "2.0")]
+    findings = spark.createDataFrame([(p, 100 + p, at(-100 if p == 5 else 0), "matched", False, fixed) for p, fixed in fixes], "package_id long, id long, observed_at timestamp, state string, nothing_matched boolean, fixed_range string")
+    said = [(1, 11, "source", "1.0", 0), (1, 12, "source", "2.0", 0), (1, 13, "source", "2.0", 0), (1, 14, "pypi", "2.0", 0), (1, 15, "feedstock", "1.5", 0), (1, 16, "conda_package", "2.0", -100), (2, 21, "feedstock", "1.0", 0), (3, 31, "source", None, 0), (3, 32, "feedstock", "2.0", -100), (3, 33, "feedstock", "1.0", 0), (4, 41, "source", "2.0", 0)]
+    evidence = spark.createDataFrame([(p, i, at(h), s, "ok", v) for p, i, s, v, h in said], "package_id long, id long, observed_at timestamp, surface string, state string, version string")
+    out = {r.package_id: r for r in passes.remediation(packages, findings, evidence, at(1), {"source": 2, "feedstock": 2, "conda_package": 2}).collect()}
+    cited = {p: tuple(r[f"{s}_snapshot_id"] for s in vocab.SURFACES) for p, r in out.items()}
+    assert cited == {1: (12, None, 15, None), 2: (None, None, 21, None), 3: (None, None, 33, None), 4: (None,) * 4, 5: (None,) * 4, 6: (None,) * 4}
+    assert [p for p, r in out.items() if r.evidence_stale] == [1, 5]  # a surface of 1 is old, the advisories of 5 are
+    assert (out[1].readiness_status, out[1].source_fix, out[1].pypi_fix) == ("awaiting_packaging", "published", "not_read")
+    assert out[1].detail == "old evidence: conda_package no freshness target: pypi other versions than 2.0 on: feedstock"  # no target: not compared
+    untimed = passes.remediation(packages, findings, evidence, at(1), {"source": 2}, advisory_days=None).where("package_id >= 5").orderBy("package_id").collect()
+    assert [r.detail for r in untimed] == ["no freshness target: advisories no freshness target: pypi, feedstock, conda_package version 2.0 was not seen on: source, pypi, feedstock, conda_package", "no freshness target: advisories no advisory evidence at the cut-off"]

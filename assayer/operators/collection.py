@@ -111,31 +111,6 @@ def pending(requests: DataFrame, ledger: DataFrame, now, hours: int) -> DataFram
     return best.select("package_id", "b.request_id", F.array_join("b.w", ",").alias("waiting"))
 
 
-def resolved(identities: DataFrame) -> DataFrame:
-    """package_id, confidence, downgrade_refused from what was found.
-
-    identities: package_id, prior, pypi_found, repository_key, feedstock_repository_key, by_hand.
-    A repository that index and feedstock agree on verifies; either alone derives;
-    a verified identity is never taken back.
-    """
-    agree = F.coalesce(F.col("repository_key") == F.col("feedstock_repository_key"), F.lit(False))
-    found = F.when(F.coalesce("by_hand", F.lit(False)) | agree, "verified").when(F.col("pypi_found") | F.col("feedstock_repository_key").isNotNull(), "inventory-derived").otherwise("unmapped")
-    refused = (F.col("prior") == "verified") & (found != "verified")
-    return identities.select("package_id", F.when(refused, F.col("prior")).otherwise(found).alias("confidence"), F.coalesce(refused, F.lit(False)).alias("downgrade_refused"))
-
-
-def overridden(packages: DataFrame, overrides: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Packages with the columns that people have set, and an audit row for each with prior and new values.
-
-    overrides: package_id, actor, reason and columns; null leaves a value.
-    """
-    both = packages.join(overrides.select("package_id", "actor", "reason", F.struct(*columns).alias("new")), "package_id")
-    audit = both.select("package_id", "actor", "reason", F.struct(*columns).alias("prior"), F.struct(*[F.coalesce(F.col("new")[c], F.col(c)).alias(c) for c in columns]).alias("new"))
-    done = audit.select("package_id", *[F.col("new")[c].alias(c) for c in columns])
-    rest = packages.drop(*columns).join(done, "package_id").select(*packages.columns)
-    return packages.join(done.select("package_id"), "package_id", "left_anti").unionByName(rest), audit
-
-
 def retention_cutoff(now, days: int):
     if not 1 <= days <= 3650:
         raise ValueError("retention must be 1 to 3650 days")

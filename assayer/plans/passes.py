@@ -126,7 +126,7 @@ def licence(packages: DataFrame, findings: DataFrame, cutoff, rules: list[tuple[
     counted = F.col("state") != "not_found"
     place = vocab.rank(F.col("verdict"), vocab.LICENCE)
     mark = F.struct(place.alias("r"), F.col("id"), F.col("judged.rule").alias("rule"), F.when(F.col("state") == "normalized", said).alias("expression"))
-    status = rows.groupBy("package_id").agg(F.min(F.when(counted, mark)).alias("best"), F.min("id").alias("any_id"), F.max(_fault(F.col("state"), ("normalized", *vocab.SENTINELS))).alias("error"), *details.licence_counts(spoken))
+    status = rows.groupBy("package_id").agg(F.min(F.when(counted, mark)).alias("best"), F.min("id").alias("any_id"), F.max(_fault(F.col("state"), ("normalized", "error", "not_found", "unknown"))).alias("error"), *details.licence_counts(spoken))
     out = packages.select("package_id").join(status, "package_id", "left")
     outcome = F.coalesce(vocab.ranked(F.col("best.r"), vocab.LICENCE), F.lit("unknown"))
     return out.select("package_id", outcome.alias("license_outcome"), F.when(outcome.isin("forbidden", "restricted", "allowed", "manual_review"), F.col("best.rule")).alias("matched_rule"), F.coalesce("best.id", "any_id").alias("license_finding_id"), details.licence(outcome, len(rules)).alias("detail"), "error")

@@ -417,7 +417,7 @@ def unresolved_left_out(t: Tables):
 @query("pass_errors", f"""WITH {EVC}, s AS ({LATEST.format(keys='package_id, surface', ties=OK_FIRST, rows="(SELECT * EXCLUDE (state), CASE WHEN state = 'error' AND id % 5 = 0 THEN 'odd' ELSE state END AS state FROM evc)")}),
 f AS ({LATEST.format(keys='package_id', ties='', rows='(SELECT * FROM evc WHERE surface = 2)')}), l AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM evc) WHERE r = 1)
 SELECT 'currency' AS pass, package_id, 'not a state: odd' AS error FROM s WHERE state = 'odd' GROUP BY 2 UNION ALL SELECT 'feedstock_presence', package_id, 'not a state: odd' FROM f WHERE state = 'error' AND id % 5 = 0
-UNION ALL SELECT 'licence', package_id, 'not a state: odd' FROM l WHERE state = 'error' AND id % 5 = 0 GROUP BY 2 UNION ALL SELECT unnest(['vulnerability', 'remediation']), package_id, 'not a finding state: odd' FROM (SELECT DISTINCT package_id FROM l WHERE state = 'error' AND id % 5 = 0)""")
+UNION ALL SELECT 'licence', package_id, max(CASE WHEN state = 'error' THEN 'not a state: odd' ELSE 'not a state: not_applicable' END) FROM l WHERE state = 'error' AND id % 5 = 0 OR state = 'not_applicable' GROUP BY 2 UNION ALL SELECT unnest(['vulnerability', 'remediation']), package_id, 'not a finding state: odd' FROM (SELECT DISTINCT package_id FROM l WHERE state = 'error' AND id % 5 = 0)""")
 def pass_errors(t: Tables):
     """Packages that each pass can't judge, as a state isn't one."""
     odd = lambda ok: F.when((F.col("state") == "error") & (F.col("id") % 5 == 0), "odd").when(F.col("state") == "ok", ok).when(F.col("state") == "not_applicable", "unknown").otherwise(F.col("state"))
@@ -428,7 +428,7 @@ def pass_errors(t: Tables):
         "currency": passes.currency(packages, _surfaces(t).withColumn("state", odd("ok")), t.cutoff),
         "feedstock_presence": passes.feedstock_presence(packages, _feedstock(t).withColumn("state", odd("ok")), t.cutoff),
         "vulnerability": passes.vulnerability(packages, found, kev, t.cutoff, passes.RISK_ORDER),
-        "licence": passes.licence(packages, e.select("package_id", "id", "observed_at", odd("normalized").alias("state"), F.lit("MIT").alias("normalized_license")), t.cutoff, _RULES),
+        "licence": passes.licence(packages, e.select("package_id", "id", "observed_at", F.when(F.col("state") == "not_applicable", "not_applicable").otherwise(odd("normalized")).alias("state"), F.lit("MIT").alias("normalized_license")), t.cutoff, _RULES),
         "remediation": passes.remediation(packages, found, _surfaces(t), t.cutoff, {s: 14 for s in vocab.SURFACES}),
     }
     named = [r.where(F.col("error").isNotNull()).select(F.lit(name).alias("pass"), "package_id", "error") for name, r in rows.items()]

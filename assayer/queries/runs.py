@@ -193,20 +193,6 @@ def pending_recollection(t: Tables):
     return collection.pending(requests, ledger(t).where(F.col("started_at") <= t.cutoff), t.cutoff, 72)
 
 
-@query("identity_resolution", "SELECT c_custkey AS package_id, CASE WHEN c_nationkey % 3 = 0 THEN 'verified' WHEN c_custkey % 4 = 0 OR c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 20 = 0 THEN 'verified' ELSE 'inventory-derived' END ELSE 'unmapped' END AS confidence, c_nationkey % 3 = 0 AND NOT c_custkey % 20 = 0 AS downgrade_refused FROM customer")
-def identity_resolution(t: Tables):
-    k = F.col("c_custkey")
-    rows = t.customer.select(k.alias("package_id"), F.when(F.col("c_nationkey") % 3 == 0, "verified").otherwise("unmapped").alias("prior"), (k % 4 == 0).alias("pypi_found"), F.when(k % 4 == 0, "r").alias("repository_key"), F.when(k % 5 == 0, "r").alias("feedstock_repository_key"), F.lit(False).alias("by_hand"))
-    return collection.resolved(rows)
-
-
-@query("identity_override", "SELECT c_custkey AS package_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'set' ELSE c_name END AS canonical_name, c_mktsegment AS segment FROM customer")
-def identity_override(t: Tables):
-    packages = t.customer.select(F.col("c_custkey").alias("package_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("segment"))
-    overrides = packages.where(F.col("segment") == "BUILDING").select("package_id", F.lit(1).alias("actor"), F.lit("r").alias("reason"), F.lit("set").alias("canonical_name"), F.lit(None).cast("string").alias("segment"))
-    return collection.overridden(packages, overrides, ["canonical_name", "segment"])[0]
-
-
 @query("authority_order_faults", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'repeated' END AS fault FROM supplier")
 def authority_order_faults(t: Tables):
     i = F.col("s_suppkey") % 3

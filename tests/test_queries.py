@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from assayer import adapters
-from assayer.queries import evidence, reading, records, runs, stored, surface, upkeep  # noqa: F401
+from assayer.queries import evidence, identity, reading, records, runs, stored, surface, upkeep  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -232,7 +232,7 @@ _STATED = "SELECT package_id, surface, version, min(id) AS row_id FROM (SELECT *
 
 @query("remediation_pass", f"""WITH {EVC}, evp AS (SELECT * FROM evc), f AS (SELECT l_partkey % 150 AS package_id, l_orderkey * 10 + l_linenumber AS id,
   TIMESTAMP '2024-01-19 12:00:00' - INTERVAL 1 DAY * CAST(l_partkey % 4 AS INTEGER) AS observed_at, CASE l_returnflag WHEN 'A' THEN 'matched' WHEN 'N' THEN 'unknown' ELSE 'not_found' END AS state,
-  CASE WHEN l_linenumber = 7 THEN '>=2' ELSE CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS VARCHAR) END AS fixed FROM lineitem),
+  CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN '>=2' ELSE CAST(l_partkey % 2 AS VARCHAR) END AS fixed FROM lineitem),
 sw AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY package_id ORDER BY observed_at DESC) AS r FROM f) WHERE r = 1),
 c AS (SELECT package_id, bool_or(observed_at < TIMESTAMP '{CUTOFF}' - INTERVAL 2 DAY) AS stale, count(*) FILTER (WHERE state = 'matched') AS matched, count(*) FILTER (WHERE state <> 'matched' AND id % 2 <> 0) AS open FROM sw GROUP BY 1),
 st AS ({_STATED}),
@@ -259,7 +259,7 @@ def remediation_pass(t: Tables):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         (F.lit("2024-01-19 12:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY") * (F.col("l_partkey") % 4).cast("int")).alias("observed_at"),
         F.when(F.col("l_returnflag") == "A", "matched").when(F.col("l_returnflag") == "N", "unknown").otherwise("not_found").alias("state"),
-        F.when(F.col("l_linenumber") == 7, ">=2").otherwise(F.floor(F.col("l_quantity") / 10).cast("string")).alias("fixed_range"),
+        F.when((F.col("l_linenumber") == 7) & (F.col("l_partkey") % 5 == 0), ">=2").otherwise((F.col("l_partkey") % 2).cast("string")).alias("fixed_range"),
     ).withColumn("nothing_matched", F.col("id") % 2 == 0)
     days = {"source": 100, "feedstock": 100, "conda_package": 1}  # pypi has no target
     return passes.remediation(t.evidence().select("package_id").distinct(), findings, _surfaces(t), t.cutoff, days).drop("error")

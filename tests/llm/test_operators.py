@@ -815,6 +815,46 @@ def test_scores_of_bands_equal_brute_force(spark, odd, monkeypatch):
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
 
 
+def test_scores_of_classes_equal_brute_force(spark, odd, monkeypatch):
+    """With clustering on: each word has one class, and scores follow from plain counts over these."""
+    monkeypatch.setattr(brown, "FREQUENT", 30)
+    frames, plain = {}, tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: frames.setdefault(name, plain(df, name)))
+    docs = {r.doc_id: lowered(r.text) for r in rows(spark, odd) if r.doc_id is not None and r.doc_id != 3}
+    train = {d: t for d, t in docs.items() if d % 2}
+    frame = spark.read.parquet(f"{odd}/documents.parquet").where("doc_id IS NOT NULL AND doc_id <> 3").select("doc_id", "text", F.expr("doc_id % 2 = 0").alias("held_out"))
+    got = {r.doc_id: r.score for r in brown.score(frame).collect()}
+    group = {}
+    for r in frames["classed"].collect():
+        assert len(r.classes) == len(docs[r.doc_id])
+        for w, c in zip(docs[r.doc_id], r.classes):
+            assert group.setdefault(w, c) == c
+    count = Counter(w for t in train.values() for w in t)
+    frequent = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:30]]
+    assert all(group[w] < brown.CLASSES for w in frequent)
+    assert sum(group[w] < brown.CLASSES for w in count) > 30 and all(group[w] >= brown.CLASSES for w in group if count[w] < brown.LEAST)
+    total, distinct = Counter(), Counter()
+    for w, n in count.items():
+        total[group[w]] += n
+        distinct[group[w]] += 1
+
+    def emitted(w):
+        c = group[w]
+        if c < brown.CLASSES:
+            return math.log10(count[w] / total[c])
+        return math.log10((count[w] + 0.1) / (total[c] + 0.1 * (distinct[c] + (c - brown.CLASSES < 6))))
+
+    beside = np.zeros((brown._WIDTH, brown._WIDTH))
+    path = lambda t: [brown._END, *(group[w] for w in t), brown._END]
+    for t in train.values():
+        for a, b in zip(path(t), path(t)[1:]):
+            beside[a, b] += 1
+    share = (beside.sum(axis=0) + 0.5) / (beside.sum() + 0.5 * len(beside))
+    log = np.log10((beside + brown.PRIOR * share) / (beside.sum(axis=1, keepdims=True) + brown.PRIOR))
+    want = {d: sum(log[a, b] for a, b in zip(path(t), path(t)[1:])) + sum(map(emitted, t)) for d, t in docs.items()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in want)
+
+
 def likelihood(counts, group, classes):
     size = classes + len(counts) - len(group)
     full = np.concatenate([group, np.arange(classes, size)])

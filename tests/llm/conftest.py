@@ -45,7 +45,7 @@ def odd(spark, tmp_path_factory):
     toxic = [(r[0], 1, int(r[0] is not None and r[0] % 9 == 0)) for r in rows if r[0] is None or r[0] % 2] + [(5, None, None), (5, 0, 1), (None, None, 1)]
     spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     items = [(1, " ".join(rows[70][1].split()[12:52])), (2, None), (3, ""), (4, "too short"), (None, rows[5][1]), (6, "no document holds these words at all that are written here now")]
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' AS doc_id", "2 AS n_words", *[f"'x' AS {c}" for c in CLASHES]).write.parquet(f"{folder}/benchmark.parquet")
     rng = random.Random(5)
     vector = lambda: [rng.choice([-1.5, 0.25, 0.1, 2.0, 0.0009]) for _ in range(6)]
     same = vector()

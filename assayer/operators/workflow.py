@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.text import finding_key, iso
@@ -83,6 +84,32 @@ def in_order(requests: DataFrame, items: DataFrame, chunk: str = "minute") -> Da
     return requests.join(answers, "request_id")
 
 
+def applied(moves: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items after moves that were judged applicable, and a transition row for each move.
+
+    moves: move_id, item_id, from_state, to_state, queue (null or blank: the item
+    stays in its own), author, justification, occurred_at.  items: item_id, queue,
+    state, claimed_by, changed_at; other columns stay.  Moves of an item follow one
+    another by occurred_at and move_id.  An item in progress is claimed by whoever
+    moved it there; in any other state nobody claims it.  Moves of items that aren't
+    there make nothing.
+    """
+    turn = F.struct("occurred_at", "move_id")
+    named = F.nullif(F.trim("queue"), F.lit(""))
+    rows = moves.withColumns({"_turn": turn, "_queue": named})
+    last = rows.groupBy("item_id").agg(
+        F.max_by(F.struct("to_state", F.when(F.col("to_state") == "in_progress", F.col("author")).alias("claimed_by"), "occurred_at"), "_turn").alias("_last"),
+        F.max_by("_queue", F.when(F.col("_queue").isNotNull(), F.col("_turn"))).alias("_named"),
+    )
+    written = {"state": "_last.to_state", "claimed_by": "_last.claimed_by", "changed_at": "_last.occurred_at"}
+    moved = F.col("_last").isNotNull()
+    after = {c: F.when(moved, F.col(v)).otherwise(F.col(c)) for c, v in written.items()} | {"queue": F.coalesce("_named", "queue")}
+    so_far = W.partitionBy("item_id").orderBy("_turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stood = rows.withColumn("_stood", F.last("_queue", ignorenulls=True).over(so_far)).drop("queue").join(items.select("item_id", "queue"), "item_id")
+    transitions = stood.select("move_id", "item_id", "from_state", "to_state", F.coalesce("_stood", "queue").alias("queue"), "author", "justification", "occurred_at")
+    return items.join(last, "item_id", "left").select(*[after.get(c, F.col(c)).alias(c) for c in items.columns]), transitions
+
+
 def to_open(verdicts: DataFrame, existing: DataFrame) -> DataFrame:
     """Items to open: finding_key, package_id, queue.
 

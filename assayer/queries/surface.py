@@ -249,11 +249,11 @@ o AS (SELECT r.*, row_number() OVER (PARTITION BY item_id ORDER BY requested_at,
 i AS (SELECT c_custkey AS item_id, ['open', 'triaged', 'in_progress', 'resolved'][1 + c_nationkey % 4] AS state FROM customer WHERE c_custkey % 10 <> 0)"""
 
 
-@query("transitions_in_order", "WITH RECURSIVE " + _MOVES + """, f AS (SELECT o.item_id, 0::BIGINT AS n, NULL::BIGINT AS request_id, i.state, NULL::VARCHAR AS answer FROM (SELECT DISTINCT item_id FROM o) o LEFT JOIN i USING (item_id)
- UNION ALL SELECT o.item_id, o.n, o.request_id, CASE WHEN f.state = o.expected_state AND o.refused IS NULL THEN o.to_state ELSE f.state END, CASE WHEN f.state IS NULL THEN 'no such item' WHEN f.state <> o.expected_state THEN 'stale' ELSE coalesce(o.refused, 'applied') END FROM f JOIN o ON o.item_id = f.item_id AND o.n = f.n + 1)
-SELECT request_id, item_id, answer FROM f WHERE n > 0""")
-def transitions_in_order(t: Tables):
-    """Each user's events as requests about one item, judged one after another."""
+_JUDGED = "WITH RECURSIVE " + _MOVES + """, f AS (SELECT o.item_id, 0::BIGINT AS n, NULL::BIGINT AS request_id, i.state, NULL::VARCHAR AS answer FROM (SELECT DISTINCT item_id FROM o) o LEFT JOIN i USING (item_id)
+ UNION ALL SELECT o.item_id, o.n, o.request_id, CASE WHEN f.state = o.expected_state AND o.refused IS NULL THEN o.to_state ELSE f.state END, CASE WHEN f.state IS NULL THEN 'no such item' WHEN f.state <> o.expected_state THEN 'stale' ELSE coalesce(o.refused, 'applied') END FROM f JOIN o ON o.item_id = f.item_id AND o.n = f.n + 1)"""
+
+
+def _requests(t: Tables):
     e = F.col("event_id")
     pick = lambda values, n: F.element_at(vocab.strings(values), n.cast("int"))
     requests = t.events.select(
@@ -263,4 +263,38 @@ def transitions_in_order(t: Tables):
         F.when(e % 7 == 0, "visitor").otherwise("security_reviewer").alias("role"), F.when(e % 3 == 0, "as agreed").otherwise(" ").alias("justification"),
     )
     items = t.customer.where(F.col("c_custkey") % 10 != 0).select(F.col("c_custkey").alias("item_id"), pick(("open", "triaged", "in_progress", "resolved"), 1 + F.col("c_nationkey") % 4).alias("state"))
-    return workflow.in_order(requests, items, "day").select("request_id", "item_id", "answer")
+    return requests, items
+
+
+@query("transitions_in_order", _JUDGED + " SELECT request_id, item_id, answer FROM f WHERE n > 0")
+def transitions_in_order(t: Tables):
+    """Each user's events as requests about one item, judged one after another."""
+    return workflow.in_order(*_requests(t), "day").select("request_id", "item_id", "answer")
+
+
+#: Applied requests: queue as each leaves it; and SQL of items as they were.
+_MADE = _JUDGED + """, m AS (SELECT o.*, CASE WHEN o.request_id % 4 = 0 THEN 'q' || o.request_id % 3 ELSE '' END AS q FROM f JOIN o USING (request_id) WHERE answer = 'applied'),
+w AS (SELECT *, coalesce(last_value(nullif(q, '') IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY n ROWS UNBOUNDED PRECEDING), 'first') AS stood FROM m)"""
+
+
+def _applied(t: Tables):
+    requests, items = _requests(t)
+    e = F.col("request_id")
+    done = workflow.in_order(requests, items, "day").where(F.col("answer") == "applied")
+    moves = done.select(
+        e.alias("move_id"), "item_id", F.col("expected_state").alias("from_state"), "to_state", F.when(e % 4 == 0, F.concat(F.lit("q"), (e % 3).cast("string"))).otherwise("").alias("queue"),
+        F.concat(F.lit("u"), (e % 5).cast("string")).alias("author"), "justification", F.col("requested_at").alias("occurred_at"),
+    )
+    held = items.select("item_id", F.lit("first").alias("queue"), "state", F.when(F.col("state") == "in_progress", "u9").alias("claimed_by"), F.lit("2023-12-31 00:00:00").cast("timestamp_ntz").alias("changed_at"))
+    return workflow.applied(moves, held)
+
+
+@query("transitions_made", _MADE + " SELECT request_id AS move_id, item_id, expected_state AS from_state, to_state, stood AS queue, 'u' || request_id % 5 AS author, justification, requested_at AS occurred_at FROM w")
+def transitions_made(t: Tables):
+    return _applied(t)[1]
+
+
+@query("items_moved", _MADE + """, z AS (SELECT item_id, arg_max(to_state, n) AS s, arg_max(request_id, n) AS e, arg_max(stood, n) AS q, max(requested_at) AS moved_at FROM w GROUP BY 1)
+SELECT i.item_id, coalesce(q, 'first') AS queue, coalesce(s, i.state) AS state, CASE WHEN s = 'in_progress' THEN 'u' || e % 5 WHEN s IS NULL AND i.state = 'in_progress' THEN 'u9' END AS claimed_by, coalesce(moved_at, TIMESTAMP '2023-12-31 00:00:00') AS changed_at FROM i LEFT JOIN z USING (item_id)""")
+def items_moved(t: Tables):
+    return _applied(t)[0]

@@ -539,3 +539,15 @@ def test_a_surface_names_the_row_that_its_fix_was_read_from(spark):
     assert out[1].detail == "old evidence: conda_package no freshness target: pypi other versions than 2.0 on: feedstock"  # no target: not compared
     untimed = passes.remediation(packages, findings, evidence, at(1), {"source": 2}, advisory_days=None).where("package_id >= 5").orderBy("package_id").collect()
     assert [r.detail for r in untimed] == ["no freshness target: advisories no freshness target: pypi, feedstock, conda_package version 2.0 was not seen on: source, pypi, feedstock, conda_package", "no freshness target: advisories no advisory evidence at the cut-off"]
+
+
+def test_moves_claim_release_and_requeue_items(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    items = spark.createDataFrame([(1, "a", "open", None, day(0), "x"), (2, "a", "in_progress", "old", day(0), "y"), (3, "b", "open", None, day(0), "z")], "item_id long, queue string, state string, claimed_by string, changed_at timestamp, note string")
+    schema = "move_id long, item_id long, from_state string, to_state string, queue string, author string, justification string, occurred_at timestamp"
+    rows = [(3, 1, "triaged", "in_progress", None, "u2", None, day(2)), (1, 1, "open", "triaged", "c", "u1", "r", day(1)), (2, 2, "in_progress", "resolved", " ", "system", "absent", day(1)), (4, 9, "open", "triaged", None, "u", None, day(1))]
+    after, made = workflow.applied(spark.createDataFrame(rows, schema), items)
+    assert sorted(tuple(r) for r in after.collect()) == [(1, "c", "in_progress", "u2", day(2), "x"), (2, "a", "resolved", None, day(1), "y"), (3, "b", "open", None, day(0), "z")]
+    assert sorted((r.move_id, r.queue, r.author) for r in made.collect()) == [(1, "c", "u1"), (2, "a", "system"), (3, "c", "u2")]
+    none = workflow.applied(spark.createDataFrame([], schema), items)
+    assert sorted(none[0].collect()) == sorted(items.collect()) and none[1].count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -11,6 +12,10 @@ from assayer import adapters
 from assayer.queries import evidence, identity, reading, records, runs, stored, surface, upkeep  # noqa: F401
 
 
+#: Operators that run Python on executors.
+PYTHON = re.compile(r"EvalPython|PythonUDF|InPandas|InArrow|InPandasWithState|PythonMapInArrow|MapPartitions")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
@@ -26,6 +31,7 @@ def shown(value):
 @pytest.mark.parametrize("name", sorted(adapters.QUERIES))
 def test_query_equals_its_sql(name, spark, duck, sf_dir):
     df = adapters.QUERIES[name](spark, sf_dir)
+    assert not PYTHON.search(df._jdf.queryExecution().executedPlan().toString())
     columns = sorted(df.columns)
     got = sorted(tuple(shown(r[c]) for c in columns) for r in df.collect())
     if name not in adapters.ORACLE_SQL:

@@ -133,6 +133,24 @@ def page(rows: DataFrame, number: int = 1, size: int = PAGE) -> DataFrame:
     return rows.offset((max(number, 1) - 1) * size).limit(size)
 
 
+def placed(rows: DataFrame, folder: str) -> DataFrame:
+    """Ordered rows with their place, from 1: each sorted partition counts its own rows, and starts after those before it.
+
+    The rows are written to the folder once, so that counts and rows are of one order.
+    """
+    marked = rows.withColumn("_at", F.monotonically_increasing_id())  # partition and place in it
+    marked.write.parquet(folder)
+    held = rows.sparkSession.read.schema(marked.schema).parquet(folder)
+    part = F.shiftright("_at", 33)
+    before, starts = 0, []
+    for r in held.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        starts.append((r["_part"], before))
+        before += r["n"]
+    first = rows.sparkSession.createDataFrame(starts, "_part long, _first long")
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(first), F.col("_part") == part).select(*rows.columns, (F.col("_first") + own + 1).alias("place"))
+
+
 def excluded(cond: Column) -> Column:
     """The negation that keeps rows where the condition is null."""
     return ~F.coalesce(cond, F.lit(False))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
 
 from assayer.adapters import CUTOFF, EV, EVC, PKG, Tables, query
@@ -10,6 +11,7 @@ from assayer.functions import vocab
 from assayer.operators import asof, digest, reports, surface, workflow
 from assayer.queries.surface import _LEDGER, ledger
 from assayer.sources import documents
+from assayer.streaming.folders import scratch
 
 _H = f"""WITH {PKG}, health AS (SELECT package_id, canonical_name, confidence, CAST(package_id % 2 AS BIGINT) AS policy_run_id,
   CASE package_id % 5 WHEN 0 THEN 'behind' WHEN 1 THEN 'error' WHEN 2 THEN 'unknown' ELSE 'current' END AS currency_status,
@@ -129,9 +131,10 @@ _WITH_X = " FROM health LEFT JOIN x licence_x ON licence_x.package_id = health.p
 _PARAMS = {"licence": ["forbidden", "restricted"], "feedstock": ["absent"], "q": [" Customer#0000 "], "other": ["x"]}
 
 
-@query("listing_composed", _H + _X + f" SELECT health.package_id, canonical_name, licence_x.id % 100 AS score{_WITH_X} WHERE {_ASKED} AND inventory_absent_since IS NULL")
+@query("listing_composed", _H + _X + f" SELECT health.package_id, canonical_name, licence_x.id % 100 AS score, row_number() OVER (ORDER BY canonical_name, health.package_id) AS place{_WITH_X} WHERE {_ASKED} AND inventory_absent_since IS NULL")
 def listing_composed(t: Tables):
-    return surface.listing(_health(t), _one(t), _PARAMS, "odd").select("package_id", "canonical_name", "score")
+    rows = surface.listing(_health(t), _one(t), _PARAMS, "odd")
+    return surface.placed(rows.select("package_id", "canonical_name", "score"), f"{scratch(t.spark)}/listing-{uuid.uuid4().hex}")  # the order, as a column to compare
 
 
 @query("listing_by_rank", _H + _X + f" SELECT health.package_id, priority_status, licence_x.id % 100 AS score{_WITH_X} WHERE work_type_status = 'create_recipe' AND currency_status IN ('current', 'behind') ORDER BY CAST(substr(priority_status, 2) AS INTEGER), score DESC NULLS FIRST, health.package_id LIMIT 50".replace("FROM health LEFT", "FROM health JOIN work USING (package_id) LEFT"))

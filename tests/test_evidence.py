@@ -11,9 +11,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from assayer import adapters
 from assayer.functions import licence_terms, specifiers, text, vocab
 from assayer.operators import asof, collection, digest, inventory, presence, replay, retention, surface, workflow
 from assayer.plans import passes, registry, rollup, run
+from assayer.queries import reading, records, runs, stored, upkeep  # noqa: F401
 from assayer.sources import documents, files
 
 T0 = datetime(2024, 1, 1)
@@ -551,3 +553,15 @@ def test_moves_claim_release_and_requeue_items(spark):
     assert sorted((r.move_id, r.queue, r.author) for r in made.collect()) == [(1, "c", "u1"), (2, "a", "system"), (3, "c", "u2")]
     none = workflow.applied(spark.createDataFrame([], schema), items)
     assert sorted(none[0].collect()) == sorted(items.collect()) and none[1].count() == 0
+
+
+def test_listing_composed_numbers_its_whole_order(spark, sf_dir):
+    got = adapters.QUERIES["listing_composed"](spark, sf_dir).collect()
+    assert len(got) > 2 and [r.place for r in sorted(got, key=lambda r: (r.canonical_name, r.package_id))] == list(range(1, len(got) + 1))
+
+
+def test_places_count_over_partitions(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 5).select(((F.col("id") * 7919) % 1009).alias("k"), "id")
+    got = surface.placed(rows.repartition(7).orderBy("k"), str(tmp_path / "rows")).collect()
+    assert [r.place for r in sorted(got, key=lambda r: r.k)] == list(range(1, 1001))
+    assert surface.placed(rows.where("id < 0").orderBy("k"), str(tmp_path / "none")).collect() == []

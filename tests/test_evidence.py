@@ -565,3 +565,11 @@ def test_places_count_over_partitions(spark, tmp_path):
     got = surface.placed(rows.repartition(7).orderBy("k"), str(tmp_path / "rows")).collect()
     assert [r.place for r in sorted(got, key=lambda r: r.k)] == list(range(1, 1001))
     assert surface.placed(rows.where("id < 0").orderBy("k"), str(tmp_path / "none")).collect() == []
+
+
+def test_purge_survivors_takes_out_what_any_returned_line_names(spark, tmp_path):
+    spark.createDataFrame([(i, i * 10) for i in range(1, 6)], "p_partkey long, p_size long").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(1, "R", 41), (2, "R", 40), (2, "N", 7), (3, "N", 40), (4, None, 80)]
+    spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = adapters.QUERIES["purge_survivors"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.p_size) for r in got) == [(3, 30), (4, 40), (5, 50)]

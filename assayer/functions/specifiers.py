@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions.text import once
+
 SEGMENTS, CLAUSES = 8, 32
 
 
@@ -29,9 +31,13 @@ def _parsed(clause: Column) -> Column:
     text = F.trim(F.regexp_replace(clause, r"^(===|~=|==|!=|<=|>=|<|>)", ""))
     wild = text.endswith(".*")
     plain = F.regexp_replace(text, r"\.\*$", "")
-    good = (op != "") & plain.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9}){0,7}$") & (~wild | op.isin("==", "!=")) & ((op != "~=") | plain.contains("."))
-    release = F.when(good, F.transform(F.split(plain, r"\."), lambda x: x.cast("int"))).otherwise(F.array(F.lit(0), F.lit(0)))
-    return F.struct(op.alias("op"), wild.alias("wild"), release.alias("release"), good.alias("good"))
+
+    def read(c: Column) -> Column:
+        good = (c["op"] != "") & c["plain"].rlike(r"^[0-9]{1,9}(\.[0-9]{1,9}){0,7}$") & (~c["wild"] | c["op"].isin("==", "!=")) & ((c["op"] != "~=") | c["plain"].contains("."))
+        release = lambda good: F.when(good, F.transform(F.split(c["plain"], r"\."), lambda x: x.cast("int"))).otherwise(F.array(F.lit(0), F.lit(0)))
+        return once(good, lambda good: F.struct(c["op"].alias("op"), c["wild"].alias("wild"), release(good).alias("release"), good.alias("good")))
+
+    return once(F.struct(op.alias("op"), wild.alias("wild"), plain.alias("plain")), read)
 
 
 def _lower(c: Column) -> Column:
@@ -54,6 +60,10 @@ def _upper(c: Column) -> Column:
 def admits(specifier: Column, series: tuple[int, ...] = (3, 14)) -> Column:
     """admitted, excluded, unreadable, or unstated for a blank specifier."""
     clauses = F.transform(F.filter(F.transform(F.split(specifier, ","), lambda x: F.trim(x)), lambda x: x != ""), _parsed)
+    return F.when(F.trim(F.coalesce(specifier, F.lit(""))) == "", "unstated").otherwise(once(clauses, lambda read: _admitted(read, series)))
+
+
+def _admitted(clauses: Column, series: tuple[int, ...]) -> Column:
     own = F.array(*[F.lit(x) for x in series])
     low = F.greatest(F.array_max(F.transform(clauses, _lower)), _bound(own, 0))
     high = F.least(F.array_min(F.transform(clauses, _upper)), _bound(_next(own), 0))
@@ -63,8 +73,7 @@ def admits(specifier: Column, series: tuple[int, ...] = (3, 14)) -> Column:
     )
     reached = F.aggregate(F.array_sort(gaps), low, lambda at, gap: F.when((gap["low"] <= at) & (gap["high"] > at), gap["high"]).otherwise(at))
     return (
-        F.when(F.trim(F.coalesce(specifier, F.lit(""))) == "", "unstated")
-        .when((F.size(clauses) == 0) | (F.size(clauses) > CLAUSES) | F.exists(clauses, lambda c: ~c["good"]), "unreadable")
+        F.when((F.size(clauses) == 0) | (F.size(clauses) > CLAUSES) | F.exists(clauses, lambda c: ~c["good"]), "unreadable")
         .when(reached < high, "admitted")
         .otherwise("excluded")
     )

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, read: Callable[[Column], Column]) -> Column:
+    """read(value), with the value worked out once a row, however often it is read."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
+
+
 def comparable_version(version: Column) -> Column:
     """A version without white space around it and without the v before its number; a lone v is empty."""
     cut = F.trim(version)
@@ -50,11 +57,14 @@ def repository(url: Column, host: str = "github.com") -> Column:
     cut = F.lower(F.trim(url))
     own = host.replace(".", r"\.")
     path = F.regexp_replace(F.regexp_replace(cut, rf"^https?://(www\.)?{own}/+", ""), r"[?#].*$", "")
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    name = F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
-    tail = F.get(parts, F.lit(2))
-    good = cut.rlike(rf"^https?://(www\.)?{own}/") & (F.size(parts) >= 2) & (tail.isNull() | tail.isin("tree", "blob")) & (name != "")
-    return F.when(good, F.concat(F.lit(f"https://{host}/"), F.get(parts, F.lit(0)), F.lit("/"), name))
+
+    def named(parts: Column) -> Column:
+        name = F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")
+        tail = F.get(parts, F.lit(2))
+        good = (F.size(parts) >= 2) & (tail.isNull() | tail.isin("tree", "blob")) & (name != "")
+        return F.when(good, F.concat(F.lit(f"https://{host}/"), F.get(parts, F.lit(0)), F.lit("/"), name))
+
+    return F.when(cut.rlike(rf"^https?://(www\.)?{own}/"), once(F.filter(F.split(path, "/"), lambda x: x != ""), named))
 
 
 #: Labels of links to a repository in the order that one is chosen, and labels of issue trackers.
@@ -64,10 +74,13 @@ ISSUE_LABELS = ("Issues", "Issue Tracker", "Bug Tracker", "Tracker")
 
 def chosen_repository(urls: Column) -> Column:
     """The repository that a map of labelled links names: by label, else the home page, else an issue tracker's."""
-    labelled = F.transform_keys(urls, lambda k, v: project_label(k))
-    of = lambda name: labelled[F.lit("".join(c for c in name.lower() if c.isalnum()))]
-    tracker = lambda name: repository(F.regexp_replace(of(name), r"/issues/*$", ""))
-    return F.coalesce(*[repository(of(n)) for n in REPOSITORY_LABELS], repository(of("Homepage")), *[tracker(n) for n in ISSUE_LABELS])
+
+    def chosen(labelled: Column) -> Column:
+        of = lambda name: labelled[F.lit("".join(c for c in name.lower() if c.isalnum()))]
+        tracker = lambda name: repository(F.regexp_replace(of(name), r"/issues/*$", ""))
+        return F.coalesce(*[repository(of(n)) for n in REPOSITORY_LABELS], repository(of("Homepage")), *[tracker(n) for n in ISSUE_LABELS])
+
+    return once(F.transform_keys(urls, lambda k, v: project_label(k)), chosen)
 
 
 def scheme_of(identifier: Column) -> Column:

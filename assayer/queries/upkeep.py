@@ -198,7 +198,7 @@ def index_readiness(t: Tables):
     i, n = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
     named = F.when(i == 0, F.array(F.lit("Programming Language :: Python :: 3.14"))).when(i == 1, F.array(F.lit("Programming Language :: Python :: 3.12"))).otherwise(F.array().cast("array<string>"))
     info = F.struct(F.lit("1").alias("version"), F.concat(F.lit(">=3."), F.col("p_size").cast("string")).alias("requires_python"), named.alias("classifiers"), F.create_map(F.lit("Source_Code"), F.concat(F.lit("https://github.com/O/R"), n), F.lit("Homepage"), F.lit("https://github.com/x/y")).alias("project_urls"))
-    docs = t.part.select(F.col("p_partkey").alias("package_id"), F.to_json(F.struct(info.alias("info"))).alias("body"))
+    docs = t.part.select("p_partkey", "p_size").repartition("p_partkey").select(F.col("p_partkey").alias("package_id"), F.to_json(F.struct(info.alias("info"))).alias("body"))  # a narrow table has few row groups, its documents cost much
     return documents.index_facts(docs).select("package_id", "readiness", "deciding_signal", "repository")
 
 

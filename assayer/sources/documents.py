@@ -123,8 +123,11 @@ def index_facts(documents: DataFrame, series: tuple[int, ...] = (3, 14)) -> Data
     classes = d["info"]["classifiers"]
     named = F.array_contains(classes, f"Programming Language :: Python :: {series[0]}.{series[1]}")
     reading = admits(d["info"]["requires_python"], series)
-    ready = F.when(reading == "excluded", "inferred_not_ready").when(named, "inferred_ready").when(declares_versions(classes), "inferred_not_ready").when(reading == "admitted", "inferred_ready").otherwise("unknown")
-    signal = F.when(reading == "excluded", "specifier").when(named | declares_versions(classes), "classifier").when(reading == "admitted", "specifier").otherwise("")
+    judged = F.struct(reading.alias("reading"), named.alias("named"), declares_versions(classes).alias("declared"))
+    reading, named, declared = (F.col("judged")[c] for c in ("reading", "named", "declared"))
+    ready = F.when(reading == "excluded", "inferred_not_ready").when(named, "inferred_ready").when(declared, "inferred_not_ready").when(reading == "admitted", "inferred_ready").otherwise("unknown")
+    signal = F.when(reading == "excluded", "specifier").when(named | declared, "classifier").when(reading == "admitted", "specifier").otherwise("")
+    rows = rows.withColumn("judged", text.once(judged, lambda j: j))
     return rows.select("package_id", d["info"]["version"].alias("version"), F.array_min(F.filter(uploads, lambda x: x.isNotNull())).alias("released_at"), text.chosen_repository(d["info"]["project_urls"]).alias("repository"), ready.alias("readiness"), signal.alias("deciding_signal"))
 
 

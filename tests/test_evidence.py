@@ -573,3 +573,11 @@ def test_purge_survivors_takes_out_what_any_returned_line_names(spark, tmp_path)
     spark.createDataFrame(lines, "l_partkey long, l_returnflag string, l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = adapters.QUERIES["purge_survivors"](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.p_size) for r in got) == [(3, 30), (4, 40), (5, 50)]
+
+
+def test_index_facts_work_each_specifier_out_once_and_over_all_cores(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "{}")], "package_id long, body string")
+    plan = documents.index_facts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("transform_keys(") == 1
+    whole = adapters.QUERIES["index_readiness"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in whole and whole.index("from_json") < whole.index("RepartitionByExpression")

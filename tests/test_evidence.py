@@ -581,3 +581,12 @@ def test_index_facts_work_each_specifier_out_once_and_over_all_cores(spark, sf_d
     assert plan.count("regexp_extract(") == 1 and plan.count("transform_keys(") == 1
     whole = adapters.QUERIES["index_readiness"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [p_partkey" in whole and whole.index("from_json") < whole.index("RepartitionByExpression")
+
+
+def test_vulnerability_pass_has_a_key_where_no_cross_reference_names_a_finding(spark):
+    packages = spark.range(5).select(F.col("id").alias("package_id"))
+    found = spark.range(20).select((F.col("id") % 5).alias("package_id"), "id", F.lit(at(1)).alias("observed_at"), F.lit("matched").alias("state"), F.lit(False).alias("nothing_matched"), F.lit("high").alias("severity"))
+    kev = spark.range(4).select(F.col("id").alias("package_id"), "id", F.lit(at(1)).alias("observed_at"), F.lit("listed").alias("state"), F.lit(None).cast("long").alias("finding_id"))
+    out = passes.vulnerability(packages, found, kev, at(2), passes.RISK_ORDER)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.package_id: r.kev_membership for r in out.collect()} == {0: "listed", 1: "listed", 2: "listed", 3: "listed", 4: "not_established"}

@@ -590,3 +590,10 @@ def test_vulnerability_pass_has_a_key_where_no_cross_reference_names_a_finding(s
     out = passes.vulnerability(packages, found, kev, at(2), passes.RISK_ORDER)
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.package_id: r.kev_membership for r in out.collect()} == {0: "listed", 1: "listed", 2: "listed", 3: "listed", 4: "not_established"}
+
+
+def test_derive_judges_packages_over_all_cores(spark):
+    packages = spark.range(0, 300_000, 1, 1).select(F.col("id").alias("package_id"), F.sha2(F.col("id").cast("string"), 256).alias("canonical_name"))
+    split = registry.Registry([registry.Pass("place", "place", lambda c: c.packages.select("package_id", F.spark_partition_id().alias("place")))])
+    out = run.derive({"packages": packages}, at(2), {}, registry=split)
+    assert out["place"].count() == 300_000 and out["place"].select("place").distinct().count() > 1

@@ -597,3 +597,14 @@ def test_derive_judges_packages_over_all_cores(spark):
     split = registry.Registry([registry.Pass("place", "place", lambda c: c.packages.select("package_id", F.spark_partition_id().alias("place")))])
     out = run.derive({"packages": packages}, at(2), {}, registry=split)
     assert out["place"].count() == 300_000 and out["place"].select("place").distinct().count() > 1
+
+
+def test_typed_evidence_spreads_its_documents(spark, sf_dir, monkeypatch):
+    files_read, plain = [], stored.typed.batch
+    monkeypatch.setattr(stored.typed, "batch", lambda rows, number, folder: (files_read.append(rows.select(F.input_file_name()).distinct().count()), plain(rows, number, folder))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a thousand events would be one part
+    try:
+        adapters.QUERIES["typed_evidence"](spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files_read) == 3 and min(files_read) > 1

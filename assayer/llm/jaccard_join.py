@@ -6,12 +6,17 @@
 2. A set's shingles are put in one order, those of few classes first.  Sets that
    link share c of their first s - ceil(percent * s) + c shingles, for any c.
    Shingles of one class only count as places.
-3. Light sets (of few shingles) enumerate the subsets of two of such a prefix
-   (c = 2), and sets that hold a subset meet.  Heavy sets have too many subsets:
-   the inverted lists of their prefix's shingles (c = 1) are scanned, in which
-   light sets also stand that a heavy one could link with.  The boundary is the size at
-   which subsets and scanned postings together are fewest, from sums by size.
-4. Sets that meet in a subset or a list are tied, if their sizes allow a link, to
+3. A shingle's inverted list is the sets that have it in their prefix.  Shingles
+   with the same list stand for one another, so sets keep their distinct lists.
+   Lists of one set go.
+4. Light sets (of few shingles) enumerate the subsets of two of such a prefix
+   (c = 2), and sets that hold a subset meet.  Two shingles of one list are met by
+   the whole list, which needs no further subset; of the other lists each two are
+   one.  Heavy sets have too many subsets: the lists of their prefix's shingles
+   (c = 1) are scanned, in which light sets also stand that a heavy one could link
+   with.  The boundary is the size at which subsets and lists together are fewest,
+   from sums by size; so rows grow as the prefixes do, however long a list is.
+5. Sets that meet in a subset or a list are tied, if their sizes allow a link, to
    the smallest doc_id there; so a hot list adds a row for each of its sets and no
    pairs.  Components of ties are neighbourhoods, in which full sets decide links
    until all pairs that aren't in one group were compared (`near_dedup.confirmed_links`).
@@ -114,11 +119,12 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-_PREFIX = "doc_id long, n_shingles long, elements array<long>, single int, subsets long, scanned double"
+_PREFIX = "row long, doc_id long, n_shingles long, elements array<long>, single int"
 
 
 def _prefixes(size: int, bits: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefixes of the sets that may link: shingles of several classes, fewest classes first; the first `single` are the prefix for c = 1."""
+    number = TaskContext.get().partitionId() << 36
     for row in exchange.in_slices(batches):
         block = row.to_pylist()[0]
         total, _ = exchange.read_answers(block["answers"], block["got"])
@@ -142,15 +148,27 @@ def _prefixes(size: int, bits: int, percent: int, batches: Iterator[pa.RecordBat
                 one = int(n[d] - least_overlap(n[d], percent) + 1)
                 order = order[: one + 1]
                 order, single = order[r[order] > 0], int((r[order[:one]] > 0).sum())
-                e = len(order)
-                out.append((docs[d], n[d], own[order].view(np.int64), single, e * (e - 1) // 2, float((2.0 ** r[order[:single]]).sum())))
+                out.append((number, docs[d], n[d], own[order].view(np.int64), single))
+                number += 1
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split(" ")[0] for c in _PREFIX.split(", ")])
 
 
+def _lists(prefixes: DataFrame, scratch: tables.Scratch) -> DataFrame:
+    """Each set's distinct lists: those of several of its shingles, those of one, and those of the prefix for c = 1; and how many subsets and lists that makes."""
+    elements = prefixes.select("row", "doc_id", "n_shingles", "single", F.posexplode("elements").alias("at", "element"))
+    lists = scratch.written(elements.groupBy("element").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("row")).alias("list")).where("sets > 1").drop("sets"), "lists")
+    own = elements.join(lists, "element").repartition("row").groupBy("row", "doc_id", "n_shingles", "list").agg((F.count("*") > 1).alias("several"), F.bool_or(F.col("at") < F.col("single")).alias("single"))
+    held = lambda c: F.collect_list(F.when(c, F.col("list")))  # noqa: E731  of one set: no more than its prefix
+    lone = F.count_if(~F.col("several"))
+    subsets = F.count_if("several") + F.floor(lone * (lone - 1) / 2)
+    sums = own.groupBy("row", "doc_id", "n_shingles").agg(held(F.col("several")).alias("several"), held(~F.col("several")).alias("lone"), held(F.col("single")).alias("first"), subsets.alias("subsets"), F.count_if("single").alias("scanned"))
+    return scratch.written(sums, "held")
+
+
 def boundary(costs: list[tuple[int, float, float]]) -> int:
-    """The largest size of a light set, from (largest size, subsets, scanned postings) of sizes: where both together are fewest."""
+    """The largest size of a light set, from (largest size, subsets, scanned lists) of sizes: where both together are fewest."""
     costs = sorted(costs)
     best, at, light, heavy = math.inf, 0, 0.0, sum(c[2] for c in costs)
     for size, subsets, scanned in [(0, 0.0, 0.0), *costs]:
@@ -164,16 +182,17 @@ def _meetings(light: int, percent: int, batches: Iterator[pa.RecordBatch]) -> It
     """Where sets meet: a hash of a subset or a list, and of a level of sizes; sets that can link are on the same level or on neighbouring ones."""
     step = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
     for batch in batches:
-        for doc, n, elements, single in zip(*(batch.column(c) for c in ("doc_id", "n_shingles", "elements", "single"))):
-            own, n = np.asarray(elements.values).astype(np.int64).view(np.uint64), n.as_py()
-            found = []
+        for doc, n, *lists in zip(*(batch.column(c) for c in ("doc_id", "n_shingles", "several", "lone", "first"))):
+            several, lone, first = (np.asarray(x.values).astype(np.int64).view(np.uint64) for x in lists)
+            n, found = n.as_py(), []
             with np.errstate(over="ignore"):
                 if n <= light:
-                    low = np.sort(own)
+                    low = np.sort(lone)
                     i, j = np.triu_indices(len(low), 1)
-                    found.append(words.mixed(words.mixed(words.mixed(low[i]) + low[j])))
+                    i, j = np.concatenate([several, low[i]]), np.concatenate([several, low[j]])
+                    found.append(words.mixed(words.mixed(words.mixed(i) + j)))
                 if n > light or n * 100 >= light * percent:
-                    found.append(own[: single.as_py()])
+                    found.append(first)
                 level = np.uint64(int(math.log(n) / step))
                 where = np.concatenate([words.mixed(x) + level + np.uint64(up) for x in found for up in (0, 1)])
             yield pa.RecordBatch.from_arrays([pa.array(words.mixed(where).view(np.int64)), pa.array(np.full(len(where), doc.as_py(), np.int64))], ["place", "doc_id"])
@@ -200,9 +219,10 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
         answers = exchange.answered(sent.where(F.col("bucket").isNotNull()), got.count(), scratch)
         whole = texts.join(got, "block").join(answers, "block", "left")
         prefixes = scratch.written(whole.mapInArrow(partial(_prefixes, shingle, bits, percent), _PREFIX), "prefixes")
-        by_size = prefixes.groupBy(F.floor(4 * F.log2("n_shingles")).alias("sizes")).agg(F.max("n_shingles").alias("largest"), F.sum("subsets").alias("subsets"), F.sum("scanned").alias("scanned"))
-        light = boundary([(r["largest"], float(r["subsets"]), r["scanned"]) for r in by_size.collect()])  # four rows for each power of two
-        meetings = scratch.written(prefixes.mapInArrow(partial(_meetings, light, percent), "place long, doc_id long"), "meetings")
+        held = _lists(prefixes, scratch)
+        by_size = held.groupBy(F.floor(4 * F.log2("n_shingles")).alias("sizes")).agg(F.max("n_shingles").alias("largest"), F.sum("subsets").alias("subsets"), F.sum("scanned").alias("scanned"))
+        light = boundary([(r["largest"], float(r["subsets"]), float(r["scanned"])) for r in by_size.collect()])  # four rows for each power of two
+        meetings = scratch.written(held.mapInArrow(partial(_meetings, light, percent), "place long, doc_id long"), "meetings")
         least = meetings.groupBy("place").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("place", "a")
         forest = scratch.written(meetings.join(scratch.written(least, "places"), "place").where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "ties")
         links = confirmed_links(cut, forest, components(forest, scratch), reps, percent, scratch, shingle)

@@ -275,6 +275,24 @@ def test_rows_that_share_an_id_join_what_each_links(spark):
     assert rows_of(jaccard_join.joined(docs), "doc_id", "n_shingles", "component_id") == brute_join(rows, 85, 4)
 
 
+@pytest.mark.parametrize("copies", [20, 160])
+def test_sets_of_a_large_group_meet_in_few_places(spark, monkeypatch, copies):
+    """Near copies send rows as their number, not as the subsets or pairs that they make."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows, sent = [word() for _ in range(400)], [], {}
+    for i in range(copies):
+        near = list(base)
+        for k in rng.sample(range(400), 3):
+            near[k] = word()
+        rows.append((i + 1, " ".join(near)))
+    written = tables.Scratch.written
+    monkeypatch.setattr(tables.Scratch, "written", lambda self, df, name: (df := written(self, df, name), sent.setdefault(name, df.count()))[0])
+    got = rows_of(jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_join(rows, 85, 4)
+    assert 0 < sent["meetings"] <= 2 * 62 * copies  # at most two for each shingle of the prefix: 397 - 338 + 2, and one over
+
+
 def test_boundary_is_where_both_are_fewest():
     assert jaccard_join.boundary([]) == 0
     assert jaccard_join.boundary([(10, 5.0, 50.0), (20, 30.0, 60.0), (40, 900.0, 70.0)]) == 20

@@ -31,11 +31,11 @@ def removable(evidence: DataFrame, keys: Sequence[str], surviving: DataFrame, cu
     day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
     by_day = cuts.groupBy(day(F.col("c")).alias("day")).agg(F.sort_array(F.collect_list("c")).alias("cs"))  # cut-offs of one day
     first, last = day(F.col("observed_at")), day(F.col("next"))
+    bound = by_day.agg(F.sort_array(F.collect_list("day")).alias("days"))  # one row; a run a day for a century is 36 500 numbers
+    spans = spans.crossJoin(F.broadcast(bound)).where(~F.exists("days", lambda d: (d > first) & (d < last))).drop("days")  # the others are read
     edges = spans.withColumn("day", F.explode(F.array_distinct(F.array(first, last))))
     inside = edges.join(by_day, "day").where(F.exists("cs", lambda c: (c >= F.col("observed_at")) & (c < F.col("next")))).select(*keys, "observed_at")
-    bound = by_day.agg(F.sort_array(F.collect_list("day")).alias("days"))  # one row; a run a day for a century is 36 500 numbers
-    whole = spans.where(last - first >= 2).crossJoin(F.broadcast(bound)).where(F.exists("days", lambda d: (d > first) & (d < last))).select(*keys, "observed_at")
-    free = spans.select(*keys, "observed_at").join(inside.unionByName(whole).distinct(), [*keys, "observed_at"], "left_anti")
+    free = spans.select(*keys, "observed_at").join(inside, [*keys, "observed_at"], "left_anti")
     return evidence.join(free, [*keys, "observed_at"], "left_semi")
 
 

@@ -61,9 +61,9 @@ class Parts:
         return version + 1
 
     def _written(self, rows: DataFrame) -> dict[str, list[str]]:
-        """New folders of rows' parts."""
+        """New folders of rows' parts: rows of a part come together first, a large part's to several tasks, so that files don't grow as tasks times parts."""
         top = f"{self.folder}/data/{uuid.uuid4().hex}"
-        rows.withColumn("_part", F.col(self.column).cast("string")).write.partitionBy("_part").parquet(top)
+        rows.withColumn("_part", F.col(self.column).cast("string")).hint("rebalance", "_part").write.partitionBy("_part").parquet(top)
         path, fs = self._fs(top)
         found = {}
         for s in fs.listStatus(path):

@@ -608,3 +608,17 @@ def test_typed_evidence_spreads_its_documents(spark, sf_dir, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files_read) == 3 and min(files_read) > 1
+
+
+def test_a_part_has_files_by_its_size_and_not_by_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from assayer.sources.parts import Parts
+
+    rows = spark.range(0, 800, 1, 16).selectExpr("id", "id % 5 AS part")
+    held = Parts(spark, str(tmp_path / "held"), "part", rows.schema)
+    held.append(rows)
+    held.rewrite(["3"], held.read(["3"]).repartition(16))
+    files = {part: sum(len(list(Path(f).glob("*.parquet"))) for f in folders) for part, folders in held.manifest()[1].items()}
+    assert files == {str(i): 1 for i in range(5)}
+    assert sorted(r["id"] for r in held.read().collect()) == list(range(800))

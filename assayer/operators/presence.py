@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.asof import upto
+from assayer.operators.joined import beside
 
 
 def presence(inventory: DataFrame, cutoff) -> DataFrame:
@@ -79,4 +80,4 @@ def unnamed(inventory: DataFrame, named: DataFrame, cutoff) -> DataFrame:
 def stamped(health: DataFrame, folded: DataFrame) -> DataFrame:
     """Health rows with absence stamps: set for packages that are absent, null for others."""
     gone = folded.where(F.col("absent_since").isNotNull()).select("package_id", F.col("absent_since").alias("inventory_absent_since"), F.col("last_listed").alias("inventory_last_listed"))
-    return health.drop("inventory_absent_since", "inventory_last_listed").join(gone, "package_id", "left")
+    return beside(health.drop("inventory_absent_since", "inventory_last_listed"), gone)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.joined import beside
+
 #: Columns of the rollup that a pass may fill.
 ROLLUP_COLUMNS = ("currency_status", "feedstock_presence_status", "work_type_status", "priority_status")
 
@@ -28,10 +30,7 @@ class Context:
 
     def verdicts(self) -> DataFrame:
         """package_id and the verdict of each pass that this one needs, under the name that it goes by."""
-        out = self.packages.select("package_id")
-        for name, (verdict, domain) in self.verdict_columns.items():
-            out = out.join(self.rows[name].select("package_id", F.col(verdict).alias(domain)), "package_id", "left")
-        return out
+        return beside(self.packages.select("package_id"), *[self.rows[name].select("package_id", F.col(verdict).alias(domain)) for name, (verdict, domain) in self.verdict_columns.items()])
 
 
 @dataclass(frozen=True)

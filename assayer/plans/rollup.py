@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import vocab
+from assayer.operators.joined import beside
 
 
 def compose(packages: DataFrame, verdicts: Mapping[str, DataFrame], stamps: Mapping[str, Column]) -> DataFrame:
@@ -15,16 +16,14 @@ def compose(packages: DataFrame, verdicts: Mapping[str, DataFrame], stamps: Mapp
 
     A package without a verdict is unknown.  Each table has one owner of its column.
     """
-    out = packages.select("package_id", "confidence")
-    for column, rows in verdicts.items():
-        out = out.join(rows.select("package_id", column), "package_id", "left")
+    out = beside(packages.select("package_id", "confidence"), *[rows.select("package_id", column) for column, rows in verdicts.items()])
     gates = {c: vocab.gated(F.coalesce(F.col(c), F.lit("unknown")), F.col("confidence")) for c in verdicts}
     return out.withColumns({**gates, **stamps})
 
 
 def upsert(previous: DataFrame, new: DataFrame, key: str = "package_id") -> DataFrame:
     """New rows, and previous ones of packages that have none: whole rows, never mixed."""
-    return previous.join(new.select(key), key, "left_anti").unionByName(new)
+    return beside(previous, new.select(key), on=key, how="left_anti").unionByName(new)
 
 
 def ending(rows: DataFrame) -> DataFrame:

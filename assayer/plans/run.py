@@ -155,7 +155,7 @@ def execute(t: Mapping[str, DataFrame], cutoff, parameters: Mapping, run_id: int
     out["health"] = rollup.compose(good, verdicts, {"policy_run_id": F.lit(run_id).cast("long"), "policy_version": F.lit(version), "evidence_cutoff": F.lit(cutoff)})
     for name, step in registry.steps.items():
         if (rows := step(out, t)) is not None:
-            out[name] = rows
+            out[name] = keep(name, rows) if name == "health" else rows  # the steps after it read it
     out["rollup"] = rollup.upsert(t["health"].select(*out["health"].columns), out["health"]) if "health" in t else out["health"]
     return out
 
@@ -226,7 +226,8 @@ class Recorded:
         try:
             keep = stored(self.folder, run_id)
             out = execute(t, F.lit(cutoff).cast("timestamp_ntz"), own, run_id, version, keep, registry)
-            keep("health", out["health"])
+            if "health" not in registry.steps:
+                keep("health", out["health"])
             for name in registry.steps:
                 if name in out and name != "health":
                     keep(name, out[name])
